@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curata.llm import bpe, chat, exact_dedup, langid, minhash_dedup, quality
+from curata.llm import bpe, chat, embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,15 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.text_messages(chat.probe(table(spark, sf_dir, "conversations")))))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "n_chars", "text", F.col("__copy").alias("copy"), F.col("__copies").alias("n_copies"), F.col("__order").alias("shuffle_order"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -45,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_chat": op7_chat,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_mixing": op9_mixing,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
@@ -54,6 +66,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)
     """,
+    "op9_mixing": mixing.SQL,
     "op7_chat": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
