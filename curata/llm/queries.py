@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import bpe, chat, embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, quality
+from curata.llm import bpe, chat, embedding_dedup, exact_dedup, langid, lm_scoring, minhash_dedup, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 4))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.text_messages(chat.probe(table(spark, sf_dir, "conversations")))))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_chat": op7_chat,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
@@ -66,6 +71,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)
     """,
+    "op6_lm_scoring": lm_scoring.SQL,
     "op9_mixing": mixing.SQL,
     "op7_chat": r"""
         WITH c AS (
