@@ -171,7 +171,7 @@ def scored(df: DataFrame, net: Network, keep: list[str], score: str = "score") -
     ship(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(net)
     kept = df.select(*keep).schema
-    taken = [f"__{i}" for i in range(len(keep))]
+    taken = ["text" if c == "text" else f"__{i}" for i, c in enumerate(keep)]  # names cannot clash in between
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 1 << 20):
@@ -179,7 +179,8 @@ def scored(df: DataFrame, net: Network, keep: list[str], score: str = "score") -
             yield pa.RecordBatch.from_arrays([*(block.column(block.schema.get_field_index(c)) for c in taken), pa.array(probabilities(model.value, raw, offsets))], [*kept.names, score])
 
     schema = T.StructType([*kept.fields, T.StructField(score, T.DoubleType())])
-    return df.select(*(F.col(c).alias(t) for c, t in zip(keep, taken)), F.col("text").alias("text")).mapInArrow(run, schema)
+    own = [] if "text" in keep else [F.col("text")]
+    return df.select(*(F.col(c).alias(t) for c, t in zip(keep, taken)), *own).mapInArrow(run, schema)
 
 
 def assess(documents: DataFrame, labels: DataFrame) -> DataFrame:
