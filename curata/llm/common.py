@@ -121,17 +121,13 @@ class IdFilter:
         full[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
         return cls(full)
 
-    def __contains__(self, ids: np.ndarray) -> np.ndarray:
-        raise TypeError("use has()")
-
     def has(self, ids: np.ndarray) -> np.ndarray:
         found = np.ones(len(ids), bool)
         for p in self.positions(ids, self.bits):
             found &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
         return found
 
-    def thin(self, df: DataFrame, column: str) -> DataFrame:
-        """Rows of ``df`` whose id may be among the filter's."""
+    def _may(self, df: DataFrame, column: str) -> Column:
         kept = df.sparkSession.sparkContext.broadcast(self)
 
         @F.pandas_udf("boolean")
@@ -140,7 +136,15 @@ class IdFilter:
 
             return pd.Series(kept.value.has(ids.to_numpy()))
 
-        return df.where(F.col(column).isNotNull()).where(may(F.col(column).cast("long")))
+        return may(F.coalesce(F.col(column).cast("long"), F.lit(0).cast("long")))
+
+    def thin(self, df: DataFrame, column: str) -> DataFrame:
+        """Rows of ``df`` whose id may be among the filter's."""
+        return df.where(F.col(column).isNotNull()).where(self._may(df, column))
+
+    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """Rows whose id may be among the filter's, and the others, null ids too."""
+        return self.thin(df, column), df.where(F.col(column).isNull() | ~self._may(df, column))
 
 
 def components(edges: DataFrame) -> DataFrame:
