@@ -8,9 +8,11 @@ misses 0.07 % of pairs, at 0.85 less than 0.01 %.
 
 Equal sets are collapsed first, so copies never meet in a table. In a table, documents do not meet pairwise either: each
 is compared with the bucket's hub, its smallest id. Pairs are verified on the full sets, and links make components.
-What is left are rows whose component differs from the hub's: a second round compares them with every such hub, and a
-third one compares, within each bucket, documents of different components exactly. A large group of near copies is thus
-one component after a few comparisons each, and no pair that shares a table goes unchecked unless it is linked already.
+What is left are rows whose component differs from the hub's: a second round compares them with every such hub. The third
+round takes the buckets that still hold two components or more: each document of the smaller component is compared with
+all members of the larger one there, in blocks of BLOCK members with an inverted index, so pairs are counted but never
+listed. A large group of near copies is thus one component after a few comparisons each, and no pair that shares a table
+goes unchecked unless it is linked already.
 
 Null ids have no set to link (component null); a document whose id occurs twice takes the smallest shingle set of the
 two. An empty table gives an empty result. Nothing of all documents reaches the driver; the broadcast filter of ids has a
@@ -32,6 +34,8 @@ from curata.llm.kernels import blocks, column_bytes, row_starts, words
 #: Collections, and minhashes in each; tables are the pairs of collections.
 COLLECTIONS, HALF = 14, 3
 _K = COLLECTIONS * HALF
+#: Members of a component that a task compares with others at a time.
+BLOCK = 1024
 #: Multipliers (odd) and offsets of the hash functions, from the splitmix sequence.
 _MULTIPLY = mix64(np.arange(1000, 1000 + _K, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix64(np.arange(5000, 5000 + _K, dtype=np.uint64))
@@ -123,6 +127,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * common >= {percent} * (a + b - common)").select("hi", "lo")
 
 
+def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (hi, lo) between components that share a bucket, at least one for each document and component that have any.
+
+    Of two components the one with fewer rows left here asks and the other answers.
+    """
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("bucket")
+    rows = staged(rows.join(mixed, "bucket", "left_semi"), "open")
+    members = rows.select("component", "doc_id").distinct()
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    sized = rows.join(sizes, "component")
+    there = sized.select("bucket", F.col("component").alias("home"), F.col("size").alias("home_size")).distinct()
+    asks = sized.join(there, "bucket").where("struct(home_size, home) > struct(size, component)").select("doc_id", "home", "home_size").distinct()
+    blocks_ = F.ceil(F.col("home_size") / BLOCK).cast("int")
+    asks = staged(asks.select("home", F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("block"), F.lit(1).alias("asks"), "doc_id"), "asks")
+    homes = asks.groupBy("home").agg((F.max("block") + 1).alias("blocks"))
+    answers = members.withColumnRenamed("component", "home").join(homes, "home").select("home", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "doc_id")
+    both = answers.unionByName(asks).join(sets, "doc_id").select("home", "block", "asks", "doc_id", "grams")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index, links = None, [], None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            for (home, block, asks_, doc), grams in zip(keys, batch.column(4)):
+                grams = grams.values.to_numpy()
+                if (home, block) != at:
+                    at, held, index = (home, block), [], None
+                if not asks_:
+                    held.append((doc, grams))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    every = np.concatenate([g for _, g in held])
+                    order = np.argsort(every, kind="stable")
+                    owner = np.repeat(np.arange(len(held)), [len(g) for _, g in held])[order]
+                    index = every[order], owner, np.array([len(g) for _, g in held]), np.array([d for d, _ in held])
+                every, owner, size, docs = index
+                low, high = np.searchsorted(every, grams, "left"), np.searchsorted(every, grams, "right")
+                n = high - low
+                where = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                common = np.bincount(owner[where], minlength=len(held))
+                near = np.flatnonzero(100 * common >= percent * (size + len(grams) - common))
+                if len(near):
+                    other = int(docs[near].min())
+                    links.append((max(doc, other), min(doc, other)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], ["hi", "lo"])
+
+    return both.repartition("home", "block").sortWithinPartitions("home", "block", "asks").mapInArrow(compare, "hi long, lo long")
+
+
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """``rows`` (.., doc_id) with the component that each document has so far."""
     return rows.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -146,25 +200,15 @@ def near_components(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     tried = staged(rows.where("doc_id > hub").groupBy(F.col("doc_id").alias("hi")).agg(F.min("hub").alias("lo")), "pairs")
     links = staged(_verified(tried, sets, percent), "links")
     comps = components(links)
-    for exhaustive in (False, True):
-        now = _labelled(rows, comps)
-        if exhaustive:
-            open_rows = now.where("doc_id != hub")
-            mixed = open_rows.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("bucket")
-            open_rows = staged(open_rows.join(mixed, "bucket", "left_semi").select("bucket", "doc_id", "component"), "open")
-            if open_rows.isEmpty():
-                break
-            other = open_rows.select("bucket", F.col("doc_id").alias("lo"), F.col("component").alias("other"))
-            pairs = open_rows.withColumnRenamed("doc_id", "hi").join(other, "bucket").where("hi > lo AND component != other").select("hi", "lo").distinct()
-        else:
-            hub = _labelled(rows.select(F.col("hub").alias("doc_id")).distinct(), comps).select(F.col("doc_id").alias("hub"), F.col("component").alias("other"))
-            pairs = now.where("doc_id > hub").join(hub, "hub").where("component != other").select(F.col("doc_id").alias("hi"), F.col("hub").alias("lo")).distinct()
-        pairs = staged(pairs.join(tried, ["hi", "lo"], "left_anti"), "pairs")
-        more = staged(_verified(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = components(links)
-        tried = tried.unionByName(pairs)
+    hub = _labelled(rows.select(F.col("hub").alias("doc_id")).distinct(), comps).select(F.col("doc_id").alias("hub"), F.col("component").alias("other"))
+    pairs = _labelled(rows, comps).where("doc_id > hub").join(hub, "hub").where("component != other").select(F.col("doc_id").alias("hi"), F.col("hub").alias("lo")).distinct()
+    more = staged(_verified(pairs.join(tried, ["hi", "lo"], "left_anti"), sets, percent), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comps = components(links)
+    more = staged(_across(_labelled(rows, comps).where("doc_id != hub").select("bucket", "doc_id", "component"), sets, percent), "links")
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
     all_of_set = copies.select(F.col("hi").alias("doc_id"), F.col("lo")).join(comps.select(F.col("node").alias("lo"), "component"), "lo", "left").select("doc_id", F.coalesce("component", "lo").alias("component_id"))
     own = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     known = all_of_set.unionByName(own).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
