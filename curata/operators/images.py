@@ -1,0 +1,233 @@
+"""Pixels: images as rows (height, width, channels, data) of unsigned bytes, computed in Arrow batches with numpy.
+
+Decoding and encoding of files need Pillow and are left out where it is missing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+IMAGE = "struct<height: int, width: int, channels: int, data: binary>"
+
+
+def to_array(row: dict) -> np.ndarray:
+    return np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])
+
+
+def to_row(image: np.ndarray) -> dict:
+    return {"height": image.shape[0], "width": image.shape[1], "channels": image.shape[2], "data": np.ascontiguousarray(image).tobytes()}
+
+
+def gray(image: np.ndarray) -> np.ndarray:
+    return image[..., 0].astype(float) if image.shape[2] == 1 else image[..., :3].astype(float) @ np.array([0.299, 0.587, 0.114])
+
+
+def shrink(a: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Mean over the areas of an h * w raster; rasters finer than the image repeat pixels."""
+    ys, xs = (np.minimum((np.arange(n + 1) * s / n).astype(int), s) for n, s in ((h, a.shape[0]), (w, a.shape[1])))
+    return np.array([[a[y0 : max(y1, y0 + 1), x0 : max(x1, x0 + 1)].mean() for x0, x1 in zip(np.minimum(xs, a.shape[1] - 1), xs[1:])] for y0, y1 in zip(np.minimum(ys, a.shape[0] - 1), ys[1:])])
+
+
+def dhash(image: np.ndarray) -> int:
+    """64 bits: whether each pixel of an 8 * 9 raster is darker than the one to its right, as a signed number."""
+    g = shrink(gray(image), 8, 9)
+    return int(np.packbits(g[:, :-1] < g[:, 1:]).view(">i8")[0])
+
+
+def flat(image: np.ndarray) -> bool:
+    return bool(shrink(gray(image), 32, 32).std() < 1.0)
+
+
+def brightness(image: np.ndarray) -> float:
+    return float(gray(image).mean() / 255)
+
+
+def noise(sigma: float) -> Callable[[np.ndarray], np.ndarray]:
+    def apply(image: np.ndarray) -> np.ndarray:
+        drawn = np.random.default_rng(0).standard_normal(image.shape) * sigma
+        return (np.clip(image / 255 + drawn, 0, 1) * 255 + 0.5).astype(np.uint8)
+
+    return apply
+
+
+def center_crop(share: float) -> Callable[[np.ndarray], np.ndarray]:
+    def apply(image: np.ndarray) -> np.ndarray:
+        h, w = (max(1, round(n * share)) for n in image.shape[:2])
+        y, x = (image.shape[0] - h) // 2, (image.shape[1] - w) // 2
+        return image[y : y + h, x : x + w]
+
+    return apply
+
+
+def resize(image: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bilinear, with pixel centres aligned."""
+    y = np.clip((np.arange(h) + 0.5) * image.shape[0] / h - 0.5, 0, image.shape[0] - 1)
+    x = np.clip((np.arange(w) + 0.5) * image.shape[1] / w - 0.5, 0, image.shape[1] - 1)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, image.shape[0] - 1), np.minimum(x0 + 1, image.shape[1] - 1)
+    fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
+    a = image.astype(float)
+    top = a[y0][:, x0] * (1 - fx) + a[y0][:, x1] * fx
+    low = a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx
+    return (top * (1 - fy) + low * fy + 0.5).astype(np.uint8)
+
+
+def down_up(scale: float) -> Callable[[np.ndarray], np.ndarray]:
+    def apply(image: np.ndarray) -> np.ndarray:
+        h, w = image.shape[:2]
+        return resize(resize(image, max(1, round(h * scale)), max(1, round(w * scale))), h, w)
+
+    return apply
+
+
+def blur(sigma: float) -> Callable[[np.ndarray], np.ndarray]:
+    reach = max(1, round(3 * sigma))
+    kernel = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2 * sigma * sigma))
+    kernel /= kernel.sum()
+
+    def apply(image: np.ndarray) -> np.ndarray:
+        a = image.astype(float)
+        for axis in (0, 1):
+            pad = [(reach, reach) if k == axis else (0, 0) for k in range(3)]
+            p = np.pad(a, pad, mode="edge")
+            a = sum(k * np.take(p, range(i, i + a.shape[axis]), axis) for i, k in enumerate(kernel))
+        return (a + 0.5).astype(np.uint8)
+
+    return apply
+
+
+def jitter(amount: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Brightness, contrast and saturation, each raised by ``amount``."""
+
+    def apply(image: np.ndarray) -> np.ndarray:
+        a = np.clip(image.astype(float) * (1 + amount), 0, 255)
+        mean = gray(a).mean()
+        a = np.clip(mean + (a - mean) * (1 + amount), 0, 255)
+        g = gray(a)[..., None]
+        return (np.clip(g + (a - g) * (1 + amount), 0, 255) + 0.5).astype(np.uint8)
+
+    return apply
+
+
+#: Conditions of the grid that need no codec.
+CONDITIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "clean": lambda x: x,
+    **{f"blur_s{s}": blur(s) for s in (0.5, 1.0, 2.0)},
+    **{f"resize_{s}x": down_up(s) for s in (0.5, 0.25)},
+    **{f"noise_s{s:.2f}": noise(s) for s in (0.02, 0.05, 0.10)},
+    "jitter_20": jitter(0.2),
+    "crop_80": center_crop(0.8),
+}
+
+
+def canaries(image: np.ndarray) -> list[float]:
+    """Features that should not tell the classes apart: colour means and deviations, histograms, an 8 * 8 thumbnail."""
+    rgb = np.repeat(image, 3, axis=2)[..., :3].astype(float) / 255
+    g = gray(image) / 255
+    hist = [np.histogram(rgb[..., c], 16, (0, 1))[0] / g.size for c in range(3)]
+    return [*rgb.mean(axis=(0, 1)), *rgb.std(axis=(0, 1)), g.mean(), g.std(), *np.concatenate(hist), *shrink(g, 8, 8).ravel()]
+
+
+def spectrum(image: np.ndarray, bands: int = 24) -> list[float]:
+    """Logarithm of the mean power in rings of the centred spectrum."""
+    power = np.abs(np.fft.fftshift(np.fft.fft2(gray(image) - gray(image).mean()))) ** 2
+    y, x = np.indices(power.shape)
+    r = np.hypot((y - power.shape[0] // 2) / power.shape[0], (x - power.shape[1] // 2) / power.shape[1])
+    ring = np.minimum((r / 0.5 * bands).astype(int), bands - 1).ravel()
+    return np.log1p(np.bincount(ring, power.ravel(), bands) / np.maximum(1, np.bincount(ring, minlength=bands))).tolist()
+
+
+def udf(function: Callable[[np.ndarray], object], kind: str, image: bool = False) -> Callable[[Column], Column]:
+    """A column function of an image column; null images give null. With ``image`` the result is an image."""
+
+    @F.pandas_udf(IMAGE if image else kind)
+    def run(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in rows.to_dict("records"):
+            value = None if row["data"] is None else function(to_array(row))
+            out.append(to_row(value) if image and value is not None else value)
+        return pd.DataFrame(out, columns=["height", "width", "channels", "data"]) if image else pd.Series(out)
+
+    return lambda c: run(c)
+
+
+def synthetic(spark, n: int = 40, side: int = 32) -> DataFrame:
+    """id, label and image: dark even ids (label 0), bright odd ones (label 1), with noise seeded by id."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for i in rows["id"]:
+                r = np.random.default_rng(int(i))
+                base = 60 if i % 2 == 0 else 190
+                out.append({"id": i, "label": int(i % 2), "image": to_row(np.clip(base + r.normal(0, 20, (side, side, 3)), 0, 255).astype(np.uint8))})
+            yield pd.DataFrame(out)
+
+    return spark.range(n).mapInPandas(make, f"id long, label int, image {IMAGE}")
+
+
+def score_grid(images: DataFrame, model: Callable[[np.ndarray], float], conditions: dict[str, Callable] = CONDITIONS) -> DataFrame:
+    """``images`` (without pixels) times conditions, with cond and score: the scores cube."""
+    names = [c for c in images.columns if c != "image"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            arrays = [to_array(x if isinstance(x, dict) else x.asDict()) for x in rows["image"]]
+            for cond, change in conditions.items():
+                yield rows[names].assign(cond=cond, score=[float(model(change(a))) for a in arrays])
+
+    schema = images.select(*names).schema.add("cond", "string").add("score", "double")
+    return images.mapInPandas(run, schema)
+
+
+def decode(content: Column) -> Column:
+    """Files (PNG, JPEG, ..) to images; needs Pillow. Unreadable files give null."""
+    import io
+
+    from PIL import Image, ImageOps
+
+    @F.pandas_udf(IMAGE)
+    def run(files: pd.Series) -> pd.DataFrame:
+        out = []
+        for data in files:
+            try:
+                out.append(to_row(np.asarray(ImageOps.exif_transpose(Image.open(io.BytesIO(data))).convert("RGB"))))
+            except OSError:
+                out.append({"height": None, "width": None, "channels": None, "data": None})
+        return pd.DataFrame(out)
+
+    return run(content)
+
+
+def header(content: Column) -> Column:
+    """struct(format, width, height) from a file's first bytes: PNG, GIF, BMP and JPEG, by SQL functions where possible."""
+
+    @F.pandas_udf("format string, width int, height int")
+    def run(files: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_header(x) for x in files], columns=["format", "width", "height"])
+
+    return run(content)
+
+
+def _header(data: bytes | None) -> tuple:
+    if not data:
+        return None, None, None
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return "PNG", int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+    if data[:3] == b"GIF":
+        return "GIF", int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
+    if data[:2] == b"BM":
+        return "BMP", int.from_bytes(data[18:22], "little"), abs(int.from_bytes(data[22:26], "little", signed=True))
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 < len(data) and data[at] == 0xFF:
+            if data[at + 1] in range(0xC0, 0xD0) and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+                return "JPEG", int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        return "JPEG", None, None
+    return None, None, None
