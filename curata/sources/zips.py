@@ -1,0 +1,31 @@
+"""Zip archives as tables: members as rows, selected by name before anything is unpacked."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read_zip(spark: SparkSession, paths: str | list[str], suffixes: tuple[str, ...] = (), contains: tuple[str, ...] = (), content: bool = True) -> DataFrame:
+    """archive, member, length and content of the files in archives whose names end and read as asked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for archive, data in zip(rows["path"], rows["content"]):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for info in z.infolist():
+                        name = info.filename
+                        if not info.is_dir() and (not suffixes or name.lower().endswith(suffixes)) and (not contains or any(c in name for c in contains)):
+                            yield pd.DataFrame({"archive": [archive], "member": [name], "length": [info.file_size], "content": [z.read(info) if content else None]})
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "archive string, member string, length long, content binary")
+
+
+def wanted(members: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members that a manifest (path) names, and the paths that no archive has."""
+    names = members.withColumnRenamed("member", "path")
+    return names.join(manifest.select("path").distinct(), "path", "left_semi"), manifest.select("path").distinct().join(names, "path", "left_anti")
