@@ -36,6 +36,8 @@ COLLECTIONS, HALF = 14, 3
 _K = COLLECTIONS * HALF
 #: Members of a component that a task compares with others at a time.
 BLOCK = 1024
+#: A component of up to so many documents is asked in one of its common buckets only; larger ones are few.
+SMALL = 16
 #: Multipliers (odd) and offsets of the hash functions, from the splitmix sequence.
 _MULTIPLY = mix64(np.arange(1000, 1000 + _K, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix64(np.arange(5000, 5000 + _K, dtype=np.uint64))
@@ -137,8 +139,12 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = rows.select("component", "doc_id").distinct()
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     sized = rows.join(sizes, "component")
-    there = sized.select("bucket", F.col("component").alias("home"), F.col("size").alias("home_size")).distinct()
-    asks = sized.join(there, "bucket").where("struct(home_size, home) > struct(size, component)").select("doc_id", "home", "home_size").distinct()
+    own = rows.groupBy("doc_id").agg(F.collect_set("bucket").alias("mine"))
+    listed = sized.where(F.col("size") <= SMALL).groupBy("component").agg(F.collect_set("bucket").alias("theirs"))
+    there = sized.select("bucket", F.col("component").alias("home"), F.col("size").alias("home_size")).distinct().join(listed.withColumnRenamed("component", "home"), "home", "left")
+    larger = "struct(home_size, home) > struct(size, component)"
+    once = "theirs IS NULL OR array_min(array_intersect(mine, theirs)) = bucket"
+    asks = sized.join(own, "doc_id").join(there, "bucket").where(f"{larger} AND ({once})").select("doc_id", "home", "home_size").distinct()
     blocks_ = F.ceil(F.col("home_size") / BLOCK).cast("int")
     asks = staged(asks.select("home", F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("block"), F.lit(1).alias("asks"), "doc_id"), "asks")
     homes = asks.groupBy("home").agg((F.max("block") + 1).alias("blocks"))
