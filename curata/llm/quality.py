@@ -65,20 +65,30 @@ def padded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, halves
 
 
-def half_sums(net: Network, data: np.ndarray, keep: bool = False):
+def shifted(data: np.ndarray, halves: np.ndarray) -> list[np.ndarray]:
+    """The bytes 0 to WIDTH - 1 positions on, with zeros behind each text's end: a text's result depends on it alone."""
+    end = np.cumsum(halves) * HALF
+    out = [data]
+    for j in range(1, WIDTH):
+        on = np.append(data[j:], np.zeros(j, np.uint8))
+        for k in range(1, j + 1):
+            on[end - k] = 0
+        out.append(on)
+    return out
+
+
+def half_sums(net: Network, on: list[np.ndarray], keep: bool = False):
     """Sum of the rectified filters over each half; with ``keep`` also the filters themselves."""
-    n = len(data) - WIDTH + 1
-    a = net.filters[0][data[:n]] + net.bias
+    a = net.filters[0][on[0]] + net.bias
     for j in range(1, WIDTH):
-        a += net.filters[j][data[j : n + j]]
+        a += net.filters[j][on[j]]
     np.maximum(a, 0, out=a)
     return (a.reshape(-1, HALF, FILTERS).sum(axis=1), a) if keep else a.reshape(-1, HALF, FILTERS).sum(axis=1)
 
 
-def distinct_share(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+def distinct_share(on: list[np.ndarray], first: np.ndarray) -> np.ndarray:
     """Distinct 3-byte strings in each chunk, as a share of its positions."""
-    gram = data[:-2].astype(np.uint32) | data[1:-1].astype(np.uint32) << np.uint32(8) | data[2:].astype(np.uint32) << np.uint32(16)
-    gram = np.append(gram, np.zeros(2, np.uint32)).reshape(-1, HALF)
+    gram = (on[0].astype(np.uint32) | on[1].astype(np.uint32) << np.uint32(8) | on[2].astype(np.uint32) << np.uint32(16)).reshape(-1, HALF)
     share = np.empty(len(first), np.float32)
     for i in range(0, len(first), 4096):
         at = first[i : i + 4096]
@@ -97,10 +107,10 @@ def chunks(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def probabilities(net: Network, raw: np.ndarray, offsets: np.ndarray, step: int = 4096) -> np.ndarray:
     """The network's answer for each text; the filters are held for ``step`` halves at a time."""
     data, halves = padded(raw, offsets)
-    tail = np.append(data, np.zeros(WIDTH - 1, np.uint8))
-    sums = np.concatenate([half_sums(net, tail[i * HALF : min(len(data), (i + step) * HALF) + WIDTH - 1]) for i in range(0, len(data) // HALF, step)])
+    on = shifted(data, halves)
+    sums = np.concatenate([half_sums(net, [x[i * HALF : (i + step) * HALF] for x in on]) for i in range(0, len(data) // HALF, step)])
     first, begin = chunks(halves)
-    x = np.concatenate([(sums[first] + sums[first + 1]) / (2 * HALF), distinct_share(data, first)[:, None]], axis=1)
+    x = np.concatenate([(sums[first] + sums[first + 1]) / (2 * HALF), distinct_share(on, first)[:, None]], axis=1)
     pooled = np.maximum.reduceat(np.maximum(x @ net.dense + net.dense_bias, 0), begin, axis=0)
     return 1 / (1 + np.exp(-(pooled @ net.out + net.out_bias[0]).astype(float)))
 
@@ -131,10 +141,10 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
 def gradients(net: Network, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     offsets = np.cumsum([0, *map(len, texts)])
     data, halves = padded(np.frombuffer(b"".join(texts), np.uint8), offsets)
-    tail = np.append(data, np.zeros(WIDTH - 1, np.uint8))
-    sums, a = half_sums(net, tail, keep=True)
+    on = shifted(data, halves)
+    sums, a = half_sums(net, on, keep=True)
     first, begin = chunks(halves)
-    x = np.concatenate([(sums[first] + sums[first + 1]) / (2 * HALF), distinct_share(data, first)[:, None]], axis=1)
+    x = np.concatenate([(sums[first] + sums[first + 1]) / (2 * HALF), distinct_share(on, first)[:, None]], axis=1)
     u = np.maximum(x @ net.dense + net.dense_bias, 0)
     stop = np.append(begin[1:], len(first))
     winner = np.stack([b + u[b:s].argmax(axis=0) for b, s in zip(begin, stop)])  # (texts, UNITS)
@@ -151,7 +161,7 @@ def gradients(net: Network, texts: list[bytes], y: np.ndarray, weight: np.ndarra
     d_a = np.repeat(d_sums, HALF, axis=0) * (a > 0)
     live = np.flatnonzero(np.repeat(np.abs(d_sums).sum(axis=1) > 0, HALF))
     d_live = d_a[live]
-    d_filters = np.stack([np.stack([np.bincount(tail[live + j], d_live[:, f], 256) for f in range(FILTERS)], axis=1) for j in range(WIDTH)]).astype(np.float32)
+    d_filters = np.stack([np.stack([np.bincount(on[j][live], d_live[:, f], 256) for f in range(FILTERS)], axis=1) for j in range(WIDTH)]).astype(np.float32)
     return [d_filters, d_live.sum(axis=0), (x.T @ d_u).astype(np.float32), d_u.sum(axis=0), pooled.T @ d, np.array([d.sum()], np.float32)]
 
 
