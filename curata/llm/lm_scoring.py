@@ -36,6 +36,8 @@ from curata.llm.kernels import blocks, column_bytes, words
 MIN_COUNT, BACKOFF = 2, 0.4
 #: A word with more than 1 / HOT of all occurrences is hot.
 HOT = 1000
+#: Shards for each task: a task holds packed rows, and unpacks one shard at a time.
+SHARDS = 16
 _MASK = np.uint64((1 << 48) - 1)
 _NO_ID = np.iinfo(np.int64).min
 #: Follows each last word, so that c(v) is the sum over its bigrams.
@@ -102,16 +104,17 @@ def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, w, n in zip(*(c.to_pylist() for c in batch.columns)):
             held.setdefault(shard, []).append((unpack48(w), np.frombuffer(n, "<i8")))
-    for shard, parts in held.items():
+    while held:
+        shard, parts = held.popitem()
         w, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(w)).astype("<i8")
         yield _row(shard=shard, words=pack48(w), n=n.tobytes())
 
 
-def unigrams(texts: DataFrame, parts: int) -> DataFrame:
+def unigrams(texts: DataFrame, parts: int, tasks: int) -> DataFrame:
     """The table of words and counts, partitioned by hash: rows (shard, words, n)."""
     kind = "shard int, words binary, n binary"
-    return staged(texts.mapInArrow(_count_words(parts), kind).repartition(parts, "shard").mapInArrow(_sum_words, kind), "unigrams")
+    return staged(texts.mapInArrow(_count_words(parts), kind).repartition(tasks, "shard").mapInArrow(_sum_words, kind), "unigrams")
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +233,8 @@ def _join_unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 tables[shard] = (w, n)
             else:
                 held.setdefault(shard, []).append((w, rows, n, ids))
-    for shard, probes in held.items():
+    while held:
+        shard, probes = held.popitem()
         word, count = unpack48(tables[shard][0]), np.frombuffer(tables[shard][1], "<i8")
         for w, rows, n, ids in probes:
             value = np.frombuffer(n, "<u4") * np.log(count[np.searchsorted(word, unpack48(w))])
@@ -248,16 +252,17 @@ def score(documents: DataFrame) -> DataFrame:
     """doc_id, n_words and score (natural logarithm) of every id."""
     spark = documents.sparkSession
     ship(spark)
-    parts = shards(spark)
+    tasks = shards(spark)
+    parts = tasks * SHARDS
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = unigrams(texts, parts)
+    table = unigrams(texts, parts, tasks)
     total = table.select("n").mapInArrow(_totals, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
     hot = table.select("words", "n").mapInArrow(_frequent(total / HOT), "word long, n long").orderBy("word").toArrow()
     words_, counts = hot["word"].to_numpy().astype(np.uint64), hot["n"].to_numpy()
-    bigrams = texts.mapInArrow(_explode_bigrams(parts, words_), _PACKED).repartition(parts, "shard")
+    bigrams = texts.mapInArrow(_explode_bigrams(parts, words_), _PACKED).repartition(tasks, "shard")
     joined = staged(bigrams.mapInArrow(_join_bigrams(parts, words_, counts, max(1, total)), _PACKED), "bigrams")
     lookup = table.select("shard", "words", F.lit(None).cast("binary").alias("nexts"), F.lit(None).cast("binary").alias("rows"), "n", F.lit(None).cast("binary").alias("ids"))
-    backed = joined.where("shard >= 0").unionByName(lookup).repartition(parts, "shard").mapInArrow(_join_unigrams, _PACKED)
+    backed = joined.where("shard >= 0").unionByName(lookup).repartition(tasks, "shard").mapInArrow(_join_unigrams, _PACKED)
     terms = joined.where("shard < 0").unionByName(backed).select("words", "n", "ids").mapInArrow(_unpacked, "doc_id long, score double, n_words long")
     none = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"))
     return terms.unionByName(none).where(f"doc_id IS NOT NULL AND doc_id != {_NO_ID}L").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
