@@ -6,11 +6,15 @@ documents, and all are judged on the input.
 Suffixes only need an order up to WIDTH bytes, so equal strings must meet, and others need not. Each string has an
 anchor, the ANCHOR bytes in it with the least hash (the leftmost of equals), which equal strings share. So:
 
+0. *units*: runs of strings between anchors whose hash is divisible by UNIT (about 400 bytes) are hashed, and all strings
+   of a unit that a smaller document has too are to be removed, without looking closer. This leaves one copy of what
+   copies share. What a larger document's unit holds is not a source either, as the smaller one's copy is.
 1. *anchors*: each task lists the anchors of its documents. Partitioned by hash, those that occur in two documents or
    more are set in a filter of a fixed number of bits, which is broadcast. It may let others pass, which costs work only.
 2. *segments*: strings that follow each other and share a listed anchor make one segment (about 65 bytes), which goes to
    its anchor's partition. Equal segments are collapsed to the smallest and largest document id before the shuffle.
-3. *suffix arrays*: the segments of anchors that have several different ones are concatenated and sorted by difference
+3. *suffix arrays*: an anchor's segments that agree with another one in 15 bytes beside it, on either side, may share a
+   string (30 bytes of it lie beside the anchor); these are concatenated and sorted by difference
    cover modulo 3: triples at sampled positions are sorted and named, the names are recursed on until they differ, the
    remaining suffixes are sorted by their first byte and the rank behind it, and the two orders are merged. Adjacent
    suffixes with the same WIDTH-byte prefix are one string, whose smallest document is known then.
@@ -23,6 +27,7 @@ remove each other's bytes; they are told apart by their text's hash. An empty ta
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -36,6 +41,8 @@ from curata.llm.kernels import _BYTE, blocks, column_bytes
 from curata.llm.lm_scoring import pack48, unpack48
 
 WIDTH, ANCHOR = 50, 20
+#: One of so many anchors begins a unit.
+UNIT = np.uint64(24)
 #: Bits of the filter of anchors, which is the only thing broadcast but for a filter of ids.
 FILTER_BITS = 26
 #: Suffix arrays are built over about so many bytes at a time, or over one anchor's segments.
@@ -55,15 +62,15 @@ def anchor_hashes(raw: np.ndarray) -> np.ndarray:
     return mix64(h16 * np.uint64(0xC2B2AE3D27D4EB4F) + h[4][16 : 16 + len(h16)])
 
 
-def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first byte in the row, number of strings and anchor hash of every segment of the texts, in order."""
+def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row, first byte in the row, number of strings, anchor hash and the anchor's offset of each segment, in order."""
     if len(raw) > _PIECE:
         parts = []
         for row in range(len(offsets) - 1):
             for at in range(offsets[row], max(offsets[row] + 1, offsets[row + 1] - WIDTH + 1), _PIECE):
                 piece = raw[at : min(offsets[row + 1], at + _PIECE + WIDTH - 1)]
-                _, first, n, h = _segments(piece, np.array([0, len(piece)]))
-                parts.append((np.full(len(first), row), first + at - offsets[row], n, h))
+                _, first, n, h, place = _segments(piece, np.array([0, len(piece)]))
+                parts.append((np.full(len(first), row), first + at - offsets[row], n, h, place))
         return tuple(np.concatenate(x) for x in zip(*parts))
     return _segments(raw, offsets)
 
@@ -71,7 +78,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _segments(raw: np.ndarray, offsets: np.ndarray):
     if len(raw) < WIDTH:
         none = np.empty(0, np.int64)
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, np.empty(0, np.uint64), none
     h = anchor_hashes(raw)
     least = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
     window = WIDTH - ANCHOR + 1
@@ -90,7 +97,7 @@ def _segments(raw: np.ndarray, offsets: np.ndarray):
     new[1:] = (anchor[1:] != anchor[:-1]) | (row_of[1:] != row_of[:-1])
     at = np.flatnonzero(new)
     row = row_of[at]
-    return row, start[at] - offsets[row], np.diff(np.append(at, len(start))), h[anchor[at]] & _MASK
+    return row, start[at] - offsets[row], np.diff(np.append(at, len(start))), h[anchor[at]] & _MASK, anchor[at] - start[at]
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -169,6 +176,45 @@ def string_groups(texts: list[bytes], runs: np.ndarray) -> tuple[np.ndarray, np.
     return owner, group
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to their units: (unit, doc_id, text_hash, start, n), n strings from byte start on."""
+    from xxhash import xxh3_128_digest
+
+    for block in blocks(batches, 2 << 20):
+        raw, offsets = column_bytes(block.column(1))
+        row, first, n, h, _ = segments(raw, offsets)
+        if not len(h):
+            continue
+        new = np.ones(len(h), bool)
+        new[1:] = (row[1:] != row[:-1]) | (h[1:] % UNIT == 0)
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(h)) - 1
+        n = first[last] + n[last] - first[at]
+        begin = offsets[row[at]] + first[at]
+        data = memoryview(raw)
+        units = [xxh3_128_digest(data[i:j]) for i, j in zip(begin.tolist(), (begin + n + WIDTH - 1).tolist())]
+        rows = pa.array(row[at])
+        yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), block.column(0).take(rows), block.column(2).take(rows), pa.array(first[at].astype(np.int32)), pa.array(n.astype(np.int32))], ["unit", "doc_id", "text_hash", "start", "n"])
+
+
+def _wanted(block: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Segments of a block's texts that are not in a unit of its column ``gone`` (starts of units to be removed)."""
+    found = segments(*column_bytes(block.column(1)))
+    row, first, _, h, _ = found
+    gone = block.column(3)
+    if not len(h) or gone.null_count == len(gone):
+        return found
+    new = np.ones(len(h), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] % UNIT == 0)
+    at = np.flatnonzero(new)
+    lists = gone.fill_null([]) if gone.null_count else gone
+    starts = lists.flatten().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(block)), lists.value_lengths().to_numpy())
+    removed = np.isin(row[at] << 32 | first[at], owner << 32 | starts)
+    keep = ~np.repeat(removed, np.diff(np.append(at, len(h))))
+    return tuple(x[keep] for x in found)
+
+
 def _list_anchors(parts: int):
     """Texts to rows (shard, anchors, many): distinct anchors, and whether two documents of the task have them."""
 
@@ -185,7 +231,7 @@ def _list_anchors(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for block in blocks(batches, 2 << 20):
-            row, _, _, h = segments(*column_bytes(block.column(1)))
+            row, _, _, h, _ = _wanted(block)
             order = np.lexsort((h, row))
             row, h = row[order], h[order]
             new = np.ones(len(h), bool)
@@ -240,7 +286,7 @@ def _cut(filter_):
         words = filter_.value
         for block in blocks(batches, 2 << 20):
             raw, offsets = column_bytes(block.column(1))
-            row, first, n, h = segments(raw, offsets)
+            row, first, n, h, place = _wanted(block)
             bit = _bit(h)
             at = np.flatnonzero((words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
             data = raw.tobytes()
@@ -248,8 +294,8 @@ def _cut(filter_):
             end = begin + n[at] + WIDTH - 1
             content = [data[i:j] for i, j in zip(begin.tolist(), end.tolist())]
             hashes = np.array([xxh3_64_intdigest(c) for c in content], np.uint64)
-            columns = [pa.array(h[at].astype(np.int64)), pa.array(hashes.view(np.int64)), pa.array(content, pa.binary()), block.column(0).take(pa.array(row[at])), block.column(2).take(pa.array(row[at])), pa.array(first[at].astype(np.int32))]
-            batch = pa.RecordBatch.from_arrays(columns, ["anchor", "content_hash", "content", "doc_id", "text_hash", "start"])
+            columns = [pa.array(h[at].astype(np.int64)), pa.array(hashes.view(np.int64)), pa.array(content, pa.binary()), block.column(0).take(pa.array(row[at])), block.column(2).take(pa.array(row[at])), pa.array(first[at].astype(np.int32)), pa.array(place[at].astype(np.int8))]
+            batch = pa.RecordBatch.from_arrays(columns, ["anchor", "content_hash", "content", "doc_id", "text_hash", "start", "place"])
             for k in range(0, len(batch), 20_000):
                 yield batch.slice(k, 20_000)
 
@@ -280,17 +326,27 @@ def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return batch
 
+    def close(group: list[tuple]) -> int:
+        """Rows of one anchor: those that may share a string wait for the sort, for others their documents tell."""
+        sides = [((0, r[2][p + ANCHOR : p + ANCHOR + side]), (1, r[2][p - side : p] if p >= side else b"")) for r in group for p in (r[5],)] if len(group) > 1 else []
+        often = Counter(x for pair in sides for x in pair if len(x[1]) == side)
+        size = 0
+        for k, r in enumerate(group):
+            if sides and any(often[x] > 1 for x in sides[k]):
+                waiting.append(r)
+                size += len(r[2])
+            elif r[3] < r[4]:
+                out.append((r[0], r[1], r[3], None))
+        return size
+
+    side = (WIDTH - ANCHOR) // 2
     group: list[tuple] = []
     waiting: list[tuple] = []
     size = 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if group and group[0][0] != row[0]:
-                if len(group) > 1:
-                    waiting += group
-                    size += sum(len(r[2]) for r in group)
-                elif group[0][3] < group[0][4]:
-                    out.append((*group[0][:2], group[0][3], None))
+                size += close(group)
                 group = []
                 if size > SORT_BYTES:
                     solve(waiting)
@@ -298,10 +354,7 @@ def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(out) > 10_000:
                     yield emit()
             group.append(row)
-    if len(group) > 1:
-        waiting += group
-    elif group and group[0][3] < group[0][4]:
-        out.append((*group[0][:2], group[0][3], None))
+    close(group)
     if waiting:
         solve(waiting)
     yield emit()
@@ -313,15 +366,22 @@ def repeated_strings(documents: DataFrame) -> DataFrame:
     ship(spark)
     parts = shards(spark)
     texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), F.xxhash64(text_or_empty()).alias("text_hash"))
+    units = staged(texts.mapInArrow(_units, "unit binary, doc_id long, text_hash long, start int, n int"), "units")
+    several = units.groupBy("unit").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("unit", "least")
+    gone = staged(units.join(several, "unit").where("doc_id > least").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "gone")
+    touched, rest = IdFilter.build(gone.select("doc_id"), "doc_id").split(texts, "doc_id")
+    starts = gone.select("doc_id", "text_hash", F.col("runs.start").alias("gone"))
+    texts = touched.join(starts, ["doc_id", "text_hash"], "left").select("doc_id", "text", "text_hash", "gone").unionByName(rest.withColumn("gone", F.lit(None).cast("array<int>")))
     listed = spark.sparkContext.broadcast(shared_anchors(texts, parts))
-    cut = staged(texts.mapInArrow(_cut(listed), "anchor long, content_hash long, content binary, doc_id long, text_hash long, start int"), "segments")
-    distinct = cut.groupBy("anchor", "content_hash").agg(F.first("content").alias("content"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    sorted_ = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "content_hash", "content", "least", "most")
+    cut = staged(texts.mapInArrow(_cut(listed), "anchor long, content_hash long, content binary, doc_id long, text_hash long, start int, place byte"), "segments")
+    distinct = cut.groupBy("anchor", "content_hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("content").alias("content"), F.first("place").alias("place"))
+    sorted_ = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "content_hash", "content", "least", "most", "place")
     results = sorted_.mapInArrow(_smallest, "anchor long, content_hash long, least long, leasts array<long>")
     found = cut.select("anchor", "content_hash", "doc_id", "text_hash", "start", (F.octet_length("content") - WIDTH + 1).alias("n")).join(results, ["anchor", "content_hash"]).where("leasts IS NOT NULL OR least < doc_id")
     pieces = F.expr("filter(transform(leasts, (x, i) -> struct(start + i AS start, if(x < doc_id, 1, 0) AS n)), x -> x.n = 1)")
     runs = F.when(F.col("leasts").isNull(), F.array(F.struct("start", "n"))).otherwise(pieces)
-    return found.select("doc_id", "text_hash", F.explode(runs).alias("run")).groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("runs"))
+    each = found.select("doc_id", "text_hash", runs.alias("runs")).unionByName(gone.select("doc_id", "text_hash", F.col("runs").cast("array<struct<start: int, n: int>>")))
+    return each.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def removal(documents: DataFrame) -> DataFrame:
