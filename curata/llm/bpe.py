@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curata.llm.common import ship
+from curata.llm.common import ship, tidy
 
 #: Entries of the cache from pieces to their encodings; it is emptied when full.
-CACHE = 400_000
+CACHE = 200_000
 #: Longer pieces are not cached.
 CACHED_BYTES = 64
 #: Pieces of up to so many bytes are leaves of the tree, merged by the definition.
@@ -46,7 +46,7 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.token = {i: t for t, i in ranks.items()}
         self.pieces: dict[str, bytes] = {}  # ids as int32, which are joined faster than numbers
-        self.stable = lru_cache(200_000)(self._stable)
+        self.stable = lru_cache(50_000)(self._stable)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Bpe:
@@ -193,7 +193,7 @@ def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, path: str
                     yield pa.RecordBatch.from_arrays([*part.columns, column], [*names, target])
                     start, held, size = i + 1, [], 0
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

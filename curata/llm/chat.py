@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import ship
+from curata.llm.common import ship, tidy
 
 START, END = "<|im_start|>", "<|im_end|>"
 PARTS = "array<struct<kind: string, text: string, uri: string, units: double>>"
@@ -101,7 +101,7 @@ def flatten(messages: DataFrame) -> DataFrame:
 
     from pyspark.sql.types import _parse_datatype_string as parse
 
-    return rows.mapInArrow(run, schema.add("body", "string").add("attachments", parse(ATTACHMENTS)))
+    return rows.mapInArrow(tidy(run), schema.add("body", "string").add("attachments", parse(ATTACHMENTS)))
 
 
 def format_conversations(messages: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def format_conversations(messages: DataFrame) -> DataFrame:
                 row = {"conv_id": batch.column(0)[i].as_py(), "n_turns": len(turns), "formatted": "".join(text), "loss_spans": spans, "attachments": attached, "expanded_tokens": sum(a["tokens"] for a in attached)}
                 yield pa.RecordBatch.from_pylist([row], schema=target)
 
-    return grouped.mapInArrow(run, schema)
+    return grouped.mapInArrow(tidy(run), schema)
 
 
 def parse_formatted(text: str) -> list[tuple[str, str]]:
@@ -165,7 +165,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def text_messages(conversations: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 1000
+
 _shipped: set[str] = set()
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -24,6 +27,9 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
+    # texts are long: batches of the default 10,000 rows would be the largest thing that a task holds
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = Path(__file__).resolve().parents[1]
     target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
@@ -33,6 +39,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def tidy(run):
+    """``run``, an Arrow function, giving freed memory back to the system at its end: Python workers live on, and what
+    one keeps another stage lacks."""
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -116,7 +139,7 @@ class IdFilter:
             for i in range(0, len(at), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(own[at[i : i + 50_000]])], ["word", "mask"])
 
-        rows = ids.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        rows = ids.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(tidy(words), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
         full = np.zeros(1 << (log2_bits - 6), np.uint64)
         full[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
         return cls(full)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import components, ship, staged
+from curata.llm.common import components, ship, staged, tidy
 
 BLOCKS, CODES, LIST, BUCKET, SPLIT = 4, 2, 12, 8.0, 1024
 
@@ -170,14 +170,14 @@ def dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
     # a representative's id may be shared by rows of several labels: its label is a part of the key
     keyed = reps.withColumn("rep_key", F.xxhash64("label", "vector"))
-    lists = staged(keyed.select(F.col("rep_key").alias("rep"), "vector").mapInArrow(_filters(largest), "rep long, dim int, filters array<long>"), "filters")
+    lists = staged(keyed.select(F.col("rep_key").alias("rep"), "vector").mapInArrow(tidy(_filters(largest)), "rep long, dim int, filters array<long>"), "filters")
     filed = lists.join(keyed.withColumnRenamed("rep", "id").withColumnRenamed("rep_key", "rep"), "rep").select(F.col("rep"), "label", "dim", "filters", "id", "mult", "vector")
     placed = filed.select("label", "dim", F.explode("filters").alias("filter"), "rep", "id")
     sizes = placed.groupBy("label", "dim", "filter").agg(F.count("*").alias("size")).where("size > 1")
     cells = placed.join(sizes, ["label", "dim", "filter"]).withColumn("cuts", F.ceil(F.col("size") / SPLIT).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep", "filter"), F.col("cuts")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(F.xxhash64("label", "dim", "filter").alias("bucket"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "filter", "part", "rep")
     cells = cells.join(filed.select("rep", "id", "mult", "vector", "filters"), "rep").select("bucket", "i", "j", "filter", "part", "id", "mult", "vector", "filters")
-    found = staged(cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_cell(threshold), "rep long, n long, lo long"), "links")
+    found = staged(cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(tidy(_cell(threshold)), "rep long, n long, lo long"), "links")
     comps = components(found.select(F.col("rep").alias("hi"), "lo"))
     linked = found.groupBy("rep").agg(F.sum("n").alias("n"))
     members = rows.join(reps, ["label", "vector"]).select("vec_id", "rep", "mult")

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import SPACE, IdFilter, shared_dir, ship, staged, text_or_empty
+from curata.llm.common import SPACE, IdFilter, shared_dir, ship, staged, text_or_empty, tidy
 
 #: A memtable is flushed when its texts have so many bytes, or it has so many rows.
-MEMTABLE_BYTES, MEMTABLE_ROWS = 48 << 20, 200_000
+MEMTABLE_BYTES, MEMTABLE_ROWS = 24 << 20, 200_000
 #: Ids in one entry of a run: a hot group's entries are cut into pieces of this size.
 ENTRY_IDS = 10_000
 
@@ -85,7 +85,7 @@ def build_runs(documents: DataFrame, digest_bits: int = 256) -> DataFrame:
     ship(spark)
     text = normalised().cast("binary")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
-    entries = rows.mapInArrow(_runs(digest_bits), "digest binary, variant int, sha binary, least long, n long, ids array<long>")
+    entries = rows.mapInArrow(tidy(_runs(digest_bits)), "digest binary, variant int, sha binary, least long, n long, ids array<long>")
     path = f"{shared_dir(spark)}/staged/runs-{uuid.uuid4().hex}"
     entries.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", str(1 << 20)).parquet(path)
     return spark.read.schema(entries.schema).parquet(path)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import mix64, ship
+from curata.llm.common import mix64, ship, tidy
 
 #: Buckets are 2 ** BITS; n-grams have the lengths ORDERS; counts are smoothed by ALPHA.
 BITS, ORDERS, ALPHA = 14, (1, 2, 3), 0.5
@@ -94,7 +94,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    cells = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    cells = rows.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = cells.toArrow()  # at most MAX_LANGUAGES * 2 ** BITS rows of sums
     langs = sorted(set(found["lang"].to_pylist()))
     if len(langs) > MAX_LANGUAGES:
@@ -157,7 +157,7 @@ def predict(df: DataFrame, langs: list[str], matrix: np.ndarray, keep: list[str]
     from pyspark.sql import types as T
 
     schema = T.StructType([*kept.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.select(*keep, F.col("text").alias("__text")).mapInArrow(score, schema)
+    return df.select(*keep, F.col("text").alias("__text")).mapInArrow(tidy(score), schema)
 
 
 def held_out(doc_id: str, folds: int, fold: int) -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import mix64, shards, ship, staged
+from curata.llm.common import mix64, shards, ship, staged, tidy
 from curata.llm.kernels import blocks, column_bytes, words
 
 MIN_COUNT, BACKOFF = 2, 0.4
@@ -114,7 +114,7 @@ def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def unigrams(texts: DataFrame, parts: int, tasks: int) -> DataFrame:
     """The table of words and counts, partitioned by hash: rows (shard, words, n)."""
     kind = "shard int, words binary, n binary"
-    return staged(texts.mapInArrow(_count_words(parts), kind).repartition(tasks, "shard").mapInArrow(_sum_words, kind), "unigrams")
+    return staged(texts.mapInArrow(tidy(_count_words(parts)), kind).repartition(tasks, "shard").mapInArrow(tidy(_sum_words), kind), "unigrams")
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +256,14 @@ def score(documents: DataFrame) -> DataFrame:
     parts = tasks * SHARDS
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = unigrams(texts, parts, tasks)
-    total = table.select("n").mapInArrow(_totals, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
-    hot = table.select("words", "n").mapInArrow(_frequent(total / HOT), "word long, n long").orderBy("word").toArrow()
+    total = table.select("n").mapInArrow(tidy(_totals), "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = table.select("words", "n").mapInArrow(tidy(_frequent(total / HOT)), "word long, n long").orderBy("word").toArrow()
     words_, counts = hot["word"].to_numpy().astype(np.uint64), hot["n"].to_numpy()
-    bigrams = texts.mapInArrow(_explode_bigrams(parts, words_), _PACKED).repartition(tasks, "shard")
-    joined = staged(bigrams.mapInArrow(_join_bigrams(parts, words_, counts, max(1, total)), _PACKED), "bigrams")
+    bigrams = texts.mapInArrow(tidy(_explode_bigrams(parts, words_)), _PACKED).repartition(tasks, "shard")
+    joined = staged(bigrams.mapInArrow(tidy(_join_bigrams(parts, words_, counts, max(1, total))), _PACKED), "bigrams")
     lookup = table.select("shard", "words", F.lit(None).cast("binary").alias("nexts"), F.lit(None).cast("binary").alias("rows"), "n", F.lit(None).cast("binary").alias("ids"))
-    backed = joined.where("shard >= 0").unionByName(lookup).repartition(tasks, "shard").mapInArrow(_join_unigrams, _PACKED)
-    terms = joined.where("shard < 0").unionByName(backed).select("words", "n", "ids").mapInArrow(_unpacked, "doc_id long, score double, n_words long")
+    backed = joined.where("shard >= 0").unionByName(lookup).repartition(tasks, "shard").mapInArrow(tidy(_join_unigrams), _PACKED)
+    terms = joined.where("shard < 0").unionByName(backed).select("words", "n", "ids").mapInArrow(tidy(_unpacked), "doc_id long, score double, n_words long")
     none = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"))
     return terms.unionByName(none).where(f"doc_id IS NOT NULL AND doc_id != {_NO_ID}L").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
 

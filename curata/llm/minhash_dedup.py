@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import IdFilter, components, mix64, ship, staged
+from curata.llm.common import IdFilter, components, mix64, ship, staged, tidy
 from curata.llm.kernels import blocks, column_bytes, row_starts, words
 
 #: Collections, and minhashes in each; tables are the pairs of collections.
@@ -106,7 +106,7 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * COLLECTIONS + 1, COLLECTIONS, dtype=np.int32)), pa.array(hashes.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n), pa.array(whole, pa.binary()), lists], ["doc_id", "n_shingles", "set_hash", "halves"])
 
-    return _texts(documents).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, halves array<long>")
+    return _texts(documents).mapInArrow(tidy(run), "doc_id long, n_shingles long, set_hash binary, halves array<long>")
 
 
 def full_sets(documents: DataFrame, size: int) -> DataFrame:
@@ -118,7 +118,7 @@ def full_sets(documents: DataFrame, size: int) -> DataFrame:
             grams, begin = shingle_sets(raw, offsets, size)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(grams.view(np.int64)))], ["doc_id", "grams"])
 
-    return _texts(documents).mapInArrow(run, "doc_id long, grams array<long>")
+    return _texts(documents).mapInArrow(tidy(run), "doc_id long, grams array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     links.append((max(doc, other), min(doc, other)))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], ["hi", "lo"])
 
-    return both.repartition("home", "block").sortWithinPartitions("home", "block", "asks").mapInArrow(compare, "hi long, lo long")
+    return both.repartition("home", "block").sortWithinPartitions("home", "block", "asks").mapInArrow(tidy(compare), "hi long, lo long")
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:

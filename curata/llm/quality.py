@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curata.llm.common import ship
+from curata.llm.common import ship, tidy
 from curata.llm.kernels import blocks, column_bytes
 from curata.llm.langid import held_out
 
@@ -190,7 +190,7 @@ def scored(df: DataFrame, net: Network, keep: list[str], score: str = "score") -
 
     schema = T.StructType([*kept.fields, T.StructField(score, T.DoubleType())])
     own = [] if "text" in keep else [F.col("text")]
-    return df.select(*(F.col(c).alias(t) for c, t in zip(keep, taken)), *own).mapInArrow(run, schema)
+    return df.select(*(F.col(c).alias(t) for c, t in zip(keep, taken)), *own).mapInArrow(tidy(run), schema)
 
 
 def assess(documents: DataFrame, labels: DataFrame) -> DataFrame:

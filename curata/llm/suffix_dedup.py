@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import IdFilter, mix64, shards, ship, staged, text_or_empty
+from curata.llm.common import IdFilter, mix64, shards, ship, staged, text_or_empty, tidy
 from curata.llm.kernels import _BYTE, blocks, column_bytes
 from curata.llm.lm_scoring import pack48, unpack48
 
@@ -270,9 +270,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_anchors(texts: DataFrame, parts: int) -> np.ndarray:
     """The filter: a word for each 64 bits."""
-    listed = texts.mapInArrow(_list_anchors(parts), "shard int, anchors binary, many binary").repartition(parts, "shard")
+    listed = texts.mapInArrow(tidy(_list_anchors(parts)), "shard int, anchors binary, many binary").repartition(parts, "shard")
     found = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for word, mask in listed.mapInArrow(_shared, "word binary, mask binary").toLocalIterator():  # the filter's size in all
+    for word, mask in listed.mapInArrow(tidy(_shared), "word binary, mask binary").toLocalIterator():  # the filter's size in all
         found[np.frombuffer(word, "<u4")] |= np.frombuffer(mask, "<u8")
     return found
 
@@ -366,17 +366,17 @@ def repeated_strings(documents: DataFrame) -> DataFrame:
     ship(spark)
     parts = shards(spark)
     texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), F.xxhash64(text_or_empty()).alias("text_hash"))
-    units = staged(texts.mapInArrow(_units, "unit binary, doc_id long, text_hash long, start int, n int"), "units")
+    units = staged(texts.mapInArrow(tidy(_units), "unit binary, doc_id long, text_hash long, start int, n int"), "units")
     several = units.groupBy("unit").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("unit", "least")
     gone = staged(units.join(several, "unit").where("doc_id > least").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "gone")
     touched, rest = IdFilter.build(gone.select("doc_id"), "doc_id").split(texts, "doc_id")
     starts = gone.select("doc_id", "text_hash", F.col("runs.start").alias("gone"))
     texts = touched.join(starts, ["doc_id", "text_hash"], "left").select("doc_id", "text", "text_hash", "gone").unionByName(rest.withColumn("gone", F.lit(None).cast("array<int>")))
     listed = spark.sparkContext.broadcast(shared_anchors(texts, parts))
-    cut = staged(texts.mapInArrow(_cut(listed), "anchor long, content_hash long, content binary, doc_id long, text_hash long, start int, place byte"), "segments")
+    cut = staged(texts.mapInArrow(tidy(_cut(listed)), "anchor long, content_hash long, content binary, doc_id long, text_hash long, start int, place byte"), "segments")
     distinct = cut.groupBy("anchor", "content_hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("content").alias("content"), F.first("place").alias("place"))
     sorted_ = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "content_hash", "content", "least", "most", "place")
-    results = sorted_.mapInArrow(_smallest, "anchor long, content_hash long, least long, leasts array<long>")
+    results = sorted_.mapInArrow(tidy(_smallest), "anchor long, content_hash long, least long, leasts array<long>")
     found = cut.select("anchor", "content_hash", "doc_id", "text_hash", "start", (F.octet_length("content") - WIDTH + 1).alias("n")).join(results, ["anchor", "content_hash"]).where("leasts IS NOT NULL OR least < doc_id")
     pieces = F.expr("filter(transform(leasts, (x, i) -> struct(start + i AS start, if(x < doc_id, 1, 0) AS n)), x -> x.n = 1)")
     runs = F.when(F.col("leasts").isNull(), F.array(F.struct("start", "n"))).otherwise(pieces)
@@ -416,7 +416,7 @@ def removal(documents: DataFrame) -> DataFrame:
                 spans.append([{"start": i, "end": j} for i, j in own])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return every.mapInArrow(run, schema)
+    return every.mapInArrow(tidy(run), schema)
 
 
 def digests(documents: DataFrame) -> DataFrame:
