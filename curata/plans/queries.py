@@ -598,7 +598,7 @@ def size_matched(spark, d):
 def val_by_bucket(spark, d):
     s = a.scores(spark, d)
     own = metrics.quantile_cutoff(s, ["bucket"]).select(F.col("bucket").alias("b"), F.col("cutoff").alias("own"))
-    both = s.join(F.broadcast(metrics.quantile_cutoff(s, []))).join(F.broadcast(own), F.col("bucket").eqNullSafe(F.col("b")))
+    both = s.join(F.broadcast(metrics.quantile_cutoff(s, []))).join(F.broadcast(own), F.col("bucket").eqNullSafe(F.col("b")), "left")
     recall = lambda c: r(F.avg(F.when(F.col("label") == 1, (F.col("score") >= F.col(c)).cast("double"))))
     return both.groupBy("bucket").agg(recall("cutoff").alias("recall_global"), recall("own").alias("recall_own"))
 
