@@ -9,10 +9,11 @@ misses 0.07 % of pairs, at 0.85 less than 0.01 %.
 Equal sets are collapsed first, so copies never meet in a table. In a table, documents do not meet pairwise either: each
 is compared with the bucket's hub, its smallest id. Pairs are verified on the full sets, and links make components.
 What is left are rows whose component differs from the hub's: a second round compares them with every such hub. The third
-round takes the buckets that still hold two components or more: each document of the smaller component is compared with
-all members of the larger one there, in blocks of BLOCK members with an inverted index, so pairs are counted but never
-listed. A large group of near copies is thus one component after a few comparisons each, and no pair that shares a table
-goes unchecked unless it is linked already.
+round takes the buckets that still hold two components or more, and gathers what they connect into clusters. Within a
+cluster, documents of different components and of sizes that allow the similarity are compared in cells of two blocks of
+BLOCK documents, with an inverted index, so pairs are counted but never listed. A large group of near copies is thus one
+component after a few comparisons each, and no pair that shares a table goes unchecked unless it is linked already. The
+third round's work grows with the square of a cluster's size, spread over its cells.
 
 Null ids have no set to link (component null); a document whose id occurs twice takes the smallest shingle set of the
 two. An empty table gives an empty result. Nothing of all documents reaches the driver; the broadcast filter of ids has a
@@ -34,10 +35,8 @@ from curata.llm.kernels import blocks, column_bytes, row_starts, words
 #: Collections, and minhashes in each; tables are the pairs of collections.
 COLLECTIONS, HALF = 14, 3
 _K = COLLECTIONS * HALF
-#: Members of a component that a task compares with others at a time.
+#: Documents of a cluster in one block; a cell compares two blocks.
 BLOCK = 1024
-#: A component of up to so many documents is asked in one of its common buckets only; larger ones are few.
-SMALL = 16
 #: Multipliers (odd) and offsets of the hash functions, from the splitmix sequence.
 _MULTIPLY = mix64(np.arange(1000, 1000 + _K, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix64(np.arange(5000, 5000 + _K, dtype=np.uint64))
@@ -130,57 +129,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (hi, lo) between components that share a bucket, at least one for each document and component that have any.
+    """Links (hi, lo) between documents of different components that share a bucket: one at least for each document and
+    component that have any. ``rows`` is (bucket, doc_id, component).
 
-    Of two components the one with fewer rows left here asks and the other answers.
+    A document is of the size class floor(log n) to a base just above 100 / percent, so similar enough ones are of the
+    same class or of neighbouring ones: each is filed under its own class and the next, where it is a guest.
     """
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("bucket")
-    rows = staged(rows.join(mixed, "bucket", "left_semi"), "open")
-    members = rows.select("component", "doc_id").distinct()
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    sized = rows.join(sizes, "component")
-    own = rows.groupBy("doc_id").agg(F.collect_set("bucket").alias("mine"))
-    listed = sized.where(F.col("size") <= SMALL).groupBy("component").agg(F.collect_set("bucket").alias("theirs"))
-    there = sized.select("bucket", F.col("component").alias("home"), F.col("size").alias("home_size")).distinct().join(listed.withColumnRenamed("component", "home"), "home", "left")
-    larger = "struct(home_size, home) > struct(size, component)"
-    once = "theirs IS NULL OR array_min(array_intersect(mine, theirs)) = bucket"
-    asks = sized.join(own, "doc_id").join(there, "bucket").where(f"{larger} AND ({once})").select("doc_id", "home", "home_size").distinct()
-    blocks_ = F.ceil(F.col("home_size") / BLOCK).cast("int")
-    asks = staged(asks.select("home", F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("block"), F.lit(1).alias("asks"), "doc_id"), "asks")
-    homes = asks.groupBy("home").agg((F.max("block") + 1).alias("blocks"))
-    answers = members.withColumnRenamed("component", "home").join(homes, "home").select("home", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "doc_id")
-    both = answers.unionByName(asks).join(sets, "doc_id").select("home", "block", "asks", "doc_id", "grams")
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("bucket", "first")
+    rows = staged(rows.join(mixed, "bucket"), "open")
+    clusters = components(rows.select(F.col("component").alias("hi"), F.col("first").alias("lo")))
+    members = rows.select("component", "doc_id").distinct().join(clusters.toDF("component", "cluster"), "component", "left").withColumn("cluster", F.coalesce("cluster", "component"))
+    sizes = sets.select("doc_id", F.floor(F.ln(F.size("grams").cast("double")) / float(np.log(101 / percent))).alias("class"))
+    filed = members.join(sizes, "doc_id").withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("class", F.col("class") + F.col("guest"))
+    filed = staged(filed, "filed")
+    cuts = filed.groupBy("cluster", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    cells = filed.join(cuts, ["cluster", "class"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    cells = cells.select("cluster", "class", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "guest", "component", "doc_id").join(sets, "doc_id")
+    keys = ["cluster", "class", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, index, links = None, [], None, []
-        for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
-            for (home, block, asks_, doc), grams in zip(keys, batch.column(4)):
-                grams = grams.values.to_numpy()
-                if (home, block) != at:
-                    at, held, index = (home, block), [], None
-                if not asks_:
-                    held.append((doc, grams))
-                    continue
-                if not held:
-                    continue
-                if index is None:
-                    every = np.concatenate([g for _, g in held])
-                    order = np.argsort(every, kind="stable")
-                    owner = np.repeat(np.arange(len(held)), [len(g) for _, g in held])[order]
-                    index = every[order], owner, np.array([len(g) for _, g in held]), np.array([d for d, _ in held])
-                every, owner, size, docs = index
+        links: set[tuple[int, int]] = set()
+        cell: list[tuple] = []
+
+        def close() -> None:
+            if len({r[6] for r in cell}) < 2:  # one component only
+                return
+            part, guest, component, docs = (np.array([r[k] for r in cell]) for k in range(4, 8))
+            size = np.array([len(r[8]) for r in cell])
+            every = np.concatenate([r[8] for r in cell])
+            order = np.argsort(every, kind="stable")
+            owner, every = np.repeat(np.arange(len(cell)), size)[order], every[order]
+            for k, (*_, i, j, own, is_guest, comp, doc, grams) in enumerate(cell):
                 low, high = np.searchsorted(every, grams, "left"), np.searchsorted(every, grams, "right")
                 n = high - low
                 where = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                common = np.bincount(owner[where], minlength=len(held))
-                near = np.flatnonzero(100 * common >= percent * (size + len(grams) - common))
-                if len(near):
-                    other = int(docs[near].min())
-                    links.append((max(doc, other), min(doc, other)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], ["hi", "lo"])
-
-    return both.repartition("home", "block").sortWithinPartitions("home", "block", "asks").mapInArrow(tidy(compare), "hi long, lo long")
+                common = np.bincount(owner[where], minlength=len(cell))
+                near = (100 * common >= percent * (size + size[k] - common)) & (component != comp) & (docs < doc)
+                if is_guest:
+                    near &= guest == 0  # two guests meet in their own class
+                if i != j:
+                    near &= part != own
+                near = np.flatnonzero(near)
+                _, first = np.unique(component[near], return_index=True)
+                links.update((doc, int(docs[x])) for x in near[first])
+
+        for batch in batches:
+            for *key, grams in zip(*(batch.column(k).to_pylist() for k in range(8)), batch.column(8)):
+                if cell and cell[0][:4] != tuple(key[:4]):
+                    close()
+                    cell.clear()
+                cell.append((*key, grams.values.to_numpy()))
+        if cell:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(links)], pa.int64()) for k in range(2)], ["hi", "lo"])
+
+    ordered = cells.select(*keys, "part", "guest", "component", "doc_id", "grams").repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(tidy(compare), "hi long, lo long")
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
