@@ -37,7 +37,7 @@ MIN_COUNT, BACKOFF = 2, 0.4
 #: A word with more than 1 / HOT of all occurrences is hot.
 HOT = 1000
 #: Shards for each task: a task holds packed rows, and unpacks one shard at a time.
-SHARDS = 16
+SHARDS = 4
 _MASK = np.uint64((1 << 48) - 1)
 _NO_ID = np.iinfo(np.int64).min
 #: Follows each last word, so that c(v) is the sum over its bigrams.
