@@ -67,6 +67,22 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("probe_id").agg(F.min_by(F.struct("train_id", "distance"), F.struct("distance", "train_id")).alias("m")).select("probe_id", "m.*")
 
 
+def nearest_by_hash(probe: DataFrame, train: DataFrame, max_distance: int = 4) -> DataFrame:
+    """nearest(near_pairs()), by distinct hashes: copies are not multiplied by each other."""
+    asked = probe.select(F.col("dhash").alias("id"), "dhash").distinct()
+    known = train.groupBy("dhash").agg(F.min("id").alias("id"))
+    found = nearest(near_pairs(asked, known, max_distance)).withColumnRenamed("probe_id", "dhash")
+    return probe.join(found, "dhash").select(F.col("id").alias("probe_id"), "train_id", "distance")
+
+
+def near_counts(probe: DataFrame, train: DataFrame, max_distance: int = 4) -> DataFrame:
+    """distance and the number of near_pairs() at it, by distinct hashes."""
+    one, two = (x.groupBy("dhash").agg(F.count("*").alias(n)) for x, n in ((probe, "n"), (train, "k")))
+    met = near_pairs(one.select(F.col("dhash").alias("id"), "dhash"), two.select(F.col("dhash").alias("id"), "dhash"), max_distance)
+    named = met.join(one.withColumnRenamed("dhash", "probe_id"), "probe_id").join(two.withColumnRenamed("dhash", "train_id"), "train_id")
+    return named.groupBy("distance").agg(F.sum(F.col("n") * F.col("k")).alias("pairs"))
+
+
 def suffixes(path: Column) -> Column:
     """All suffixes of a path in whole components, the longest first."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")

@@ -51,16 +51,25 @@ SC = (
 )
 
 
-def hashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Training hashes of all documents, and probes of every third one with 0 to 6 bits flipped."""
+def all_hashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Training hashes of all documents, and probes of all of them with 0 to 6 bits flipped."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long").alias("h"))
     flips = F.expr("shiftleft(shiftleft(1L, cast(doc_id % 7 as int)) - 1, cast(doc_id % 50 as int))")
-    return d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("h").bitwiseXOR(flips).alias("dhash")), d.select(F.col("doc_id").alias("id"), F.col("h").alias("dhash"))
+    return d.select(F.col("doc_id").alias("id"), F.col("h").bitwiseXOR(flips).alias("dhash")), d.select(F.col("doc_id").alias("id"), F.col("h").alias("dhash"))
+
+
+def hashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """all_hashes() with probes of every third document only, as H says."""
+    probe, known = all_hashes(spark, sf_dir)
+    return probe.where("id % 3 = 0"), known
 
 
 H = """h AS (SELECT doc_id AS id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS dhash FROM documents),
     pr AS (SELECT id, xor(dhash, ((1::BIGINT << (id % 7)::INT) - 1) << (id % 50)::INT) AS dhash FROM h WHERE id % 3 = 0)"""
 
+H_ALL = """h AS (SELECT doc_id AS id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS dhash FROM documents),
+    pr AS (SELECT id, xor(dhash, ((1::BIGINT << (id % 7)::INT) - 1) << (id % 50)::INT) AS dhash FROM h)"""
+
 
 def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as scored boxes of their order's picture."""

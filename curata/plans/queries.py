@@ -301,6 +301,43 @@ def unseen_reasons(spark, d):
     return curate.drop_reasons(rows, docs.where("id % 3 != 0"), near).select(F.col("path").alias("id"), "reason")
 
 
+#: The five queries above, with every document as a probe.
+PAIRS_ALL = f"WITH {a.H_ALL}, pairs AS (SELECT p.id AS probe_id, t.id AS train_id, bit_count(xor(p.dhash, t.dhash)) AS distance FROM pr p, h t WHERE bit_count(xor(p.dhash, t.dhash)) <= 4)"
+
+
+@query("hamming_pigeonhole_all", PAIRS_ALL + " SELECT probe_id, train_id, distance::INT AS distance FROM pairs")
+def hamming_pigeonhole_all(spark, d):
+    return dedup.near_pairs(*a.all_hashes(spark, d), 4)
+
+
+@query("nearest_hash_all", PAIRS_ALL + " SELECT probe_id, train_id, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY distance, train_id) AS k FROM pairs) WHERE k = 1")
+def nearest_hash_all(spark, d):
+    return dedup.nearest_by_hash(*a.all_hashes(spark, d), 4)
+
+
+@query("hamming_prefix_all", f"WITH {a.H_ALL} SELECT DISTINCT p.id FROM pr p, h t WHERE bit_count(xor(p.dhash, t.dhash)) <= 2 AND (p.dhash >> 40 = t.dhash >> 40 OR xor(p.dhash >> 40, 1) = t.dhash >> 40)")
+def hamming_prefix_all(spark, d):
+    probe, known = a.all_hashes(spark, d)
+    hit = dedup.near_by_prefix(probe.select(F.col("dhash").alias("id"), "dhash").distinct(), known.select("dhash").distinct())
+    return probe.join(hit.withColumnRenamed("id", "dhash"), "dhash").select("id").distinct()
+
+
+@query("hamming_brute_all", PAIRS_ALL + " SELECT distance::INT AS distance, count(*) AS pairs FROM pairs GROUP BY distance")
+def hamming_brute_all(spark, d):
+    return dedup.near_counts(*a.all_hashes(spark, d), 4)
+
+
+@query("unseen_reasons_all", PAIRS_ALL + """, tr AS (SELECT sha256(text) AS s, doc_id FROM documents) SELECT p.id, CASE WHEN p.id % 30 = 0 THEN 'unreadable' WHEN EXISTS (SELECT 1 FROM tr x WHERE x.doc_id <> p.id AND x.s = (SELECT s FROM tr y WHERE y.doc_id = p.id)) THEN 'byte-identical'
+    WHEN EXISTS (SELECT 1 FROM pairs q WHERE q.probe_id = p.id) THEN 'near-duplicate' END AS reason FROM pr p""")
+def unseen_reasons_all(spark, d):
+    probe, known = a.all_hashes(spark, d)
+    docs = a.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"))
+    rows = probe.join(docs, "id").select(F.col("id").alias("path"), F.when(F.col("id") % 30 != 0, F.col("sha256")).alias("sha256"))
+    near = dedup.nearest_by_hash(probe, known, 4).select(F.col("probe_id").alias("path"))
+    twice = docs.groupBy("sha256").agg(F.count("*").alias("n")).where("n > 1")  # so another document has it
+    return curate.drop_reasons(rows, twice, near).select(F.col("path").alias("id"), "reason")
+
+
 SUFFIX = """RECURSIVE t AS (SELECT page_id, 'a/' || page_id % 7 || '/' || page_id AS f FROM pages UNION ALL SELECT page_id, 'b/' || page_id % 7 || '/' || page_id FROM pages WHERE page_id % 10 = 0),
     q AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'zip/x/' || page_id % 7 || '/' || page_id WHEN page_id % 4 = 1 THEN 'root/a/' || page_id % 7 || '/' || page_id ELSE 'gone/' || page_id || '.x' END AS path FROM pages)"""
 

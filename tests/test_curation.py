@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import dims
 from curata.operators import curate, dedup, votes
+from curata.plans import adapters, queries
 
 
 def manifest(spark, n=400):
@@ -61,6 +62,16 @@ def test_hamming_joins_agree(spark):
     assert got == sorted(map(tuple, dedup.near_pairs_brute(a, b, 4).collect())) and got
 
 
+def test_every_document_is_a_probe(spark, sf):
+    ids = {r[0] for r in adapters.table(spark, sf, "documents").select("doc_id").collect()}
+    probe, known = adapters.all_hashes(spark, sf)
+    assert {r[0] for r in probe.select("id").collect()} == ids
+    got = sorted(map(tuple, queries.QUERIES["hamming_pigeonhole_all"](spark, sf).collect()))
+    assert got == sorted(map(tuple, dedup.near_pairs_brute(probe, known, 4).collect()))
+    assert {p for p, *_ in got} >= {i for i in ids if i % 7 <= 4} and any(p % 3 for p, *_ in got)
+    assert {r["id"] for r in queries.QUERIES["unseen_reasons_all"](spark, sf).collect()} == ids
+
+
 def test_specs():
     s = votes.parse_spec("vote(k=3,a=0.5,L=320)+noise+net:w.bin")
     assert s.base == "net" and s.weights == "w.bin" and s.wrappers == (("vote", (("topk", 3), ("alpha", 0.5), ("long", 320))), ("noise", ()))
