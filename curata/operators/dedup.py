@@ -83,6 +83,13 @@ def near_counts(probe: DataFrame, train: DataFrame, max_distance: int = 4) -> Da
     return named.groupBy("distance").agg(F.sum(F.col("n") * F.col("k")).alias("pairs"))
 
 
+def near_train(rows: DataFrame, max_distance: int = 4) -> DataFrame:
+    """path of the val and test rows whose dhash is within ``max_distance`` of a training row's."""
+    probe = rows.where("split IN ('val', 'test')").select(F.col("path").alias("id"), "dhash")
+    train = rows.where("split = 'train'").select(F.col("path").alias("id"), "dhash")
+    return nearest_by_hash(probe, train, max_distance).select(F.col("probe_id").alias("path")).distinct()
+
+
 def suffixes(path: Column) -> Column:
     """All suffixes of a path in whole components, the longest first."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")

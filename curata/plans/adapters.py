@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.functions import dims
+from curata.functions import dims, hashes as bits
 from curata.functions.seeded import unit
 from curata.operators import metrics
 
@@ -71,6 +71,23 @@ H_ALL = """h AS (SELECT doc_id AS id, ('0x' || substr(md5(text), 1, 15))::BIGINT
     pr AS (SELECT id, xor(dhash, ((1::BIGINT << (id % 7)::INT) - 1) << (id % 50)::INT) AS dhash FROM h)"""
 
 
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest with dhash, the SimHash of each document's text, and flat: no words."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", bits.simhash(F.col("text")).alias("dhash"))
+    return manifest(spark, sf_dir).join(texts, "doc_id").withColumn("flat", bits.trivial(F.col("dhash")))
+
+
+AU = (
+    M
+    + r""", w AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+')) AS w FROM documents) WHERE w <> ''),
+    bits AS (SELECT doc_id, i, 2 * sum((x >> i::INT) & 1) > count(*) AS bit FROM (SELECT doc_id, ('0x' || substr(md5(w), 1, 15))::BIGINT AS x FROM w), (SELECT unnest(range(60)) AS i) GROUP BY doc_id, i),
+    f AS (SELECT doc_id, sum(CASE WHEN bit THEN 1::BIGINT << i::INT ELSE 0 END)::BIGINT AS dhash FROM bits GROUP BY doc_id),
+    au AS (SELECT m.*, coalesce(dhash, 0) AS dhash, coalesce(dhash, 0) = 0 AS flat FROM m LEFT JOIN f ON f.doc_id = m.doc_id),
+    near AS (SELECT DISTINCT p.path FROM au p, au t WHERE p.split IN ('val', 'test') AND t.split = 'train' AND NOT p.flat AND NOT t.flat AND bit_count(xor(p.dhash, t.dhash)) <= 4),
+    dup AS (SELECT sha256 FROM m WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) > 1 AND (count(DISTINCT split) > 1 OR count(DISTINCT label) > 1))"""
+)
+
+
 def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as scored boxes of their order's picture."""
     n = F.col("l_linenumber")

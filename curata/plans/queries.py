@@ -171,6 +171,15 @@ def corpus_audit(spark, d):
     return audit.corpus_audit(rows, rows.where("doc_id % 50 = 9").select("path"))
 
 
+@query("corpus_audit_all", f"""WITH {a.AU} SELECT 'files' AS gate, CASE WHEN count(*) FILTER (sha256 IS NULL OR flat) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM au
+    UNION ALL SELECT 'duplicates', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END FROM dup
+    UNION ALL SELECT 'near-duplicates ' || split, CASE WHEN avg((path IN (SELECT path FROM near))::INT) > 0.005 THEN 'FAIL' ELSE 'PASS' END FROM au WHERE split IN ('val', 'test') GROUP BY split""")
+def corpus_audit_all(spark, d):
+    """corpus_audit with near duplicates found by a search of the texts' hashes."""
+    rows = a.audited(spark, d)
+    return audit.corpus_audit(rows, dedup.near_train(rows))
+
+
 @query("data_state_report", m(f"SELECT split, count(*) AS n, {COUNTS}, count(DISTINCT generator) FILTER (label = 1) AS generators, count(DISTINCT source) AS sources FROM m GROUP BY split"))
 def data_state_report(spark, d):
     return a.manifest(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("reals"), F.count_if(F.col("label") == 1).alias("fakes"), F.count_distinct(F.when(F.col("label") == 1, F.col("generator"))).alias("generators"), F.count_distinct("source").alias("sources"))
@@ -205,6 +214,13 @@ def drop_list(spark, d):
     return dedup.drop_list(rows, rows.where("doc_id % 100 = 3").select("path"))
 
 
+@query("drop_list_all", f"WITH {a.AU} SELECT DISTINCT path FROM au WHERE sha256 IS NULL OR flat OR sha256 IN (SELECT sha256 FROM dup) OR path IN (SELECT path FROM near)")
+def drop_list_all(spark, d):
+    """drop_list with unreadable and flat rows, and near duplicates found by a search of the texts' hashes."""
+    rows = a.audited(spark, d)
+    return dedup.drop_list(rows, dedup.near_train(rows).union(rows.where("sha256 IS NULL OR flat").select("path")))
+
+
 @query("byte_antijoin", m("SELECT path, label FROM m t WHERE split = 'test' AND NOT EXISTS (SELECT 1 FROM m x WHERE x.split = 'train' AND x.sha256 = t.sha256)"))
 def byte_antijoin(spark, d):
     rows = a.manifest(spark, d)

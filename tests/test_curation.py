@@ -72,6 +72,25 @@ def test_every_document_is_a_probe(spark, sf):
     assert {r["id"] for r in queries.QUERIES["unseen_reasons_all"](spark, sf).collect()} == ids
 
 
+def test_near_copies_are_searched(spark, tmp_path):
+    r = random.Random(4)
+    texts = {i: " ".join(str(r.randrange(5000)) for _ in range(600)) for i in range(30)}
+    texts[18] = texts[1] + " end"  # in val; near a row of train
+    texts[19] = texts[2].replace(" ", "\n", 5) + " x"  # in test
+    texts[28] = texts[29]  # in val and test only
+    texts[23] = " "
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, 0) for i in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = adapters.audited(spark, str(tmp_path))
+    assert {x[0] for x in dedup.near_train(rows).collect()} == {"doc/18", "doc/19"}
+    named = rows.withColumn("id", F.col("path"))
+    brute = dedup.near_pairs_brute(named.where("split != 'train'"), named.where("split = 'train'"))
+    assert {x["probe_id"] for x in brute.collect()} == {"doc/18", "doc/19"}
+    assert {x[0] for x in queries.QUERIES["drop_list_all"](spark, str(tmp_path)).collect()} == {f"doc/{i}" for i in (18, 19, 23, 28, 29)}
+    gates = {x["gate"]: x["verdict"] for x in queries.QUERIES["corpus_audit_all"](spark, str(tmp_path)).collect()}
+    assert gates == {g: "FAIL" for g in ("files", "duplicates", "near-duplicates val", "near-duplicates test")}
+
+
 def test_specs():
     s = votes.parse_spec("vote(k=3,a=0.5,L=320)+noise+net:w.bin")
     assert s.base == "net" and s.weights == "w.bin" and s.wrappers == (("vote", (("topk", 3), ("alpha", 0.5), ("long", 320))), ("noise", ()))
