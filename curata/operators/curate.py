@@ -149,6 +149,18 @@ def disjoint_benchmark(candidates: DataFrame, training: DataFrame, per_generator
     return first_n(fresh, ["generator"], per_generator, order)
 
 
+def scores_by_condition(scores: DataFrame, manifest: DataFrame) -> DataFrame:
+    """cond, n, matched and total_long: scores of each condition with the manifest row of their normalised path."""
+    right = manifest.select(dims.norm_path(F.col("path")).alias("p"), "long")
+    joined = scores.join(right, dims.norm_path(F.col("path")) == F.col("p"), "left")
+    return joined.groupBy("cond").agg(F.count("*").alias("n"), F.count("long").alias("matched"), F.sum("long").alias("total_long"))
+
+
+def with_orig(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path and orig, the manifest's source file of the path; empty if it has none."""
+    return rows.join(manifest.select("path", "orig"), "path", "left").select("path", F.coalesce("orig", F.lit("")).alias("orig"))
+
+
 def drop_reasons(probe: DataFrame, training: DataFrame, near: DataFrame) -> DataFrame:
     """``probe`` with reason: unreadable, byte-identical or near-duplicate, the first that holds; null rows are kept.
 

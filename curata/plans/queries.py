@@ -277,6 +277,20 @@ def errors_orig_join(spark, d):
     return e.join(a.manifest(spark, d).where("doc_id % 3 = 0").select("path", "orig"), "path", "left").select("path", F.coalesce("orig", F.lit("")).alias("orig"))
 
 
+@query("scores_manifest_join_all", sc("SELECT cond, count(*) AS n, count(m.long) AS matched, sum(m.long)::BIGINT AS total_long FROM sc LEFT JOIN m ON m.path = sc.path GROUP BY cond"))
+def scores_manifest_join_all(spark, d):
+    """scores_manifest_join with every manifest row."""
+    s = a.scores(spark, d).withColumn("path", F.concat(F.lit("./"), F.col("path")))
+    return curate.scores_by_condition(s, a.manifest(spark, d))
+
+
+@query("errors_orig_join_all", sc("SELECT e.path, coalesce(m.orig, '') AS orig FROM (SELECT path FROM sc WHERE cond = 'clean' AND label = 0 AND score >= 0.6) e LEFT JOIN m ON m.path = e.path"))
+def errors_orig_join_all(spark, d):
+    """errors_orig_join with every manifest row."""
+    e = a.scores(spark, d).where("cond = 'clean' AND label = 0 AND score >= 0.6").select("path")
+    return curate.with_orig(e, a.manifest(spark, d))
+
+
 @query("foreign_key_join", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey")
 def foreign_key_join(spark, d):
     c = a.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")

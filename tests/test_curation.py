@@ -91,6 +91,17 @@ def test_near_copies_are_searched(spark, tmp_path):
     assert gates == {g: "FAIL" for g in ("files", "duplicates", "near-duplicates val", "near-duplicates test")}
 
 
+def test_the_whole_manifest_is_joined(spark, sf):
+    got = queries.QUERIES["scores_manifest_join_all"](spark, sf).collect()
+    assert got and all(x["matched"] == x["n"] for x in got)
+    errors = queries.QUERIES["errors_orig_join_all"](spark, sf).collect()
+    assert errors and all(x["orig"] == f"src/{int(x['path'][4:]) // 2}" for x in errors)
+    scores = spark.createDataFrame([("./a", "clean"), ("./b", "clean")], "path string, cond string")
+    rows = spark.createDataFrame([("a", "o", 7)], "path string, orig string, long int")
+    assert [tuple(x) for x in curate.scores_by_condition(scores, rows).collect()] == [("clean", 2, 1, 7)]
+    assert sorted(map(tuple, curate.with_orig(spark.createDataFrame([("a",), ("b",)], "path string"), rows).collect())) == [("a", "o"), ("b", "")]
+
+
 def test_specs():
     s = votes.parse_spec("vote(k=3,a=0.5,L=320)+noise+net:w.bin")
     assert s.base == "net" and s.weights == "w.bin" and s.wrappers == (("vote", (("topk", 3), ("alpha", 0.5), ("long", 320))), ("noise", ()))
