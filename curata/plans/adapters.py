@@ -73,8 +73,9 @@ H_ALL = """h AS (SELECT doc_id AS id, ('0x' || substr(md5(text), 1, 15))::BIGINT
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest with dhash, the SimHash of each document's text, and flat: no words."""
-    texts = table(spark, sf_dir, "documents").select("doc_id", bits.simhash(F.col("text")).alias("dhash"))
-    return manifest(spark, sf_dir).join(texts, "doc_id").withColumn("flat", bits.trivial(F.col("dhash")))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), bits.simhash(F.col("text")).alias("dhash"))
+    # the manifest's own sha256 is left out, as it would move the texts
+    return manifest(spark, sf_dir).drop("sha256").join(texts, "doc_id").withColumn("flat", bits.trivial(F.col("dhash")))
 
 
 AU = (
