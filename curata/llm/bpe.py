@@ -1,15 +1,20 @@
-"""Operator 1: byte-level BPE encoding and decoding by monoid tree reduction.
+r"""Operator 1: byte-level BPE encoding and decoding by monoid tree reduction.
 
-A piece (one match of the splitting pattern) is cut into halves down to leaves of LEAF bytes, and encodings are joined upwards.
+A piece (one match of the splitting pattern) is cut into halves down to single bytes, and encodings are joined upwards.
 ``join`` re-encodes a window across the seam, and widens it until both its edges are stable: a token sequence is the
 BPE encoding of its bytes exactly when each pair of neighbours is the encoding of its own two tokens' bytes (the merges
 inside such a pair run in the same order alone as within the text, so the first merge over a boundary would have to
 occur in the pair too). Pairs inside the left, the window and the right are so already, which leaves the two edges.
-``join`` is therefore associative with the empty encoding as unit, and any tree gives the same ids.
+``join`` is therefore associative with the empty encoding as unit, and any tree gives the same ids. Nodes of up to
+SHORT bytes, stable pairs and windows are kept in tables of a bounded size, as words share them.
 
-Texts are concatenations of pieces, so their ids are concatenated; decoding concatenates bytes up the tree likewise.
-Nulls count as empty texts, and an empty text has no ids. Rows keep all their columns; ties and repeated rows need no
-rule. No shuffle: one pass of Arrow batches, and a long text is read in blocks of matches.
+Texts are concatenations of pieces, so their ids are concatenated. With a pattern of PATTERNS, a match never goes on from
+a character other than white space into a space, so a text is first cut there, and what lies between two such cuts is
+matched once and kept. Decoding looks up the leaves' bytes and joins neighbours' extents up a tree of each row's tokens.
+
+Null texts count as empty, an empty text has no ids, and an empty table gives an empty result. Rows keep all their columns,
+whatever their names, but a column with the name of a new one (in any case) is replaced by it. Ties and repeated rows need
+no rule. No shuffle: encoding and decoding are one pass of Arrow batches, and a long text is read in blocks.
 """
 
 from __future__ import annotations
@@ -26,14 +31,38 @@ from pyspark.sql import types as T
 
 from curata.llm.common import ship, tidy
 
-#: Entries of the cache from pieces to their encodings; it is emptied when full.
-CACHE = 200_000
-#: Longer pieces are not cached.
-CACHED_BYTES = 64
-#: Pieces of up to so many bytes are leaves of the tree, merged by the definition.
-LEAF = 16
-#: A text of more characters is matched in blocks of so many pieces.
+#: Entries of a generation of each table; a table holds two.
+CACHE = 250_000
+#: Longer pieces are not kept.
+CACHED_CHARS = 48
+#: Nodes of the tree up to so many bytes are kept.
+SHORT = 4
+#: Wider windows are merged with a heap.
+WIDE = 64
+#: A longer text is read in blocks of about so many characters, and a longer stretch in blocks of so many matches.
 LONG_TEXT, BLOCK = 1_000_000, 100_000
+#: Bytes of ids or texts after which a part of a batch is sent on.
+PART_BYTES = 4_000_000
+#: Fixed value: the pattern for which no match goes on from a character other than white space into a space. Its matches
+#: are a space at most at their start, then letters, digits or others, all but white space; or white space alone.
+PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
+
+
+class Kept(dict):
+    """A table of at most 2 * CACHE entries: when the young generation is full, the old one goes."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Bpe:
@@ -44,9 +73,16 @@ class Bpe:
 
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
+        self.cut_at_spaces = pattern in PATTERNS
         self.token = {i: t for t, i in ranks.items()}
-        self.pieces: dict[str, bytes] = {}  # ids as int32, which are joined faster than numbers
-        self.stable = lru_cache(50_000)(self._stable)
+        self.sizes = np.zeros(max(self.token, default=0) + 1, np.int64)
+        self.sizes[list(self.token)] = [len(t) for t in self.token.values()]
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.token[i] for i in sorted(self.token)), np.uint8)
+        self.pairs = Kept(self._pair)
+        self.nodes = Kept(self._node)
+        self.pieces = Kept(self._piece)  # ids as int32, which are joined faster than numbers
+        self.stretches = Kept(self._stretch)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Bpe:
@@ -70,25 +106,28 @@ class Bpe:
                 pairs[i - 1] = rank(data[cuts[i - 1] : cuts[i + 1]], never)
         return [self.ranks[data[i:j]] for i, j in zip(cuts, cuts[1:])]
 
-    def _stable(self, a: int, b: int) -> bool:
-        return self.merged(self.token[a] + self.token[b]) == [a, b]
-
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbours' bytes, from their encodings."""
         if not left or not right:
             return left + right
-        if self.stable(left[-1], right[0]):
+        pairs = self.pairs
+        window = pairs[left[-1], right[0]]
+        if not window:  # stable: the common case
             return left + right
-        i = j = 2
+        i = j = 1
         while True:
-            i, j = min(i, len(left)), min(j, len(right))
-            data = b"".join(map(self.token.__getitem__, left[len(left) - i :] + right[:j]))
-            window = self.merged(data) if len(data) <= 4 * LEAF else self.queued(data)
-            left_ok = i == len(left) or self.stable(left[len(left) - i - 1], window[0])
-            right_ok = j == len(right) or self.stable(window[-1], right[j])
+            left_ok = i >= len(left) or not pairs[left[-i - 1], window[0]]
+            right_ok = j >= len(right) or not pairs[window[-1], right[j]]
             if left_ok and right_ok:
-                return left[: len(left) - i] + window + right[j:]
-            i, j = (i if left_ok else 4 * i), (j if right_ok else 4 * j)
+                return left[: max(0, len(left) - i)] + window + right[j:]
+            i, j = (i if left_ok else 2 * i), (j if right_ok else 2 * j)
+            data = b"".join(map(self.token.__getitem__, left[max(0, len(left) - i) :] + right[:j]))
+            window = self.merged(data) if len(data) <= WIDE else self.queued(data)
+
+    def _pair(self, pair: tuple[int, int]) -> list[int]:
+        """The encoding of two tokens' bytes; empty if it is these two, so that the pair is stable."""
+        window = self.merged(self.token[pair[0]] + self.token[pair[1]])
+        return [] if len(window) == 2 and window[0] == pair[0] else window
 
     def queued(self, data: bytes) -> list[int]:
         """As merged(), with a heap over a linked list: for wide windows."""
@@ -126,38 +165,96 @@ class Bpe:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """Encode a piece: halves recursively, then join."""
-        if len(data) <= LEAF:
-            return self.merged(data)
+        if len(data) <= 1:
+            return [self.ranks[data]] if data else []
         half = len(data) // 2
-        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
-
-    def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = np.array(self.encode_bytes(piece.encode()), np.int32).tobytes()
-            if len(piece) <= CACHED_BYTES:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
+        left, right = data[:half], data[half:]
+        if len(data) <= 2 * SHORT:
+            return self.join(self.nodes[left], self.nodes[right])
+        return self.join(self.encode_bytes(left), self.encode_bytes(right))
 
-    def encode(self, text: str) -> np.ndarray:
+    def _node(self, data: bytes) -> list[int]:
+        return self.encode_bytes(data)
+
+    def _piece(self, piece: str) -> bytes:
+        return np.array(self.encode_bytes(piece.encode()), np.int32).tobytes()
+
+    def _matched(self, text: str) -> bytes:
+        """Ids of a text, as int32: those of its matches."""
         if len(text) <= LONG_TEXT:
             found = [self.pattern.findall(text)]
         else:
             matches = (m.group() for m in self.pattern.finditer(text))
             found = iter(lambda: list(itertools.islice(matches, BLOCK)), [])
-        get, parts = self.pieces.get, []
-        for pieces in found:
-            ids = list(map(get, pieces))
-            if None in ids:
-                ids = [x or self.piece(p) for x, p in zip(ids, pieces)]
-            parts.append(b"".join(ids))
-        return np.frombuffer(b"".join(parts), np.int32)
+        return b"".join(b"".join([self.pieces[p] if len(p) <= CACHED_CHARS else self._piece(p) for p in block]) for block in found)
+
+    def _stretch(self, stretch: str) -> bytes:
+        """Ids of a space and what follows it up to the next cut."""
+        text = " " + stretch
+        return self._piece(text) if stretch.isascii() and stretch.isalpha() else self._matched(text)  # letters are one match
+
+    def _cut(self, text: str) -> bytes:
+        """Ids of a text that is cut at spaces: before each, if what stands before it is no white space."""
+        stretches = text.split(" ")
+        ids: list[bytes | None] = list(map(self.stretches.get, stretches))  # none that ends with white space is kept
+        ids[0] = None  # as no space precedes it
+        i = ids.index(None)
+        while i >= 0:
+            stop = i  # white space goes on to the next stretch that ends with something else
+            while (not stretches[stop] or stretches[stop][-1].isspace()) and stop + 1 < len(stretches):
+                stop += 1
+            if 0 < i == stop and len(stretches[i]) <= CACHED_CHARS and stretches[i] and not stretches[i][-1].isspace():
+                ids[i] = self.stretches[stretches[i]]
+            else:
+                ids[i] = self._matched(" " * (i > 0) + " ".join(stretches[i : stop + 1]))
+                ids[i + 1 : stop + 1] = [b""] * (stop - i)
+            try:
+                i = ids.index(None, stop + 1)
+            except ValueError:
+                break
+        return b"".join(ids)
+
+    def _blocks(self, text: str):
+        """A long text in parts that are cut where _cut() may cut."""
+        at = 0
+        while len(text) - at > LONG_TEXT:
+            stop = at + LONG_TEXT
+            while (stop := text.find(" ", stop)) > 0 and text[stop - 1].isspace():
+                stop += 1
+            if stop < 0:
+                break
+            yield text[at:stop]
+            at = stop
+        yield text[at:]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """Bytes of each token, concatenated up the tree of blocks."""
-        return b"".join(b"".join(map(self.token.__getitem__, ids[i : i + BLOCK])) for i in range(0, len(ids), BLOCK))
+    def encode(self, text: str) -> np.ndarray:
+        if not self.cut_at_spaces:
+            ids = self._matched(text)
+        elif len(text) <= LONG_TEXT:
+            ids = self._cut(text)
+        else:
+            # a block but the first begins with a space, which is cut off again by the empty stretch before it
+            ids = b"".join(self._cut(block) for block in self._blocks(text))
+        return np.frombuffer(ids, np.int32)
+
+    def decode_rows(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes of rows of ids, and where each row's bytes begin: extents of tokens are joined up each row's tree."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        data = self.flat[np.repeat(self.begin[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        count, nodes = np.diff(offsets), ends
+        while count.max(initial=0) > 1:
+            begin = np.cumsum(count) - count
+            place = np.arange(len(nodes)) - np.repeat(begin, count)
+            keep = (place & 1 == 1) | (place + 1 == np.repeat(count, count))  # a right child's end, or an only child's
+            nodes, count = nodes[keep], (count + 1) // 2
+        edges = np.zeros(len(count) + 1, np.int64)
+        edges[1:][count > 0] = nodes
+        return data, np.maximum.accumulate(edges)
+
+    def decode(self, ids) -> bytes:
+        ids = np.asarray(ids, np.int64)
+        return self.decode_rows(ids, np.array([0, len(ids)]))[0].tobytes()
 
 
 @lru_cache(2)
@@ -165,50 +262,83 @@ def _tokenizer(path: str, pattern: str) -> Bpe:
     return Bpe.from_file(path, pattern)
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, path: str, pattern: str, one, empty) -> DataFrame:
-    """``df`` with a column ``target`` made from each value of ``source``."""
+def _encoded(bpe: Bpe, column: pa.Array):
+    """Parts of a column of texts, as lists of ids: what a part holds is bounded, whatever the length of its texts."""
+    held, size = [], 0
+    for i, value in enumerate(column):
+        held.append(bpe.encode(value.as_py()) if value.is_valid else np.empty(0, np.int32))
+        size += held[-1].nbytes
+        if size > PART_BYTES or i + 1 == len(column):
+            offsets = np.cumsum([0, *map(len, held)], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held)))
+            held, size = [], 0
+
+
+def _decoded(bpe: Bpe, column: pa.Array):
+    """Parts of a column of ids, as bytes."""
+    sizes = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + PART_BYTES // 4, "right")))
+        part = column.slice(start, stop - start)
+        offsets = np.append(0, np.cumsum(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        data, edges = bpe.decode_rows(part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets)
+        yield pa.Array.from_buffers(pa.binary(), stop - start, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
+        start = stop
+
+
+_STEPS = {"encode": (_encoded, T.ArrayType(T.IntegerType())), "decode": (_decoded, T.BinaryType())}
+
+
+def _mapped(df: DataFrame, path: str, pattern: str, steps: list[tuple[str, str, str]]) -> DataFrame:
+    """``df`` with the columns of steps (what to do, source, target), each made from the one before, in one pass."""
     ship(df.sparkSession)
-    names = df.columns
-    if target in names or len({*map(str.lower, names)}) < len(names):
-        raise ValueError(f"column {target!r} exists already, or names differ by case only: rename them first")
-    schema = T.StructType([*df.schema.fields, T.StructField(target, kind)])
-    arrow = pa.list_(pa.int32()) if isinstance(kind, T.ArrayType) else pa.binary()
-    where = names.index(source)
+    new = {target.lower() for *_, target in steps}
+    sources = [k for k, name in enumerate(df.columns) if name == steps[0][1]] or [k for k, name in enumerate(df.columns) if name.lower() == steps[0][1].lower()]
+    kept = [k for k, name in enumerate(df.columns) if name.lower() not in new]
+    names = [f"c{k}" for k in range(len(df.columns))]  # names cannot clash on the way
+    plain = df.toDF(*names)
+    extra = [] if sources[0] in kept else [names[sources[0]]]
+    plain = plain.select([names[k] for k in kept] + extra)
+    schema = T.StructType([*plain.schema.fields[: len(kept)], *(T.StructField(f"t{k}", _STEPS[what][1]) for k, (what, *_) in enumerate(steps))])
+    where = plain.columns.index(names[sources[0]])
 
     def run(batches):
         bpe = _tokenizer(path, pattern)
+
+        def follow(columns: list, column: pa.Array, k: int):
+            if k == len(steps):
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                return
+            start = 0
+            for part in _STEPS[steps[k][0]][0](bpe, column):
+                yield from follow([*(c.slice(start, len(part)) for c in columns), part], part, k + 1)
+                start += len(part)
+
         for batch in batches:
-            # a batch's result stays small, whatever the length of its texts
-            start, held, size = 0, [], 0
-            for i, value in enumerate(batch.column(where)):
-                held.append(one(bpe, value) if value.is_valid else empty)
-                size += len(held[-1])
-                if size > 4_000_000 or i + 1 == len(batch):
-                    if isinstance(kind, T.ArrayType):
-                        offsets = np.cumsum([0, *map(len, held)], dtype=np.int32)
-                        column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*held, np.empty(0, np.int32)]).astype(np.int32)))
-                    else:
-                        column = pa.array(held, arrow)
-                    part = batch.slice(start, i + 1 - start)
-                    yield pa.RecordBatch.from_arrays([*part.columns, column], [*names, target])
-                    start, held, size = i + 1, [], 0
-
-    return df.mapInArrow(tidy(run), schema)
+            yield from follow(batch.columns[: len(kept)], batch.column(where), 0)
+
+    return plain.mapInArrow(tidy(run), schema).toDF(*(df.columns[k] for k in kept), *(target for *_, target in steps))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the token ids of its texts, without special tokens; null texts have none."""
-    return _mapped(df, text, ids, T.ArrayType(T.IntegerType()), path, pattern, lambda bpe, v: bpe.encode(v.as_py()), np.empty(0, np.int32))
+    return _mapped(df, path, pattern, [("encode", text, ids)])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the bytes that its ids stand for. Not every id sequence is UTF-8, so the column is binary."""
-    return _mapped(df, ids, decoded, T.BinaryType(), path, pattern, lambda bpe, v: bpe.decode(v.values.to_pylist()), b"")
+    return _mapped(df, path, pattern, [("decode", ids, decoded)])
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the ids of its texts and the bytes that these decode to, in one pass."""
+    return _mapped(df, path, pattern, [("encode", text, ids), ("decode", ids, decoded)])
 
 
 def tokens(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and digests of the round trip: what encode() and then decode() give for ``df`` (doc_id, text)."""
-    both = decode(encode(df.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    """doc_id and digests of the round trip of ``df`` (doc_id, text)."""
+    both = round_trip(df.select("doc_id", "text"), path, pattern).drop("text")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

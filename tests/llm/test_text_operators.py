@@ -52,6 +52,52 @@ def test_bpe_long_pieces(tok, exact, monkeypatch):
     assert tok.encode(text).tolist() == exact.encode_ordinary(text) and tok.decode(tok.encode(text).tolist()) == text.encode()
 
 
+PARTS = ["a", "b", " ", "  ", "\n", "'s", "!", "1", "\u3000", "é", " \t", "x\x1c", "\xa0", "the"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=60).map("".join))
+def test_bpe_cut_at_spaces(text):
+    tok, exact = test_bpe_any_text.tok, test_bpe_any_text.exact
+    ids = exact.encode_ordinary(text)
+    assert tok.cut_at_spaces and tok.encode(text).tolist() == ids
+    assert b"".join(tok._cut(block) for block in tok._blocks(text)) == np.array(ids, np.int32).tobytes()
+    tok.cut_at_spaces = False
+    try:
+        assert tok.encode(text).tolist() == ids
+    finally:
+        tok.cut_at_spaces = True
+
+
+def test_bpe_small_tables_and_rows(tok, exact, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    own = bpe.Bpe(tok.ranks, pt.PATTERN)
+    texts = ["one two three two one", "", "four", " one  two", "", "éé"]
+    ids = [own.encode(t) for t in texts]
+    assert [i.tolist() for i in ids] == [exact.encode_ordinary(t) for t in texts]
+    data, edges = own.decode_rows(np.concatenate(ids).astype(np.int64), np.cumsum([0, *map(len, ids)]))
+    assert [data[a:b].tobytes().decode() for a, b in zip(edges, edges[1:])] == texts
+    assert len(own.pieces) <= 3 and len(own.pieces.old) <= 3
+
+
+def test_bpe_clashing_columns_and_parts(spark, tok, monkeypatch):
+    monkeypatch.setattr(bpe, "PART_BYTES", 40)
+    texts = ["some words here", None, "", "more words " * 20, "x"]
+    rows = spark.createDataFrame([(i, t, "n", 1.5, 2) for i, t in enumerate(texts)], "doc_id long, text string, IDS string, c0 double, t0 int").coalesce(1)
+    got = bpe.round_trip(rows, PATH, pt.PATTERN)
+    assert got.columns == ["doc_id", "text", "c0", "t0", "ids", "decoded"]
+    assert [(r["text"], r["c0"], r["t0"], list(r["ids"]), bytes(r["decoded"])) for r in got.orderBy("doc_id").collect()] == [(t, 1.5, 2, tok.encode(t or "").tolist(), (t or "").encode()) for t in texts]
+    assert [bytes(r["decoded"]).decode() for r in bpe.decode(bpe.encode(rows, PATH, pt.PATTERN), PATH, pt.PATTERN).orderBy("doc_id").collect()] == [t or "" for t in texts]
+
+
+def test_bpe_whole_query(spark, sf, exact):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op1_bpe(spark, sf).collect()}
+    ids = {i: exact.encode_ordinary(t) for i, t in texts.items()}
+    assert got == {i: (len(ids[i]), sha(" ".join(map(str, ids[i])).encode()), sha(t.encode())) for i, t in texts.items()}
+
+
 def test_bpe_join_is_associative(tok):
     r = random.Random(2)
     for _ in range(300):
