@@ -38,7 +38,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path, pattern).drop("text"), path, pattern)
+    both = bpe.round_trip(docs.select("doc_id", "source", "text"), path, pattern).drop("text")
     return both.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
