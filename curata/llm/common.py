@@ -56,35 +56,80 @@ def tidy(run):
     return tidied
 
 
+def tidied_table(run):
+    """As tidy(), for a function from one or two Arrow tables to one."""
+
+    def tidied(*tables):
+        import pyarrow as pa
+
+        out = run(*tables)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    # Spark tells (group) from (group, other group) by the number of parameters
+    return (lambda a: tidied(a)) if run.__code__.co_argcount == 1 else (lambda a, b: tidied(a, b))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session, which has
+    no other machines, sets a temporary one; on a cluster that would lose rows, so it is an error there."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    local = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if local.isDefined():
-        return local.get()
-    spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there."""
+#: Removes the shuffle files of a query when it ends; a staged table has no further use for them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_staged(df: DataFrame, label: str, writer=lambda w: w) -> str:
+    """Write ``df`` as Parquet into the shared folder, without leaving shuffle files; the path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer(df.write).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     if not _staged:
         atexit.register(_drop_staged)
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there."""
+    path = write_staged(df, label)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read any more."""
+    for table in tables:
+        entry = (table.sparkSession, table._staged_path)
+        _staged.remove(entry)
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _drop_staged() -> None:
     for spark, path in _staged:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session is gone: its owner cleans the shared folder
             return
 

@@ -14,6 +14,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_VALUE = np.where(_IS_SPACE, np.uint64(0), _BYTE[_LOWER])
+_PLACE = mix64(np.arange(2001, 2065, dtype=np.uint64)) | np.uint64(1)
+#: Bytes whose words are hashed at a time.
+_PART = 4 << 20
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,44 +43,61 @@ def blocks(batches, target: int = 4 << 20):
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, in order, and the row each belongs to."""
-    if not len(raw):
+    found, at = [], 0
+    while at < len(raw):
+        stop = min(len(raw), at + _PART)
+        while stop < len(raw):  # a part ends behind white space
+            space = np.flatnonzero(_IS_SPACE[raw[stop - 1 : stop - 1 + _PART]])
+            stop = stop + int(space[0]) if len(space) else min(len(raw), stop + _PART)
+            if len(space):
+                break
+        inner = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, stop)]
+        found.append(_words(raw[at:stop], inner - at, at))
+        at = stop
+    if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h, starts = (np.concatenate(x) for x in zip(*found))
+    return h, np.searchsorted(offsets, starts, "right") - 1
+
+
+def _words(raw: np.ndarray, edges: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a part's words and where they start; ``edges`` are the beginnings of texts within it.
+
+    The hash is a sum of products, of a random number for each byte and one for each place in the word.
+    """
     ink = ~_IS_SPACE[raw]
-    first = ink.copy()
+    first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
-    edge = offsets[1:-1]
-    edge = edge[edge < len(raw)]
-    first[edge] = ink[edge]  # a text's first byte begins a word
-    last = ink.copy()
     last[:-1] &= ~ink[1:]
-    before = edge[edge > 0] - 1
-    last[before] = ink[before]
+    first[edges] = ink[edges]  # a text's first byte begins a word
+    last[edges[edges > 0] - 1] = ink[edges[edges > 0] - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    value = _BYTE[_LOWER[raw]]
-    # words are hashed by length class, one byte position at a time over all of them
-    h = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    place = np.arange(starts[0], len(raw), dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(raw))))
+    np.minimum(place, len(_PLACE) - 1, out=place)
+    value = _VALUE[raw[starts[0] :]]
+    value *= _PLACE[place]
+    h = np.add.reduceat(value, starts - starts[0])
     lengths = ends - starts
-    order = np.argsort(lengths, kind="stable")
-    by_length = lengths[order]
-    todo = order
-    position = 0
-    while len(todo):
-        if position < 32:
-            h[todo] = (h[todo] ^ value[starts[todo] + position]) * _BASE
-            h[todo] ^= h[todo] >> np.uint64(29)
-            position += 1
-            cut = int(np.searchsorted(by_length, position, "right"))
-            todo = order[cut:]
-        else:  # the few long ones, each on its own
-            from xxhash import xxh64_intdigest
-
-            low = _LOWER[raw]
-            for i in todo:
-                h[i] = np.uint64(xxh64_intdigest(low[starts[i] : ends[i]].tobytes(), seed=7))
-            break
-    return mix64(h + lengths.astype(np.uint64)), np.searchsorted(offsets, starts, "right") - 1
+    for i in np.flatnonzero(lengths >= len(_PLACE)):  # the few long ones, each on its own
+        from xxhash import xxh64_intdigest
+
+        h[i] = np.uint64(xxh64_intdigest(_LOWER[raw[starts[i] : ends[i]]].tobytes(), seed=7))
+    return mix64(h + lengths.astype(np.uint64)), starts + at
 
 
 def row_starts(rows: np.ndarray, n: int) -> np.ndarray:
     """Where each of ``n`` rows begins in a sorted list of row numbers; n + 1 positions."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+def pack48(x: np.ndarray) -> bytes:
+    """Little-endian numbers of 48 bits: all low halves, then all high parts."""
+    return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def unpack48(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)

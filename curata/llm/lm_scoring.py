@@ -1,284 +1,198 @@
 """Operator 6: language-model scores with stupid backoff, computed relationally.
 
-Words are maximal runs of other than ASCII white space, with A-Z lower-cased. Over all documents, the tables
+Words are maximal runs of other than ASCII white space, with A-Z lower-cased. An n-gram is up to ``order`` words of one
+text that follow each other; the empty one occurs before each word, so its count is the number of words N. With c() for
+counts over the whole corpus, the score of a text is the sum over its words w of log S(w | the order - 1 words before),
 
-    unigrams (word, c)          bigrams (word, next, c)
+    S(w | h) = c(h w) / c(h)        if c(h w) > 0
+    S(w | h) = BACKOFF * S(w | h')  otherwise, with h' the words of h but the first;
 
-are counted, N being the number of words. A document's score is the sum over its words w, after v, of
+an unknown word's S(w) is BACKOFF / N. The corpus is the scored documents, unless another one is given; nothing is
+counted over less than all of it, and no count is too low to be used.
 
-    log(c(v w) / c(v))          if c(v w) >= MIN_COUNT
-    log(BACKOFF * c(w) / N)     otherwise, and log(c(w) / N) for its first word.
+1. *explode*: texts are dealt to blocks by a hash of their rows. A block's distinct n-grams with their numbers are
+   exploded to rows (block, shard, grams, ns), where the shard follows from a hash of the n-gram.
+2. *count and join*: rows are partitioned by shard. There the table (gram, c) of the shard is summed from all blocks'
+   rows, and joined to them: (block, shard, counts), the counts in the order of the block's n-grams. A block sends an
+   n-gram once, so a word or pair that is everywhere is a row for each block, not for each occurrence.
+3. *score*: a block's texts meet its counts, in a join by block, and terms are summed for each text.
 
-The relations are partitioned by a hash of their n-gram, in rows that hold many n-grams each (binary columns), as one row
-for each would multiply the shuffled volume. The exploded bigrams of a document meet the table where they are counted:
-a partition sums the counts of its bigrams and joins them to its documents' bigrams at once. Bigrams that back off are
-joined to the partitioned unigrams the same way, and the terms are summed per document. Bigrams are partitioned by their
-first word, so that c(v) is counted beside them; a word with over N / HOT occurrences (there are fewer than HOT such
-words, so this list is bounded) is broadcast with its count, and its bigrams are spread by both words.
+N-grams of up to two words take one round of 1 and 2 and each further order another one, so that the shuffle files of a
+round are gone before the next; its counts are kept as a table in the shared folder until the scores are read. Blocks and
+shards have a fixed size, so their numbers follow the input, and each task's memory does not.
 
-Words are told apart by 48 bits of a 64-bit hash. Null texts have no words. Documents without words have score 0. Rows
-that share an id are scored together; rows with a null id count for the tables, and are not returned. Nothing else is
-collected, and every table follows the corpus.
+N-grams are told apart by a 64-bit hash within a shard that another hash chose: among n n-grams in s shards, n^2 / s / 2^65
+pairs are expected to share both, 0.001 for 10 billion in 3,000 shards. Words have 64-bit hashes.
+
+Null and empty texts and those of white space have no words and score 0. Each row is scored on its own, rows with null or
+repeated ids too. Long texts are hashed in parts and make a block longer. An empty table gives an empty result, an empty
+corpus has N = 1. Only columns doc_id and text are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import mix64, shards, ship, staged, tidy
-from curata.llm.kernels import blocks, column_bytes, words
-
-MIN_COUNT, BACKOFF = 2, 0.4
-#: A word with more than 1 / HOT of all occurrences is hot.
-HOT = 1000
-#: Shards for each task: a task holds packed rows, and unpacks one shard at a time.
-SHARDS = 4
-_MASK = np.uint64((1 << 48) - 1)
-_NO_ID = np.iinfo(np.int64).min
-#: Follows each last word, so that c(v) is the sum over its bigrams.
-_END = np.uint64(0)
-_PACKED = "shard int, words binary, nexts binary, rows binary, n binary, ids binary"
-
-
-def pack48(x: np.ndarray) -> bytes:
-    """Little-endian numbers of 48 bits: all low halves, then all high parts."""
-    return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype("<u2").tobytes()
-
-
-def unpack48(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
-
-
-def _block_words(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    raw, offsets = column_bytes(block.column(1))
+from curata.llm.common import mix64, ship, staged, tidied_table
+from curata.llm.kernels import column_bytes, words
+
+BACKOFF, ORDER = 0.4, 3
+#: Bytes of text in a block, and (block, n-gram) entries in a shard, about.
+BLOCK_BYTES, SHARD_ENTRIES = 2 << 20, 1 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _grams(h: np.ndarray, row: np.ndarray, orders: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of the n-gram of each order that ends at each word, and which there are; (orders, words) each."""
+    place = np.arange(len(h)) - np.searchsorted(row, row)  # of the word in its text
+    a, b = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    first, second, there = [], [], []
+    for k in range(1, orders.stop):
+        # of the n-gram one word shorter that ends a word before
+        a, b = (mix64(np.append(np.uint64(0), x[:-1]) * _BASE + h + np.uint64(k * c)) for x, c in ((a, 1), (b, 1001)))
+        if k in orders:
+            first.append(a)
+            second.append(b)
+            there.append(place >= k - 1)
+    return np.array(first).reshape(-1, len(h)), np.array(second).reshape(-1, len(h)), np.array(there).reshape(-1, len(h))
+
+
+def _entries(texts: pa.Array, orders: range, shards: int):
+    """Distinct n-grams of a block in the order of (shard, hash): hashes, shards, numbers; also each n-gram's entry by
+    (order, word), which ones there are, and the words' rows. The empty n-gram is the first entry if orders has 1."""
+    raw, offsets = column_bytes(texts)
     h, row = words(raw, offsets)
-    return np.maximum(h & _MASK, np.uint64(1)), row
-
-
-def _by_shard(shard: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
-    """Shard numbers and where each is, in a sorted list."""
-    edges = np.searchsorted(shard, np.arange(parts + 1))
-    for k in np.flatnonzero(np.diff(edges)):
-        yield int(k), slice(edges[k], edges[k + 1])
-
-
-def _row(**columns: object) -> pa.RecordBatch:
-    kinds = {"shard": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in columns.items()], list(columns))
-
-
-def _count_words(parts: int):
-    """Texts to rows (shard, words, n) of counted words."""
-
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        w, n = np.unique(np.concatenate(held), return_counts=True)
-        shard = (mix64(w) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        w, n, shard = w[order], n[order], shard[order]
-        for k, at in _by_shard(shard, parts):
-            yield _row(shard=k, words=pack48(w[at]), n=n[at].astype("<i8").tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for block in blocks(batches):
-            held.append(_block_words(block)[0])
-            size += len(held[-1])
-            if size > 4_000_000:
-                yield from flush(held)
-                held, size = [], 0
-        if size:
-            yield from flush(held)
-
-    return run
-
-
-def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, words, n) of a partition to one row for each shard."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for shard, w, n in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(shard, []).append((unpack48(w), np.frombuffer(n, "<i8")))
-    while held:
-        shard, parts = held.popitem()
-        w, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(w)).astype("<i8")
-        yield _row(shard=shard, words=pack48(w), n=n.tobytes())
-
-
-def unigrams(texts: DataFrame, parts: int, tasks: int) -> DataFrame:
-    """The table of words and counts, partitioned by hash: rows (shard, words, n)."""
-    kind = "shard int, words binary, n binary"
-    return staged(texts.mapInArrow(tidy(_count_words(parts)), kind).repartition(tasks, "shard").mapInArrow(tidy(_sum_words), kind), "unigrams")
-
-
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for n in batch.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(n, "<i8").sum())])], ["n"])
-
-
-def _frequent(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w, n = unpack48(w), np.frombuffer(n, "<i8")
-                at = n > least
-                yield pa.RecordBatch.from_arrays([pa.array(w[at].astype(np.int64)), pa.array(n[at])], ["word", "n"])
-
-    return run
-
-
-def _explode_bigrams(parts: int, hot: np.ndarray):
-    """Texts to rows of packed bigrams (distinct in each document), by shard; those without a first word hold first words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            ids = block.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-            w, row = _block_words(block)
-            if not len(w):
-                continue
-            new = np.ones(len(w), bool)
-            new[1:] = row[1:] != row[:-1]
-            after = np.append(np.where(new[1:], _END, w[1:]), _END)
-            # a document's first word is an entry without a first part
-            a = np.concatenate([w, np.zeros(int(new.sum()), np.uint64)])
-            b = np.concatenate([after, w[new]])
-            r = np.concatenate([row, row[new]])
-            is_hot = np.isin(a, hot) | (a == 0)
-            shard = np.where(is_hot, mix64(a * np.uint64(0x9E3779B97F4A7C15) + b), mix64(a)) % np.uint64(parts)
-            pair = mix64(a * np.uint64(0x9E3779B97F4A7C15) + b)
-            order = np.lexsort((pair, r, shard))
-            a, b, r, shard, pair = a[order], b[order], r[order], shard[order].astype(np.int64), pair[order]
-            keep = np.ones(len(a), bool)
-            keep[1:] = (pair[1:] != pair[:-1]) | (r[1:] != r[:-1]) | (shard[1:] != shard[:-1])
-            first = np.flatnonzero(keep)
-            n = np.diff(np.append(first, len(a)))
-            a, b, r, shard = a[first], b[first], r[first], shard[first]
-            for k, at in _by_shard(shard, parts):
-                own, local = np.unique(r[at], return_inverse=True)
-                yield _row(shard=k, words=pack48(a[at]), nexts=pack48(b[at]), rows=local.astype("<u4").tobytes(), n=n[at].astype("<u4").tobytes(), ids=ids[own].astype("<i8").tobytes())
-
-    return run
-
-
-def _join_bigrams(parts: int, hot: np.ndarray, hot_n: np.ndarray, total: int):
-    """Packed bigrams of a shard to terms of the scores (shard = -1), and to the words that back off, by their shard."""
-    log_total = np.log(total)
-
-    def score(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        a, b = (np.concatenate([unpack48(r[k]) for r in rows]) for k in (0, 1))
-        n = np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]).astype(np.int64)
-        ids = [np.frombuffer(r[4], "<i8") for r in rows]
-        doc = np.concatenate([i[np.frombuffer(r[2], "<u4")] for i, r in zip(ids, rows)])
-        _, pair = np.unique(mix64(a * np.uint64(0x9E3779B97F4A7C15) + b), return_inverse=True)
-        both = np.bincount(pair, n)[pair]
-        _, word = np.unique(a, return_inverse=True)
-        one = np.bincount(word, n)[word]
-
-        def known(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not len(hot):
-                return np.zeros(len(x), bool), np.ones(len(x))
-            at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
-            return hot[at] == x, hot_n[at].astype(float)
-
-        is_hot, count = known(a)
-        one = np.where(is_hot, count, one)
-        seen = (both >= MIN_COUNT) & (a != 0) & (b != 0)
-        back = (b != 0) & ~seen
-        is_hot, count = known(b)
-        term = np.where(seen, n * np.log(both / one), 0.0)
-        term += np.where(back, n * (np.where(a == 0, 0.0, np.log(BACKOFF)) - log_total), 0.0)
-        term += np.where(back & is_hot, n * np.log(count), 0.0)
-        own, inverse = np.unique(doc, return_inverse=True)
-        scored = np.bincount(inverse, np.where(b != 0, n, 0), len(own))
-        yield _terms(own, np.bincount(inverse, term, len(own)), scored)
-        left = np.flatnonzero(back & ~is_hot)
-        shard = (mix64(b[left]) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((doc[left], shard))
-        left, shard = left[order], shard[order]
-        for k, at in _by_shard(shard, parts):
-            at = left[at]
-            ids, local = np.unique(doc[at], return_inverse=True)
-            yield _row(shard=k, words=pack48(b[at]), nexts=b"", rows=local.astype("<u4").tobytes(), n=n[at].astype("<u4").tobytes(), ids=ids.astype("<i8").tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for shard, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(shard, []).append(rest)
-        while held:
-            yield from score(held.popitem()[1])
-
-    return run
-
-
-def _terms(ids: np.ndarray, value: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Terms of documents' scores in the packed form: shard -1, with the values in place of words."""
-    return _row(shard=-1, words=value.astype("<f8").tobytes(), nexts=b"", rows=b"", n=n.astype("<i8").tobytes(), ids=ids.astype("<i8").tobytes())
-
-
-def _join_unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Backed-off words and the table's words of the same shard to terms."""
-    tables: dict[int, tuple] = {}
-    held: dict[int, list] = {}
-    for batch in batches:
-        for shard, w, _, rows, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
-            if ids is None:
-                tables[shard] = (w, n)
-            else:
-                held.setdefault(shard, []).append((w, rows, n, ids))
-    while held:
-        shard, probes = held.popitem()
-        word, count = unpack48(tables[shard][0]), np.frombuffer(tables[shard][1], "<i8")
-        for w, rows, n, ids in probes:
-            value = np.frombuffer(n, "<u4") * np.log(count[np.searchsorted(word, unpack48(w))])
-            ids = np.frombuffer(ids, "<i8")
-            yield _terms(ids, np.bincount(np.frombuffer(rows, "<u4"), value, len(ids)), np.zeros(len(ids), np.int64))
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for value, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, "<i8")), pa.array(np.frombuffer(value, "<f8")), pa.array(np.frombuffer(n, "<i8"))], ["doc_id", "score", "n_words"])
-
-
-def score(documents: DataFrame) -> DataFrame:
-    """doc_id, n_words and score (natural logarithm) of every id."""
+    first, second, there = _grams(h, row, orders)
+    key, shard = first[there], (second[there] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    bits = np.uint64(shards.bit_length())
+    both = shard << (np.uint64(64) - bits) | key >> bits
+    order = np.argsort(both)
+    new = np.ones(len(order), bool)
+    s, k = both[order], key[order]
+    new[1:] = k[1:] != k[:-1]
+    same = s[1:] == s[:-1]
+    if (new[1:] & same).any():  # hashes that differ in their lowest bits only
+        order = np.lexsort((key, shard))
+        k = key[order]
+        new[1:] = (k[1:] != k[:-1]) | (shard[order][1:] != shard[order][:-1])
+    else:
+        new[1:] |= ~same
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(order)))
+    keys, places = key[order[at]], shard[order[at]].astype(np.int64)
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    if 1 in orders:
+        keys, places, n, entry = np.append(np.uint64(0), keys), np.append(0, places), np.append(len(h), n), entry + 1
+    index = np.full(there.shape, -1)
+    index[there] = entry
+    return keys, places, n, index, row
+
+
+def _explode(orders: range, shards: int):
+    def run(block: pa.Table) -> pa.Table:
+        keys, places, n, *_ = _entries(block.column("text").combine_chunks(), orders, shards)
+        edges = np.searchsorted(places, np.arange(shards + 1))
+        full = np.flatnonzero(np.diff(edges))
+        offsets = pa.array(np.append(edges[full], len(keys)).astype(np.int32))
+        name = block.column("block")[0].as_py()
+        return pa.table({
+            "block": pa.array(np.full(len(full), name), pa.int64()),
+            "shard": pa.array(full, pa.int64()),
+            "grams": pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
+            "ns": pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64))),
+        })
+
+    return tidied_table(run)
+
+
+def _count_and_join(rows: pa.Table) -> pa.Table:
+    """A shard's table, summed from the corpus's rows, joined to the documents' rows."""
+    counted = np.repeat(rows.column("counted").to_numpy(), (sizes := rows.column("grams").combine_chunks().value_lengths().to_numpy()))
+    gram = rows.column("grams").combine_chunks().flatten().to_numpy()
+    n = rows.column("ns").combine_chunks().flatten().to_numpy()
+    order = np.argsort(gram)
+    new = np.ones(len(gram), bool)
+    new[1:] = gram[order[1:]] != gram[order[:-1]]
+    total = np.add.reduceat(np.where(counted, n, 0)[order], np.flatnonzero(new))
+    count = np.empty(len(gram), np.int64)
+    count[order] = total[np.cumsum(new) - 1]
+    asked = rows.column("asked").to_numpy()
+    offsets = np.append(0, np.cumsum(sizes[asked])).astype(np.int32)
+    return pa.table({
+        "block": rows.column("block").filter(pa.array(asked)),
+        "shard": rows.column("shard").filter(pa.array(asked)),
+        "counts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(count[np.repeat(asked, sizes)])),
+    })
+
+
+def _score(rounds: list[range], shards: int):
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        given = list(zip(counts.column("round").to_pylist(), counts.column("shard").to_pylist(), range(len(counts))))
+        lists = counts.column("counts").combine_chunks()
+        parts, edges, total = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy())), 1.0
+        by_order, column = [], texts.column("text").combine_chunks()
+        for k, orders in enumerate(rounds):
+            *_, index, row = _entries(column, orders, shards)
+            own = np.concatenate([parts[edges[i] : edges[i + 1]] for _, _, i in sorted(g for g in given if g[0] == k)] or [np.zeros(1, np.int64)])
+            if k == 0:
+                total = max(1.0, float(own[0]))
+            by_order += [np.where(i >= 0, own[i], -1) for i in index]  # -1: the text has no such n-gram
+        term = np.where(by_order[0] > 0, np.log(np.maximum(by_order[0], 1)), np.log(BACKOFF)) - np.log(total)
+        for context, count in zip(by_order, by_order[1:]):
+            before = np.append(1, context[:-1])
+            known = np.log(np.maximum(count, 1)) - np.log(np.maximum(before, 1))
+            term = np.where(count > 0, known, np.where(count == 0, np.log(BACKOFF) + term, term))
+        n = np.bincount(row, minlength=len(texts))
+        score = np.bincount(row, term, minlength=len(texts)) if len(row) else np.zeros(len(texts))
+        return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n, pa.int64()), "score": pa.array(score.astype(float))})
+
+    return tidied_table(run)
+
+
+def _in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks).cast("long")).alias("block"), "doc_id", "text")
+
+
+def score(documents: DataFrame, corpus: DataFrame | None = None, order: int = ORDER) -> DataFrame:
+    """doc_id, n_words and score (natural logarithm) of every row of ``documents`` (doc_id, text)."""
     spark = documents.sparkSession
     ship(spark)
-    tasks = shards(spark)
-    parts = tasks * SHARDS
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = unigrams(texts, parts, tasks)
-    total = table.select("n").mapInArrow(tidy(_totals), "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
-    hot = table.select("words", "n").mapInArrow(tidy(_frequent(total / HOT)), "word long, n long").orderBy("word").toArrow()
-    words_, counts = hot["word"].to_numpy().astype(np.uint64), hot["n"].to_numpy()
-    bigrams = texts.mapInArrow(tidy(_explode_bigrams(parts, words_)), _PACKED).repartition(tasks, "shard")
-    joined = staged(bigrams.mapInArrow(tidy(_join_bigrams(parts, words_, counts, max(1, total))), _PACKED), "bigrams")
-    lookup = table.select("shard", "words", F.lit(None).cast("binary").alias("nexts"), F.lit(None).cast("binary").alias("rows"), "n", F.lit(None).cast("binary").alias("ids"))
-    backed = joined.where("shard >= 0").unionByName(lookup).repartition(tasks, "shard").mapInArrow(tidy(_join_unigrams), _PACKED)
-    terms = joined.where("shard < 0").unionByName(backed).select("words", "n", "ids").mapInArrow(tidy(_unpacked), "doc_id long, score double, n_words long")
-    none = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"))
-    return terms.unionByName(none).where(f"doc_id IS NOT NULL AND doc_id != {_NO_ID}L").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
-
-
-#: DuckDB SQL of score(), rounded to 4 digits, over ``documents`` with unique ids.
-SQL = rf"""
+    rows = documents.select("doc_id", "text")
+    measure = lambda df: df.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    size = measure(rows) + (0 if corpus is None else measure(corpus))
+    blocks = 1 + size // BLOCK_BYTES
+    shards = 1 + size // 4 // SHARD_ENTRIES  # a round has at most two n-grams a word, and a word 8 bytes or so
+    texts = _in_blocks(rows, blocks)
+    counted = texts if corpus is None else _in_blocks(corpus.select("doc_id", "text"), blocks)
+    kind, answer = "block long, shard long, grams array<long>, ns array<long>", "block long, shard long, counts array<long>"
+    rounds = [range(1, min(order, 2) + 1), *(range(k, k + 1) for k in range(3, order + 1))]
+    counts = None
+    for k, orders in enumerate(rounds):
+        exploded = texts.groupBy("block").applyInArrow(_explode(orders, shards), kind).withColumn("asked", F.lit(True)).withColumn("counted", F.lit(corpus is None))
+        if corpus is not None:
+            exploded = exploded.unionByName(counted.groupBy("block").applyInArrow(_explode(orders, shards), kind).withColumn("asked", F.lit(False)).withColumn("counted", F.lit(True)))
+        joined = staged(exploded.groupBy("shard").applyInArrow(tidied_table(_count_and_join), answer), "counts").withColumn("round", F.lit(k))
+        counts = joined if counts is None else counts.unionByName(joined)
+    schema = texts.select("doc_id").schema.add("n_words", "long").add("score", "double")
+    return texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_score(rounds, shards), schema)
+
+
+#: DuckDB SQL of score(), rounded to 4 digits, over ``documents``: no n-gram of the corpus itself backs off.
+SQL = r"""
     WITH t AS (
         SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') AS ws FROM documents
     ), w AS (SELECT * FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM t) x WHERE w <> ''),
-    p AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w),
-    u AS (SELECT w, count(*) AS c FROM w GROUP BY w), b AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w),
+    p AS (SELECT doc_id, w, lag(w) OVER o AS v, lag(w, 2) OVER o AS u FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    c1 AS (SELECT w, count(*)::DOUBLE AS c FROM p GROUP BY w), c2 AS (SELECT v, w, count(*)::DOUBLE AS c FROM p WHERE v IS NOT NULL GROUP BY v, w),
+    c3 AS (SELECT u, v, w, count(*)::DOUBLE AS c FROM p WHERE u IS NOT NULL GROUP BY u, v, w),
     s AS (
-        SELECT p.doc_id, CASE WHEN p.v IS NULL THEN ln(u.c::DOUBLE / (SELECT count(*) FROM w))
-            WHEN b.c >= {MIN_COUNT} THEN ln(b.c::DOUBLE / x.c) ELSE ln({BACKOFF}::DOUBLE * u.c / (SELECT count(*) FROM w)) END AS term
-        FROM p JOIN u ON u.w = p.w LEFT JOIN u x ON x.w = p.v LEFT JOIN b ON b.v = p.v AND b.w = p.w
+        SELECT p.doc_id, CASE WHEN p.u IS NOT NULL THEN ln(c3.c / h2.c) WHEN p.v IS NOT NULL THEN ln(c2.c / h1.c) ELSE ln(c1.c / (SELECT count(*) FROM w)) END AS term
+        FROM p JOIN c1 ON c1.w = p.w LEFT JOIN c1 h1 ON h1.w = p.v LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w
+        LEFT JOIN c2 h2 ON h2.v = p.u AND h2.w = p.v LEFT JOIN c3 ON c3.u = p.u AND c3.v = p.v AND c3.w = p.w
     )
     SELECT t.doc_id, count(s.term) AS n_words, round(coalesce(sum(s.term), 0), 4) AS score FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id
 """

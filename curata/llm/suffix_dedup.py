@@ -37,8 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.common import IdFilter, mix64, shards, ship, staged, text_or_empty, tidy
-from curata.llm.kernels import _BYTE, blocks, column_bytes
-from curata.llm.lm_scoring import pack48, unpack48
+from curata.llm.kernels import _BYTE, blocks, column_bytes, pack48, unpack48
 
 WIDTH, ANCHOR = 50, 20
 #: One of so many anchors begins a unit.

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from curata.llm import bpe, chat, langid, lm_scoring, quality, queries
+from curata.llm import bpe, chat, kernels, langid, lm_scoring, quality, queries
 
 pt = pytest.importorskip("public_tokenizers")
 PATH = pt.path("byte_bpe_50k.tiktoken")
@@ -171,14 +172,58 @@ def test_lm_sql(spark, sf, duck):
     assert got.equals(want.astype(got.dtypes.to_dict()))
 
 
+def lm_brute(docs, corpus, order=3):
+    """Scores by the definition: recursion over tuples of words."""
+    from collections import Counter
+    from math import log
+
+    cut = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    c = Counter(tuple(w[i : i + k]) for w in map(cut, corpus) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    total = max(1, sum(n for g, n in c.items() if len(g) == 1))
+
+    def s(h, w):
+        if c[(*h, w)]:
+            return log(c[(*h, w)] / (c[h] if h else total))
+        return log(0.4) + (s(h[1:], w) if h else -log(total))
+
+    return [(len(w), sum(s(tuple(w[max(0, i - order + 1) : i]), x) for i, x in enumerate(w))) for w in map(cut, docs)]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_backoff(spark, order, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(lm_scoring, "SHARD_ENTRIES", 100)
+    r = random.Random(order)
+    text = lambda n: " ".join(r.choice("abcdefgH") for _ in range(n))
+    corpus = [text(r.randrange(40)) for _ in range(40)] + [None]
+    docs = ["", None, " \t", "new words only", "y" * 300 + " a", *(text(r.randrange(40)) for _ in range(40))]
+    rows = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for other in (corpus, None, []):
+        got = lm_scoring.score(rows(docs), None if other is None else rows(other) if other else rows(docs).limit(0), order).orderBy("doc_id").collect()
+        want = lm_brute(docs, docs if other is None else other, order)
+        assert [r["n_words"] for r in got] == [n for n, _ in want] and [r["score"] for r in got] == pytest.approx([x for _, x in want])
+
+
 def test_lm_cases(spark):
-    rows = spark.createDataFrame([(1, "a b a b"), (2, None), (3, " \t"), (None, "a b"), (4, "A b")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lm_scoring.score(rows).collect()}
-    assert set(got) == {1, 2, 3, 4} and got[2]["score"] == got[3]["score"] == 0 and got[1]["n_words"] == 4
-    # 8 words; c(a) = c(b) = 4, c(a b) = 4, c(b a) = 1
-    assert got[4]["score"] == pytest.approx(np.log(4 / 8) + np.log(4 / 4))
-    assert got[1]["score"] == pytest.approx(np.log(4 / 8) + 2 * np.log(4 / 4) + np.log(0.4 * 4 / 8))
-    assert lm_scoring.score(rows.limit(0)).count() == 0
+    rows = spark.createDataFrame([(1, "a b a b"), (2, None), (3, " \t"), (None, "a b"), (4, "A b"), (4, "a"), (4, "a")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["score"]) for r in lm_scoring.score(rows).collect())
+    want = lm_brute(["a b", "a b a b", None, " \t", "a", "a", "A b"], [r["text"] for r in rows.collect()])
+    assert [x[0] for x in got] == [0, 1, 2, 3, 4, 4, 4] and [x[1] for x in got] == [n for n, _ in want]
+    assert [x[2] for x in got] == pytest.approx([x for _, x in want])
+    clash = rows.selectExpr("*", "1 AS block", "2 AS shard", "3 AS score")
+    assert lm_scoring.score(clash).count() == 7 and lm_scoring.score(rows.limit(0)).count() == 0
+
+
+def test_words_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab  \t") for _ in range(r.randrange(60))) + "z" * r.choice([0, 0, 100]) for _ in range(40)]
+    raw, offsets = kernels.column_bytes(pa.array(texts))
+    whole = kernels.words(raw, offsets)
+    for part in (1, 7, 64):
+        monkeypatch.setattr(kernels, "_PART", part)
+        assert all((a == b).all() for a, b in zip(whole, kernels.words(raw, offsets)))
 
 
 def test_chat_query(spark, sf, duck):
