@@ -27,7 +27,6 @@ remove each other's bytes; they are told apart by their text's hash. An empty ta
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -36,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import IdFilter, mix64, shards, ship, staged, text_or_empty, tidy
-from curata.llm.kernels import _BYTE, blocks, column_bytes, pack48, unpack48
+from curata.llm.common import drop_staged, mix64, shards, ship, staged, text_or_empty, tidy
+from curata.llm.kernels import _BYTE, _PLACE, blocks, column_bytes, pack48, unpack48
 
 WIDTH, ANCHOR = 50, 20
 #: One of so many anchors begins a unit.
@@ -46,57 +45,71 @@ UNIT = np.uint64(24)
 FILTER_BITS = 26
 #: Suffix arrays are built over about so many bytes at a time, or over one anchor's segments.
 SORT_BYTES = 1 << 20
-#: A longer text is scanned in pieces of this size; positions must fit into 24 bits.
-_PIECE = 8 << 20
-_POSITION = np.uint64((1 << 24) - 1)
+#: An anchor with more segments than this is not sorted in one task: its strings are rows of their own.
+HOT_SEGMENTS = 20_000
+#: Strings that are looked at together; their places must fit into 16 bits.
+TILE = 60_000
+_VALUE = (_BYTE >> np.uint64(32)).astype(np.uint32)
 _MASK = np.uint64((1 << 48) - 1)
 
 
-def anchor_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hash of the ANCHOR bytes from each position on."""
-    h = {1: _BYTE[raw]}
-    for n in (1, 2, 4, 8):
-        h[2 * n] = h[n][:-n] * (np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * n)) + h[n][n:]
-    h16 = h[16][: len(raw) - ANCHOR + 1]
-    return mix64(h16 * np.uint64(0xC2B2AE3D27D4EB4F) + h[4][16 : 16 + len(h16)])
+def _anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of ``raw`` with another anchor than the string before, and where their anchors begin.
+
+    The anchor is where a 16-bit hash of ANCHOR bytes is least, the leftmost of equals, so it follows from the string's
+    bytes alone. Bytes are read in tiles that stay in the processor's cache; places in a tile have 16 bits.
+    """
+    firsts, places = [], []
+    window, before = WIDTH - ANCHOR + 1, -1
+    for at in range(0, len(raw) - WIDTH + 1, TILE):
+        v = np.take(_VALUE, raw[at : at + TILE + WIDTH - 1])
+        v = v[:-1] * np.uint32(0x85EBCA6B) + v[1:]
+        v = v[:-2] * np.uint32(0xC2B2AE35) + v[2:]
+        least = v[: len(v) - 16] * np.uint32(0x9E3779B1)
+        least += v[8 : len(v) - 8] * np.uint32(0x27D4EB2F)
+        least += v[16:] * np.uint32(0x165667B1)
+        least &= np.uint32(0xFFFF0000)
+        least |= np.arange(len(least), dtype=np.uint32)
+        span = 1
+        while 2 * span <= window:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < window:
+            least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
+        place = (least & np.uint32(0xFFFF)).astype(np.int64) + at
+        new = np.ones(len(place), bool)
+        new[0] = place[0] != before
+        np.not_equal(place[1:], place[:-1], out=new[1:])
+        own = np.flatnonzero(new)
+        firsts.append(own + at)
+        places.append(place[own])
+        before = place[-1]
+    return np.concatenate(firsts), np.concatenate(places)
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, first byte in the row, number of strings, anchor hash and the anchor's offset of each segment, in order."""
-    if len(raw) > _PIECE:
-        parts = []
-        for row in range(len(offsets) - 1):
-            for at in range(offsets[row], max(offsets[row] + 1, offsets[row + 1] - WIDTH + 1), _PIECE):
-                piece = raw[at : min(offsets[row + 1], at + _PIECE + WIDTH - 1)]
-                _, first, n, h, place = _segments(piece, np.array([0, len(piece)]))
-                parts.append((np.full(len(first), row), first + at - offsets[row], n, h, place))
-        return tuple(np.concatenate(x) for x in zip(*parts))
-    return _segments(raw, offsets)
-
-
-def _segments(raw: np.ndarray, offsets: np.ndarray):
+    """Row, first byte in the row, number of strings, anchor hash and the anchor's offset of each segment, in order.
+
+    ``raw`` holds the rows' texts one after another, ``offsets`` where each begins, and the end.
+    """
     if len(raw) < WIDTH:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64), none
-    h = anchor_hashes(raw)
-    least = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
-    window = WIDTH - ANCHOR + 1
-    span = 1
-    while 2 * span <= window:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < window:
-        least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
-    anchor = (least & _POSITION).astype(np.int64)
-    strings = np.maximum(np.diff(offsets) - WIDTH + 1, 0)
-    row_of = np.repeat(np.arange(len(strings)), strings)
-    start = np.repeat(offsets[:-1], strings) + np.arange(len(row_of)) - np.repeat(np.cumsum(strings) - strings, strings)
-    anchor = anchor[start]
-    new = np.ones(len(start), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (row_of[1:] != row_of[:-1])
-    at = np.flatnonzero(new)
-    row = row_of[at]
-    return row, start[at] - offsets[row], np.diff(np.append(at, len(start))), h[anchor[at]] & _MASK, anchor[at] - start[at]
+    first, place = _anchors(raw)
+    # strings of a row begin before its last WIDTH - 1 bytes; those behind belong to no row
+    begin, end = offsets[:-1], offsets[1:] - WIDTH + 1
+    some = begin < end
+    edges = np.sort(np.concatenate([first, begin[some], end[some]]), kind="stable")
+    edges = edges[np.append(True, edges[1:] != edges[:-1])]
+    n = np.diff(np.append(edges, len(raw)))
+    row = np.searchsorted(offsets, edges, "right") - 1
+    inside = (row < len(end)) & (edges < end[np.minimum(row, len(end) - 1)])
+    at, n, row = edges[inside], n[inside], row[inside]
+    anchor = place[np.searchsorted(first, at, "right") - 1]
+    h = np.zeros(len(at), np.uint64)
+    for k in range(ANCHOR):
+        h += np.take(_BYTE, np.take(raw, anchor + k)) * _PLACE[k]
+    return row, at - begin[row], n, mix64(h) & _MASK, anchor - at
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -108,34 +121,28 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     # one position behind the end joins the sample where the last suffix would otherwise lack a rank behind it
     one = np.arange(1, n + (n % 3 == 1), 3)
     sample = np.concatenate([one, np.arange(2, n, 3)])
-    order = _triple_order(t, sample)
-    a = sample[order]
-    new = np.zeros(len(a), np.int64)
-    new[1:] = (t[a[1:]] != t[a[:-1]]) | (t[a[1:] + 1] != t[a[:-1] + 1]) | (t[a[1:] + 2] != t[a[:-1] + 2])
-    name = np.empty(len(a), np.int64)
+    triples = _packed([t[sample + k] for k in range(3)])
+    order = np.argsort(triples)  # equal triples get one name, in any order
+    new = np.append(0, triples[order[1:]] != triples[order[:-1]])
+    name = np.empty(len(order), np.int64)
     name[order] = np.cumsum(new) + 1
-    if new.sum() + 1 < len(a):
+    if new.sum() + 1 < len(order):
         order = suffix_array(name)  # of the names in the order of the sample: all of one residue, then of the other
     rank = np.zeros(n + 4, np.int64)
     sampled = sample[order]
     rank[sampled] = np.arange(1, len(sampled) + 1)
     sampled = sampled[sampled < n]
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
-    # merge: where each remaining suffix belongs among the sampled ones, by binary search over all at once
-    low, high = np.zeros(len(rest), np.int64), np.full(len(rest), len(sampled))
-    while (open_ := low < high).any():
-        mid = (low + high) // 2
-        i, j = sampled[np.minimum(mid, len(sampled) - 1)], rest
-        first = t[i] != t[j]
-        less = t[i] < t[j]
-        by_one = rank[i + 1] < rank[j + 1]
-        second = t[i + 1] != t[j + 1]
-        by_two = np.where(second, t[i + 1] < t[j + 1], rank[i + 2] < rank[j + 2])
-        less = np.where(first, less, np.where(i % 3 == 1, by_one, by_two))
-        low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
+    rest = rest[np.argsort(_packed([t[rest], rank[rest + 1]]))]
+    # merge: how many sampled suffixes of either residue are before each remaining one; their order is that of (first
+    # number, rank behind it), and of (first two numbers, rank behind these)
+    at = np.arange(len(rest))
+    for residue in (1, 2):
+        other = sampled[sampled % 3 == residue]
+        both = np.concatenate([other, rest])
+        keys = _packed([t[both + k] for k in range(residue)] + [rank[both + residue]])
+        at += np.searchsorted(keys[: len(other)], keys[len(other) :])
     out = np.empty(n, np.int64)
-    at = low + np.arange(len(rest))
     out[at] = rest
     free = np.ones(n, bool)
     free[at] = False
@@ -143,21 +150,28 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _triple_order(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = int(t.max()) + 1
-    if top < 1 << 21:
-        key = (t[at].astype(np.uint64) << np.uint64(42)) | (t[at + 1].astype(np.uint64) << np.uint64(21)) | t[at + 2].astype(np.uint64)
-        return np.argsort(key, kind="stable")
-    return np.lexsort((t[at + 2], t[at + 1], t[at]))
-
-
-def string_groups(texts: list[bytes], runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each WIDTH-byte string of the texts (``runs`` of each, in order): its text, and a number of equal ones."""
-    lengths = np.array([len(x) for x in texts])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    begin = np.cumsum(lengths) - lengths
-    owner = np.repeat(np.arange(len(texts)), runs)
-    start = np.repeat(begin, runs) + np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+def _packed(columns: list[np.ndarray]) -> np.ndarray:
+    """One number for each row of the columns, in the order of the rows."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) < 64:
+        key = np.zeros(len(columns[0]), np.uint64)
+        for c, b in zip(columns, bits):
+            key = key << np.uint64(b) | c.astype(np.uint64)
+        return key
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    key = np.empty(len(order), np.uint64)
+    key[order] = np.cumsum(new)
+    return key
+
+
+def string_groups(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each WIDTH-byte string of the texts in ``data``, in order: its text, and a number of equal ones."""
+    runs = np.diff(offsets) - WIDTH + 1
+    owner = np.repeat(np.arange(len(runs)), runs)
+    start = np.arange(len(owner)) + (WIDTH - 1) * owner  # a text has WIDTH - 1 bytes more than strings
     index = np.full(len(data), -1)
     index[start] = np.arange(len(start))
     order = suffix_array(data.astype(np.int64) + 1)
@@ -196,22 +210,34 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), block.column(0).take(rows), block.column(2).take(rows), pa.array(first[at].astype(np.int32)), pa.array(n.astype(np.int32))], ["unit", "doc_id", "text_hash", "start", "n"])
 
 
-def _wanted(block: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Segments of a block's texts that are not in a unit of its column ``gone`` (starts of units to be removed)."""
-    found = segments(*column_bytes(block.column(1)))
-    row, first, _, h, _ = found
-    gone = block.column(3)
-    if not len(h) or gone.null_count == len(gone):
-        return found
-    new = np.ones(len(h), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] % UNIT == 0)
-    at = np.flatnonzero(new)
-    lists = gone.fill_null([]) if gone.null_count else gone
-    starts = lists.flatten().to_numpy().astype(np.int64)
-    owner = np.repeat(np.arange(len(block)), lists.value_lengths().to_numpy())
-    removed = np.isin(row[at] << 32 | first[at], owner << 32 | starts)
-    keep = ~np.repeat(removed, np.diff(np.append(at, len(h))))
-    return tuple(x[keep] for x in found)
+def _pick(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes from each ``begin`` to its ``end``, one after another, and their offsets."""
+    sizes = end - begin
+    edges = np.append(0, np.cumsum(sizes))
+    return raw[np.repeat(begin - edges[:-1], sizes) + np.arange(edges[-1])], edges
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their units to be removed (doc_id, text, text_hash, gone) to what these leave: the stretches of strings
+    (doc_id, text, text_hash, first) between them, ``first`` being the place of a stretch in its text."""
+    for block in blocks(batches, 2 << 20):
+        raw, offsets = column_bytes(block.column(1))
+        gone = block.column(3)
+        lists = gone.fill_null([]) if gone.null_count else gone
+        owner = np.repeat(np.arange(len(block)), lists.value_lengths().to_numpy())
+        start, n = (lists.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+        # from a text's first string or a unit's end to a unit's first string or a text's end, in order
+        begin, end = offsets[owner] + start, offsets[owner] + start + n
+        low = np.sort(np.concatenate([offsets[:-1], end]))
+        high = np.sort(np.concatenate([np.maximum(offsets[1:] - WIDTH + 1, offsets[:-1]), begin]))
+        low, high = low[low < high], high[low < high]
+        if not len(low):
+            continue
+        row = np.searchsorted(offsets, low, "right") - 1
+        data, edges = _pick(raw, low, high + WIDTH - 1)
+        rows = pa.array(row)
+        texts = pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([block.column(0).take(rows), texts, block.column(2).take(rows), pa.array((low - offsets[row]).astype(np.int32))], ["doc_id", "text", "text_hash", "first"])
 
 
 def _list_anchors(parts: int):
@@ -230,11 +256,12 @@ def _list_anchors(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for block in blocks(batches, 2 << 20):
-            row, _, _, h, _ = _wanted(block)
-            order = np.lexsort((h, row))
-            row, h = row[order], h[order]
+            row, _, _, h, _ = segments(*column_bytes(block.column(1)))
+            doc = block.column(0).to_numpy()[row]
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
             new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
             held.append(h[new])
             size += len(held[-1])
             if size > 2_000_000:
@@ -285,15 +312,15 @@ def _cut(filter_):
         words = filter_.value
         for block in blocks(batches, 2 << 20):
             raw, offsets = column_bytes(block.column(1))
-            row, first, n, h, place = _wanted(block)
+            row, first, n, h, place = segments(raw, offsets)
             bit = _bit(h)
             at = np.flatnonzero((words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-            data = raw.tobytes()
             begin = offsets[row[at]] + first[at]
-            end = begin + n[at] + WIDTH - 1
-            content = [data[i:j] for i, j in zip(begin.tolist(), end.tolist())]
-            hashes = np.array([xxh3_64_intdigest(c) for c in content], np.uint64)
-            columns = [pa.array(h[at].astype(np.int64)), pa.array(hashes.view(np.int64)), pa.array(content, pa.binary()), block.column(0).take(pa.array(row[at])), block.column(2).take(pa.array(row[at])), pa.array(first[at].astype(np.int32)), pa.array(place[at].astype(np.int8))]
+            data, edges = _pick(raw, begin, begin + n[at] + WIDTH - 1)
+            view, cuts = memoryview(data), edges.tolist()
+            hashes = np.array([xxh3_64_intdigest(view[i:j]) for i, j in zip(cuts, cuts[1:])], np.uint64)
+            content = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
+            columns = [pa.array(h[at].astype(np.int64)), pa.array(hashes.view(np.int64)), content, block.column(0).take(pa.array(row[at])), block.column(2).take(pa.array(row[at])), pa.array((block.column(3).to_numpy()[row[at]] + first[at]).astype(np.int32)), pa.array(place[at].astype(np.int8))]
             batch = pa.RecordBatch.from_arrays(columns, ["anchor", "content_hash", "content", "doc_id", "text_hash", "start", "place"])
             for k in range(0, len(batch), 20_000):
                 yield batch.slice(k, 20_000)
@@ -301,62 +328,90 @@ def _cut(filter_):
     return run
 
 
-def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct segments, sorted by anchor, to the smallest document of their strings: one number, or a list of them."""
-    names = ["anchor", "content_hash", "least", "leasts"]
-    out: list[tuple] = []
-
-    def solve(rows: list[tuple]) -> None:
-        runs = np.array([len(r[2]) - WIDTH + 1 for r in rows])
-        owner, group = string_groups([r[2] for r in rows], runs)
-        low = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, group, np.array([r[3] for r in rows])[owner])
-        each = low[group]
-        edges = np.cumsum(np.append(0, runs))
-        for k, r in enumerate(rows):
-            own = each[edges[k] : edges[k + 1]]
-            if (own < r[4]).any():
-                same = (own == own[0]).all()
-                out.append((r[0], r[1], int(own[0]) if same else None, None if same else own))
-
-    def emit() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
-        out.clear()
-        return batch
-
-    def close(group: list[tuple]) -> int:
-        """Rows of one anchor: those that may share a string wait for the sort, for others their documents tell."""
-        sides = [((0, r[2][p + ANCHOR : p + ANCHOR + side]), (1, r[2][p - side : p] if p >= side else b"")) for r in group for p in (r[5],)] if len(group) > 1 else []
-        often = Counter(x for pair in sides for x in pair if len(x[1]) == side)
-        size = 0
-        for k, r in enumerate(group):
-            if sides and any(often[x] > 1 for x in sides[k]):
-                waiting.append(r)
-                size += len(r[2])
-            elif r[3] < r[4]:
-                out.append((r[0], r[1], r[3], None))
-        return size
-
+def _may_share(anchor: np.ndarray, place: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which segments agree with another one of their anchor in half the bytes that a string has beside it."""
     side = (WIDTH - ANCHOR) // 2
-    group: list[tuple] = []
-    waiting: list[tuple] = []
+    h = _BYTE[raw]
+    for n in (1, 2, 4):
+        h = h[:-n] * (np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * n)) + h[n:]
+    keys, rows = [], []
+    for number, start, fits in (
+        (1, offsets[:-1] + place + ANCHOR, offsets[1:] - offsets[:-1] >= place + ANCHOR + side),
+        (2, offsets[:-1] + place - side, place >= side),
+    ):
+        at = np.flatnonzero(fits)
+        both = mix64(h[start[at]] * np.uint64(0xC2B2AE3D27D4EB4F) + h[start[at] + side - 8])
+        keys.append(mix64(anchor[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + both + np.uint64(number)))
+        rows.append(at)
+    _, inverse, often = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    found = np.zeros(len(anchor), bool)
+    found[np.concatenate(rows)[often[inverse] > 1]] = True
+    return found
+
+
+def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct segments (anchor, content_hash, content, least, most, place), sorted by anchor, to the smallest document
+    of their strings: one number, or a list of them. Segments are taken up to a change of anchor."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        anchor, content_hash, least, most = (rows.column(c).to_numpy() for c in ("anchor", "content_hash", "least", "most"))
+        place = rows.column("place").to_numpy().astype(np.int64)
+        raw, offsets = column_bytes(rows.column("content").combine_chunks())
+        lists, size = [], np.zeros(len(rows), np.int64)
+        low = np.where(least < most, least, -1)  # alone under its anchor: its documents tell
+        at = np.flatnonzero(_may_share(anchor, place, raw, offsets))
+        if len(at):
+            owner, group = string_groups(*_pick(raw, offsets[at], offsets[at + 1]))
+            of_group = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(of_group, group, least[at][owner])
+            each = of_group[group]
+            begin = np.searchsorted(owner, np.arange(len(at)))
+            first, last = np.minimum.reduceat(each, begin), np.maximum.reduceat(each, begin)
+            low[at] = np.where(first == last, np.where(first < most[at], first, -1), -1)
+            mixed = (first != last) & (first < most[at])
+            size[at] = np.where(mixed, np.diff(np.append(begin, len(each))), 0)
+            lists = each[mixed[owner]]
+        out = np.flatnonzero((low >= 0) | (size > 0))
+        edges = np.append(0, np.cumsum(size[out])).astype(np.int32)
+        one = pa.array(low[out], mask=size[out] > 0)
+        several = pa.ListArray.from_arrays(pa.array(edges), pa.array(lists, pa.int64()), mask=pa.array(size[out] == 0))
+        return pa.RecordBatch.from_arrays([pa.array(anchor[out]), pa.array(content_hash[out]), one, several], ["anchor", "content_hash", "least", "leasts"])
+
+    held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if group and group[0][0] != row[0]:
-                size += close(group)
-                group = []
-                if size > SORT_BYTES:
-                    solve(waiting)
-                    waiting, size = [], 0
-                if len(out) > 10_000:
-                    yield emit()
-            group.append(row)
-    close(group)
-    if waiting:
-        solve(waiting)
-    yield emit()
+        held.append(batch)
+        size += column_bytes(batch.column(2))[1][-1]
+        if size > SORT_BYTES:
+            rows = pa.Table.from_batches(held)
+            anchors = rows.column("anchor").to_numpy()
+            stop = int(np.searchsorted(anchors, anchors[-1]))
+            if stop:
+                yield solve(rows.slice(0, stop))
+                held = rows.slice(stop).to_batches()
+                size = sum(int(column_bytes(b.column(2))[1][-1]) for b in held)
+    if held:
+        yield solve(pa.Table.from_batches(held))
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct segments to their strings: (anchor, content_hash, i, string, least, most)."""
+    from xxhash import xxh3_128_digest
+
+    for batch in batches:
+        for anchor, content_hash, content, least, most in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            n = len(content) - WIDTH + 1
+            strings = [xxh3_128_digest(content[i : i + WIDTH]) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([content_hash] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(strings, pa.binary()), pa.array([least] * n, pa.int64()), pa.array([most] * n, pa.int64())], ["anchor", "content_hash", "i", "string", "least", "most"])
+
+
+def _smallest_of_hot(rows: DataFrame) -> DataFrame:
+    """As _smallest(), for anchors with very many segments, which must not meet in one task: by string."""
+    strings = rows.mapInArrow(tidy(_strings), "anchor long, content_hash long, i int, string binary, least long, most long")
+    low = strings.groupBy("string").agg(F.min("least").alias("low"))
+    each = strings.join(low, "string").groupBy("anchor", "content_hash").agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("found"), F.max("most").alias("most"))
+    return each.where("exists(found, x -> x.low < most)").select("anchor", "content_hash", F.lit(None).cast("long").alias("least"), F.col("found.low").alias("leasts"))
 
 
 def repeated_strings(documents: DataFrame) -> DataFrame:
@@ -368,31 +423,37 @@ def repeated_strings(documents: DataFrame) -> DataFrame:
     units = staged(texts.mapInArrow(tidy(_units), "unit binary, doc_id long, text_hash long, start int, n int"), "units")
     several = units.groupBy("unit").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("unit", "least")
     gone = staged(units.join(several, "unit").where("doc_id > least").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "gone")
-    touched, rest = IdFilter.build(gone.select("doc_id"), "doc_id").split(texts, "doc_id")
-    starts = gone.select("doc_id", "text_hash", F.col("runs.start").alias("gone"))
-    texts = touched.join(starts, ["doc_id", "text_hash"], "left").select("doc_id", "text", "text_hash", "gone").unionByName(rest.withColumn("gone", F.lit(None).cast("array<int>")))
-    listed = spark.sparkContext.broadcast(shared_anchors(texts, parts))
-    cut = staged(texts.mapInArrow(tidy(_cut(listed)), "anchor long, content_hash long, content binary, doc_id long, text_hash long, start int, place byte"), "segments")
+    drop_staged(units)
+    gone_of = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("gone"))
+    keyed = texts.join(gone_of, (F.col("doc_id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").select("doc_id", "text", "text_hash", "gone")
+    left = staged(keyed.mapInArrow(tidy(_left), "doc_id long, text binary, text_hash long, first int"), "left")
+    listed = spark.sparkContext.broadcast(shared_anchors(left, parts))
+    cut = staged(left.mapInArrow(tidy(_cut(listed)), "anchor long, content_hash long, content binary, doc_id long, text_hash long, start int, place byte"), "segments")
+    drop_staged(left)
+    listed.unpersist()
     distinct = cut.groupBy("anchor", "content_hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("content").alias("content"), F.first("place").alias("place"))
-    sorted_ = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "content_hash", "content", "least", "most", "place")
-    results = sorted_.mapInArrow(tidy(_smallest), "anchor long, content_hash long, least long, leasts array<long>")
+    distinct = staged(distinct.select("anchor", "content_hash", "content", "least", "most", "place"), "distinct")
+    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor")
+    cold = distinct.join(hot, "anchor", "left_anti").select(distinct.columns)
+    results = cold.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_smallest), "anchor long, content_hash long, least long, leasts array<long>")
+    results = staged(results.unionByName(_smallest_of_hot(distinct.join(hot, "anchor", "left_semi").select(distinct.columns))), "results")
+    drop_staged(distinct)
     found = cut.select("anchor", "content_hash", "doc_id", "text_hash", "start", (F.octet_length("content") - WIDTH + 1).alias("n")).join(results, ["anchor", "content_hash"]).where("leasts IS NOT NULL OR least < doc_id")
     pieces = F.expr("filter(transform(leasts, (x, i) -> struct(start + i AS start, if(x < doc_id, 1, 0) AS n)), x -> x.n = 1)")
     runs = F.when(F.col("leasts").isNull(), F.array(F.struct("start", "n"))).otherwise(pieces)
     each = found.select("doc_id", "text_hash", runs.alias("runs")).unionByName(gone.select("doc_id", "text_hash", F.col("runs").cast("array<struct<start: int, n: int>>")))
-    return each.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = staged(each.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    drop_staged(cut, results, gone)
+    return runs
 
 
 def removal(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of removed bytes) and kept (the remaining bytes) of every row."""
     spark = documents.sparkSession
-    runs = staged(repeated_strings(documents), "runs")
+    runs = repeated_strings(documents)
     rows = documents.select("doc_id", text_or_empty().cast("binary").alias("text"))
-    touched, rest = IdFilter.build(runs.select("doc_id"), "doc_id").split(rows, "doc_id")
-    keyed = touched.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
-    marks = runs.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_hash", "__hash")
-    joined = keyed.join(marks, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").select("doc_id", "text", "runs")
-    every = joined.unionByName(rest.withColumn("runs", F.lit(None).cast(dict(runs.dtypes)["runs"])))
+    marks = runs.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "runs")
+    every = rows.join(marks, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")), "left").select("doc_id", "text", "runs")
     from pyspark.sql.types import _parse_datatype_string as parse
 
     schema = rows.select("doc_id").schema.add("n_bytes", "long").add("spans", parse("array<struct<start: long, end: long>>")).add("kept", "binary")

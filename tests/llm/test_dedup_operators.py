@@ -80,6 +80,26 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_segments(monkeypatch):
+    """Each string is in one segment, with the leftmost of its least hashed 20 bytes as the anchor, in any tiles."""
+    r = random.Random(9)
+    texts = [bytes(r.choice(b"ab") for _ in range(r.choice([0, 10, 49, 50, 51, 90, 300]))) for _ in range(60)] + [b"x" * 200, b""]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    found = [x.tolist() for x in suffix_dedup.segments(raw, offsets)]
+    starts = [(row, first + i) for row, first, n, *_ in zip(*found) for i in range(n)]
+    assert starts == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 49)]
+    anchors = {}
+    for row, first, n, h, place in zip(*found):
+        own = texts[row][first + place : first + place + 20]
+        assert place >= n - 1 and place + 20 <= 50 and anchors.setdefault(h, own) == own
+        for i in range(n):  # equal strings have their anchor at the same place
+            string = texts[row][first + i : first + i + 50]
+            assert anchors.setdefault(string, place - i) == place - i
+    for tile in (1, 7, 100):
+        monkeypatch.setattr(suffix_dedup, "TILE", tile)
+        assert [x.tolist() for x in suffix_dedup.segments(raw, offsets)] == found
+
+
 def brute_removal(docs, width=50):
     first = {}
     for i, b in sorted(docs.items()):
@@ -111,8 +131,10 @@ def test_passages(spark, monkeypatch):
     docs |= {200: None, 201: "", 202: "a" * 5000, 203: "a" * 777, 204: "ab" * 400, 205: docs[3], 206: "x" * 49, 207: "x" * 49, 208: "x" * 50, 209: "x" * 51}
     want = brute_removal({i: (t or "").encode() for i, t in docs.items()})
     rows = small_docs(spark, list(docs.items())).repartition(6)
-    for piece in (suffix_dedup._PIECE, 64):
-        monkeypatch.setattr(suffix_dedup, "_PIECE", piece)
+    for tile, hot, sort in ((suffix_dedup.TILE, suffix_dedup.HOT_SEGMENTS, suffix_dedup.SORT_BYTES), (64, 20_000, 300), (1000, 1, 300)):
+        monkeypatch.setattr(suffix_dedup, "TILE", tile)
+        monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", hot)
+        monkeypatch.setattr(suffix_dedup, "SORT_BYTES", sort)
         got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.digests(rows).collect()}
         assert got == want
 
