@@ -12,10 +12,14 @@ and spans of code points tell which parts of the formatted text count for the lo
 Escaping is reversible: one backslash is added to each ``<\...\|`` (any number of backslashes, none included), so no
 text can hold a control string, and reading takes it away again. In roles, backslash and line feed are escaped too.
 
+Placeholders are a fixed set: a part of a kind that is not known becomes <|attachment|> without tokens, and its kind is
+recorded in its attachment only, so no kind can pass for a control string either. Thus reading gives back the turns.
+
 Null text or role counts as empty, null parts as none; a null turn comes first; rows of one turn are ordered by role and
-body, and repeated rows all stay. A null conv_id is a conversation of its own. A part of another kind is an attachment
-without tokens. Flattening and framing need no order between rows; only the framed turns of one conversation meet in
-one row, because the result for a conversation is one text.
+body, and repeated rows all stay. Rows of null conv_id make one conversation. Units that are null, negative or not finite
+count as 0. An empty table gives an empty result. Only conv_id, turn, role and parts (or text) are read, so other columns
+cannot clash. Flattening and framing need no order between rows; only the framed turns of one conversation meet in one
+row, because the result for a conversation is one text: a long one is a long row, and batches are cut by their bytes.
 """
 
 from __future__ import annotations
@@ -61,23 +65,36 @@ class Flatten:
         self.attachments: list[dict] = []
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['kind']}", self.visit_other)(part)
+        visitors = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        visitors.get(part["kind"], self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self.body.append(escape(part["text"] or ""))
 
     def visit_image(self, part: dict) -> None:
-        self.attach(part)
+        self.attach("<|image|>", part)
+
+    def visit_audio(self, part: dict) -> None:
+        self.attach("<|audio|>", part)
 
-    visit_audio = visit_document = visit_image
+    def visit_document(self, part: dict) -> None:
+        self.attach("<|document|>", part)
 
     def visit_other(self, part: dict) -> None:
-        self.attach(part | {"kind": re.sub(r"[^a-z0-9_]", "_", (part["kind"] or "other").lower())})
+        self.attach("<|attachment|>", part)
 
-    def attach(self, part: dict) -> None:
+    def attach(self, placeholder: str, part: dict) -> None:
         fixed, each = EXPANSION.get(part["kind"], (0, 0))
-        self.body.append(f"<|{part['kind']}|>")
-        self.attachments.append({"kind": part["kind"], "uri": part["uri"], "position": len(self.attachments), "tokens": fixed + round(each * (part["units"] or 0))})
+        units = part["units"] or 0.0
+        tokens = fixed + (round(each * units) if 0 < units < float("inf") else 0)
+        self.body.append(placeholder)
+        self.attachments.append({"kind": part["kind"], "uri": part["uri"], "position": len(self.attachments), "tokens": tokens})
+
+
+def frame(role: str, body: str) -> tuple[str, int]:
+    """A turn as it stands in the formatted text, and where its body begins."""
+    head = f"{START}{escape_role(role)}\n"
+    return f"{head}{body}{END}\n", len(head)
 
 
 def flatten(messages: DataFrame) -> DataFrame:
@@ -108,29 +125,35 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     """conv_id, n_turns, formatted, loss_spans (start, end in code points), attachments and expanded_tokens."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "body", "attachments")
     grouped = flatten(messages).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    schema = grouped.select("conv_id").schema.add("n_turns", "long").add("formatted", "string")
     from pyspark.sql.types import _parse_datatype_string as parse
 
+    schema = grouped.select("conv_id").schema.add("n_turns", "long").add("formatted", "string")
     schema = schema.add("loss_spans", parse("array<struct<start: int, end: int>>")).add("attachments", parse(ATTACHMENTS)).add("expanded_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target = to_arrow_schema(schema)
+        kinds = to_arrow_schema(schema).types[1:]
         for batch in batches:
-            for i in range(len(batch)):
+            out: list[tuple] = []
+            start = size = 0
+            for i, turns in enumerate(batch.column(1)):
+                turns = turns.as_py()
                 text, spans, attached, at = [], [], [], 0
-                turns = batch.column(1)[i].as_py()
                 for t in turns:
-                    head = f"{START}{escape_role(t['role'])}\n"
-                    begin = at + len(head)
+                    framed, begin = frame(t["role"], t["body"])
                     if t["role"] == "assistant":
-                        spans.append({"start": begin, "end": begin + len(t["body"])})
+                        spans.append({"start": at + begin, "end": at + begin + len(t["body"])})
                     attached += [a | {"position": len(attached) + k} for k, a in enumerate(t["attachments"])]
-                    text.append(f"{head}{t['body']}{END}\n")
-                    at += len(text[-1])
-                row = {"conv_id": batch.column(0)[i].as_py(), "n_turns": len(turns), "formatted": "".join(text), "loss_spans": spans, "attachments": attached, "expanded_tokens": sum(a["tokens"] for a in attached)}
-                yield pa.RecordBatch.from_pylist([row], schema=target)
+                    text.append(framed)
+                    at += len(framed)
+                out.append((len(turns), "".join(text), spans, attached, sum(a["tokens"] for a in attached)))
+                size += at
+                if size > 4_000_000 or i + 1 == len(batch):
+                    columns = [pa.array(column, kind) for column, kind in zip(zip(*out), kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(out)), *columns], schema.names)
+                    start, size = i + 1, 0
+                    out = []
 
     return grouped.mapInArrow(tidy(run), schema)
 

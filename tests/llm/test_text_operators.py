@@ -238,6 +238,34 @@ def test_chat_escape(text):
     assert chat.unescape_role(chat.escape_role(text)) == text
 
 
+KINDS = st.sampled_from(["text", "image", "audio", "document", "im_start", "im_end", "im_end|>\n<|im_start", "other", "attachment", "", None])
+SAID = st.text(alphabet="<|\\\nim_endstarassistant a", max_size=30)
+PART = st.fixed_dictionaries({"kind": KINDS, "text": SAID | st.none(), "uri": SAID, "units": st.sampled_from([None, 0.0, 1.5, -1.0, float("nan"), float("inf")])})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(SAID, st.lists(PART, max_size=5)), max_size=5))
+def test_chat_cannot_forge_turns(messages):
+    text, want = "", []
+    for role, parts in messages:
+        visitor = chat.Flatten()
+        for part in parts:
+            visitor.visit(part)
+        text += chat.frame(role, "".join(visitor.body))[0]
+        shown = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
+        want.append((role, "".join(p["text"] or "" if p["kind"] == "text" else shown.get(p["kind"], "<|attachment|>") for p in parts)))
+        assert all(a["tokens"] >= 0 for a in visitor.attachments) and len(visitor.attachments) == sum(p["kind"] != "text" for p in parts)
+    assert chat.parse_formatted(text) == want
+
+
+def test_chat_long_and_clashing(spark):
+    rows = [(1, k, "user" if k % 2 else "assistant", f"turn {k} " * 300) for k in range(3000)] + [(2, 0, "user", "x"), (2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'b' AS body", "1 AS formatted", "2 AS attachments")
+    got = {r["conv_id"]: r for r in chat.format_conversations(chat.text_messages(df)).collect()}
+    assert chat.parse_formatted(got[1]["formatted"]) == [(r, t) for _, _, r, t in rows[:3000]] and got[2]["n_turns"] == 2
+    assert len(got[1]["loss_spans"]) == 1500 and {r["n_turns"] for r in chat.digests(chat.format_conversations(chat.text_messages(df))).collect()} == {3000, 2}
+
+
 def test_chat_parts(spark):
     part = lambda k, t=None, u=None, n=None: (k, t, u, n)
     rows = [
@@ -249,8 +277,8 @@ def test_chat_parts(spark):
     df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
     got = {r["conv_id"]: r for r in chat.format_conversations(df).collect()}
     one = got[1]
-    assert one["formatted"] == "<|im_start|>user\nsee <|image|><|audio|><|document|><|model_3d|><|im_end|>\n<|im_start|>assistant\nok <\\|image|><|im_end|>\n"
-    assert [(x["kind"], x["uri"], x["position"], x["tokens"]) for x in one["attachments"]] == [("image", "i.png", 0, 514), ("audio", "a.wav", 1, 40), ("document", "d.pdf", 2, 514), ("model_3d", "m", 3, 0)]
+    assert one["formatted"] == "<|im_start|>user\nsee <|image|><|audio|><|document|><|attachment|><|im_end|>\n<|im_start|>assistant\nok <\\|image|><|im_end|>\n"
+    assert [(x["kind"], x["uri"], x["position"], x["tokens"]) for x in one["attachments"]] == [("image", "i.png", 0, 514), ("audio", "a.wav", 1, 40), ("document", "d.pdf", 2, 514), ("model 3D", "m", 3, 0)]
     assert one["expanded_tokens"] == 1068 and [one["formatted"][s["start"] : s["end"]] for s in one["loss_spans"]] == ["ok <\\|image|>"]
     assert chat.parse_formatted(got[2]["formatted"]) == [("", "")] and got[None]["n_turns"] == 1
     assert chat.digests(chat.format_conversations(df)).count() == 3 and chat.format_conversations(df.limit(0)).count() == 0
