@@ -237,47 +237,82 @@ def planted_vectors():
     return rows
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "SPLIT", 16)
-    rows = planted_vectors()
-    odd = [(5000, None, 0), (5001, [0.0] * 64, 0), (5002, [None] + [1.0] * 63, 0), (5003, [float("nan")] + [1.0] * 63, 0), (5004, [float("inf")] * 64, 0), (5005, rows[0][1].tolist(), None), (5006, [1.0, 2.0], 1), (5007, [2.0, 4.0], 1), (5008, [], 1)]
-    df = spark.createDataFrame([(i, v.tolist(), l, "x") for i, v, l in rows] + [(*o, "x") for o in odd], "vec_id long, embedding array<double>, label int, rep string")
-    got = {x["vec_id"]: x for x in embedding_dedup.dedup(df).collect()}
-    assert len(got) == len(rows) + len(odd)
-    ids, m, labels = [i for i, *_ in rows], np.array([v for _, v, _ in rows]), np.array([l for *_, l in rows])
+def brute_links(rows, threshold=0.93):
+    """Number of links and component of every row (id, vector, label), by the definition."""
+    m = np.array([np.array(v, float) / np.abs(v).max() for _, v, _ in rows])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
-    linked = (m @ m.T >= 0.93) & (labels[:, None] == labels)
+    labels = np.array([l for *_, l in rows])
+    linked = (m @ m.T >= threshold) & (labels[:, None] == labels)
     np.fill_diagonal(linked, False)
-    want = dict(zip(ids, linked.sum(axis=1).tolist()))
-    assert all(got[i]["n_links"] <= n for i, n in want.items())
-    assert sum(got[i]["n_links"] for i in ids) >= 0.98 * sum(want.values())
+    ids = [i for i, *_ in rows]
     comps = components_of(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(linked)))])
-    assert np.mean([got[i]["component_id"] == comps[i] for i in ids]) > 0.98
-    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in (5000, 5001, 5002, 5003, 5004, 5005, 5008))
-    assert got[5006]["n_links"] == got[5007]["n_links"] == 1 and got[5007]["component_id"] == 5006
+    return linked.sum(axis=1).tolist(), [comps[i] for i in ids]
+
+
+@pytest.mark.parametrize("cell", [8, 512])
+def test_embeddings(spark, monkeypatch, cell):
+    monkeypatch.setattr(embedding_dedup, "SPLIT", 16)
+    monkeypatch.setattr(embedding_dedup, "CELL", cell)
+    rows = planted_vectors()
+    odd = [(5000, None, 0), (5001, [0.0] * 64, 0), (5002, [None] + [1.0] * 63, 0), (5003, [float("nan")] + [1.0] * 63, 0), (5004, [float("inf")] * 64, 0), (5005, rows[0][1].tolist(), None), (5008, [], 1), (None, rows[0][1].tolist(), 0)]
+    small = [(5006, [1.0, 2.0], 1), (5007, [2.0, 4.0], 1), (5010, [1e-200, 0.0], 1), (5011, [1e-200, 1e-203], 1), (5012, [1e200, 0.0], 1), (5013, [-0.0, 3.0], 2), (5014, [0.0, 3.0], 2)]
+    df = spark.createDataFrame([(i, v.tolist(), l, "x") for i, v, l in rows] + [(*o, "x") for o in odd + small], "vec_id long, embedding array<double>, label int, rep string")
+    every = embedding_dedup.dedup(df).collect()
+    got = {x["vec_id"]: x for x in every}
+    assert len(every) == len(got) == len(rows) + len(odd) + len(small)
+    n, comps = brute_links(rows)
+    assert all(got[i]["n_links"] <= k for (i, *_), k in zip(rows, n))
+    assert sum(got[i]["n_links"] for i, *_ in rows) >= 0.98 * sum(n)
+    assert np.mean([got[i]["component_id"] == c for (i, *_), c in zip(rows, comps)]) > 0.98
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i, *_ in odd)
+    for few in ([5006, 5007], [5010, 5011, 5012], [5013, 5014]):
+        assert all(got[i]["n_links"] == len(few) - 1 and got[i]["component_id"] == few[0] for i in few)
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("vectors", [50, 5000, 100_000])
+def test_embeddings_repeated_ids_and_threshold(spark):
+    rows = [(1, [3.0, 4.0], 0), (1, [3.0, 4.0], 0), (1, [4.0, -3.0], 0), (2, [4.0, 3.0], 0), (3, [8.0, -6.0], 0), (4, [1.0, 0.0], 0), (1, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in embedding_dedup.dedup(df, 0.96).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4)]
+
+
+def test_embeddings_query(spark, sf):
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in queries.op8_embedding_dedup(spark, sf).collect()}
+    n, comps = brute_links(rows)
+    assert len(got) == len(rows) and np.mean([got[i] == (k, c, i == c) for (i, *_), k, c in zip(rows, n, comps)]) > 0.99
+
+
+@pytest.mark.parametrize("vectors", [50, 5000, 100_000, 1_000_000])
 def test_filter_recall(vectors):
     r = np.random.default_rng(5)
-    x = r.standard_normal((800, 64))
+    x = r.standard_normal((600, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    e = r.standard_normal((800, 64))
+    e = r.standard_normal((600, 64))
     e -= (e * x).sum(1, keepdims=True) * x
     e /= np.linalg.norm(e, axis=1, keepdims=True)
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * e
-    codes = [embedding_dedup.ProductCode(64, vectors, k) for k in range(embedding_dedup.CODES)]
-    lists = [(c.decode(x), c.decode(y)) for c in codes]
-    assert np.mean([any(np.intersect1d(a[i], b[i]).size for a, b in lists) for i in range(800)]) > 0.97
+    shared, size = set(), 0
+    for k in range(embedding_dedup.codes_for(vectors)):
+        code = embedding_dedup.ProductCode(64, vectors, k)
+        a, b = (set(zip(*(v.tolist() for v in code.decode(z)))) for z in (x, y))
+        shared |= {row for row, _ in a & b}
+        size += len(a)
+    assert len(shared) >= 0.98 * 600
+    assert 0.7 < size / 600 / embedding_dedup.codes_for(vectors) / embedding_dedup.LIST < 1.4  # lists are as long as planned
 
 
-def test_best_sums():
+def test_decode_lists_all_filters():
     r = np.random.default_rng(6)
-    a, b = r.standard_normal((20, 7)), r.standard_normal((20, 9))
-    s, i, j = embedding_dedup.best_sums(a, b, 12)
-    every = np.sort((a[:, :, None] + b[:, None, :]).reshape(20, -1), axis=1)[:, ::-1][:, :12]
-    assert np.allclose(s, every) and np.allclose(s, np.take_along_axis(a, i, 1) + np.take_along_axis(b, j, 1))
+    x = r.standard_normal((50, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = embedding_dedup.ProductCode(20, 300, 1)
+    turned = x @ code.rotation
+    scores = [turned[:, a:b] @ c for a, b, c in zip(code.edges, code.edges[1:], code.codes)]
+    every = scores[0][:, :, None] + scores[1][:, None, :]
+    row, i, j = np.nonzero(every >= code.height)
+    assert set(zip(*(v.tolist() for v in code.decode(x)))) == set(zip(row.tolist(), (i * code.directions + j).tolist()))
 
 
 def test_mixing_sql(spark, sf, duck):
