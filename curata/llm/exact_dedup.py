@@ -6,55 +6,74 @@ index maps a digest to the smallest doc_id that has it:
 * *memtables*: each task keeps a table from digest to (smallest id, its text, all ids). A row whose digest is there is a
   hit, and is verified byte by byte against the text; another text under the same digest gets an entry (a variant) of
   its own. A full memtable is flushed, so its memory is bounded by MEMTABLE_BYTES whatever the table's size.
-* *runs*: a flush is a run sorted by digest. Runs are written to the shared folder as Parquet with a Bloom filter for
-  the digest column, so a lookup of a digest skips the runs without it.
-* *compaction*: entries of all runs are merged by digest, and the smallest id stays. Entries are pre-aggregated: a group
-  of copies that holds a third of all rows sends one entry from each memtable.
+* *runs*: a flush is a run of level 0, sorted by digest, with a number of its own. Runs are written to the shared folder.
+* *compaction*: runs are merged into one of the next level: their entries meet by digest range, in order of digest and
+  id, and are merged as they stream by; the smallest id stays. A group of copies that holds a third of all rows sends one
+  entry from each memtable. The merged run keeps the digests that several entries had.
+* *filters*: a run has a Bloom filter, a table of 64-bit words that grows with its entries (16 bits each). A lookup asks
+  the filter first, and only digests that pass it are joined to the run; Spark broadcasts the words where they are few.
+  So entries without a copy in another run, in most corpora nearly all, skip the merged run and stand for themselves.
 * *verification*: where runs share a digest, the text of each run's smallest id is compared, byte by byte, with that of
-  the id that stays. Only these texts move: a filter of fixed size over their ids thins out the table before the join.
-  Texts that differ from it (a digest collision) are grouped by the texts themselves.
+  the id that stays. Only these texts move. Texts that differ from it (a digest collision) are grouped by the texts
+  themselves.
 
-A null id sorts last: it stays only where all ids of its group are null. Repeated rows with one id count as copies; as
-ids cannot tell them apart, all of them carry kept = true if their id stays. An empty table gives an empty result.
-``digest_bits`` exists to make collisions testable.
+A null id sorts last: it stays only where all ids of its group are null; such entries have no id to fetch a text by, and
+match by their whole SHA-256. Repeated rows with one id count as copies: one of them stays. A long text makes a memtable
+fuller and nothing else. An empty table gives an empty result. Only doc_id and text are read, so other columns cannot
+clash; survivors() returns them as they were. ``digest_bits`` exists to make collisions testable.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import SPACE, IdFilter, shared_dir, ship, staged, text_or_empty, tidy
+from curata.llm.common import SPACE, IdFilter, drop_staged, shards, ship, staged, text_or_empty, tidy
 
 #: A memtable is flushed when its texts have so many bytes, or it has so many rows.
 MEMTABLE_BYTES, MEMTABLE_ROWS = 24 << 20, 200_000
 #: Ids in one entry of a run: a hot group's entries are cut into pieces of this size.
 ENTRY_IDS = 10_000
+#: Entries of a run for each 64-bit word of its filter, and bits that each sets.
+PER_WORD, BITS = 4, 3
 
 
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text), SPACE, " ")
 
 
-def _runs(digest_bits: int):
+@dataclass
+class Run:
+    """A sorted run of some level, and its filter of ``words`` words."""
+
+    level: int
+    entries: DataFrame
+    filter: DataFrame
+    words: int
+
+
+def _flushed(digest_bits: int):
     """Rows (doc_id, text, sha) to the entries of sorted runs."""
     size = digest_bits // 8
+    kinds = {"run": pa.int64(), "digest": pa.binary(), "variant": pa.int32(), "sha": pa.binary(), "least": pa.int64(), "n": pa.int64(), "ids": pa.list_(pa.int64())}
 
-    def flush(table: dict) -> Iterator[pa.RecordBatch]:
+    def flush(table: dict, run: int) -> Iterator[pa.RecordBatch]:
         entries = []
         for digest in sorted(table):
             for variant, (text, sha, ids) in enumerate(table[digest]):
                 ids.sort(key=lambda i: (i is None, i))
                 for k in range(0, len(ids), ENTRY_IDS):
-                    entries.append((digest, variant, sha, ids[0], len(ids) if k == 0 else 0, ids[k : k + ENTRY_IDS]))
+                    entries.append((run, digest, variant, sha, ids[0], len(ids) if k == 0 else 0, ids[k : k + ENTRY_IDS]))
         for k in range(0, len(entries), 4096):
-            columns = list(zip(*entries[k : k + 4096]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["digest", "variant", "sha", "least", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries[k : k + 4096]), kinds.values())], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         table: dict[bytes, list] = {}
         held = rows = 0
         for batch in batches:
@@ -69,75 +88,154 @@ def _runs(digest_bits: int):
                     held += len(text)
                 rows += 1
                 if held > MEMTABLE_BYTES or rows >= MEMTABLE_ROWS:
-                    yield from flush(table)
+                    yield from flush(table, number)
+                    number += 1
                     table, held, rows = {}, 0, 0
         if rows:
-            yield from flush(table)
+            yield from flush(table, number)
 
     return run
 
 
 def build_runs(documents: DataFrame, digest_bits: int = 256) -> DataFrame:
-    """Flush the index's runs into the shared folder and return their entries."""
-    import uuid
-
-    spark = documents.sparkSession
-    ship(spark)
+    """Flush the runs of level 0 into the shared folder and return their entries."""
+    ship(documents.sparkSession)
     text = normalised().cast("binary")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
-    entries = rows.mapInArrow(tidy(_runs(digest_bits)), "digest binary, variant int, sha binary, least long, n long, ids array<long>")
-    path = f"{shared_dir(spark)}/staged/runs-{uuid.uuid4().hex}"
-    entries.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", str(1 << 20)).parquet(path)
-    return spark.read.schema(entries.schema).parquet(path)
+    return staged(rows.mapInArrow(tidy(_flushed(digest_bits)), "run long, digest binary, variant int, sha binary, least long, n long, ids array<long>"), "runs")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heads (digest, least, run, variant, n) in the order of digest and id, to the digests that several have: the first
+    one's id, run and variant, and the sum."""
+    names, kinds = ["digest", "keep_id", "keep_run", "keep_variant", "group_size"], [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    out, now, several = [], None, False
+    for batch in batches:
+        for digest, least, run, variant, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if now is not None and now[0] == digest:
+                now[4] += n
+                several = True
+                continue
+            if several:
+                out.append(now)
+            now, several = [digest, least, run, variant, n], False
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            out = []
+    if several:
+        out.append(now)
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
+
+
+def _word(words: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("word"), "digest"), F.lit(words).cast("long"))
+
+
+def _mask() -> Column:
+    bits = [F.expr(f"shiftleft(1L, cast(pmod(xxhash64({k}, digest), 64) as int))") for k in range(BITS)]
+    mask = bits[0]
+    for bit in bits[1:]:
+        mask = mask.bitwiseOR(bit)
+    return mask
+
+
+def with_filter(entries: DataFrame, level: int) -> Run:
+    """A run of these entries (with a column digest), and its filter."""
+    words = max(1, entries.count() // PER_WORD)
+    table = entries.select(_word(words).alias("word"), _mask().alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("set"))
+    return Run(level, entries, staged(table, "filter"), words)
+
+
+def compact(runs: DataFrame) -> Run:
+    """Merge runs of level 0 into one of level 1, of the digests that several of their entries have."""
+    heads = runs.where("n > 0").select("digest", "least", "run", "variant", "n")
+    ordered = heads.repartition(shards(runs.sparkSession), "digest").sortWithinPartitions("digest", F.asc_nulls_last("least"), "run", "variant")
+    merged = ordered.mapInArrow(tidy(_merged), "digest binary, keep_id long, keep_run long, keep_variant int, group_size long")
+    return with_filter(staged(merged, "merged"), 1)
+
+
+def passing(probes: DataFrame, run: Run) -> DataFrame:
+    """``probes`` with a column ``__may``: whether the run's filter lets their digest pass."""
+    keyed = probes.withColumn("__word", _word(run.words))
+    joined = keyed.join(run.filter, F.col("__word") == F.col("word"), "left")
+    return joined.withColumn("__may", F.coalesce(F.col("set").bitwiseAND(_mask()) == _mask(), F.lit(False))).drop("__word", "word", "set")
+
+
+def lookup(probes: DataFrame, run: Run) -> DataFrame:
+    """``probes`` (with a column digest) and the run's entries for them, null where it has none. Only probes that pass the
+    filter are joined to the run."""
+    asked = passing(probes, run)
+    found = asked.where("__may").join(run.entries, "digest", "left")
+    missing = asked.where("NOT __may")
+    for field in run.entries.schema.fields:
+        if field.name != "digest":
+            missing = missing.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return found.drop("__may").unionByName(missing.drop("__may"))
 
 
 def index(documents: DataFrame, digest_bits: int = 256) -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size and sha, the SHA-256 of its normalised text."""
+    """One row for each document: doc_id, keep_id, group_size, kept and sha, the SHA-256 of its normalised text."""
     runs = build_runs(documents, digest_bits)
-    heads = runs.where("n > 0").select("digest", "variant", "sha", "least", "n")
-    merged = heads.groupBy("digest").agg(F.min("least").alias("keep_id"), F.sum("n").alias("group_size"), F.count("*").alias("entries"), F.count("least").alias("with_id"))
-    # entries of one digest in several runs (or variants in one): their texts are compared with that of the one that stays
-    hits = staged(heads.join(merged.where("entries > 1"), "digest").select("digest", "sha", "least", "keep_id", "n"), "hits")
-    collided = _collisions(documents, hits)
-    if collided is None:
-        attached = runs.select("digest", "sha", "ids").join(merged.select("digest", "keep_id", "group_size"), "digest")
-        return attached.select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "sha")
-    return _by_text(runs, merged, collided, documents)
-
-
-def _collisions(documents: DataFrame, hits: DataFrame) -> DataFrame | None:
+    merged = compact(runs)
+    collided = _collisions(documents, runs, merged)
+    # pieces of a hot entry have their own rows; the first has the smallest id
+    own = lookup(runs.select("digest", "run", "variant", "sha", "least", "n", "ids"), merged)
+    alone = F.col("keep_run").isNull()
+    stays = alone | ((F.col("keep_run") == F.col("run")) & (F.col("keep_variant") == F.col("variant")))
+    size = runs.where("n > 0").select("run", F.col("digest").alias("__digest"), "variant", F.col("n").alias("all"))
+    pieces = own.where(F.size("ids") >= ENTRY_IDS).isEmpty()
+    sized = own.withColumn("all", F.col("n")) if pieces else own.join(size.withColumnRenamed("run", "__run").withColumnRenamed("variant", "__variant"), (F.col("run") == F.col("__run")) & (F.col("variant") == F.col("__variant")) & (F.col("digest") == F.col("__digest")))
+    rows = sized.select("digest", "sha", F.posexplode("ids").alias("at", "doc_id"), F.when(alone, F.col("least")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(alone, F.col("all")).otherwise(F.col("group_size")).alias("group_size"), (stays & (F.col("n") > 0)).alias("first"))
+    rows = rows.select("digest", "doc_id", "keep_id", "group_size", (F.col("first") & (F.col("at") == 0)).alias("kept"), "sha")
+    return rows.drop("digest") if collided is None else _by_text(rows, runs, collided, documents)
+
+
+def _collisions(documents: DataFrame, runs: DataFrame, merged: Run) -> DataFrame | None:
     """Digests under which different texts were found, or None."""
-    if hits.isEmpty():
-        return None
-    ids = hits.select(F.explode(F.array("least", "keep_id")).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    heads = lookup(runs.where("n > 0").select("digest", "variant", "sha", "least"), merged).where("keep_run IS NOT NULL")
+    hits = staged(heads.select("digest", F.hex("sha").alias("hex"), "least", "keep_id"), "hits")
+    ids = hits.select(F.explode(F.array("least", "keep_id")).alias("doc_id")).where("doc_id IS NOT NULL")
     thinned = IdFilter.build(ids, "doc_id").thin(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    texts = thinned.select("doc_id", normalised().alias("text"), F.sha2(normalised().cast("binary"), 256).alias("hex"))
-    heads = hits.where("least > keep_id").select("digest", F.hex("sha").alias("hex"), "least", "keep_id")
-    left = texts.withColumnRenamed("doc_id", "least").withColumn("hex", F.upper("hex"))
-    own = heads.join(left.dropDuplicates(["least", "hex"]), ["least", "hex"]).select("digest", "keep_id", "text")
+    texts = thinned.select("doc_id", normalised().alias("text"), F.upper(F.sha2(normalised().cast("binary"), 256)).alias("hex"))
+    left = texts.select(F.col("doc_id").alias("least"), "hex", "text").groupBy("least", "hex").agg(F.min("text").alias("text"))
+    own = hits.where("least > keep_id").select("digest", "hex", "least", "keep_id").join(left, ["least", "hex"]).select("digest", "keep_id", "text")
     kept = texts.select(F.col("doc_id").alias("keep_id"), F.col("text").alias("kept_text"))
     differing = own.join(kept, "keep_id").groupBy("digest", "keep_id", "text").agg(F.max(F.col("text") == F.col("kept_text")).alias("same")).where("NOT same").select("digest")
-    twice = hits.groupBy("digest").agg(F.count_distinct("sha").alias("k")).where("k > 1").select("digest")
+    twice = hits.groupBy("digest").agg(F.min("hex").alias("a"), F.max("hex").alias("b")).where("a < b").select("digest")
     found = staged(differing.union(twice).distinct(), "collisions")
+    drop_staged(hits)
     return None if found.isEmpty() else found
 
 
-def _by_text(runs: DataFrame, merged: DataFrame, collided: DataFrame, documents: DataFrame) -> DataFrame:
+def _by_text(clean: DataFrame, runs: DataFrame, collided: DataFrame, documents: DataFrame) -> DataFrame:
     """The index where some digests collided: rows under those are grouped by their texts."""
-    clean = runs.join(collided, "digest", "left_anti").select("digest", "sha", "ids").join(merged.select("digest", "keep_id", "group_size"), "digest").select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "sha")
     shas = runs.join(collided, "digest", "left_semi").select("sha").distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("text")).withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).join(shas, "sha", "left_semi")
     groups = rows.groupBy("sha", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return clean.unionByName(rows.join(groups, ["sha", "text"]).select("doc_id", "keep_id", "group_size", "sha"))
+    equal = rows.groupBy("sha", "text", "doc_id").agg(F.count("*").alias("k")).join(groups, ["sha", "text"])
+    each = equal.select(F.posexplode(F.array_repeat("doc_id", F.col("k").cast("int"))).alias("at", "doc_id"), "keep_id", "group_size", "sha")
+    found = each.select("doc_id", "keep_id", "group_size", ((F.col("at") == 0) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "sha")
+    return clean.join(collided, "digest", "left_anti").drop("digest").unionByName(found)
 
 
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``documents`` (doc_id, text)."""
-    return index(documents).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return index(documents).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def survivors(documents: DataFrame) -> DataFrame:
-    """``documents`` without the rows whose text an earlier id has, all columns as they were."""
-    dropped = index(documents).where("NOT doc_id <=> keep_id").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct()
-    sha = F.unhex(F.sha2(normalised().cast("binary"), 256))
-    return documents.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
+    """``documents`` with one row of each group of equal texts, all columns as they were."""
+    rows = staged(index(documents), "index")
+    dropped = rows.where("NOT doc_id <=> keep_id").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct()
+    # copies that share the id of the one that stays cannot be told from it by id
+    again = rows.where("doc_id <=> keep_id AND NOT kept").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct()
+    names = [f"c{k}" for k in range(len(documents.columns))]
+    by = lambda name: F.col(names[[c.lower() for c in documents.columns].index(name)])
+    text = F.regexp_replace(F.coalesce(by("text"), F.lit("")), SPACE, " ")
+    keyed = documents.toDF(*names)
+    same = by("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(text.cast("binary"), 256)) == F.col("__sha"))
+    left = keyed.join(dropped, same, "left_anti")
+    if not again.isEmpty():
+        repeated = left.join(again, same).groupBy("__id", "__sha").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")
+        left = left.join(again, same, "left_anti").unionByName(repeated)
+    return left.toDF(*documents.columns)
