@@ -11,13 +11,18 @@ is compared with the bucket's hub, its smallest id. Pairs are verified on the fu
 What is left are rows whose component differs from the hub's: a second round compares them with every such hub. The third
 round takes the buckets that still hold two components or more, and gathers what they connect into clusters. Within a
 cluster, documents of different components and of sizes that allow the similarity are compared in cells of two blocks of
-BLOCK documents, with an inverted index, so pairs are counted but never listed. A large group of near copies is thus one
+BLOCK documents (or BLOCK_GRAMS shingles), with an inverted index, so pairs are counted but never listed. A large group of near copies is thus one
 component after a few comparisons each, and no pair that shares a table goes unchecked unless it is linked already. The
 third round's work grows with the square of a cluster's size, spread over its cells.
 
-Null ids have no set to link (component null); a document whose id occurs twice takes the smallest shingle set of the
-two. An empty table gives an empty result. Nothing of all documents reaches the driver; the broadcast filter of ids has a
-fixed size.
+Keys that a large group of copies shares (its set, its hub) are dealt to SALT tasks where rows are joined by them, and
+pairs are made distinct before.
+
+A row with a null id links with nothing: its component is null, and it is kept. Rows that share an id are one node; each
+has its own number of shingles, and the smallest of their sets (as a sorted list) is the one that is verified. Null and
+empty texts and those of white space have no set. A long text is hashed in parts and makes a cell of its own. An empty
+table gives an empty result. Only doc_id and text are read, so other columns cannot clash; survivors() returns them as they
+were. Nothing of all documents reaches the driver; the broadcast filter of ids has a fixed size.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import IdFilter, components, mix64, ship, staged, tidy
+from curata.llm.common import IdFilter, components, mix64, shards, ship, staged, tidy
 from curata.llm.kernels import blocks, column_bytes, row_starts, words
 
 #: Collections, and minhashes in each; tables are the pairs of collections.
@@ -37,6 +42,10 @@ COLLECTIONS, HALF = 14, 3
 _K = COLLECTIONS * HALF
 #: Documents of a cluster in one block; a cell compares two blocks.
 BLOCK = 1024
+#: Shingles of a block, about.
+BLOCK_GRAMS = 1_000_000
+#: Rows that a large group's key joins are dealt to so many keys.
+SALT = 16
 #: Multipliers (odd) and offsets of the hash functions, from the splitmix sequence.
 _MULTIPLY = mix64(np.arange(1000, 1000 + _K, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix64(np.arange(5000, 5000 + _K, dtype=np.uint64))
@@ -83,11 +92,11 @@ def halves(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def sketches(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (of the whole set) and the collections' hashes, of every row with an id."""
+    """doc_id, n_shingles, set_hash (of the whole set) and the collections' hashes, of every row."""
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,10 +148,11 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = staged(rows.join(mixed, "bucket"), "open")
     clusters = components(rows.select(F.col("component").alias("hi"), F.col("first").alias("lo")))
     members = rows.select("component", "doc_id").distinct().join(clusters.toDF("component", "cluster"), "component", "left").withColumn("cluster", F.coalesce("cluster", "component"))
-    sizes = sets.select("doc_id", F.floor(F.ln(F.size("grams").cast("double")) / float(np.log(101 / percent))).alias("class"))
+    n = F.size("grams").cast("double")
+    sizes = sets.select("doc_id", n.alias("n"), F.floor(F.ln(n) / float(np.log(101 / percent))).alias("class"))
     filed = members.join(sizes, "doc_id").withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("class", F.col("class") + F.col("guest"))
     filed = staged(filed, "filed")
-    cuts = filed.groupBy("cluster", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    cuts = filed.groupBy("cluster", "class").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("cuts"))
     cells = filed.join(cuts, ["cluster", "class"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     cells = cells.select("cluster", "class", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "guest", "component", "doc_id").join(sets, "doc_id")
     keys = ["cluster", "class", "i", "j"]
@@ -192,26 +202,37 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
+def _salted(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int").alias("salt")
+
+
+def _to_all_salts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
 def near_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row with an id."""
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     found = staged(sketches(documents, size), "sketches")
-    some = found.where("n_shingles > 0")
-    first = some.groupBy("set_hash").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n"))
-    copies = some.select("set_hash", F.col("doc_id").alias("hi")).join(first.where("n > 1"), "set_hash").where("hi > lo").select("hi", "lo").distinct()
+    some = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    first = staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("most")), "sets_of")
+    several = _to_all_salts(first.where("lo < most").select("set_hash", "lo"))
+    copies = some.select("set_hash", F.col("doc_id").alias("hi"), _salted("doc_id")).join(several, ["set_hash", "salt"]).where("hi > lo").select("hi", "lo").distinct()
     chosen = some.join(first.select("set_hash", F.col("lo").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").select("doc_id", "halves")
     # the tables: a bucket's key is made of two collections and which two they are
     key = "flatten(transform(sequence(0, {0} - 2), i -> transform(sequence(i + 1, {0} - 1), j -> xxhash64(i, j, halves[i], halves[j]))))".format(COLLECTIONS)
-    tables = chosen.select("doc_id", F.explode(F.expr(key)).alias("bucket"))
+    tables = chosen.repartition(shards(documents.sparkSession), "doc_id").select("doc_id", F.explode(F.expr(key)).alias("bucket"))
     hubs = tables.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).where("hub < most").select("bucket", "hub")
     rows = staged(tables.join(hubs, "bucket"), "buckets")
     members = rows.select("doc_id").distinct()
-    sets = staged(full_sets(IdFilter.build(members, "doc_id").thin(_texts(documents), "doc_id"), size).join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
+    sets = full_sets(IdFilter.build(members, "doc_id").thin(_texts(documents), "doc_id"), size).join(members, "doc_id", "left_semi")
+    sets = staged(sets.groupBy("doc_id").agg(F.min("grams").alias("grams")), "sets")
 
     tried = staged(rows.where("doc_id > hub").groupBy(F.col("doc_id").alias("hi")).agg(F.min("hub").alias("lo")), "pairs")
     links = staged(_verified(tried, sets, percent), "links")
     comps = components(links)
     hub = _labelled(rows.select(F.col("hub").alias("doc_id")).distinct(), comps).select(F.col("doc_id").alias("hub"), F.col("component").alias("other"))
-    pairs = _labelled(rows, comps).where("doc_id > hub").join(hub, "hub").where("component != other").select(F.col("doc_id").alias("hi"), F.col("hub").alias("lo")).distinct()
+    meets = _labelled(rows.where("doc_id > hub").select("doc_id", "hub").distinct(), comps)
+    pairs = meets.select("*", _salted("doc_id")).join(_to_all_salts(hub), ["hub", "salt"]).where("component != other").select(F.col("doc_id").alias("hi"), F.col("hub").alias("lo"))
     more = staged(_verified(pairs.join(tried, ["hi", "lo"], "left_anti"), sets, percent), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
@@ -226,11 +247,13 @@ def near_components(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
 
 def dedup(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row with an id."""
-    return near_components(documents, size, percent).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    """doc_id, n_shingles, component_id and kept of every row."""
+    return near_components(documents, size, percent).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def survivors(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with one document of each component, all columns as they were; rows without an id stay."""
     dropped = near_components(documents, size, percent).where("doc_id > component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return documents.join(dropped, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    names = [f"c{k}" for k in range(len(documents.columns))]  # a column may have any name
+    own = names[[c.lower() for c in documents.columns].index("doc_id")]
+    return documents.toDF(*names).join(dropped, F.col(own).cast("long") == F.col("__id"), "left_anti").toDF(*documents.columns)
