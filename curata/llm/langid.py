@@ -6,9 +6,11 @@ bucket and one column for each language; it is the only thing broadcast, and its
 ``2 ** BITS * MAX_LANGUAGES`` cells. Prediction turns each text into sparse bucket counts and multiplies a batch of
 them with the matrix.
 
-Character case is folded for letters, and every run of other characters counts as one space, so digits and markup do
-not vote. A null text, or one without a letter, gets ``und`` and score 0. With no labelled text at all, every text gets
-``und``. Ties go to the language that sorts first. Rows keep their ``doc_id``; repeated rows are scored each.
+Character case is folded for letters, and every run of other characters counts as one space, as do a text's ends, so
+digits and markup do not vote. A null text, or one without a letter, gets ``und`` and score 0. With no labelled text at
+all, every text gets ``und``. Ties go to the language that sorts first. Repeated rows teach and are scored each; null ids
+are in no fold. A long text is read in blocks, with the n-grams across their edges. An empty table gives an empty result.
+Only doc_id, text and lang are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ BITS, ORDERS, ALPHA = 14, (1, 2, 3), 0.5
 #: Bound of the broadcast matrix. More languages than this are an error, as no known corpus has them.
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
+#: Characters of a text that are read at a time.
 _CHARS = 200_000
 
 
@@ -43,35 +46,41 @@ def _letters() -> np.ndarray:
 _fold: list[np.ndarray] = []
 
 
-def buckets(text: str | None) -> np.ndarray:
-    """Bucket of every n-gram of a text, in any order; empty without a letter."""
+def buckets(text: str) -> Iterator[np.ndarray]:
+    """Bucket of every n-gram of a text, in any order, block by block."""
     if not _fold:
         _fold.append(_letters())
-    if not text:
-        return np.empty(0, np.int64)
-    code = _fold[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    gap = code == 0x20
-    if gap.all():
-        return np.empty(0, np.int64)
-    keep = np.ones(len(code), bool)
-    keep[1:] = ~(gap[1:] & gap[:-1])
-    code = np.concatenate([[0x20], code[keep], [0x20]]).astype(np.uint64)
-    found, gram = [], np.zeros(len(code), np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        gram = gram[: len(code) - n + 1] * np.uint64(0x110000) + code[n - 1 :]
-        if n in ORDERS:
-            found.append(gram[gram != 0x20] if n == 1 else gram)
-    return (mix64(np.concatenate(found)) >> np.uint64(64 - BITS)).astype(np.int64)
+    longest = max(ORDERS)
+    before = np.array([0x20], np.uint64)  # the last codes of the text so far, where runs of others are one space
+    for i in range(0, len(text) + 1, _CHARS):
+        block = text[i : i + _CHARS]
+        code = _fold[0][np.frombuffer(block.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if i + len(block) == len(text):
+            code = np.append(code, np.uint32(0x20))
+        gap = code == 0x20
+        keep = ~gap
+        keep[1:] |= ~gap[:-1]
+        keep[:1] |= before[-1] != 0x20
+        code = np.concatenate([before, code[keep].astype(np.uint64)])
+        gram = np.zeros(len(code), np.uint64)
+        for n in range(1, longest + 1):
+            gram = gram[: len(code) - n + 1] * np.uint64(0x110000) + code[n - 1 :]
+            if n in ORDERS:
+                new = gram[max(0, len(before) - n + 1) :]  # those that end in this block
+                yield (mix64(new[new != 0x20] if n == 1 else new) >> np.uint64(64 - BITS)).astype(np.int64)
+        before = code[-max(1, longest - 1) :]
 
 
 def sparse_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and how often each occurs; a long text is read in blocks, between which stands a space."""
-    if text is None or len(text) <= _CHARS:
-        total = np.bincount(buckets(text), minlength=1 << BITS)
+    """Buckets of a text and how often each occurs; none without a letter."""
+    if not text:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(text) <= _CHARS:
+        total = np.bincount(np.concatenate(list(buckets(text))), minlength=1 << BITS)
     else:
         total = np.zeros(1 << BITS, np.int64)
-        for i in range(0, len(text), _CHARS):
-            total += np.bincount(buckets(text[i : i + _CHARS]), minlength=1 << BITS)
+        for found in buckets(text):
+            total += np.bincount(found, minlength=1 << BITS)
     at = np.flatnonzero(total)
     return at, total[at]
 
@@ -94,11 +103,11 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    if len(rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages: the matrix is bounded to so many")
     cells = rows.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = cells.toArrow()  # at most MAX_LANGUAGES * 2 ** BITS rows of sums
     langs = sorted(set(found["lang"].to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the matrix is bounded to {MAX_LANGUAGES}")
     matrix = np.full((1 << BITS, max(1, len(langs))), ALPHA)
     column = np.searchsorted(langs, found["lang"].to_numpy()) if langs else np.empty(0, int)
     np.add.at(matrix, (found["bucket"].to_numpy(), column), found["n"].to_numpy())
