@@ -6,11 +6,14 @@ position, FILTERS learned filters of WIDTH bytes fire; their rectified mean over
 probability.
 
 It is fitted in the driver on a bounded sample: of each class the SAMPLE labelled documents that come first by a hash of
-their id, texts over SAMPLE_BYTES left out (in fitting only). The network has a few thousand numbers; these are all
-that is broadcast. Scoring is one pass without a shuffle, over whole texts.
-
-A null or empty text is scored as one chunk of padding. With labels of one class only, every text gets that class's
-probability 0.5. Repeated label rows count once; a document with contradicting labels is not learnt from.
+their id. Of a text over SAMPLE_BYTES, stretches of whole chunks from all over it are learnt from, evenly spaced, which
+have so many bytes together. The network has a few thousand numbers; these are all that is broadcast. Scoring is one pass
+without a shuffle, over whole texts.
+
+A null or empty text is scored as one chunk of padding. With labels of one class only, or none, every text gets 0.5.
+Repeated label rows count once; a document with contradicting labels is not learnt from, and of texts that share an id
+the smallest is. Null ids are in no fold. Scores of equal texts are equal. An empty table gives an empty result. Only
+doc_id and text are read, and columns that are kept may have any names.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from curata.llm.common import ship, tidy
 from curata.llm.kernels import blocks, column_bytes
 from curata.llm.langid import held_out
 
-#: Bounds of the sample that the network is fitted on: documents of each class, and bytes of a document.
-SAMPLE, SAMPLE_BYTES = 1000, 16_000
+#: Bounds of the sample that the network is fitted on: documents of each class, and bytes of a document, which are taken
+#: from a longer one in stretches of so many bytes.
+SAMPLE, SAMPLE_BYTES, STRETCH = 1000, 16_000, 1024
 HALF, WIDTH, FILTERS, UNITS = 64, 3, 12, 16
 STEPS, BATCH, RATE, DECAY = 300, 48, 0.01, 1e-4
 #: A score from here on counts as label 1.
@@ -167,13 +171,29 @@ def gradients(net: Network, texts: list[bytes], y: np.ndarray, weight: np.ndarra
 
 def learn(documents: DataFrame, labels: DataFrame) -> Network:
     """Fit the network on the sample; held-out rows are not in it."""
+    ship(documents.sparkSession)
     ids = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).where("label = most")
     order = F.xxhash64(F.lit("quality"), "doc_id")
     chosen = [ids.where(F.col("label") == k).orderBy(order, "doc_id").limit(SAMPLE) for k in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "label"))  # 2 * SAMPLE rows of two numbers
-    text = documents.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = sorted((r["doc_id"], r["label"], r["text"]) for r in text.join(sample, "doc_id").collect())
-    return fit([r[2].encode() for r in rows], np.array([r[1] for r in rows], int))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([excerpt(t.as_buffer().to_pybytes()) if t.is_valid else b"" for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], texts], ["doc_id", "label", "text"])
+
+    texts = documents.select("doc_id", "text").join(sample, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), F.col("text").cast("binary").alias("text"))
+    each = texts.mapInArrow(tidy(cut), "doc_id long, label int, text binary").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = sorted((r["doc_id"], r["label"], bytes(r["text"])) for r in each.collect())
+    return fit([r[2] for r in rows], np.array([r[1] for r in rows], int))
+
+
+def excerpt(text: bytes) -> bytes:
+    """A text, or evenly spaced stretches of a long one."""
+    if len(text) <= SAMPLE_BYTES:
+        return text
+    starts = np.linspace(0, len(text) - STRETCH, SAMPLE_BYTES // STRETCH).astype(int)
+    return b"".join(text[i : i + STRETCH] for i in starts)
 
 
 def scored(df: DataFrame, net: Network, keep: list[str], score: str = "score") -> DataFrame:
