@@ -65,12 +65,42 @@ def test_exact_dedup(spark, bits, monkeypatch):
 
 
 def test_exact_dedup_cases(spark):
-    rows = small_docs(spark, [(1, "a"), (1, "a"), (None, "a"), (None, "z"), (2, "a")])
-    got = sorted(((r["doc_id"] or 0), r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(rows).collect() if r["keep_id"] is not None)
-    assert got == [(0, 1, 4, False), (1, 1, 4, True), (1, 1, 4, True), (2, 1, 4, False)]
-    assert exact_dedup.dedup(rows.limit(0)).count() == 0
+    rows = small_docs(spark, [(1, "a"), (1, "a"), (None, "a"), (None, "z"), (2, "a"), (None, "z")])
+    got = sorted(((r["doc_id"] or 0), r["keep_id"] or 0, r["group_size"], r["kept"]) for r in exact_dedup.dedup(rows).collect())
+    assert got == [(0, 0, 2, False), (0, 0, 2, True), (0, 1, 4, False), (1, 1, 4, False), (1, 1, 4, True), (2, 1, 4, False)]
+    assert exact_dedup.dedup(rows.limit(0)).count() == 0 and exact_dedup.survivors(rows.limit(0)).count() == 0
     kept = exact_dedup.survivors(rows)
-    assert kept.columns == rows.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "1", "None"]
+    assert kept.columns == rows.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "None"]
+    clash = spark.createDataFrame([(1, "a", "x", 1), (2, "a ", "y", 2), (3, "a ", "y", 3)], "doc_id long, text string, __sha string, keep_id int")
+    assert sorted(map(tuple, exact_dedup.survivors(clash).collect())) == [(1, "a", "x", 1), (2, "a ", "y", 2)]
+
+
+@pytest.mark.parametrize("bits", [256, 8])
+def test_exact_dedup_hot_group_and_repeated_rows(spark, bits, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 50)
+    monkeypatch.setattr(exact_dedup, "ENTRY_IDS", 7)
+    rows = [(i % 90, "the same") for i in range(300)] + [(1000 + i, f"own {i}") for i in range(40)] + [(2000, "own 3")]
+    got = exact_dedup.index(small_docs(spark, rows).repartition(3), bits).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == 41
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == sorted((i, 0 if t == "the same" else 1003 if t == "own 3" else i, 300 if t == "the same" else 2 if t == "own 3" else 1) for i, t in rows)
+    assert sorted(r["doc_id"] for r in exact_dedup.survivors(small_docs(spark, rows)).collect()) == [0, *range(1000, 1040)]
+
+
+def test_runs_are_sorted_and_lookups_skip_them(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 20)
+    rows = small_docs(spark, [(i, f"text {i}") for i in range(200)] + [(500 + i, f"text {i}") for i in range(10)]).repartition(4)
+    runs = exact_dedup.build_runs(rows)
+    by_run = defaultdict(list)
+    for r in runs.collect():
+        by_run[r["run"]].append(bytes(r["digest"]))
+    assert len(by_run) >= 10 and all(d == sorted(d) and len(d) <= 20 for d in by_run.values())
+    merged = exact_dedup.compact(runs)
+    assert merged.level == 1 and {r["keep_id"] for r in merged.entries.collect()} <= set(range(10))
+    probes = runs.where("n > 0").select("digest", "least")
+    asked = exact_dedup.passing(probes, merged).where("__may").count()
+    found = [r["least"] for r in exact_dedup.lookup(probes, merged).where("keep_id IS NOT NULL").collect()]
+    assert len(found) <= asked < 60  # most digests never reach the run
+    assert set(found) == {i for r in merged.entries.collect() for i in (r["keep_id"], r["keep_id"] + 500)}
 
 
 def test_suffix_array():
@@ -194,6 +224,7 @@ def test_near_duplicates(spark, size):
 def test_near_duplicates_across_large_groups(spark, monkeypatch):
     """Many variants of one text: links must be found although few are with a bucket's hub."""
     monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_GRAMS", 500)
     r = random.Random(8)
     base = [f"w{k}" for k in range(60)]
     docs = {}
@@ -208,11 +239,19 @@ def test_near_duplicates_across_large_groups(spark, monkeypatch):
 
 
 def test_near_duplicate_cases(spark):
-    rows = small_docs(spark, [(None, "a b c"), (5, "a b c"), (5, "a b c"), (3, "a b c")])
-    got = sorted((x["doc_id"], x["component_id"]) for x in minhash_dedup.dedup(rows).collect())
-    assert got == [(3, 3), (5, 3), (5, 3)]
+    rows = small_docs(spark, [(None, "a b c"), (5, "a b c"), (5, "a b c"), (3, "a b c"), (None, None)])
+    got = sorted((str(x["doc_id"]), str(x["component_id"]), x["n_shingles"], x["kept"]) for x in minhash_dedup.dedup(rows).collect())
+    assert got == [("3", "3", 1, True), ("5", "3", 1, False), ("5", "3", 1, False), ("None", "None", 0, True), ("None", "None", 1, True)]
+    clash = spark.createDataFrame([(1, "a b", 7, 8), (2, "a b", 9, 10)], "doc_id long, text string, __id int, c0 int")
+    assert [tuple(r) for r in minhash_dedup.survivors(clash).collect()] == [(1, "a b", 7, 8)]
     assert minhash_dedup.dedup(rows.limit(0)).count() == 0
-    assert sorted(str(x["doc_id"]) for x in minhash_dedup.survivors(rows).collect()) == ["3", "None"]
+    assert sorted(str(x["doc_id"]) for x in minhash_dedup.survivors(rows).collect()) == ["3", "None", "None"]
+
+
+def test_near_duplicates_with_repeated_ids_are_the_same_each_time(spark):
+    rows = [(1, "a b c d e f g h i j"), (1, "k l m n o p q r s t"), (2, "a b c d e f g h i j x"), (3, "k l m n o p q r s t x")]
+    runs = [sorted((x["doc_id"], x["component_id"]) for x in minhash_dedup.dedup(small_docs(spark, rows).repartition(k), 2).collect()) for k in (1, 3, 5)]
+    assert runs[0] == runs[1] == runs[2]
 
 
 def test_near_duplicates_query(spark, sf):

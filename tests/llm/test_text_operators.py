@@ -136,6 +136,95 @@ def test_langid_cases(spark):
     assert langid.identify(spark.createDataFrame([(1, "abc", None)], empty.schema)).first()["lang_pred"] == "und"
 
 
+def lang_brute(rows):
+    """Naive Bayes with dense loops: (prediction, score) of each row (doc_id, text, lang)."""
+    from curata.llm.common import mix64
+
+    def grams(text):
+        clean = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+        clean = " " + " ".join(clean.split()) + " " if clean.split() else ""
+        found = [clean[i : i + n] for n in (1, 2, 3) for i in range(len(clean) - n + 1)]
+        codes = []
+        for g in found:
+            if g != " ":
+                code = 0
+                for c in g:
+                    code = (code * 0x110000 + ord(c)) % 2**64
+                codes.append(code)
+        return (mix64(np.array(codes, np.uint64)) >> np.uint64(64 - langid.BITS)).astype(int).tolist()
+
+    counts = {}
+    for i, text, lang in rows:
+        if lang is not None and grams(text) and zlib.crc32(str(i).encode()) % 3 != 1:
+            n = counts.setdefault(lang, [langid.ALPHA] * 2**langid.BITS)
+            for b in grams(text):
+                n[b] += 1
+    langs = sorted(counts)
+    logs = {l: np.log(counts[l]) - np.log(sum(counts[l])) for l in langs}
+    out = []
+    for _, text, _ in rows:
+        g = grams(text)
+        if not g or not langs:
+            out.append(("und", 0.0))
+            continue
+        logit = np.array([sum(logs[l][b] for b in g) for l in langs]) / np.sqrt(len(g))
+        p = np.exp(logit - logit.max())
+        out.append((langs[int(p.argmax())], p.max() / p.sum()))
+    return out
+
+
+@pytest.mark.parametrize("chars", [200_000, 7])
+def test_langid_brute(spark, chars, monkeypatch):
+    monkeypatch.setattr(langid, "_CHARS", chars)
+    texts = ["The house, and the DOG!", "le chat et la maison", "1 2 3", "", None, "der Hund  --  und das Haus", "  ŞaŞ İstanbul ", "e", "un chien dans la rue", "the end of the story", "das ist gut", "ab", "ab"]
+    langs = ["en", "fr", "en", "fr", "de", "de", None, None, "fr", "en", "de", "xx", "yy"]
+    rows = [(i, t, l) for i, (t, l) in enumerate(zip(texts * 3, langs * 3))]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS __text", "2 AS score")).orderBy("doc_id").collect()
+    want = lang_brute(rows)
+    assert [r["lang_pred"] for r in got] == [x for x, _ in want] and [r["score"] for r in got] == pytest.approx([x for _, x in want])
+
+
+def test_langid_bounds_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.identify(spark.createDataFrame([(i, "a b", f"l{i}") for i in range(9)], "doc_id long, text string, lang string"))
+
+
+def test_quality_brute():
+    """The network in loops over every byte."""
+    net = quality.Network.start(3)
+    r = random.Random(5)
+    texts = [b"", b"a", bytes(r.randrange(256) for _ in range(64)), bytes(r.randrange(97, 103) for _ in range(130)), b"xyz" * 200]
+    want = []
+    for t in texts:
+        halves = max(2, -(-len(t) // quality.HALF))
+        data = t + bytes(halves * quality.HALF - len(t)) + bytes(quality.WIDTH)
+        fired = [np.maximum(net.bias + sum(net.filters[j][data[p + j]] for j in range(quality.WIDTH)), 0) for p in range(halves * quality.HALF)]
+        units = []
+        for c in range(halves - 1):
+            at = range(c * quality.HALF, (c + 2) * quality.HALF)
+            grams = sorted(data[p : p + 3] for p in at)
+            share = sum(a != b for a, b in zip(grams, grams[1:])) / (len(grams) - 1)
+            x = np.append(sum(fired[p] for p in at) / len(at), share)
+            units.append(np.maximum(x @ net.dense + net.dense_bias, 0))
+        want.append(1 / (1 + np.exp(-(np.max(units, axis=0) @ net.out + net.out_bias[0]))))
+    got = quality.probabilities(net, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert got == pytest.approx(np.array(want), rel=1e-4)
+
+
+def test_quality_excerpt_spans_long_texts():
+    long = b"".join(b"%09d " % i for i in range(30_000))
+    short = quality.excerpt(long)
+    assert len(short) <= quality.SAMPLE_BYTES and short[:50] == long[:50] and short[-50:] == long[-50:] and quality.excerpt(b"x") == b"x"
+
+
+def test_quality_learns_from_long_texts(spark):
+    docs = [(i, ("good words in order " if i % 2 else "#!@ ~~ %% ") * 1500) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, quality int")
+    got = quality.assess(spark.createDataFrame(docs + docs[:5], "doc_id long, text string"), labels).collect()
+    assert len(got) == 65 and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
