@@ -103,6 +103,7 @@ def provenance(source: Column, orig: Column, target: Column) -> Column:
     """struct(truth, rule): the label that the origin tells, by the first rule that applies; truth is null if none does.
 
     ``target`` is the label of the external metadata for this file, null where there is none.
+    Fixed values: the names of the rules, and the parts of paths that they look for.
     """
     o = F.translate(orig, "\\", "/")
     truth = lambda v, rule: F.struct(F.lit(v).cast("int").alias("truth"), rule.alias("rule"))

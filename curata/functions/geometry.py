@@ -18,10 +18,11 @@ def clamp_size(size: Column, w: Column, h: Column) -> Column:
 
 
 def size_ladder(cmin: int = CROP_MIN, cmax: int = CROP_MAX, n: int = 3, step: int = 1) -> Column:
-    if n <= 1 or cmax <= cmin:
-        return F.array(snap(F.lit(cmax), step))
-    inc = (cmax - cmin) / (n - 1)
-    return F.array_sort(F.array_distinct(F.array(*(snap(F.bround(F.lit(cmin + i * inc)).cast("int"), step) for i in range(n)))))
+    """Distinct sizes from cmin to cmax in n rungs, each rounded and snapped; one rung is cmax."""
+    rungs = F.sequence(F.lit(0), F.lit(n - 1)) if n > 1 and cmin < cmax else F.array(F.lit(0))
+    span, last = (cmax - cmin, cmin) if n > 1 and cmin < cmax else (0, cmax)
+    size = lambda k: snap(F.bround(F.lit(float(last)) + k * F.lit(span / max(1, n - 1))).cast("int"), step)
+    return F.array_sort(F.array_distinct(F.transform(rungs, size)))
 
 
 def _boxes(xs: Column, ys: Column, c: Column) -> Column:

@@ -76,8 +76,10 @@ def split_leaks(rows: DataFrame, key: str = "key") -> DataFrame:
 def provenance(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``rows`` (orig, source, label) with truth, rule and state: agrees, disagrees or unresolved."""
     known = targets.groupBy("image_path").agg(F.min(F.when(F.trim("target") == "0", 0).otherwise(1)).alias("target"))
-    joined = rows.join(known, dims.norm_path(F.col("orig")) == F.col("image_path"), "left").drop("image_path")
-    told = joined.withColumn("p", dims.provenance(F.col("source"), F.col("orig"), F.col("target"))).select("*", "p.truth", "p.rule").drop("p", "target")
+    # without an orig, the path tells
+    place = F.coalesce(F.nullif(F.col("orig"), F.lit("")), F.col("path")) if "path" in rows.columns else F.col("orig")
+    joined = rows.withColumn("__place", place).join(known, dims.norm_path(F.col("__place")) == F.col("image_path"), "left").drop("image_path")
+    told = joined.withColumn("p", dims.provenance(F.coalesce("source", F.lit("")), F.coalesce("__place", F.lit("")), F.col("target"))).drop("__place").select("*", "p.truth", "p.rule").drop("p", "target")
     return told.withColumn("state", F.when(F.col("truth").isNull(), "unresolved").when(F.col("truth") == F.col("label"), "agrees").otherwise("disagrees"))
 
 

@@ -16,13 +16,33 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(first.alias("__first")).select(*key, "__first.*").select(*rows.columns)
 
 
-def ranked(rows: DataFrame, stratum: list[str], seed: int | str, key: str = "path") -> DataFrame:
-    """``rows`` with rn, the seeded rank within a stratum. Spark prunes such ranks early where they are bounded."""
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*stratum).orderBy(order_key(seed, F.col(key)), F.col(key))))
+def _placed(rows: DataFrame, stratum: list[str], seed: int | str, key: str = "path", most: Column | None = None) -> DataFrame:
+    """``rows`` with rn, the seeded rank within a stratum, and __n, the stratum's size; with ``most`` only ranks up to it
+    matter. A stratum is not a window of its own, but 4096 bins of the seeded order are: ranks in a bin are added to the
+    number of rows in the bins before, so a stratum that is a third of the corpus is spread over many tasks."""
+    order = order_key(seed, F.col(key))
+    marked = rows.withColumn("__bin", F.conv(F.substring(order, 1, 3), 16, 10).cast("int"))
+    whole = Window.partitionBy(*(f"__{c}" for c in stratum))
+    bins = marked.groupBy(*(F.col(c).alias(f"__{c}") for c in stratum), F.col("__bin").alias("__at")).agg(F.count("*").alias("__k"))
+    before = F.coalesce(F.sum("__k").over(whole.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("__before", before).withColumn("__n", F.sum("__k").over(whole)).drop("__k")
+    match = F.col("__bin") == F.col("__at")
+    for c in stratum:
+        match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    met = marked.join(bins, match)
+    if most is not None:
+        met = met.where(F.col("__before") < most)  # whole bins are behind the last rank that is asked for
+    inside = F.row_number().over(Window.partitionBy(*stratum, "__bin").orderBy(order, F.col(key)))
+    return met.withColumn("rn", (inside + F.col("__before")).cast("long")).drop("__bin", "__at", "__before", *(f"__{c}" for c in stratum))
+
+
+def ranked(rows: DataFrame, stratum: list[str], seed: int | str, key: str = "path", most: Column | None = None) -> DataFrame:
+    """``rows`` with rn, the seeded rank within a stratum."""
+    return _placed(rows, stratum, seed, key, most).drop("__n")
 
 
 def stratified_sample(rows: DataFrame, stratum: list[str], n: int, seed: int | str, key: str = "path") -> DataFrame:
-    return ranked(rows, stratum, seed, key).where(F.col("rn") <= n).drop("rn")
+    return ranked(rows, stratum, seed, key, F.lit(n)).where(F.col("rn") <= n).drop("rn")
 
 
 def source_cap(rows: DataFrame, caps: dict[str, int], seed: int | str, key: str = "path") -> DataFrame:
@@ -31,7 +51,7 @@ def source_cap(rows: DataFrame, caps: dict[str, int], seed: int | str, key: str
         return rows
     cap = F.create_map(*(F.lit(x) for pair in caps.items() for x in pair))
     capped = rows.where(F.col("source").isin(*caps))
-    kept = ranked(capped, ["source"], seed, key).where(F.col("rn") <= cap[F.col("source")]).drop("rn")
+    kept = ranked(capped, ["source"], seed, key, cap[F.col("source")]).where(F.col("rn") <= cap[F.col("source")]).drop("rn")
     return kept.unionByName(rows.where(F.col("source").isNull() | ~F.col("source").isin(*caps)))
 
 
@@ -50,10 +70,10 @@ def split(rows: DataFrame, group: list[str], seed: int | str, key: str = "path",
 
     Sizes are whole tenths of the group's size, rounded down, in whole numbers.
     """
-    n = F.count("*").over(Window.partitionBy(*group))
+    n = F.col("__n")
     train, val = F.floor(n * tenths[0] / 10), F.floor(n * tenths[1] / 10)
     name = F.when(F.col("rn") <= train, "train").when(F.col("rn") <= train + val, "val").otherwise("test")
-    return ranked(rows, group, seed, key).withColumn("split", name).drop("rn")
+    return _placed(rows, group, seed, key).withColumn("split", name).drop("rn", "__n")
 
 
 def balance_sizes(rows: DataFrame, cap: int = 0, equal: int = 0, min_bucket: int = 50) -> DataFrame:
@@ -107,8 +127,8 @@ def route(rows: DataFrame, test_sources: set[str] = frozenset(), test_generators
     if test_sources:
         hit = hit | F.col("source").isin(*sorted(test_sources))
     if test_generators:
-        hit = hit | ((F.col("label") == 1) & F.col("generator").isin(*sorted(test_generators)))
-    return F.when(hit, "test").otherwise("split")
+        hit = hit | F.col("generator").isin(*sorted(test_generators))  # whatever the label
+    return F.when(F.coalesce(hit, F.lit(False)), "test").otherwise("split")
 
 
 def build_corpus(manifests: list[DataFrame], excluded: DataFrame | None = None, seed: int = 0, caps: dict[str, int] = dims.SOURCE_CAPS, test_sources: set[str] = frozenset(), test_generators: set[str] = dims.TEST_ONLY, cap: int = 45_000, equal: int = 0, min_bucket: int = 50) -> DataFrame:

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from curata.functions import dims
 from curata.functions.seeded import unit
-from curata.operators.metrics import auroc
+from curata.operators.metrics import auroc, quantile_cutoff
 
 
-def standardised(rows: DataFrame) -> DataFrame:
-    """``rows`` with features (x - mean) / (deviation + 1e-8), population deviations."""
-    v = rows.select(array_to_vector("features").alias("v"))
+def standardised(rows: DataFrame, by: DataFrame | None = None) -> DataFrame:
+    """``rows`` with features (x - mean) / (deviation + 1e-8), population deviations, of ``by`` (of themselves if None)."""
+    v = (rows if by is None else by).select(array_to_vector("features").alias("v"))
     s = v.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).select("s.*").first()
     n = max(1, s["count"])
     mean = s["mean"].toArray()
@@ -47,36 +47,48 @@ def shortcut_audit(rows: DataFrame, key: str, by: list[str] | None = None) -> Da
     return auroc(scores, by or []).withColumn("verdict", dims.verdict(F.col("auroc")))
 
 
+def ledoit_wolf(n: int, cross: np.ndarray, fourth: float) -> np.ndarray:
+    """Covariance of n centred rows, shrunk to a multiple of the identity by the Ledoit-Wolf coefficient.
+
+    ``cross`` is the sum of the rows' outer products, ``fourth`` that of their squared squared norms.
+    """
+    d = len(cross)
+    cov = cross / n
+    mu = np.trace(cov) / d
+    spread = (np.sum(cov * cov) - 2 * mu * np.trace(cov) + d * mu * mu) / d  # of the covariance about its target
+    noise = (fourth / n - np.sum(cov * cov)) / (n * d)  # of the covariance about the true one
+    share = 0.0 if spread <= 0 else min(1.0, max(0.0, noise) / spread)
+    return (1 - share) * cov + share * mu * np.eye(d)
+
+
 def one_class(rows: DataFrame, key: str) -> DataFrame:
-    """key and score d / (d + median): Mahalanobis distances to the rows with label 0, with a shrunk covariance.
+    """key and score d / (d + median): squared Mahalanobis distances to the rows with label 0, whose features are
+    standardised and have a Ledoit-Wolf covariance; the median is theirs.
 
     Sums of products are added up by Spark; what reaches the driver has the size of the features squared.
     """
     def moments(batches):
         for p in batches:
             x = np.stack(p["features"].to_numpy())
-            yield pd.DataFrame({"n": [len(x)], "s": [x.sum(0)], "ss": [(x.T @ x).ravel()], "q": [float((np.sum(x * x, axis=1) ** 2).sum())]})
+            yield pd.DataFrame({"n": [len(x)], "ss": [(x.T @ x).ravel()], "q": [float((np.sum(x * x, axis=1) ** 2).sum())]})
 
-    reals = rows.where("label = 0").select(F.col("features").cast("array<double>").alias("features"))
-    parts = reals.mapInPandas(moments, "n long, s array<double>, ss array<double>, q double")
+    rows = rows.withColumn("features", F.col("features").cast("array<double>"))
+    z = standardised(rows, rows.where("label = 0"))
+    parts = z.where("label = 0").select("features").mapInPandas(moments, "n long, ss array<double>, q double")
     add = lambda c: F.aggregate(F.collect_list(c), F.array().cast("array<double>"), lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda p, q: p + q)))
     # two levels, so that no task collects the parts of all tasks
-    level = parts.groupBy(F.pmod(F.xxhash64("q"), F.lit(64)).alias("g")).agg(F.sum("n").alias("n"), add("s").alias("s"), add("ss").alias("ss"))
-    m = level.agg(F.sum("n").alias("n"), add("s").alias("s"), add("ss").alias("ss")).first()
-    n, s = m["n"], np.array(m["s"])
-    mean = s / n
-    cov = np.array(m["ss"]).reshape(len(s), -1) / n - np.outer(mean, mean)
-    mu = np.trace(cov) / len(s)
-    alpha = min(1.0, len(s) / max(1, n))
-    precision = np.linalg.pinv((1 - alpha) * cov + alpha * mu * np.eye(len(s)))
+    level = parts.groupBy(F.pmod(F.xxhash64("q"), F.lit(64)).alias("g")).agg(F.sum("n").alias("n"), F.sum("q").alias("q"), add("ss").alias("ss"))
+    m = level.agg(F.sum("n").alias("n"), F.sum("q").alias("q"), add("ss").alias("ss")).first()
+    d = int(round(len(m["ss"]) ** 0.5))
+    precision = np.linalg.pinv(ledoit_wolf(m["n"], np.array(m["ss"]).reshape(d, d), m["q"]))
 
     @F.pandas_udf("double")
     def distance(features: pd.Series) -> pd.Series:
-        x = np.stack(features.to_numpy()) - mean
-        return pd.Series(np.sqrt(np.maximum(0, np.einsum("ij,jk,ik->i", x, precision, x))))
+        x = np.stack(features.to_numpy())
+        return pd.Series(np.maximum(0, np.einsum("ij,jk,ik->i", x, precision, x)))
 
-    measured = rows.withColumn("d", distance(F.col("features").cast("array<double>")))
-    median = measured.where("label = 0").agg(F.median("d").alias("m")).first()["m"]
+    measured = z.withColumn("d", distance(F.col("features")))
+    median = quantile_cutoff(measured.select("label", F.col("d").alias("score")), [], 0.5).first()["cutoff"] + 1e-8
     return measured.select(key, "label", (F.col("d") / (F.col("d") + float(median))).alias("score"))
 
 

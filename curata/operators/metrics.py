@@ -26,7 +26,9 @@ FAMILIES = {
 
 
 def _bin(score: Column) -> Column:
-    return F.least(F.lit(BINS), F.greatest(F.lit(-1), F.floor(score * BINS)))
+    """A number that rises with the score: BINS to the unit, and 64 for each doubling beyond it, as for logits."""
+    above, below = F.lit(BINS) + F.floor(F.log2(score) * 64), F.lit(-1) - F.floor(F.log2(1 - score) * 64)
+    return F.when(score > 1, above).when(score < 0, below).otherwise(F.floor(score * BINS))
 
 
 def curve(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -79,7 +81,12 @@ def fpr_at_tpr(scores: DataFrame, by: list[str], tpr: float = 0.95) -> DataFrame
 
 def quantile_cutoff(scores: DataFrame, by: list[str], fa: float = 0.01) -> DataFrame:
     """by and cutoff: the score of reals above which the share ``fa`` of them lies, linearly interpolated."""
-    return scores.where("label = 0").groupBy(*by).agg(F.expr(f"percentile(score, {1 - fa}D)").alias("cutoff"))
+    place = (F.col("n") - 1) * F.lit(1 - fa)
+    low, high = F.floor(place), F.ceil(place)
+    t = curve(scores.where("label = 0"), by).withColumn("part", place - low)
+    least = F.max(F.when(F.col("below_neg") <= low, F.col("score")))
+    most = F.min(F.when(F.col("below_neg") + F.col("neg") > high, F.col("score")))
+    return t.groupBy(*by).agg((least * (1 - F.first("part")) + most * F.first("part")).alias("cutoff"))
 
 
 def confusion(scores: DataFrame, by: list[str], cutoff: Column) -> DataFrame:

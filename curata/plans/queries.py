@@ -164,18 +164,11 @@ def gate_severity(spark, d):
     return audit.severity(audit.native_size(a.manifest(spark, d)).select("verdict"))
 
 
-@query("corpus_audit", m("""SELECT 'files' AS gate, 'PASS' AS verdict UNION ALL SELECT 'duplicates', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END FROM (SELECT sha256 FROM m GROUP BY sha256 HAVING count(*) > 1 AND (count(DISTINCT split) > 1 OR count(DISTINCT label) > 1))
-    UNION ALL SELECT 'near-duplicates ' || split, CASE WHEN avg(CASE WHEN doc_id % 50 = 9 THEN 1 ELSE 0 END) > 0.005 THEN 'FAIL' ELSE 'PASS' END FROM m WHERE split IN ('val', 'test') GROUP BY split"""))
-def corpus_audit(spark, d):
-    rows = a.manifest(spark, d).withColumn("flat", F.lit(False))
-    return audit.corpus_audit(rows, rows.where("doc_id % 50 = 9").select("path"))
-
-
-@query("corpus_audit_all", f"""WITH {a.AU} SELECT 'files' AS gate, CASE WHEN count(*) FILTER (sha256 IS NULL OR flat) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM au
+@query("corpus_audit", f"""WITH {a.AU} SELECT 'files' AS gate, CASE WHEN count(*) FILTER (sha256 IS NULL OR flat) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM au
     UNION ALL SELECT 'duplicates', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END FROM dup
     UNION ALL SELECT 'near-duplicates ' || split, CASE WHEN avg((path IN (SELECT path FROM near))::INT) > 0.005 THEN 'FAIL' ELSE 'PASS' END FROM au WHERE split IN ('val', 'test') GROUP BY split""")
-def corpus_audit_all(spark, d):
-    """corpus_audit with near duplicates found by a search of the texts' hashes."""
+def corpus_audit(spark, d):
+    """Near duplicates come from a search of the texts' hashes."""
     rows = a.audited(spark, d)
     return audit.corpus_audit(rows, dedup.near_train(rows))
 
@@ -208,15 +201,9 @@ def dup_signature(spark, d):
     return dedup.signatures(a.manifest(spark, d))
 
 
-@query("drop_list", m("SELECT path FROM m WHERE sha256 IN (SELECT sha256 FROM m GROUP BY sha256 HAVING count(*) > 1 AND (count(DISTINCT split) > 1 OR count(DISTINCT label) > 1)) OR doc_id % 100 = 3"))
+@query("drop_list", f"WITH {a.AU} SELECT DISTINCT path FROM au WHERE sha256 IS NULL OR flat OR sha256 IN (SELECT sha256 FROM dup) OR path IN (SELECT path FROM near)")
 def drop_list(spark, d):
-    rows = a.manifest(spark, d)
-    return dedup.drop_list(rows, rows.where("doc_id % 100 = 3").select("path"))
-
-
-@query("drop_list_all", f"WITH {a.AU} SELECT DISTINCT path FROM au WHERE sha256 IS NULL OR flat OR sha256 IN (SELECT sha256 FROM dup) OR path IN (SELECT path FROM near)")
-def drop_list_all(spark, d):
-    """drop_list with unreadable and flat rows, and near duplicates found by a search of the texts' hashes."""
+    """With unreadable and flat rows, and near duplicates found by a search of the texts' hashes."""
     rows = a.audited(spark, d)
     return dedup.drop_list(rows, dedup.near_train(rows).union(rows.where("sha256 IS NULL OR flat").select("path")))
 
@@ -237,19 +224,28 @@ def generator_disjoint(spark, d):
 
 @query("benchmark_contamination", "SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, b.text) AND length(b.text) > 0")
 def benchmark_contamination(spark, d):
-    """Benchmark texts in documents, by equi-join on the text's first 8-word window, then verified; no cross join."""
-    width = 8
+    """Benchmark texts in documents, by equi-joins on hashes of word windows, then verified.
+
+    A passage may begin or end within a word, so its first and last words do not count: an item of k words meets documents
+    by the first of its windows of min(k - 2, 8) words. Items of one or two words have none; they are a stated query set
+    that is broadcast and searched in every text.
+    """
     spaced = lambda c: F.array_remove(F.split(c, r"\s+"), "")
-    items = a.table(spark, d, "benchmark").where("length(text) > 0").select("item_id", F.col("text").alias("item"), spaced(F.col("text")).alias("w"))
-    # a passage may begin or end within a word, so its first and last words do not count
-    keyed = items.where(F.size("w") >= width + 2).select("item_id", "item", F.array_join(F.slice("w", 2, width), " ").alias("key"))
-    docs = a.table(spark, d, "documents").select("doc_id", "text", spaced(F.col("text")).alias("w")).where(F.size("w") >= width)
-    windows = F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.array_join(F.slice("w", i, width), " "))
-    long = docs.select("doc_id", F.explode(F.array_distinct(windows)).alias("key")).join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    short = items.where(F.size("w") < width + 2)  # too short for a window: compared by their text
+    width = F.least(F.size("w") - 2, F.lit(8))
+    items = a.table(spark, d, "benchmark").where("length(text) > 0").select("item_id", F.col("text").alias("item"), spaced(F.col("text")).alias("w")).withColumn("width", width)
     text = a.table(spark, d, "documents").select("doc_id", "text")
-    found = long.join(items.select("item_id", "item"), "item_id").join(text, "doc_id").where("contains(text, item)").select("doc_id", "item_id")
-    return found.unionByName(text.join(short, F.col("text").contains(F.col("item"))).select("doc_id", "item_id"))
+    docs = text.select("doc_id", spaced(F.col("text")).alias("w"))
+    hits = None
+    for (k,) in items.where("width > 0").select("width").distinct().orderBy("width").collect():  # 8 at most
+        keyed = items.where(F.col("width") == k).select("item_id", F.xxhash64(F.array_join(F.slice("w", 2, k), " ")).alias("key"))
+        windows = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))  # noqa: B023
+        one = docs.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(windows)).alias("key")).join(keyed, "key").select("doc_id", "item_id")
+        hits = one if hits is None else hits.unionByName(one)
+    short = text.join(F.broadcast(items.where("width <= 0").select("item_id", "item")), F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    if hits is None:
+        return short
+    found = hits.distinct().join(items.select("item_id", "item"), "item_id").join(text, "doc_id").where("contains(text, item)").select("doc_id", "item_id")
+    return found.unionByName(short)
 
 
 @query("holdout_check", m("SELECT DISTINCT generator FROM m WHERE split = 'train' AND label = 1 AND generator IN ('de', 'fr')"))
@@ -258,35 +254,21 @@ def holdout_check(spark, d):
     return train(spark, d).where("label = 1").select("generator").distinct().join(F.broadcast(held), "generator", "left_semi")
 
 
-@query("forbidden_slice", "SELECT o_orderkey FROM orders WHERE contains(lower(o_orderpriority || o_orderkey), '1-urgent7')")
+@query("forbidden_slice", "SELECT o_orderkey FROM orders WHERE CASE WHEN o_orderkey % 7 = 0 THEN 'x/Val2017/' WHEN o_orderkey % 11 = 0 THEN 'DALLE3/' ELSE 'train2017/dalle2/' END || o_orderpriority SIMILAR TO '.*([vV][aA][lL]2017|[dD][aA][lL][lL][eE]3).*'")
 def forbidden_slice(spark, d):
-    key = F.concat(F.col("o_orderpriority"), F.col("o_orderkey"))
-    return a.table(spark, d, "orders").where(F.lower(key).contains("1-urgent7")).select("o_orderkey")
+    n = F.col("o_orderkey")
+    orig = F.concat(F.when(n % 7 == 0, "x/Val2017/").when(n % 11 == 0, "DALLE3/").otherwise("train2017/dalle2/"), F.col("o_orderpriority"))
+    return a.table(spark, d, "orders").where(dims.forbidden_slice(orig)).select("o_orderkey")
 
 
-@query("scores_manifest_join", sc("SELECT cond, count(*) AS n, count(m.long) AS matched, sum(m.long)::BIGINT AS total_long FROM sc LEFT JOIN m ON m.path = sc.path AND m.doc_id % 4 <> 0 GROUP BY cond"))
+@query("scores_manifest_join", sc("SELECT cond, count(*) AS n, count(m.long) AS matched, sum(m.long)::BIGINT AS total_long FROM sc LEFT JOIN m ON m.path = sc.path GROUP BY cond"))
 def scores_manifest_join(spark, d):
-    s = a.scores(spark, d).withColumn("path", F.concat(F.lit("./"), F.col("path")))
-    right = a.manifest(spark, d).where("doc_id % 4 != 0").select(dims.norm_path(F.col("path")).alias("p"), "long")
-    return s.join(right, dims.norm_path(F.col("path")) == F.col("p"), "left").groupBy("cond").agg(F.count("*").alias("n"), F.count("long").alias("matched"), F.sum("long").alias("total_long"))
-
-
-@query("errors_orig_join", sc("SELECT e.path, coalesce(m.orig, '') AS orig FROM (SELECT path FROM sc WHERE cond = 'clean' AND label = 0 AND score >= 0.6) e LEFT JOIN m ON m.path = e.path AND m.doc_id % 3 = 0"))
-def errors_orig_join(spark, d):
-    e = a.scores(spark, d).where("cond = 'clean' AND label = 0 AND score >= 0.6").select("path")
-    return e.join(a.manifest(spark, d).where("doc_id % 3 = 0").select("path", "orig"), "path", "left").select("path", F.coalesce("orig", F.lit("")).alias("orig"))
-
-
-@query("scores_manifest_join_all", sc("SELECT cond, count(*) AS n, count(m.long) AS matched, sum(m.long)::BIGINT AS total_long FROM sc LEFT JOIN m ON m.path = sc.path GROUP BY cond"))
-def scores_manifest_join_all(spark, d):
-    """scores_manifest_join with every manifest row."""
     s = a.scores(spark, d).withColumn("path", F.concat(F.lit("./"), F.col("path")))
     return curate.scores_by_condition(s, a.manifest(spark, d))
 
 
-@query("errors_orig_join_all", sc("SELECT e.path, coalesce(m.orig, '') AS orig FROM (SELECT path FROM sc WHERE cond = 'clean' AND label = 0 AND score >= 0.6) e LEFT JOIN m ON m.path = e.path"))
-def errors_orig_join_all(spark, d):
-    """errors_orig_join with every manifest row."""
+@query("errors_orig_join", sc("SELECT e.path, coalesce(m.orig, '') AS orig FROM (SELECT path FROM sc WHERE cond = 'clean' AND label = 0 AND score >= 0.6) e LEFT JOIN m ON m.path = e.path"))
+def errors_orig_join(spark, d):
     e = a.scores(spark, d).where("cond = 'clean' AND label = 0 AND score >= 0.6").select("path")
     return curate.with_orig(e, a.manifest(spark, d))
 
@@ -298,6 +280,7 @@ def foreign_key_join(spark, d):
     return curate.require(joined, F.col("c_mktsegment").isNotNull(), "an order without a customer").select("o_orderkey", "c_mktsegment")
 
 
+#: Every document is a probe.
 PAIRS = f"WITH {a.H}, pairs AS (SELECT p.id AS probe_id, t.id AS train_id, bit_count(xor(p.dhash, t.dhash)) AS distance FROM pr p, h t WHERE bit_count(xor(p.dhash, t.dhash)) <= 4)"
 
 
@@ -308,61 +291,27 @@ def hamming_pigeonhole(spark, d):
 
 @query("nearest_hash", PAIRS + " SELECT probe_id, train_id, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY distance, train_id) AS k FROM pairs) WHERE k = 1")
 def nearest_hash(spark, d):
-    return dedup.nearest(dedup.near_pairs(*a.hashes(spark, d), 4))
+    return dedup.nearest_by_hash(*a.hashes(spark, d), 4)
 
 
 @query("hamming_prefix", f"WITH {a.H} SELECT DISTINCT p.id FROM pr p, h t WHERE bit_count(xor(p.dhash, t.dhash)) <= 2 AND (p.dhash >> 40 = t.dhash >> 40 OR xor(p.dhash >> 40, 1) = t.dhash >> 40)")
 def hamming_prefix(spark, d):
-    return dedup.near_by_prefix(*a.hashes(spark, d))
+    probe, known = a.hashes(spark, d)
+    hit = dedup.near_by_prefix(probe.select(F.col("dhash").alias("id"), "dhash").distinct(), known.select("dhash").distinct())
+    return probe.join(hit.withColumnRenamed("id", "dhash"), "dhash").select("id").distinct()
 
 
 @query("hamming_brute", PAIRS + " SELECT distance::INT AS distance, count(*) AS pairs FROM pairs GROUP BY distance")
 def hamming_brute(spark, d):
-    return dedup.near_pairs(*a.hashes(spark, d), 4).groupBy("distance").agg(F.count("*").alias("pairs"))
+    return dedup.near_counts(*a.hashes(spark, d), 4)
 
 
-@query("unseen_reasons", PAIRS + """, tr AS (SELECT sha256(text) AS s, doc_id FROM documents) SELECT p.id, CASE WHEN p.id % 30 = 0 THEN 'unreadable' WHEN EXISTS (SELECT 1 FROM tr x WHERE x.doc_id <> p.id AND x.doc_id % 3 <> 0 AND x.s = (SELECT s FROM tr y WHERE y.doc_id = p.id)) THEN 'byte-identical'
+@query("unseen_reasons", PAIRS + """, tr AS (SELECT sha256(text) AS s, doc_id FROM documents) SELECT p.id, CASE WHEN p.id % 30 = 0 THEN 'unreadable' WHEN EXISTS (SELECT 1 FROM tr x WHERE x.doc_id <> p.id AND x.s = (SELECT s FROM tr y WHERE y.doc_id = p.id)) THEN 'byte-identical'
     WHEN EXISTS (SELECT 1 FROM pairs q WHERE q.probe_id = p.id) THEN 'near-duplicate' END AS reason FROM pr p""")
 def unseen_reasons(spark, d):
     probe, known = a.hashes(spark, d)
     docs = a.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"))
     rows = probe.join(docs, "id").select(F.col("id").alias("path"), F.when(F.col("id") % 30 != 0, F.col("sha256")).alias("sha256"))
-    near = dedup.near_pairs(probe, known, 4).select(F.col("probe_id").alias("path"))
-    return curate.drop_reasons(rows, docs.where("id % 3 != 0"), near).select(F.col("path").alias("id"), "reason")
-
-
-#: The five queries above, with every document as a probe.
-PAIRS_ALL = f"WITH {a.H_ALL}, pairs AS (SELECT p.id AS probe_id, t.id AS train_id, bit_count(xor(p.dhash, t.dhash)) AS distance FROM pr p, h t WHERE bit_count(xor(p.dhash, t.dhash)) <= 4)"
-
-
-@query("hamming_pigeonhole_all", PAIRS_ALL + " SELECT probe_id, train_id, distance::INT AS distance FROM pairs")
-def hamming_pigeonhole_all(spark, d):
-    return dedup.near_pairs(*a.all_hashes(spark, d), 4)
-
-
-@query("nearest_hash_all", PAIRS_ALL + " SELECT probe_id, train_id, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY distance, train_id) AS k FROM pairs) WHERE k = 1")
-def nearest_hash_all(spark, d):
-    return dedup.nearest_by_hash(*a.all_hashes(spark, d), 4)
-
-
-@query("hamming_prefix_all", f"WITH {a.H_ALL} SELECT DISTINCT p.id FROM pr p, h t WHERE bit_count(xor(p.dhash, t.dhash)) <= 2 AND (p.dhash >> 40 = t.dhash >> 40 OR xor(p.dhash >> 40, 1) = t.dhash >> 40)")
-def hamming_prefix_all(spark, d):
-    probe, known = a.all_hashes(spark, d)
-    hit = dedup.near_by_prefix(probe.select(F.col("dhash").alias("id"), "dhash").distinct(), known.select("dhash").distinct())
-    return probe.join(hit.withColumnRenamed("id", "dhash"), "dhash").select("id").distinct()
-
-
-@query("hamming_brute_all", PAIRS_ALL + " SELECT distance::INT AS distance, count(*) AS pairs FROM pairs GROUP BY distance")
-def hamming_brute_all(spark, d):
-    return dedup.near_counts(*a.all_hashes(spark, d), 4)
-
-
-@query("unseen_reasons_all", PAIRS_ALL + """, tr AS (SELECT sha256(text) AS s, doc_id FROM documents) SELECT p.id, CASE WHEN p.id % 30 = 0 THEN 'unreadable' WHEN EXISTS (SELECT 1 FROM tr x WHERE x.doc_id <> p.id AND x.s = (SELECT s FROM tr y WHERE y.doc_id = p.id)) THEN 'byte-identical'
-    WHEN EXISTS (SELECT 1 FROM pairs q WHERE q.probe_id = p.id) THEN 'near-duplicate' END AS reason FROM pr p""")
-def unseen_reasons_all(spark, d):
-    probe, known = a.all_hashes(spark, d)
-    docs = a.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"))
-    rows = probe.join(docs, "id").select(F.col("id").alias("path"), F.when(F.col("id") % 30 != 0, F.col("sha256")).alias("sha256"))
     near = dedup.nearest_by_hash(probe, known, 4).select(F.col("probe_id").alias("path"))
     twice = docs.groupBy("sha256").agg(F.count("*").alias("n")).where("n > 1")  # so another document has it
     return curate.drop_reasons(rows, twice, near).select(F.col("path").alias("id"), "reason")
@@ -929,10 +878,11 @@ def stream_dedup(spark, d):
     """The stream's rows at its end are the batch's: the query runs over the same folder to its end and reads the result."""
     import uuid
 
+    from curata.session import delete_at_exit, shared_dir
     from curata.streaming.dedup import new_rows, read_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
     stream = read_stream(spark, f"{d}/events.parquet", a.table(spark, d, "events").schema).select(F.concat_ws("|", "user_id", "event_type").alias("key"), "user_id", "event_type")
     done = new_rows(stream, "key").writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     done.awaitTermination()

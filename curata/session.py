@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +24,25 @@ def build(master: str | None = None, **settings: str) -> SparkSession:
     for k, v in (SETTINGS | settings).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary
+    one; on a cluster that would not be shared, so it is an error there."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    def delete() -> None:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone: its owner cleans the shared folder
+            return
+
+    atexit.register(delete)

@@ -31,7 +31,7 @@ def test_corpus_properties(spark):
     got = out.collect()
     assert len({r["orig"] for r in got}) == len(got) and all(r["long"] > 0 for r in got)
     assert sum(r["source"] == "s1" for r in got) == 40
-    assert all(r["split"] == "test" for r in got if r["source"] == "s3" or (r["label"] == 1 and r["generator"] == "g2"))
+    assert all(r["split"] == "test" for r in got if r["source"] == "s3" or r["generator"] == "g2")
     for s in ("train", "val"):
         for b in {r["bucket"] for r in got}:
             labels = [r["label"] for r in got if r["split"] == s and r["bucket"] == b]
@@ -64,12 +64,12 @@ def test_hamming_joins_agree(spark):
 
 def test_every_document_is_a_probe(spark, sf):
     ids = {r[0] for r in adapters.table(spark, sf, "documents").select("doc_id").collect()}
-    probe, known = adapters.all_hashes(spark, sf)
+    probe, known = adapters.hashes(spark, sf)
     assert {r[0] for r in probe.select("id").collect()} == ids
-    got = sorted(map(tuple, queries.QUERIES["hamming_pigeonhole_all"](spark, sf).collect()))
+    got = sorted(map(tuple, queries.QUERIES["hamming_pigeonhole"](spark, sf).collect()))
     assert got == sorted(map(tuple, dedup.near_pairs_brute(probe, known, 4).collect()))
     assert {p for p, *_ in got} >= {i for i in ids if i % 7 <= 4} and any(p % 3 for p, *_ in got)
-    assert {r["id"] for r in queries.QUERIES["unseen_reasons_all"](spark, sf).collect()} == ids
+    assert {r["id"] for r in queries.QUERIES["unseen_reasons"](spark, sf).collect()} == ids
 
 
 def test_near_copies_are_searched(spark, tmp_path):
@@ -86,15 +86,15 @@ def test_near_copies_are_searched(spark, tmp_path):
     named = rows.withColumn("id", F.col("path"))
     brute = dedup.near_pairs_brute(named.where("split != 'train'"), named.where("split = 'train'"))
     assert {x["probe_id"] for x in brute.collect()} == {"doc/18", "doc/19"}
-    assert {x[0] for x in queries.QUERIES["drop_list_all"](spark, str(tmp_path)).collect()} == {f"doc/{i}" for i in (18, 19, 23, 28, 29)}
-    gates = {x["gate"]: x["verdict"] for x in queries.QUERIES["corpus_audit_all"](spark, str(tmp_path)).collect()}
+    assert {x[0] for x in queries.QUERIES["drop_list"](spark, str(tmp_path)).collect()} == {f"doc/{i}" for i in (18, 19, 23, 28, 29)}
+    gates = {x["gate"]: x["verdict"] for x in queries.QUERIES["corpus_audit"](spark, str(tmp_path)).collect()}
     assert gates == {g: "FAIL" for g in ("files", "duplicates", "near-duplicates val", "near-duplicates test")}
 
 
 def test_the_whole_manifest_is_joined(spark, sf):
-    got = queries.QUERIES["scores_manifest_join_all"](spark, sf).collect()
+    got = queries.QUERIES["scores_manifest_join"](spark, sf).collect()
     assert got and all(x["matched"] == x["n"] for x in got)
-    errors = queries.QUERIES["errors_orig_join_all"](spark, sf).collect()
+    errors = queries.QUERIES["errors_orig_join"](spark, sf).collect()
     assert errors and all(x["orig"] == f"src/{int(x['path'][4:]) // 2}" for x in errors)
     scores = spark.createDataFrame([("./a", "clean"), ("./b", "clean")], "path string, cond string")
     rows = spark.createDataFrame([("a", "o", 7)], "path string, orig string, long int")

@@ -1,56 +1,131 @@
+"""Detector metrics against counts over all pairs and cut-offs of small tables."""
+
+import itertools
+
+import numpy as np
+import pandas as pd
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from curata.operators import metrics
+from curata.operators import curate, learn, metrics
+
+ROWS = st.lists(st.tuples(st.integers(0, 2), st.integers(0, 1), st.sampled_from([-40.0, -1.5, -0.25, 0.0, 0.125, 0.25, 0.5, 0.75, 1.0, 1.25, 9.0, 300.0])), min_size=1, max_size=40)
+SLOW = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "g long, label long, score double")
+
+
+def won(rows):
+    """Share of (fake, real) pairs that the fake wins, ties counting half; None without a pair."""
+    fakes, reals = ([s for _, y, s in rows if y == k] for k in (1, 0))
+    pairs = [(a > b) + (a == b) / 2 for a, b in itertools.product(fakes, reals)]
+    return sum(pairs) / len(pairs) if pairs else None
+
+
+@SLOW
+@given(ROWS)
+def test_auroc_counts_pairs(spark, rows):
+    got = {r["g"]: r["auroc"] for r in metrics.auroc(frame(spark, rows), ["g"]).collect()}
+    groups = {g for g, *_ in rows}
+    assert set(got) == groups
+    for g in groups:
+        want = won([r for r in rows if r[0] == g])
+        assert got[g] is None if want is None else got[g] == pytest.approx(want)
+    whole = metrics.auroc(frame(spark, rows), []).first()["auroc"]
+    assert whole is None if won(rows) is None else whole == pytest.approx(won(rows))
+
+
+@SLOW
+@given(ROWS, st.sampled_from([0.0, 0.01, 0.2, 0.5, 1.0]))
+def test_quantile_cutoff_interpolates(spark, rows, fa):
+    got = {r["g"]: r["cutoff"] for r in metrics.quantile_cutoff(frame(spark, rows), ["g"], fa).collect()}
+    for g in {g for g, y, _ in rows if y == 0}:
+        assert got[g] == pytest.approx(np.quantile([s for h, y, s in rows if h == g and y == 0], 1 - fa))
+
+
+@SLOW
+@given(ROWS)
+def test_points_and_cutoffs(spark, rows):
+    rows = [(1, y, s) for _, y, s in rows] + [(1, 0, 0.5), (1, 1, 0.5)]
+    df = frame(spark, rows)
+    rate = lambda y, t: np.mean([s >= t for _, k, s in rows if k == y])
+    points = {r["threshold"]: (r["tpr"], r["fpr"]) for r in metrics.roc(df, ["g"]).collect()}
+    assert points.pop(None) == (0, 0) and set(points) == {s for *_, s in rows}
+    assert all(points[t] == pytest.approx((rate(1, t), rate(0, t))) for t in points)
+    cut = metrics.youden(df, ["g"]).first()["cutoff"]
+    gains = {t: rate(1, t) - rate(0, t) for t in points}
+    assert gains[cut] == pytest.approx(max(gains.values()))
+    low = metrics.fpr_at_tpr(df, ["g"], 0.8).first()["fpr_at_tpr"]
+    assert low == pytest.approx(min(rate(0, t) for t in points if rate(1, t) >= 0.8))
+    c = metrics.confusion(df, ["g"], F.lit(cut)).first()
+    assert (c["tp"], c["fp"]) == (sum(s >= cut for _, y, s in rows if y == 1), sum(s >= cut for _, y, s in rows if y == 0))
+    assert c["balanced_acc"] == pytest.approx((rate(1, cut) + 1 - rate(0, cut)) / 2)
+
 
+def test_each_generator_meets_all_reals(spark):
+    rows = [(0, "", x / 8) for x in (1, 2, 2, 5)] + [(1, "north", x / 8) for x in (2, 7)] + [(1, "south", 0.0)]
+    df = spark.createDataFrame(rows, "label int, generator string, score double").withColumn("cond", F.lit("clean"))
+    got = {r["generator"]: (r["fakes"], r["auroc"]) for r in metrics.by_generator(df, ["cond"]).collect()}
+    assert got == {"north": (2, pytest.approx((2 + 4) / 8)), "south": (1, 0.0)}  # 1 + two halves, then 4 of 4
 
-def table(spark, labels, scores):
-    return spark.createDataFrame([(1, int(y), float(s)) for y, s in zip(labels, scores)], "g int, label int, score double")
 
+def test_empty_tables(spark):
+    none = frame(spark, [(1, 1, 0.5)]).limit(0)
+    for of in (metrics.auroc, metrics.roc, metrics.youden, metrics.quantile_cutoff, metrics.fpr_at_tpr):
+        assert of(none, ["g"]).count() == 0
 
-def value(df, c):
-    return df.first()[c]
 
+def test_condition_names():
+    assert metrics.GRID[0] == "clean" and len(set(metrics.GRID + metrics.EXTRA)) == len(metrics.GRID) + len(metrics.EXTRA) == 26
 
-@pytest.mark.parametrize(
-    "labels, scores, want",
-    [
-        ([0, 0, 0, 1, 1, 1], [0.1, 0.2, 0.3, 0.7, 0.8, 0.9], 1.0),
-        ([0, 0, 0, 1, 1, 1], [0.9, 0.8, 0.7, 0.3, 0.2, 0.1], 0.0),
-        ([0, 1] * 50, [0.5] * 100, 0.5),
-        ([1, 1, 1, 0, 0, 0], [0.9, 0.8, 0.4, 0.7, 0.3, 0.1], 8 / 9),
-        ([1, 1], [0.1, 0.2], None),
-        ([0, 1], [-3.0, 7.5], 1.0),
-    ],
-)
-def test_auroc(spark, labels, scores, want):
-    got = value(metrics.auroc(table(spark, labels, scores), ["g"]), "auroc")
-    assert got == pytest.approx(want) if want is not None else got is None
-    whole = metrics.auroc(table(spark, labels, scores), []).first()["auroc"]
-    assert whole == pytest.approx(want) if want is not None else whole is None
 
+def shrunk(x):
+    """Ledoit-Wolf by its definition: the distance of each row's outer product from the covariance."""
+    n, d = x.shape
+    cov = x.T @ x / n
+    target = np.trace(cov) / d * np.eye(d)
+    spread = np.sum((cov - target) ** 2)
+    noise = sum(np.sum((np.outer(r, r) - cov) ** 2) for r in x) / n**2
+    share = min(1.0, noise / spread)
+    return (1 - share) * cov + share * target
 
-def test_worked_examples(spark):
-    rows = table(spark, [0, 0, 1, 1], [0.1, 0.6, 0.7, 0.9])
-    assert value(metrics.confusion(rows, ["g"], F.lit(0.65)), "balanced_acc") == 1.0
-    assert value(metrics.fpr_at_tpr(rows, ["g"]), "fpr_at_tpr") == 0.0
-    assert value(metrics.fpr_at_tpr(table(spark, [0, 0, 1, 1], [0.1, 0.7, 0.6, 0.9]), ["g"]), "fpr_at_tpr") == 0.5
-    rows = table(spark, [0, 0, 1, 1], [0.2, 0.3, 0.8, 0.9])
-    cut = value(metrics.youden(rows, ["g"]), "cutoff")
-    assert value(metrics.confusion(rows, ["g"], F.lit(cut)), "balanced_acc") == 1.0
 
+def test_one_class_is_ledoit_wolf(spark):
+    r = np.random.default_rng(11)
+    x = r.standard_normal((60, 5)) @ r.standard_normal((5, 5)) + 3
+    labels = [0] * 45 + [1] * 15
+    x[45:] += 2.5
+    df = spark.createDataFrame([(i, y, v.tolist()) for i, (y, v) in enumerate(zip(labels, x))], "id int, label int, features array<double>").repartition(3)
+    got = {row["id"]: row["score"] for row in learn.one_class(df, "id").collect()}
+    z = (x - x[:45].mean(0)) / (x[:45].std(0) + 1e-8)
+    dist = np.einsum("ij,jk,ik->i", z, np.linalg.inv(shrunk(z[:45])), z)
+    assert [got[i] for i in range(60)] == pytest.approx(dist / (dist + np.median(dist[:45])), rel=1e-6)
 
-def test_generators_against_all_reals(spark):
-    rows = spark.createDataFrame([(0, "", 0.2), (0, "", 0.6), (1, "a", 0.6), (1, "b", 0.1), (1, "b", 0.9)], "label int, generator string, score double").withColumn("cond", F.lit("clean"))
-    got = {r["generator"]: r["auroc"] for r in metrics.by_generator(rows, ["cond"]).collect()}
-    assert got == {"a": 0.75, "b": 0.5}
 
+def test_out_of_fold_separates(spark):
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, float(i % 2), (r.standard_normal(3) + 3 * (i % 2)).tolist()) for i in range(200)], "id int, label double, features array<double>")
+    scores = learn.out_of_fold(df, "id").toPandas()
+    assert len(scores) == 200 and won([(0, int(y), s) for y, s in zip(scores["label"], scores["score"])]) > 0.99
+    long = pd.concat([scores.assign(model="a"), scores.assign(model="b", score=0.5)])
+    stacked = learn.stack(spark.createDataFrame(long[["id", "label", "model", "score"]]), "id", ["a", "b"]).toPandas()
+    assert won([(0, int(y), s) for y, s in zip(stacked["label"], stacked["score"])]) > 0.99
 
-def test_no_rows(spark):
-    empty = spark.createDataFrame([], "g int, label int, score double")
-    assert metrics.auroc(empty, ["g"]).count() == 0
-    assert metrics.roc(empty, ["g"]).count() == 0
 
+@SLOW
+@given(st.lists(st.tuples(st.sampled_from(["x", "y", None]), st.integers(0, 10**6)), min_size=1, max_size=40, unique_by=lambda t: t[1]), st.integers(1, 6))
+def test_ranks_over_bins(spark, rows, most):
+    import hashlib
 
-def test_grid_names():
-    assert metrics.GRID[0] == "clean" and len(set(metrics.GRID)) == 15 and len(metrics.EXTRA) == 11
+    df = spark.createDataFrame([(s, str(k)) for s, k in rows], "s string, path string").repartition(3)
+    order = lambda path: (hashlib.md5(f"5|{path}".encode()).hexdigest(), path)
+    want = {}
+    for s in {s for s, _ in rows}:
+        for k, path in enumerate(sorted((str(p) for t, p in rows if t == s), key=order)):
+            want[path] = k + 1
+    assert {r["path"]: r["rn"] for r in curate.ranked(df, ["s"], 5).collect()} == want
+    assert {r["path"] for r in curate.stratified_sample(df, ["s"], most, 5).collect()} == {p for p, k in want.items() if k <= most}
