@@ -8,9 +8,11 @@ by another MD5, of (seed, id, copy). The draws depend on nothing else, so a reru
 
 The cumulative distribution is made once for each source, up to where it rounds to 1; rates over MAX_RATE are drawn as a
 sum of several Poisson numbers, since e^-rate would vanish. Weights default to 1 for each source; a source without a
-weight in ``weights`` is left out. Null is a source of its own. Documents with null ids draw alike. An empty table stays
-empty. Repeated ids draw alike and so repeat alike. Only DataFrame functions are used, and the rates join the documents
-as a table: Spark broadcasts it when it measures it to be small, and splits a hot source's partition otherwise.
+weight in ``weights`` is left out. Null is a source of its own. A row with a null id draws by its text, so that such rows
+do not all draw alike; rows that share an id (or, without one, their text) do, and share their place in the order. Texts
+of any length and null texts are only carried along. An empty table stays empty. Columns keep their names, but for those
+called as the new ones, which mix() replaces. Only DataFrame functions are used, and the rates join the documents as a
+table: Spark broadcasts it when it measures it to be small, and splits a hot source's partition otherwise.
 """
 
 from __future__ import annotations
@@ -51,16 +53,41 @@ def rates(documents: DataFrame, weights: DataFrame | None = None, budget: float
     return pieces.select("source", "rate", "pieces", F.expr(cdf).alias("cdf"))
 
 
+def _position(documents: DataFrame, name: str) -> int | None:
+    lower = [c.lower() for c in documents.columns]
+    return documents.columns.index(name) if name in documents.columns else lower.index(name) if name in lower else None
+
+
+def _mixed(documents: DataFrame, weights: DataFrame | None, budget: float | None, seed: int) -> DataFrame:
+    """The copies with columns c0, c1, .. for those of ``documents``, and copy, copies and order."""
+    names = [f"c{k}" for k in range(len(documents.columns))]  # a column may have any name
+    rows = documents.toDF(*names)
+    at = {c: _position(documents, c) for c in ("source", "doc_id", "text")}
+    source, doc_id = (F.col(names[at[c]]) for c in ("source", "doc_id"))
+    text = F.col(names[at["text"]]) if at["text"] is not None else F.lit("")
+    # a row without an id draws by its text
+    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))))
+    table = rates(rows.select(source.alias("source")), weights, budget).withColumnRenamed("source", "__source")
+    joined = rows.join(table, source.eqNullSafe(F.col("__source")))
+    drawn = joined.withColumn("draws", F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda j: draw(F.lit(seed), key, j)))
+    counted = drawn.withColumn("copies", F.expr("aggregate(draws, 0L, (n, u) -> n + size(filter(cdf, c -> c <= u)))")).where("copies > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), key, F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    out = copies.select(*names, "copy", "copies", order.alias("order"))
+    return out.repartition("order").sortWithinPartitions("order", "copy")
+
+
 def mix(documents: DataFrame, weights: DataFrame | None = None, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """``documents`` with __copy (from 1), __copies and __order, shuffled by __order: as many rows as each drew."""
-    table = rates(documents, weights, budget).select(F.col("source").alias("__source"), F.col("pieces").alias("__pieces"), F.col("cdf").alias("__cdf"))
-    joined = documents.join(table, F.col("source").eqNullSafe(F.col("__source")))
-    drawn = joined.withColumn("__draws", F.transform(F.sequence(F.lit(1), F.col("__pieces")), lambda j: draw(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), j)))
-    counted = drawn.withColumn("__copies", F.expr("aggregate(__draws, 0L, (n, u) -> n + size(filter(__cdf, c -> c <= u)))")).where("__copies > 0")
-    copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    out = copies.select(*documents.columns, "__copy", "__copies", order.alias("__order"))
-    return out.repartition("__order").sortWithinPartitions("__order", "__copy")
+    new = ["__copy", "__copies", "__order"]
+    kept = [k for k, c in enumerate(documents.columns) if c.lower() not in new]
+    rows = _mixed(documents, weights, budget, seed).select(*(f"c{k}" for k in kept), "copy", "copies", "order")
+    return rows.toDF(*(documents.columns[k] for k in kept), *new)
+
+
+def replicated(documents: DataFrame, weights: DataFrame | None = None, budget: float | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of mix() with the columns of ``documents``."""
+    return _mixed(documents, weights, budget, seed).drop("copy", "copies", "order").toDF(*documents.columns)
 
 
 #: DuckDB SQL of mix() with default weights over ``documents``.

@@ -380,6 +380,19 @@ def test_mixing_rates(spark):
     assert mixing.mix(rows.limit(0)).count() == 0
 
 
+def test_mixing_cases(spark):
+    rows = [(None if i < 400 else i, f"text {i}", None if i % 2 else "s", 7, 8) for i in range(2000)] + [(5000, None, "t", 7, 8)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __copy int, c0 int")
+    mixed = mixing.mix(df)
+    assert mixed.columns == ["doc_id", "text", "source", "c0", "__copy", "__copies", "__order"]
+    by = {r["source"]: r["count"] for r in mixed.where("source IS NULL OR source = 's'").groupBy("source").count().collect()}
+    assert all(abs(by[k] - 2003 / 3) < 5 * 26 for k in (None, "s"))  # rows without an id do not draw alike
+    drawn = mixed.where("doc_id IS NULL").select("__copies", "text").distinct().groupBy("__copies").count().count()
+    assert drawn > 1 and mixing.replicated(df).columns == df.columns and mixing.replicated(df).count() == mixed.count()
+    assert mixing.mix(df.where("source = 't'"), budget=30.0).select("__copies").distinct().count() <= 1
+    assert mixing.replicated(df.limit(0)).count() == 0
+
+
 def test_mixing_is_native(spark, sf):
     plan = queries.op9_mixing(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -404,3 +417,25 @@ def test_pipeline(spark, sf):
     assert all(r["n_tokens"] == len(r["ids"]) and r["decoded_sha256"] == hashlib.sha256(rows[r["doc_id"]].encode()).hexdigest() for r in got)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls, empty, long and repeated texts, ties, clashing columns, an empty table."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(1, "a plain text of some words", "en", "s", 26), (2, "a plain  text of some words", "en", "s", 27), (2, "a plain  text of some words", "en", "s", 27), (None, "no id here", None, None, 10), (None, "no id here", None, None, 10), (3, None, "en", "t", 0), (4, "", "en", "t", 0), (5, long, "en", "t", len(long)), (6, long + " more", "en", "t", len(long) + 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clash = spark.createDataFrame([(*r, 1, "i", "x", 2) for r in rows], schema + ", __score int, ids string, `__id` string, `__copy` int")
+    for docs, n in ((spark.createDataFrame(rows, schema), 5), (clash, 5), (clash.limit(0), 0)):
+        at = docs
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            before, at = at, stage(spark, at, str(tmp_path))
+            assert at.columns == before.columns and at.schema == before.schema, name
+        # one of the plain texts, one without an id, one of the empty ones (null is empty) and one of the long ones
+        left = sorted(((r["doc_id"] or 0) for r in at.collect()))
+        assert left == [0, 1, 3, 5][: len(left)] and len(left) == (4 if n else 0)
+        mixed = corpus_pipeline.STAGES[3][1](spark, at, str(tmp_path))
+        assert mixed.columns == docs.columns
+        assert corpus_pipeline.STAGES[4][1](spark, at, str(tmp_path)).count() == len(left)

@@ -72,6 +72,7 @@ def test_bpe_cut_at_spaces(text):
 
 def test_bpe_small_tables_and_rows(tok, exact, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "SMALL_CACHE", 3)
     own = bpe.Bpe(tok.ranks, pt.PATTERN)
     texts = ["one two three two one", "", "four", " one  two", "", "éé"]
     ids = [own.encode(t) for t in texts]
