@@ -1,6 +1,12 @@
 """A corpus made ready for training: quality, exact and near duplicates, mixing, tokens.
 
-Each stage takes (spark, docs, sf_dir) and gives rows with the columns of documents; the last one gives token ids.
+Each stage takes (spark, docs, sf_dir) and gives rows with the columns of documents, whatever these are called; the last
+one gives token ids.
+
+Null texts count as empty, and empty texts are copies of each other. A row without an id is a copy only of equal texts (the
+row with an id stays, if there is one), is no near copy of others, and is mixed by its text. Rows that share an id stay
+unless they are copies; near ones among them go together. Ties go to the smallest id. Long texts are whole in each stage,
+and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +21,9 @@ from curata.llm.common import staged
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labels that are not held out."""
     net = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, net, docs.columns, "__score").where(F.col("__score") >= quality.CUT).select(docs.columns)
+    names = ["text" if c.lower() == "text" else f"c{k}" for k, c in enumerate(docs.columns)]  # none is the score's
+    scored = quality.scored(docs.toDF(*names), net, names, "score")
+    return scored.where(F.col("score") >= quality.CUT).drop("score").toDF(*docs.columns)
 
 
 def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +38,7 @@ def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources have the same expected number of rows, in shuffled order."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.replicated(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
