@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 
 from curata.llm.common import ship, tidy
 
-#: Entries of a generation of each table; a table holds two.
-CACHE = 250_000
+#: Entries of a generation of the table of stretches, and of each other one; a table holds two generations.
+CACHE, SMALL_CACHE = 250_000, 80_000
 #: Longer pieces are not kept.
 CACHED_CHARS = 48
 #: Nodes of the tree up to so many bytes are kept.
@@ -48,17 +49,23 @@ PART_BYTES = 4_000_000
 PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
 
+#: Up to here, what Python and the pattern call a letter has been the same in all versions of Unicode.
+LAST_LETTER = "\u017f"
+#: What a stable pair is replaced by: nothing.
+_STABLE: list[int] = []
+
+
 class Kept(dict):
-    """A table of at most 2 * CACHE entries: when the young generation is full, the old one goes."""
+    """A table of at most 2 * size entries: when the young generation is full, the old one goes."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, size: int):
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
-        if len(self) >= CACHE:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -79,10 +86,10 @@ class Bpe:
         self.sizes[list(self.token)] = [len(t) for t in self.token.values()]
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(self.token[i] for i in sorted(self.token)), np.uint8)
-        self.pairs = Kept(self._pair)
-        self.nodes = Kept(self._node)
-        self.pieces = Kept(self._piece)  # ids as int32, which are joined faster than numbers
-        self.stretches = Kept(self._stretch)
+        self.pairs = Kept(self._pair, SMALL_CACHE)
+        self.nodes = Kept(self._node, SMALL_CACHE)
+        self.pieces = Kept(self._piece, SMALL_CACHE)  # ids as int32, which are joined faster than numbers
+        self.stretches = Kept(self._stretch, CACHE)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Bpe:
@@ -111,23 +118,23 @@ class Bpe:
         if not left or not right:
             return left + right
         pairs = self.pairs
-        window = pairs[left[-1], right[0]]
+        window = pairs[left[-1] << 32 | right[0]]
         if not window:  # stable: the common case
             return left + right
         i = j = 1
         while True:
-            left_ok = i >= len(left) or not pairs[left[-i - 1], window[0]]
-            right_ok = j >= len(right) or not pairs[window[-1], right[j]]
+            left_ok = i >= len(left) or not pairs[left[-i - 1] << 32 | window[0]]
+            right_ok = j >= len(right) or not pairs[window[-1] << 32 | right[j]]
             if left_ok and right_ok:
                 return left[: max(0, len(left) - i)] + window + right[j:]
             i, j = (i if left_ok else 2 * i), (j if right_ok else 2 * j)
             data = b"".join(map(self.token.__getitem__, left[max(0, len(left) - i) :] + right[:j]))
             window = self.merged(data) if len(data) <= WIDE else self.queued(data)
 
-    def _pair(self, pair: tuple[int, int]) -> list[int]:
-        """The encoding of two tokens' bytes; empty if it is these two, so that the pair is stable."""
-        window = self.merged(self.token[pair[0]] + self.token[pair[1]])
-        return [] if len(window) == 2 and window[0] == pair[0] else window
+    def _pair(self, pair: int) -> list[int]:
+        """The encoding of two tokens' bytes (in the high and the low half); empty if it is these two: a stable pair."""
+        window = self.merged(self.token[pair >> 32] + self.token[pair & 0xFFFFFFFF])
+        return _STABLE if len(window) == 2 and window[0] == pair >> 32 else window
 
     def queued(self, data: bytes) -> list[int]:
         """As merged(), with a heap over a linked list: for wide windows."""
@@ -177,7 +184,7 @@ class Bpe:
         return self.encode_bytes(data)
 
     def _piece(self, piece: str) -> bytes:
-        return np.array(self.encode_bytes(piece.encode()), np.int32).tobytes()
+        return array("i", self.encode_bytes(piece.encode())).tobytes()
 
     def _matched(self, text: str) -> bytes:
         """Ids of a text, as int32: those of its matches."""
@@ -190,8 +197,12 @@ class Bpe:
 
     def _stretch(self, stretch: str) -> bytes:
         """Ids of a space and what follows it up to the next cut."""
-        text = " " + stretch
-        return self._piece(text) if stretch.isascii() and stretch.isalpha() else self._matched(text)  # letters are one match
+        if stretch.isalpha() and max(stretch) <= LAST_LETTER:
+            return self._piece(" " + stretch)  # a space and letters are one match
+        core, last = stretch[:-1], stretch[-1]
+        if last in ".,;:!?" and core.isalpha() and max(core) <= LAST_LETTER:
+            return self.stretches[core] + self.pieces[last]  # and a mark behind them is another
+        return self._matched(" " + stretch)
 
     def _cut(self, text: str) -> bytes:
         """Ids of a text that is cut at spaces: before each, if what stands before it is no white space."""
