@@ -1,28 +1,35 @@
-"""Operator 5: removal of repeated passages with a distributed difference-cover suffix array.
+"""Operator 5: removal of repeated passages with difference-cover suffix arrays.
 
 A byte is removed if a WIDTH-byte string that covers it also starts in a document with a smaller id; strings never cross
 documents, and all are judged on the input.
 
-Suffixes only need an order up to WIDTH bytes, so equal strings must meet, and others need not. Each string has an
-anchor, the ANCHOR bytes in it with the least hash (the leftmost of equals), which equal strings share. So:
+Suffixes only need an order up to WIDTH bytes, so equal strings must meet, and others need not. One sort of all suffixes
+would ship two thirds of them with their triple and place, some 7 bytes for each byte of text, in its first round alone
+(see the README for figures), so it is cut into many independent ones. Each string has an anchor, the ANCHOR bytes in it
+with the least hash (the leftmost of equals), which equal strings share:
 
 0. *units*: runs of strings between anchors whose hash is divisible by UNIT (about 400 bytes) are hashed, and all strings
    of a unit that a smaller document has too are to be removed, without looking closer. This leaves one copy of what
-   copies share. What a larger document's unit holds is not a source either, as the smaller one's copy is.
-1. *anchors*: each task lists the anchors of its documents. Partitioned by hash, those that occur in two documents or
+   copies share. What a larger document's unit holds is not a source either, as the smaller one's copy is. The stretches
+   between these units are written once, and all that follows reads them only.
+1. *anchors*: each task lists the anchors of its stretches. Partitioned by hash, those that occur in two documents or
    more are set in a filter of a fixed number of bits, which is broadcast. It may let others pass, which costs work only.
-2. *segments*: strings that follow each other and share a listed anchor make one segment (about 65 bytes), which goes to
-   its anchor's partition. Equal segments are collapsed to the smallest and largest document id before the shuffle.
-3. *suffix arrays*: an anchor's segments that agree with another one in 15 bytes beside it, on either side, may share a
-   string (30 bytes of it lie beside the anchor); these are concatenated and sorted by difference
-   cover modulo 3: triples at sampled positions are sorted and named, the names are recursed on until they differ, the
-   remaining suffixes are sorted by their first byte and the rank behind it, and the two orders are merged. Adjacent
-   suffixes with the same WIDTH-byte prefix are one string, whose smallest document is known then.
+2. *segments*: strings that follow each other and share a listed anchor make one segment (about 65 bytes). Equal segments
+   are collapsed to the smallest and largest document id before the shuffle.
+3. *suffix arrays*: distinct segments are partitioned and sorted by anchor. Those that agree with another one of their
+   anchor in 15 bytes beside it, on either side, may share a string (30 bytes of it lie beside the anchor); about
+   SORT_BYTES of these are concatenated and sorted by difference cover modulo 3: triples at sampled positions are sorted
+   and named, the names are recursed on until they differ, the remaining suffixes are sorted by their first byte and the
+   rank behind it, and the two orders are merged. Adjacent suffixes with the same WIDTH-byte prefix are one string, whose
+   smallest document is known then. An anchor with over HOT_SEGMENTS distinct segments would make one task long: its
+   strings become rows, are hashed to 128 bits, and take their minimum by a combining aggregate.
 4. *removal*: results go back to the segments' occurrences by an equi-join (split by Spark where one is hot), and to
-   documents; only documents with removals meet their texts in a shuffle.
+   their documents.
 
-Null texts count as empty. Rows with a null id are returned as they are, and remove nothing. Rows that share an id do not
-remove each other's bytes; they are told apart by their text's hash. An empty table gives an empty result.
+Staged tables are deleted when the last step that reads them has ended. Null texts count as empty. Rows with a null id are
+returned as they are, and remove nothing. Rows that share an id do not remove each other's bytes; they are told apart by
+their text's hash. A long text is scanned in tiles and is one row. An empty table gives an empty result. Only columns
+doc_id and text are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -434,8 +441,8 @@ def repeated_strings(documents: DataFrame) -> DataFrame:
     distinct = cut.groupBy("anchor", "content_hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("content").alias("content"), F.first("place").alias("place"))
     distinct = staged(distinct.select("anchor", "content_hash", "content", "least", "most", "place"), "distinct")
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor")
-    cold = distinct.join(hot, "anchor", "left_anti").select(distinct.columns)
-    results = cold.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_smallest), "anchor long, content_hash long, least long, leasts array<long>")
+    cold = distinct.repartition(parts, "anchor").join(hot, "anchor", "left_anti").select(distinct.columns)
+    results = cold.sortWithinPartitions("anchor").mapInArrow(tidy(_smallest), "anchor long, content_hash long, least long, leasts array<long>")
     results = staged(results.unionByName(_smallest_of_hot(distinct.join(hot, "anchor", "left_semi").select(distinct.columns))), "results")
     drop_staged(distinct)
     found = cut.select("anchor", "content_hash", "doc_id", "text_hash", "start", (F.octet_length("content") - WIDTH + 1).alias("n")).join(results, ["anchor", "content_hash"]).where("leasts IS NOT NULL OR least < doc_id")
