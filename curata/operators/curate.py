@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import dims
 from curata.functions.seeded import order_key
+from curata.session import written
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -147,9 +148,12 @@ def build_corpus(manifests: list[DataFrame], excluded: DataFrame | None = None,
         rows = rows.join(excluded.select("path").distinct(), "path", "left_anti")
     rows = rows.withColumn("__key", dims.source_key(F.col("orig"), F.col("path")))
     rows = first_wins(rows, ["__key"], ["__source_order", "path"]).drop("__key", "__source_order")
-    rows = source_cap(rows.withColumn("bucket", dims.bucket(F.col("long"))), caps, seed + 7)
+    # ranks read their rows twice, so each step's rows are written once
+    rows = written(rows.withColumn("bucket", dims.bucket(F.col("long"))))
+    rows = source_cap(rows, caps, seed + 7)
     routed = rows.withColumn("__route", route(rows, test_sources, test_generators))
     parts = split(routed.where("__route = 'split'"), ["source", "generator"], seed)
+    parts = written(parts)
     held = routed.where("__route = 'test'").withColumn("split", F.lit("test"))
     out = [parts.where("split = 'test'"), held]
     for name, s, bound, least in (("train", seed + 100, cap, min_bucket), ("val", seed + 101, max(1, cap // 8) if cap else 0, max(1, min_bucket // 8))):

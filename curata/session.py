@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -37,6 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="shared-")
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the shared folder: the lineage ends there."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     def delete() -> None:
         try:
