@@ -208,8 +208,10 @@ def edit_eval(rows: DataFrame, trained: list[DataFrame], test: DataFrame, seed:
 
 
 def mix_half(clean: DataFrame, augmented: DataFrame, seed: int | str, key: str = "path") -> DataFrame:
-    """Clean rows and as many augmented ones, in seeded order (fewer if there are not as many)."""
-    return clean.unionByName(seeded_limit(augmented, clean.count(), seed, key))
+    """Clean rows and as many augmented ones, first in seeded order (fewer if there are not as many)."""
+    want = clean.agg(F.count("*").alias("__want"))  # one row
+    picked = ranked(augmented, [], seed, key).join(want, how="cross").where(F.col("rn") <= F.col("__want"))
+    return clean.unionByName(picked.drop("rn", "__want"))
 
 
 def require(rows: DataFrame, condition: Column, message: str) -> DataFrame:

@@ -98,15 +98,20 @@ def confusion(scores: DataFrame, by: list[str], cutoff: Column) -> DataFrame:
     return counts.select("*", recall.alias("recall"), fpr.alias("fpr"), _ratio(tp, tp + fp).alias("precision"), ((recall + 1 - fpr) / 2).alias("balanced_acc"), _ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"))
 
 
-def by_generator(scores: DataFrame, by: list[str]) -> DataFrame:
-    """AUROC of each generator's fakes against all reals of the group; the reals are not replicated."""
+def against_reals(scores: DataFrame, by: list[str], what: str) -> DataFrame:
+    """AUROC of the fakes with each value of ``what`` against all reals of the group; the reals are not replicated."""
     at = curve(scores, by).select(*(F.col(c).alias(f"__{c}") for c in by), F.col("score").alias("__score"), (F.col("below_neg") + F.col("neg") * F.lit(0.5)).alias("beaten"), "n")
-    fakes = scores.where("label = 1 AND generator != ''").groupBy(*by, "generator", F.col("score").cast("double").alias("score")).agg(F.count("*").alias("k"))
+    fakes = scores.where("label = 1").groupBy(*by, what, F.col("score").cast("double").alias("score")).agg(F.count("*").alias("k"))
     match = F.col("score") == F.col("__score")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
     area = F.sum(F.col("k") * F.col("beaten"))
-    return fakes.join(at, match).groupBy(*by, "generator").agg(F.sum("k").alias("fakes"), F.try_divide(area, F.sum("k") * F.first("n").cast("double")).alias("auroc"))
+    return fakes.join(at, match).groupBy(*by, what).agg(F.sum("k").alias("fakes"), F.try_divide(area, F.sum("k") * F.first("n").cast("double")).alias("auroc"))
+
+
+def by_generator(scores: DataFrame, by: list[str]) -> DataFrame:
+    """AUROC of each generator's fakes against all reals of the group."""
+    return against_reals(scores.where("label = 0 OR generator != ''"), by, "generator")
 
 
 def condition_report(scores: DataFrame, by: list[str], cutoff: Column | None = None) -> DataFrame:
@@ -142,3 +147,8 @@ def families() -> list[tuple[str, str]]:
 def depth(cond: Column) -> Column:
     """0 for clean, k for stack k, null otherwise."""
     return F.when(cond == "clean", 0).when(cond.rlike("^stack[1-6]_rand$"), F.substring(cond, 6, 1).cast("int"))
+
+
+def condition_order(cond: Column) -> list[Column]:
+    """Keys to sort conditions by: clean first, the grid's next, then others, each by name."""
+    return [(cond != "clean").cast("int"), (~cond.isin(*GRID)).cast("int"), cond]

@@ -887,3 +887,6 @@ def stream_dedup(spark, d):
     done = new_rows(stream, "key").writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.parquet(f"{path}/rows").select("user_id", "event_type")
+
+
+from curata.plans import report_queries  # noqa: E402,F401  registers the reports
