@@ -136,3 +136,57 @@ def feasible_mask(w: Column, h: Column) -> Column:
 
 def verdict(value: Column, mild: float = 0.55, fail: float = 0.65) -> Column:
     return F.when(value < mild, "CLEAN").when(value <= fail, "MILD").otherwise("FAIL")
+
+
+# Labels of an external set's classes, names of its models, and parts of paths and sources.
+EXTERNAL_CLASSES = {0: (0, "", "sid_real"), 1: (1, "flux_sid", "sid_fake"), 2: (1, "sid_tampered", "sid_tampered")}
+EXTERNAL_MODELS = {"DeepFloyd/IF-II-L-v1.0": "deepfloyd_if", "CompVis/stable-diffusion-v1-4": "sd14", "stabilityai/stable-diffusion-2-1-base": "sd21", "stabilityai/stable-diffusion-xl-base-1.0": "sdxl"}
+TOPICS = [("afhq", "animal"), ("church", "church"), ("lsun", "church"), ("celeba", "face"), ("ffhq", "face"), ("sfhq", "face"), ("metfaces", "face"), ("landscape", "landscape"), ("coco", "object"), ("imagenet", "object")]
+OFFICIAL_SLICE = "/coco2017/val2017/"
+INPAINTED = "/glide-in/"
+
+
+def external_class(code: Column) -> Column:
+    """struct(label, generator, source) of an external set's class number; null for others."""
+    out = None
+    for k, (label, generator, source) in EXTERNAL_CLASSES.items():
+        value = F.struct(F.lit(label).alias("label"), F.lit(generator).alias("generator"), F.lit(source).alias("source"))
+        out = F.when(code == k, value) if out is None else out.when(code == k, value)
+    return out
+
+
+def external_model(name: Column) -> Column:
+    """The short name of a model of an external set; of others, what stands behind the last slash."""
+    known = F.create_map(*(F.lit(x) for pair in EXTERNAL_MODELS.items() for x in pair))
+    return F.coalesce(known[name], F.substring_index(name, "/", -1))
+
+
+def named_label(name: Column) -> Column:
+    """1 for names of classes that say fake, ai or synthetic, else 0 for those that say real; others fail the query."""
+    low = F.lower(name)
+    fake = low.contains("fake") | low.contains("ai") | low.contains("synthetic")
+    return F.when(fake, 1).when(low.contains("real"), 0).otherwise(F.raise_error(F.concat(F.lit("no label in the name "), F.coalesce(name, F.lit("null")))).cast("int"))
+
+
+def topic(source: Column) -> Column:
+    """Topic of a source: that of the first word that it holds, else ``object``."""
+    return first_match(F.lower(source), TOPICS, "object")
+
+
+def official_slice(orig: Column) -> Column:
+    return F.coalesce(orig.contains(OFFICIAL_SLICE), F.lit(False))
+
+
+def tampered(generator: Column, orig: Column, generators: set[str] = PARTIAL_EDITS) -> Column:
+    """Whether a part of a real picture was made anew."""
+    return F.coalesce(generator.isin(*sorted(generators)), F.lit(False)) | F.coalesce(orig.contains(INPAINTED), F.lit(False))
+
+
+def bogus(label: Column, source: Column, generator: Column, bad: set[str], of: str = "wildfake") -> Column:
+    """Whether a fake of one source names a generator that is known to be wrong there."""
+    return F.coalesce((label == 1) & (source == of) & generator.isin(*sorted(bad)), F.lit(False))
+
+
+def seen_tag(generator: Column, trained: Column) -> Column:
+    """TRAINED if the array ``trained`` of normalised names has the generator, else unseen."""
+    return F.when(F.array_contains(trained, norm_generator(generator)), "TRAINED").otherwise("unseen")

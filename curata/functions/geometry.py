@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curata.functions import seeded
+
 CROP_MIN, CROP_MAX, LONG = 112, 176, 320
 
 
@@ -80,3 +82,11 @@ def project_box(box: Column, w: Column, h: Column, to_w: Column, to_h: Column) -
 
 def pick_grid(w: Column, h: Column) -> Column:
     return F.least(F.lit(7), F.greatest(F.lit(3), F.ceil(F.least(w, h) / 224))).cast("int")
+
+
+def random_box(w: Column, h: Column, seed: int | str, *key: Column, cmin: int = CROP_MIN, cmax: int = CROP_MAX, step: int = 1) -> Column:
+    """A square of drawn size (from cmin to cmax, snapped, and no longer than a side) at a drawn place."""
+    size = snap(seeded.integer(f"{seed}:size", min(cmin, cmax), max(cmin, cmax), *key).cast("int"), step)
+    c = clamp_size(size, w, h)
+    x, y = (seeded.integer(f"{seed}:{n}", 0, F.greatest(F.lit(0), side - c), *key).cast("int") for n, side in (("x", w), ("y", h)))
+    return F.struct(x.alias("x0"), y.alias("y0"), (x + c).alias("x1"), (y + c).alias("y1"))

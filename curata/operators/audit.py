@@ -53,12 +53,12 @@ def concentration(rows: DataFrame, by: list[str], what: str, share: float = 0.7)
     return top.select(*by, F.col(f"t.{what}").alias(what), F.col("t.n").alias("n"), (F.col("t.n") / F.col("total")).alias("share")).where(F.col("share") >= share)
 
 
-def bucket_content(rows: DataFrame, min_bucket: int = 500) -> DataFrame:
+def bucket_content(rows: DataFrame, min_bucket: int = 500, min_subject: int = 200) -> DataFrame:
     """bucket, n, one_sided, notes and verdict: WARN if a subject is one-sided, or both classes come from one source."""
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
     subjects = subject_counts(rows, ["bucket"]).join(sizes, "bucket")
     both = F.col("reals") + F.col("fakes")
-    bad = subjects.where((F.col("subject") != "other") & (both >= F.greatest(F.lit(200), F.col("n") * 0.1)) & (F.least("reals", "fakes") == 0)).groupBy("bucket").agg(F.count("*").alias("one_sided"))
+    bad = subjects.where((F.col("subject") != "other") & (both >= F.greatest(F.lit(min_subject), F.col("n") * 0.1)) & (F.least("reals", "fakes") == 0)).groupBy("bucket").agg(F.count("*").alias("one_sided"))
     origin = rows.withColumn("origin", F.when(F.col("label") == 0, F.col("source")).otherwise(F.col("generator")))
     notes = concentration(origin, ["bucket", "label"], "origin").groupBy("bucket").agg(F.count("*").alias("notes"))
     out = sizes.join(bad, "bucket", "left").join(notes, "bucket", "left").fillna(0, ["one_sided", "notes"])

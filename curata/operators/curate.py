@@ -101,20 +101,29 @@ def balanced(rows: DataFrame, seed: int | str, key: str = "path", cap: int = 0,
     return sized.withColumn("kept", F.col("rn") <= F.col("keep")).drop("rn", "keep", "__bucket")
 
 
-def allocate(available: DataFrame, cap: int) -> DataFrame:
-    """group, available and picks: ``cap`` picks spread evenly, small groups giving all they have.
+def levelled(available: DataFrame, by: list[str], cap: int) -> DataFrame:
+    """``available`` (by, group, available: one row a group) with picks: ``cap`` of each ``by`` spread evenly over its
+    groups, small ones giving all they have.
 
-    Groups are taken by what they have; each gets its share of what is left, rounded down. A recurrence over groups, of
-    which there are few: it runs in the driver, over one row for each.
+    In the order of their sizes, a group is whole if it has no more than an even share of what the groups before it left;
+    the others get the same number, and what is left over goes to the last of them, one each.
     """
-    spark = available.sparkSession
-    rows = sorted((r["available"], r["group"]) for r in available.select("group", "available").collect())
-    out, left = [], cap
-    for i, (n, name) in enumerate(rows):
-        picks = min(n, left // (len(rows) - i))
-        left -= picks
-        out.append((name, n, picks))
-    return spark.createDataFrame(out, "group string, available long, picks long")
+    all_of = Window.partitionBy(*by)
+    order = all_of.orderBy("available", "group")
+    before = F.coalesce(F.sum("available").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.count("*").over(all_of) - F.row_number().over(order) + 1
+    told = available.withColumn("__whole", F.col("available") <= F.floor((F.lit(cap) - before) / left))
+    some = F.count_if(~F.col("__whole")).over(all_of)
+    spent = F.coalesce(F.sum(F.when(F.col("__whole"), F.col("available"))).over(all_of), F.lit(0))
+    rest = F.greatest(F.lit(cap) - spent, F.lit(0))
+    nth = F.row_number().over(Window.partitionBy(*by, "__whole").orderBy("available", "group"))
+    picks = F.when(F.col("__whole"), F.col("available")).otherwise(F.floor(rest / some) + (nth > some - rest % some).cast("long"))
+    return told.withColumn("picks", picks.cast("long")).drop("__whole")
+
+
+def allocate(available: DataFrame, cap: int) -> DataFrame:
+    """group, available and picks: ``cap`` picks spread evenly over groups, small groups giving all they have."""
+    return levelled(available.select("group", "available"), [], cap)
 
 
 def hold_out_school(rows: DataFrame, generators: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ Decoding and encoding of files need Pillow and are left out where it is missing.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,44 +44,81 @@ def flat(image: np.ndarray) -> bool:
     return bool(shrink(gray(image), 32, 32).std() < 1.0)
 
 
+def luma(image: np.ndarray) -> np.ndarray:
+    """Grey levels as whole numbers."""
+    return np.rint(gray(image)).astype(np.uint8)
+
+
 def brightness(image: np.ndarray) -> float:
-    return float(gray(image).mean() / 255)
+    """Mean of all channels."""
+    return float(image.mean() / 255)
+
+
+def stored(image: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1 as rounded bytes."""
+    return (np.clip(image, 0, 1) * 255 + 0.5).astype(np.uint8)
 
 
-def noise(sigma: float) -> Callable[[np.ndarray], np.ndarray]:
+def noise(sigma: float, seed: int = 0, grain: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """Gaussian noise in single precision, with ``grain`` the same on all channels."""
+
     def apply(image: np.ndarray) -> np.ndarray:
-        drawn = np.random.default_rng(0).standard_normal(image.shape) * sigma
-        return (np.clip(image / 255 + drawn, 0, 1) * 255 + 0.5).astype(np.uint8)
+        shape = (*image.shape[:2], 1) if grain else image.shape
+        drawn = np.random.default_rng(seed).normal(0.0, sigma, shape).astype(np.float32)
+        return stored(image.astype(np.float32) / np.float32(255) + drawn)
 
     return apply
 
 
 def center_crop(share: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The middle; its sides are rounded down, to one pixel at least."""
+
     def apply(image: np.ndarray) -> np.ndarray:
-        h, w = (max(1, round(n * share)) for n in image.shape[:2])
+        h, w = (max(1, int(n * share)) for n in image.shape[:2])
         y, x = (image.shape[0] - h) // 2, (image.shape[1] - w) // 2
         return image[y : y + h, x : x + w]
 
     return apply
 
 
-def resize(image: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Bilinear, with pixel centres aligned."""
-    y = np.clip((np.arange(h) + 0.5) * image.shape[0] / h - 0.5, 0, image.shape[0] - 1)
-    x = np.clip((np.arange(w) + 0.5) * image.shape[1] / w - 0.5, 0, image.shape[1] - 1)
-    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    y1, x1 = np.minimum(y0 + 1, image.shape[0] - 1), np.minimum(x0 + 1, image.shape[1] - 1)
-    fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
-    a = image.astype(float)
-    top = a[y0][:, x0] * (1 - fx) + a[y0][:, x1] * fx
-    low = a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx
-    return (top * (1 - fy) + low * fy + 0.5).astype(np.uint8)
+def _sinc(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)
+
+
+def _cubic(x: np.ndarray) -> np.ndarray:
+    x = np.abs(x)
+    return np.where(x < 1, 1.5 * x**3 - 2.5 * x**2 + 1, np.where(x < 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2, 0))
+
+
+#: Kernels of resampling; all but their argument's unit is the larger one of a source and a target pixel.
+KERNELS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"linear": lambda x: np.maximum(0, 1 - np.abs(x)), "cubic": _cubic, "lanczos": _sinc}
+
+
+@functools.lru_cache(maxsize=256)
+def _weights(source: int, target: int, kernel: str) -> np.ndarray:
+    """target * source weights of a resampling, each row adding up to 1."""
+    scale = source / target
+    centre = (np.arange(target) + 0.5) * scale
+    w = KERNELS[kernel]((np.arange(source) + 0.5 - centre[:, None]) / max(1.0, scale))
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def resize(image: np.ndarray, h: int, w: int, kernel: str = "linear") -> np.ndarray:
+    """Resampled with antialiasing, first along rows and then along columns, with bytes between the two."""
+    out = image
+    if w != image.shape[1]:
+        out = np.clip(np.einsum("xj,yjc->yxc", _weights(image.shape[1], w, kernel), out.astype(float)) + 0.5, 0, 255).astype(np.uint8)
+    if h != image.shape[0]:
+        out = np.clip(np.einsum("yi,ixc->yxc", _weights(image.shape[0], h, kernel), out.astype(float)) + 0.5, 0, 255).astype(np.uint8)
+    return out
 
 
 def down_up(scale: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Made smaller (sides rounded down) and as large as before."""
+
     def apply(image: np.ndarray) -> np.ndarray:
         h, w = image.shape[:2]
-        return resize(resize(image, max(1, round(h * scale)), max(1, round(w * scale))), h, w)
+        return resize(resize(image, max(1, int(h * scale)), max(1, int(w * scale))), h, w)
 
     return apply
 
@@ -101,45 +139,22 @@ def blur(sigma: float) -> Callable[[np.ndarray], np.ndarray]:
     return apply
 
 
-def jitter(amount: float) -> Callable[[np.ndarray], np.ndarray]:
-    """Brightness, contrast and saturation, each raised by ``amount``."""
-
-    def apply(image: np.ndarray) -> np.ndarray:
-        a = np.clip(image.astype(float) * (1 + amount), 0, 255)
-        mean = gray(a).mean()
-        a = np.clip(mean + (a - mean) * (1 + amount), 0, 255)
-        g = gray(a)[..., None]
-        return (np.clip(g + (a - g) * (1 + amount), 0, 255) + 0.5).astype(np.uint8)
-
-    return apply
+def blend(base: np.ndarray | float, image: np.ndarray, share: float) -> np.ndarray:
+    """From ``base`` towards the image and, over 1, beyond it, in bytes cut off."""
+    return np.clip(base + share * (image.astype(np.float32) - base), 0, 255).astype(np.uint8)
 
 
-#: Conditions of the grid that need no codec.
-CONDITIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "clean": lambda x: x,
-    **{f"blur_s{s}": blur(s) for s in (0.5, 1.0, 2.0)},
-    **{f"resize_{s}x": down_up(s) for s in (0.5, 0.25)},
-    **{f"noise_s{s:.2f}": noise(s) for s in (0.02, 0.05, 0.10)},
-    "jitter_20": jitter(0.2),
-    "crop_80": center_crop(0.8),
-}
+def saturate(image: np.ndarray, share: float) -> np.ndarray:
+    return blend(luma(image)[..., None].astype(np.float32), image, share)
 
 
-def canaries(image: np.ndarray) -> list[float]:
-    """Features that should not tell the classes apart: colour means and deviations, histograms, an 8 * 8 thumbnail."""
-    rgb = np.repeat(image, 3, axis=2)[..., :3].astype(float) / 255
-    g = gray(image) / 255
-    hist = [np.histogram(rgb[..., c], 16, (0, 1))[0] / g.size for c in range(3)]
-    return [*rgb.mean(axis=(0, 1)), *rgb.std(axis=(0, 1)), g.mean(), g.std(), *np.concatenate(hist), *shrink(g, 8, 8).ravel()]
+def contrast(image: np.ndarray, share: float) -> np.ndarray:
+    return blend(float(int(luma(image).mean() + 0.5)), image, share)
 
 
-def spectrum(image: np.ndarray, bands: int = 24) -> list[float]:
-    """Logarithm of the mean power in rings of the centred spectrum."""
-    power = np.abs(np.fft.fftshift(np.fft.fft2(gray(image) - gray(image).mean()))) ** 2
-    y, x = np.indices(power.shape)
-    r = np.hypot((y - power.shape[0] // 2) / power.shape[0], (x - power.shape[1] // 2) / power.shape[1])
-    ring = np.minimum((r / 0.5 * bands).astype(int), bands - 1).ravel()
-    return np.log1p(np.bincount(ring, power.ravel(), bands) / np.maximum(1, np.bincount(ring, minlength=bands))).tolist()
+def jitter(amount: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Brightness, contrast and saturation, each raised by ``amount``."""
+    return lambda image: saturate(contrast(blend(0.0, image, 1 + amount), 1 + amount), 1 + amount)
 
 
 def udf(function: Callable[[np.ndarray], object], kind: str, image: bool = False) -> Callable[[Column], Column]:
@@ -156,22 +171,26 @@ def udf(function: Callable[[np.ndarray], object], kind: str, image: bool = False
     return lambda c: run(c)
 
 
-def synthetic(spark, n: int = 40, side: int = 32) -> DataFrame:
-    """id, label and image: dark even ids (label 0), bright odd ones (label 1), with noise seeded by id."""
+def painted(rows: DataFrame, side: int = 32) -> DataFrame:
+    """``rows`` (id, label) with image: dark ones for label 0, bright ones for label 1, with noise seeded by id."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for i in rows["id"]:
-                r = np.random.default_rng(int(i))
-                base = 60 if i % 2 == 0 else 190
-                out.append({"id": i, "label": int(i % 2), "image": to_row(np.clip(base + r.normal(0, 20, (side, side, 3)), 0, 255).astype(np.uint8))})
-            yield pd.DataFrame(out)
+        for part in batches:
+            drawn = []
+            for i, label in zip(part["id"], part["label"]):
+                noise = np.random.default_rng(int(i)).normal(0, 20, (side, side, 3))
+                drawn.append(to_row(np.clip((190 if label else 60) + noise, 0, 255).astype(np.uint8)))
+            yield part.assign(image=drawn)
 
-    return spark.range(n).mapInPandas(make, f"id long, label int, image {IMAGE}")
+    return rows.select("id", "label").mapInPandas(make, f"id long, label int, image {IMAGE}")
+
+
+def synthetic(spark, n: int = 40, side: int = 32) -> DataFrame:
+    """id, label and image: dark even ids (label 0), bright odd ones (label 1)."""
+    return painted(spark.range(n).select("id", (F.col("id") % 2).cast("int").alias("label")), side)
 
 
-def score_grid(images: DataFrame, model: Callable[[np.ndarray], float], conditions: dict[str, Callable] = CONDITIONS) -> DataFrame:
+def score_grid(images: DataFrame, model: Callable[[np.ndarray], float], conditions: dict[str, Callable]) -> DataFrame:
     """``images`` (without pixels) times conditions, with cond and score: the scores cube."""
     names = [c for c in images.columns if c != "image"]
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -12,7 +16,10 @@ from pyspark.sql import functions as F
 
 from curata.functions import dims
 from curata.functions.seeded import unit
+from curata.operators.features import CANARIES
+from curata.operators.images import udf
 from curata.operators.metrics import auroc, quantile_cutoff
+from curata.session import written
 
 
 def standardised(rows: DataFrame, by: DataFrame | None = None) -> DataFrame:
@@ -28,17 +35,20 @@ def standardised(rows: DataFrame, by: DataFrame | None = None) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, key: str, folds: int = 5, seed: int = 0) -> DataFrame:
     """``rows`` (key, label, features) with score: each predicted by a model fitted without its fold; classes weigh alike."""
+    rows = written(rows.select(key, "label", "features"))  # every fit reads them several times, and features may be costly
     marked = standardised(rows).withColumn("fold", F.floor(unit(seed, F.col(key)) * folds).cast("int")).withColumn("v", array_to_vector("features"))
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     total = sum(counts.values())
     weight = F.when(F.col("label") == 1, total / (2 * max(1, counts.get(1, 0)))).otherwise(total / (2 * max(1, counts.get(0, 0))))
     marked = marked.withColumn("weight", weight)
-    out = None
-    for k in range(folds):
+    def fold(k: int) -> DataFrame:
         model = LogisticRegression(featuresCol="v", labelCol="label", weightCol="weight", regParam=1.0 / max(1, total), maxIter=50).fit(marked.where(F.col("fold") != k))
-        one = model.transform(marked.where(F.col("fold") == k)).select(key, "label", vector_to_array("probability")[1].alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        return model.transform(marked.where(F.col("fold") == k)).select(key, "label", vector_to_array("probability")[1].alias("score"))
+
+    # the folds' fits are chains of short jobs, so they run side by side
+    with ThreadPoolExecutor(folds) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(fold), range(folds)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def shortcut_audit(rows: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
@@ -47,6 +57,16 @@ def shortcut_audit(rows: DataFrame, key: str, by: list[str] | None = None) -> Da
     return auroc(scores, by or []).withColumn("verdict", dims.verdict(F.col("auroc")))
 
 
+def canary_audit(pictures: DataFrame, key: str) -> DataFrame:
+    """canary, auroc and verdict: how well each family of plain features tells the classes of ``pictures`` apart."""
+    def one(name: str) -> DataFrame:
+        rows = pictures.select(key, "label", udf(CANARIES[name], "array<double>")(F.col("image")).alias("features"))
+        return shortcut_audit(rows, key).select(F.lit(name).alias("canary"), "auroc", "verdict")
+
+    with ThreadPoolExecutor(len(CANARIES)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(pictures.sparkSession)(one), CANARIES))
+
+
 def ledoit_wolf(n: int, cross: np.ndarray, fourth: float) -> np.ndarray:
     """Covariance of n centred rows, shrunk to a multiple of the identity by the Ledoit-Wolf coefficient.
 
@@ -72,7 +92,7 @@ def one_class(rows: DataFrame, key: str) -> DataFrame:
             x = np.stack(p["features"].to_numpy())
             yield pd.DataFrame({"n": [len(x)], "ss": [(x.T @ x).ravel()], "q": [float((np.sum(x * x, axis=1) ** 2).sum())]})
 
-    rows = rows.withColumn("features", F.col("features").cast("array<double>"))
+    rows = written(rows.select(key, "label", F.col("features").cast("array<double>").alias("features")))
     z = standardised(rows, rows.where("label = 0"))
     parts = z.where("label = 0").select("features").mapInPandas(moments, "n long, ss array<double>, q double")
     add = lambda c: F.aggregate(F.collect_list(c), F.array().cast("array<double>"), lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda p, q: p + q)))
@@ -92,8 +112,29 @@ def one_class(rows: DataFrame, key: str) -> DataFrame:
     return measured.select(key, "label", (F.col("d") / (F.col("d") + float(median))).alias("score"))
 
 
+def _members(scores: DataFrame, key: str, members: list[str]) -> DataFrame:
+    """One row for each key with the members' scores as features; missing ones are 0.5."""
+    wide = scores.groupBy(key, "label").pivot("model", members).agg(F.first("score"))
+    return wide.select(key, F.col("label").cast("double").alias("label"), F.array(*(F.coalesce(F.col(f"`{m}`"), F.lit(0.5)) for m in members)).alias("features"))
+
+
 def stack(scores: DataFrame, key: str, members: list[str], seed: int = 0) -> DataFrame:
     """Member scores (key, label, model, score) to out-of-fold scores of a logistic regression over them."""
-    wide = scores.groupBy(key, "label").pivot("model", members).agg(F.first("score"))
-    rows = wide.select(key, F.col("label").cast("double").alias("label"), F.array(*(F.coalesce(F.col(f"`{m}`"), F.lit(0.5)) for m in members)).alias("features"))
-    return out_of_fold(rows, key, seed=seed)
+    return out_of_fold(_members(scores, key, members), key, seed=seed)
+
+
+def stack_choice(scores: DataFrame, key: str, members: list[str], seed: int = 0, held: float = 0.3) -> DataFrame:
+    """learner, auroc on held-out keys and chosen: a logistic regression and boosted trees over the members' scores, and
+    the best member by itself; the first of equals is chosen."""
+    rows = written(_members(scores, key, members)).withColumn("v", array_to_vector("features")).withColumn("held", unit(seed, F.col(key)) < held)
+    train, test = rows.where("NOT held"), rows.where("held")
+    learners = {"logistic": LogisticRegression(featuresCol="v", labelCol="label", maxIter=50), "trees": GBTClassifier(featuresCol="v", labelCol="label", maxDepth=3, maxIter=20, seed=seed)}
+    told = None
+    for name, learner in learners.items():
+        one = learner.fit(train).transform(test).select(F.lit(name).alias("learner"), "label", vector_to_array("probability")[1].alias("score"))
+        told = one if told is None else told.unionByName(one)
+    for k, m in enumerate(members):
+        told = told.unionByName(test.select(F.lit(f"member {m}").alias("learner"), "label", F.col("features")[k].alias("score")))
+    table = auroc(told, ["learner"])
+    best = table.agg(F.max_by("learner", F.struct("auroc", F.col("learner").isin(*learners).cast("int"), "learner")).alias("best"))
+    return table.join(best, how="cross").select("learner", "auroc", (F.col("learner") == F.col("best")).alias("chosen"))

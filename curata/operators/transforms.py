@@ -1,0 +1,277 @@
+"""Changes of pictures: the grid of conditions, chains and stacks, and the drawn changes of training.
+
+A drawn change takes a generator of random numbers. Evaluation seeds it by the picture's own bytes (``by_content``), so a
+rerun and a retried task give the same pixels; training seeds it by the row and the epoch.
+"""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from curata.operators import images as im
+from curata.operators import metrics
+
+Change = Callable[[np.ndarray], np.ndarray]
+Drawn = Callable[[np.ndarray, np.random.Generator], np.ndarray]
+
+# The quantisation tables of the JPEG standard (annex K) for quality 50, luminance and chrominance.
+LUMINANCE = [
+    16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99,
+]
+CHROMINANCE = [
+    17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
+]
+
+_K = np.arange(8)
+#: The orthonormal cosine transform of 8 values.
+DCT = np.cos((2 * _K[None, :] + 1) * _K[:, None] * np.pi / 16) * np.where(_K[:, None] == 0, np.sqrt(1 / 8), 0.5)
+#: Red, green and blue to luminance and the two colour differences.
+YCC = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
+
+
+@functools.lru_cache(maxsize=200)
+def _tables(quality: int) -> tuple[np.ndarray, np.ndarray]:
+    percent = 5000 // quality if quality < 50 else 200 - 2 * quality
+    scaled = lambda t: np.clip((np.array(t).reshape(8, 8) * percent + 50) // 100, 1, 255).astype(float)
+    return scaled(LUMINANCE), scaled(CHROMINANCE)
+
+
+def _quantised(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A plane as its blocks of 8 * 8 look after quantisation of their cosine transforms."""
+    h, w = plane.shape
+    full = np.pad(plane, ((0, -h % 8), (0, -w % 8)), mode="edge") - 128.0
+    blocks = full.reshape(full.shape[0] // 8, 8, full.shape[1] // 8, 8).transpose(0, 2, 1, 3)
+    kept = np.rint(DCT @ blocks @ DCT.T / table) * table
+    back = (DCT.T @ kept @ DCT).transpose(0, 2, 1, 3).reshape(full.shape)[:h, :w]
+    return np.clip(np.rint(back + 128), 0, 255)
+
+
+def jpeg(quality: int, subsample: bool = True) -> Change:
+    """The loss of a JPEG file of that quality: colours, halved chrominance and quantisation. Its coding loses nothing, so
+    no codec is needed; pixels may differ from a codec's by its own rounding."""
+    quality = min(100, max(1, int(quality)))
+
+    def apply(image: np.ndarray) -> np.ndarray:
+        rgb = np.repeat(image, 3, axis=2)[..., :3] if image.shape[2] == 1 else image[..., :3]
+        ycc = np.clip(np.rint(rgb @ YCC.T + np.array([0, 128, 128])), 0, 255)
+        h, w = ycc.shape[:2]
+        light, colour = _tables(quality)
+        planes = [_quantised(ycc[..., 0], light)]
+        for c in (1, 2):
+            plane = ycc[..., c]
+            if subsample:
+                even = np.pad(plane, ((0, h % 2), (0, w % 2)), mode="edge")
+                half = np.rint(even.reshape(even.shape[0] // 2, 2, even.shape[1] // 2, 2).mean(axis=(1, 3)))
+                wide = im.resize(_quantised(half, colour).astype(np.uint8)[..., None], *even.shape)
+                planes.append(wide[:h, :w, 0].astype(float))
+            else:
+                planes.append(_quantised(plane, colour))
+        back = (np.stack(planes, axis=2) - np.array([0, 128, 128])) @ np.linalg.inv(YCC).T
+        return np.clip(np.rint(back), 0, 255).astype(np.uint8)
+
+    return apply
+
+
+def by_content(image: np.ndarray) -> np.random.Generator:
+    """Random numbers that the picture's first 4096 bytes seed."""
+    return np.random.default_rng(int.from_bytes(hashlib.md5(np.ascontiguousarray(image).tobytes()[:4096]).digest()[:8], "big"))
+
+
+#: The families of the grid with their parameters; all but the last keep a picture's size.
+FAMILIES: list[tuple[Callable[[float], Change], list[float]]] = [
+    (jpeg, [90, 70, 50, 30]),
+    (im.blur, [0.5, 1.0, 2.0]),
+    (im.down_up, [0.5, 0.25]),
+    (im.noise, [0.02, 0.05, 0.10]),
+    (im.jitter, [0.20]),
+    (im.center_crop, [0.80]),
+]
+
+
+def chain(*changes: Change) -> Change:
+    return lambda image: functools.reduce(lambda x, f: f(x), changes, image)
+
+
+def stack(depth: int, geometry: bool = True) -> Drawn:
+    """``depth`` different families in drawn order with drawn parameters; without ``geometry`` only those that keep the
+    size, which are five."""
+    pool = FAMILIES if geometry else FAMILIES[:-1]
+
+    def apply(image: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+        for k in draw.permutation(len(pool))[:depth]:
+            make, values = pool[k]
+            image = make(values[draw.integers(len(values))])(image)
+        return image
+
+    return apply
+
+
+def fixed(drawn: Drawn) -> Change:
+    """A drawn change that the picture itself seeds."""
+    return lambda image: drawn(image, by_content(image))
+
+
+def grid() -> dict[str, Change]:
+    """The fifteen conditions by name, in order."""
+    made: dict[str, Change] = {"clean": lambda x: x}
+    for prefix, make, values, show in (("jpeg_q", jpeg, (90, 70, 50, 30), "d"), ("blur_s", im.blur, (0.5, 1.0, 2.0), ".1f"), ("noise_s", im.noise, (0.02, 0.05, 0.10), ".2f")):
+        made.update({f"{prefix}{v:{show}}": make(v) for v in values})
+    made.update({f"resize_{s}x": im.down_up(s) for s in (0.5, 0.25)})
+    made.update({"jitter_20": im.jitter(0.20), "crop_80": im.center_crop(0.80)})
+    return {name: made[name] for name in metrics.GRID}
+
+
+def extra() -> dict[str, Change]:
+    """The fixed chains and the stacks of one to six families."""
+    chains = {
+        "chain_repost": chain(jpeg(70), im.down_up(0.5), jpeg(50)),
+        "jpeg_twice": chain(jpeg(50), jpeg(50)),
+        "blur1_jpeg70": chain(im.blur(1.0), jpeg(70)),
+        "noise05_jpeg70": chain(im.noise(0.05), jpeg(70)),
+        "crop80_resize05": chain(im.center_crop(0.80), im.down_up(0.5)),
+    }
+    return {**chains, **{f"stack{k}_rand": fixed(stack(k)) for k in range(1, 7)}}
+
+
+def train(geometry: bool = True) -> Drawn:
+    """At most two of six changes: JPEG with chance 0.5, others with 0.3 each, parameters over the grid's ranges."""
+    options: list[tuple[float, Callable[[np.random.Generator], Change]]] = [
+        (0.5, lambda r: jpeg(int(r.integers(30, 91)))),
+        (0.3, lambda r: im.blur(max(1e-3, r.uniform(0.0, 2.0)))),
+        (0.3, lambda r: im.down_up(r.uniform(0.25, 0.75))),
+        (0.3, lambda r: im.noise(r.uniform(0.01, 0.10), int(r.integers(2**32)))),
+        (0.3, lambda r: im.jitter(r.uniform(-0.2, 0.2))),
+        (0.3 if geometry else 0.0, lambda r: im.center_crop(r.uniform(0.8, 1.0))),
+    ]
+    return _some(options, 2)
+
+
+def _some(options: list[tuple[float, Callable[[np.random.Generator], Change]]], most: int) -> Drawn:
+    """Each option with its chance; of those drawn, at most ``most`` in drawn order."""
+
+    def apply(image: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+        hit = np.flatnonzero(draw.random(len(options)) < [p for p, _ in options])
+        for k in draw.permutation(hit)[:most]:
+            image = options[k][1](draw)(image)
+        return image
+
+    return apply
+
+
+def hard(image: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """One strong change of four, all as likely."""
+    options: list[Callable[[], Change]] = [
+        lambda: im.blur(draw.uniform(1.5, 2.5)),
+        lambda: im.down_up(draw.uniform(0.2, 0.4)),
+        lambda: im.noise(draw.uniform(0.07, 0.12), int(draw.integers(2**32))),
+        lambda: jpeg(int(draw.integers(20, 41))),
+    ]
+    return options[draw.integers(4)]()(image)
+
+
+# --- styles -------------------------------------------------------------------------------------------------------
+
+
+def greyscale(image: np.ndarray) -> np.ndarray:
+    return np.repeat(im.luma(image)[..., None], image.shape[2], axis=2)
+
+
+def swapped(order: tuple[int, int, int]) -> Change:
+    """Channels in another order."""
+    return lambda image: image[..., list(order)]
+
+
+def tone(share: float, gamma: float) -> Change:
+    return lambda image: im.stored((im.contrast(image, share).astype(np.float32) / 255) ** gamma)
+
+
+def vignette(strength: float) -> Change:
+    """Darker towards the corners, by the square of the distance from the middle (1 at a corner)."""
+
+    def apply(image: np.ndarray) -> np.ndarray:
+        y, x = (np.arange(n) / (n / 2) - 1 for n in image.shape[:2])
+        fall = (y[:, None] ** 2 + x[None, :] ** 2) / 2
+        return im.stored(image / 255 * (1 - strength * fall)[..., None])
+
+    return apply
+
+
+def flash(y: float, x: float) -> Change:
+    """Bright around a place given in shares of the sides, dark far from it."""
+
+    def apply(image: np.ndarray) -> np.ndarray:
+        dy, dx = (np.arange(n) / n - at for n, at in zip(image.shape[:2], (y, x)))
+        gain = 0.35 + 1.4 * np.exp(-(dy[:, None] ** 2 + dx[None, :] ** 2) / 0.35**2)
+        return im.stored(image / 255 * gain[..., None])
+
+    return apply
+
+
+style: Drawn = _some(
+    [
+        (0.15, lambda r: greyscale),
+        (0.35, lambda r: functools.partial(im.saturate, share=r.uniform(0.4, 1.8))),
+        (0.35, lambda r: tone(r.uniform(0.7, 1.5), r.uniform(0.7, 1.4))),
+        (0.30, lambda r: im.noise(r.uniform(0.02, 0.08), int(r.integers(2**32)), grain=True)),
+        (0.25, lambda r: vignette(r.uniform(0.3, 0.8))),
+        (0.15, lambda r: flash(r.uniform(0.3, 0.7), r.uniform(0.3, 0.7))),
+    ],
+    2,
+)
+
+#: Variants that show how far a model relies on colour.
+STYLES: dict[str, Change] = {"clean": lambda x: x, "greyscale": greyscale, "bgr_swap": swapped((2, 1, 0)), "rbg_swap": swapped((0, 2, 1))}
+
+
+# --- one form for all pictures ------------------------------------------------------------------------------------
+
+
+def _down(image: np.ndarray, share: float) -> np.ndarray:
+    h, w = (max(1, round(n * share)) for n in image.shape[:2])
+    return im.resize(image, h, w, "lanczos")
+
+
+def canonical(image: np.ndarray, draw: np.random.Generator, crop: int, long: int = 0, band: tuple[int, int] | None = None, quality: tuple[int, int] | None = None) -> np.ndarray | None:
+    """A square crop at a drawn place: before, JPEG of drawn quality (if given, for fakes), the long side brought down to
+    ``long``, and a short side above ``band`` brought down into it. Nothing is enlarged; null if too small to crop."""
+    if quality:
+        image = jpeg(int(draw.integers(quality[0], quality[1] + 1)), subsample=False)(image)
+    if long and max(image.shape[:2]) > long:
+        image = _down(image, long / max(image.shape[:2]))
+    if band and min(image.shape[:2]) > band[1]:
+        image = _down(image, int(draw.integers(band[0], band[1] + 1)) / min(image.shape[:2]))
+    if min(image.shape[:2]) < crop:
+        return None
+    y, x = (int(draw.integers(0, n - crop + 1)) for n in image.shape[:2])
+    return image[y : y + crop, x : x + crop]
+
+
+#: Which labels a JPEG history is given to, by variant.
+STRESS: dict[str, frozenset[int]] = {"fakejpeg": frozenset({1}), "realjpeg": frozenset({0}), "bothjpeg": frozenset({0, 1})}
+
+
+def stressed(image: np.ndarray, label: int, variant: str, draw: np.random.Generator) -> np.ndarray:
+    return jpeg(int(draw.integers(75, 96)), subsample=False)(image) if label in STRESS[variant] else image
+
+
+def canonicalised(pictures: DataFrame, key: str, crop: int, seed: int = 0, long: int = 0, band: tuple[int, int] | None = None, quality: tuple[int, int] | None = None) -> DataFrame:
+    """``pictures`` (key, label, image, ..) in canonical form, drawn by seed and key; only label 1 gets a JPEG history."""
+
+    def run(batches):
+        for part in batches:
+            out = []
+            for name, label, row in zip(part[key], part["label"], part["image"]):
+                draw = np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}|{name}".encode()).digest()[:8], "big"))
+                made = canonical(im.to_array(row), draw, crop, long, band, quality if label == 1 else None)
+                out.append(None if made is None else im.to_row(made))
+            yield part.assign(image=pd.Series(out, index=part.index, dtype=object))
+
+    return pictures.mapInPandas(run, pictures.schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import dims, hashes as bits
 from curata.functions.seeded import unit
-from curata.operators import metrics
+from curata.operators import images, metrics
 
 CONDITIONS = [*metrics.GRID, *(f"stack{k}_rand" for k in range(1, 7))]
 
@@ -109,3 +109,8 @@ L = """g AS (
     SELECT l_orderkey || '-' || l_linenumber AS path, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, CASE WHEN l_returnflag = 'R' THEN p_brand ELSE '' END AS generator, 'supp' || l_suppkey AS source, floor(l_extendedprice / 50)::INT AS long, l_discount * 5 + l_tax AS score
     FROM lineitem JOIN part ON p_partkey = l_partkey),
     b AS (SELECT *, CASE WHEN long <= 0 THEN NULL WHEN long <= 341 THEN '<=341' WHEN long <= 512 THEN '342-512' WHEN long <= 768 THEN '513-768' WHEN long <= 1024 THEN '769-1024' ELSE '>1024' END AS bucket FROM g)"""
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as small pictures: id, label and image, of two brightnesses with noise seeded by the id."""
+    return images.painted(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2).cast("int").alias("label")))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from curata.functions import dims, geometry, hashes
 from curata.functions.seeded import order_key
-from curata.operators import audit, curate, dedup, images, learn, metrics, votes
+from curata.operators import audit, curate, dedup, images, learn, metrics, models, transforms, votes
+from curata.operators import features as px
 from curata.plans import adapters as a
 from curata.sources import manifests as src
 
@@ -116,10 +117,14 @@ def source_concentration(spark, d):
     return audit.concentration(a.manifest(spark, d), ["bucket"], "source", 0.05)
 
 
-@query("bucket_content_gate", m("""SELECT bucket, count(*) AS n, 0::BIGINT AS one_sided, (SELECT count(*) FROM (SELECT label, max(n)::DOUBLE / sum(n) AS s FROM (SELECT label, CASE WHEN label = 0 THEN source ELSE generator END AS o, count(*) AS n FROM m x WHERE x.bucket = m.bucket GROUP BY 1, 2) GROUP BY label) WHERE s >= 0.7) AS notes,
-    CASE WHEN count(*) < 50 THEN 'SKIP' ELSE 'PASS' END AS verdict FROM m GROUP BY bucket"""))
+SUBJECT = "CASE WHEN label = 1 AND doc_id % 3 = 0 THEN 'church' WHEN doc_id % 5 = 0 THEN 'other' ELSE lang END"
+
+
+@query("bucket_content_gate", m(f"""SELECT *, CASE WHEN n < 50 THEN 'SKIP' WHEN one_sided > 0 OR notes = 2 THEN 'WARN' ELSE 'PASS' END AS verdict FROM (
+    SELECT bucket, count(*) AS n, (SELECT count(*) FROM (SELECT {SUBJECT} AS s, count(*) FILTER (label = 0) AS r, count(*) FILTER (label = 1) AS f FROM m y WHERE y.bucket = m.bucket GROUP BY 1) WHERE s <> 'other' AND r + f >= 5 AND r + f >= 0.1 * count(m.doc_id) AND least(r, f) = 0) AS one_sided,
+    (SELECT count(*) FROM (SELECT label, max(n)::DOUBLE / sum(n) AS s FROM (SELECT label, CASE WHEN label = 0 THEN source ELSE generator END AS o, count(*) AS n FROM m x WHERE x.bucket = m.bucket GROUP BY 1, 2) GROUP BY label) WHERE s >= 0.7) AS notes FROM m GROUP BY bucket)"""))
 def bucket_content_gate(spark, d):
-    return audit.bucket_content(a.manifest(spark, d).withColumn("subject", F.lit("other")), min_bucket=50)
+    return audit.bucket_content(a.manifest(spark, d).withColumn("subject", F.expr(SUBJECT)), min_bucket=50, min_subject=5)
 
 
 @query("topn_sources", m("SELECT split, source, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY n DESC, source) AS rank FROM (SELECT split, source, count(*) AS n FROM m GROUP BY split, source)) WHERE rank <= 3"))
@@ -850,27 +855,75 @@ def stacker(spark, d):
     return learn.stack(s, "path", ["clean", "crop_80", "jitter_20"])
 
 
+@query("stacker_choice")
+def stacker_choice(spark, d):
+    s = a.scores(spark, d).where("cond IN ('clean', 'crop_80', 'jitter_20')").withColumnRenamed("cond", "model")
+    return learn.stack_choice(s, "path", ["clean", "crop_80", "jitter_20"])
+
+
+@query("linear_head")
+def linear_head(spark, d):
+    return learn.out_of_fold(features(spark, d), "vec_id")
+
+
+def pixel_features(spark, d, function) -> DataFrame:
+    return a.rasters(spark, d).select("id", "label", images.udf(function, "array<double>")(F.col("image")).alias("features"))
+
+
 @query("canary_audit")
 def canary_audit(spark, d):
-    rows = images.synthetic(spark)
-    return learn.shortcut_audit(rows.select("id", "label", images.udf(images.canaries, "array<double>")(F.col("image")).alias("features")), "id")
+    """canary, auroc and verdict for each family of features."""
+    return learn.canary_audit(a.rasters(spark, d), "id")
+
+
+@query("spectral_audit")
+def spectral_audit(spark, d):
+    return learn.shortcut_audit(pixel_features(spark, d, px.spectral), "id")
+
+
+@query("fingerprint_oneclass")
+def fingerprint_oneclass(spark, d):
+    return learn.one_class(pixel_features(spark, d, px.fingerprint), "id")
 
 
 @query("dhash_udf")
 def dhash_udf(spark, d):
     c = F.col("image")
-    return images.synthetic(spark).select("id", images.udf(images.dhash, "long")(c).alias("dhash"), images.udf(images.flat, "boolean")(c).alias("flat"))
+    return a.rasters(spark, d).select("id", images.udf(images.dhash, "long")(c).alias("dhash"), images.udf(images.flat, "boolean")(c).alias("flat"))
 
 
 @query("brightness_model")
 def brightness_model(spark, d):
-    return rounded(metrics.auroc(images.score_grid(images.synthetic(spark), images.brightness), ["cond"]), "auroc")
+    """AUROC under the grid, the chains and the stacks."""
+    conditions = {**transforms.grid(), **transforms.extra()}
+    return rounded(metrics.auroc(images.score_grid(a.rasters(spark, d), models.load("brightness"), conditions), ["cond"]), "auroc")
+
+
+@query("wrapped_models")
+def wrapped_models(spark, d):
+    """The scores of specifications with wrappers."""
+    out = None
+    for text in ("random", "noise+brightness", "vote(k=3,g=2,n=1,L=160)+brightness"):
+        one = images.score_grid(a.rasters(spark, d), models.load(text), {"clean": lambda x: x}).withColumn("model", F.lit(text))
+        out = one if out is None else out.unionByName(one)
+    return out.select("id", "label", "model", "score")
+
+
+@query("style_reliance")
+def style_reliance(spark, d):
+    return rounded(metrics.auroc(images.score_grid(a.rasters(spark, d), images.brightness, transforms.STYLES), ["cond"]), "auroc")
 
 
 @query("noise_udf")
 def noise_udf(spark, d):
     c = F.col("image")
-    return images.synthetic(spark).select("id", images.udf(images.brightness, "double")(images.udf(images.noise(0.1), "", image=True)(c)).alias("b"))
+    return a.rasters(spark, d).select("id", images.udf(images.brightness, "double")(images.udf(images.noise(0.1), "", image=True)(c)).alias("b"))
+
+
+@query("canonicalise")
+def canonicalise(spark, d):
+    """A drawn square crop of each picture, with the dHash of it; null where the picture is too small."""
+    return transforms.canonicalised(a.rasters(spark, d), "id", crop=20, long=28, seed=0).select("id", F.col("image.height").alias("height"), images.udf(images.dhash, "long")(F.col("image")).alias("dhash"))
 
 
 @query("stream_dedup", "SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
@@ -889,4 +942,4 @@ def stream_dedup(spark, d):
     return spark.read.parquet(f"{path}/rows").select("user_id", "event_type")
 
 
-from curata.plans import report_queries  # noqa: E402,F401  registers the reports
+from curata.plans import corpus_queries, report_queries  # noqa: E402,F401  register theirs

@@ -1,0 +1,164 @@
+"""Pictures against plain loops, known values and properties."""
+
+import numpy as np
+import pytest
+
+from curata.functions import geometry
+from curata.operators import features, models, transforms
+from curata.operators import images as im
+
+
+def picture(h=40, w=56, seed=1):
+    y, x = np.mgrid[:h, :w]
+    smooth = np.stack([60 + 2 * x, 200 - 3 * y, 90 + x + y], axis=2)
+    return np.clip(smooth + np.random.default_rng(seed).normal(0, 6, (h, w, 3)), 0, 255).astype(np.uint8)
+
+
+def test_cosine_transform_is_orthonormal():
+    assert np.allclose(transforms.DCT @ transforms.DCT.T, np.eye(8))
+
+
+def test_quantised_block_by_loops():
+    plane, table = picture(8, 8)[..., 0].astype(float), transforms._tables(50)[0]
+    out = np.zeros((8, 8))
+    scale = lambda k: np.sqrt(0.125) if k == 0 else 0.5
+    wave = lambda u, v, y, x: scale(u) * scale(v) * np.cos((2 * y + 1) * u * np.pi / 16) * np.cos((2 * x + 1) * v * np.pi / 16)
+    for u in range(8):
+        for v in range(8):
+            c = sum((plane[y, x] - 128) * wave(u, v, y, x) for y in range(8) for x in range(8))
+            c = np.rint(c / table[u, v]) * table[u, v]
+            out += [[c * wave(u, v, y, x) for x in range(8)] for y in range(8)]
+    assert np.array_equal(transforms._quantised(plane, table), np.clip(np.rint(out + 128), 0, 255))
+
+
+def test_jpeg_loses_more_at_lower_quality():
+    a = picture()
+    lost = [np.abs(transforms.jpeg(q)(a).astype(int) - a).mean() for q in (95, 70, 30, 10)]
+    assert lost == sorted(lost) and lost[-1] > 5
+    assert np.abs(transforms.jpeg(100, subsample=False)(a).astype(int) - a).mean() < 1  # only rounding
+    flat = np.full((17, 9, 3), 77, np.uint8)
+    assert np.abs(transforms.jpeg(90)(flat).astype(int) - 77).max() <= 1
+    assert transforms.jpeg(100, subsample=False)(picture(1, 1)).shape == (1, 1, 3)
+
+
+@pytest.mark.parametrize("kernel", im.KERNELS)
+def test_resampling_keeps_constants_and_sides(kernel):
+    for h, w in ((1, 1), (13, 70), (80, 20)):
+        out = im.resize(np.full((40, 56, 3), 91, np.uint8), h, w, kernel)
+        assert out.shape == (h, w, 3) and np.abs(out.astype(int) - 91).max() <= 1
+
+
+def test_halving_by_loops():
+    a = picture(1, 16)
+    got = im.resize(a, 1, 8)
+    for x in range(8):
+        weight = np.maximum(0, 1 - np.abs((np.arange(16) + 0.5 - (x + 0.5) * 2) / 2))
+        want = (weight[:, None] * a[0]).sum(axis=0) / weight.sum()
+        assert np.abs(got[0, x] - want).max() <= 0.51
+
+
+def test_grid_is_complete_and_repeatable():
+    from curata.operators import metrics
+
+    grid, extra = transforms.grid(), transforms.extra()
+    assert list(grid) == metrics.GRID and set(extra) == set(metrics.EXTRA)
+    a = picture()
+    for name, change in {**grid, **extra}.items():
+        first, second = change(a), change(a)
+        assert first.dtype == np.uint8 and np.array_equal(first, second), name
+        assert name == "clean" or not np.array_equal(first, a)
+    assert im.center_crop(0.8)(a).shape == (32, 44, 3)
+
+
+def test_noise_and_jitter_by_loops():
+    a = picture(3, 4)
+    drawn = np.random.default_rng(0).normal(0.0, 0.05, a.shape).astype(np.float32)
+    want = [int(np.clip(np.float32(v) / np.float32(255) + n, 0, 1) * 255 + 0.5) for v, n in zip(a.ravel(), drawn.ravel())]
+    assert im.noise(0.05)(a).ravel().tolist() == want
+    light = np.minimum(255, a * 1.2).astype(np.uint8)
+    assert np.abs(im.blend(0.0, a, 1.2).astype(int) - light).max() <= 1
+    grey = np.full((2, 2, 3), 100, np.uint8)
+    assert np.abs(im.saturate(grey, 1.8).astype(int) - 100).max() == 0
+
+
+def test_drawn_changes():
+    a = picture()
+    for drawn in (transforms.train(), transforms.train(geometry=False), transforms.hard, transforms.style, transforms.stack(3), transforms.stack(6, geometry=False)):
+        outs = [drawn(a, np.random.default_rng(s)) for s in range(20)]
+        assert all(np.array_equal(o, drawn(a, np.random.default_rng(s))) for s, o in enumerate(outs))
+        assert len({o.tobytes() for o in outs}) > 1
+    assert all(transforms.stack(5, geometry=False)(a, np.random.default_rng(s)).shape == a.shape for s in range(10))
+    assert all(transforms.train(geometry=False)(a, np.random.default_rng(s)).shape == a.shape for s in range(20))
+
+
+def test_styles():
+    a = picture()
+    g = transforms.greyscale(a)
+    assert np.array_equal(g[..., 0], g[..., 2]) and np.array_equal(transforms.STYLES["bgr_swap"](a)[..., 0], a[..., 2])
+    white = np.full((40, 40, 3), 255, np.uint8)
+    dark = transforms.vignette(0.5)(white)
+    assert dark[20, 20, 0] == 255 and dark[0, 0, 0] < 140
+    lit = transforms.flash(0.5, 0.5)(np.full((40, 40, 3), 120, np.uint8))
+    assert lit[20, 20, 0] > lit[0, 0, 0]
+
+
+def test_canonical(spark):
+    a = picture(60, 90)
+    out = transforms.canonical(a, np.random.default_rng(0), 30, long=45, quality=(75, 95))
+    assert out.shape == (30, 30, 3) and transforms.canonical(a, np.random.default_rng(0), 61) is None
+    banded = transforms.canonical(a, np.random.default_rng(0), 20, band=(20, 20))
+    assert banded.shape == (20, 20, 3)
+    assert np.array_equal(transforms.stressed(a, 0, "fakejpeg", np.random.default_rng(0)), a)
+    assert not np.array_equal(transforms.stressed(a, 1, "fakejpeg", np.random.default_rng(0)), a)
+    rows = transforms.canonicalised(im.synthetic(spark, 6), "id", 33).collect()
+    assert [r["image"] for r in rows] == [None] * 6
+
+
+def test_features():
+    sizes = {"style": 12, "color": 8, "hist": 48, "thumb8": 64, "blur": 27}
+    for image in (picture(), np.full((5, 3, 3), 9, np.uint8), picture(1, 1), picture()[..., :1]):
+        for name, n in sizes.items():
+            got = features.CANARIES[name](image)
+            assert len(got) == n and np.isfinite(got).all(), name
+        assert len(features.fingerprint(image)) == 32 and np.isfinite(features.fingerprint(image)).all()
+        assert len(features.spectral(image)) == 22 and np.isfinite(features.spectral(image)).all()
+    a = picture()
+    want = [float(np.mean([a[y, x, c] / 255 for y in range(40) for x in range(56)])) for c in range(3)]
+    assert np.allclose(features.color(a)[:3], want)
+    assert np.isclose(sum(features.hist(a)), 3 / 16)
+    noise = (a - im.blur(1.0)(a).astype(float)) / 255
+    c = noise[..., 0].ravel()
+    k = ((c - c.mean()) ** 4).mean() / ((c - c.mean()) ** 2).mean() ** 2 - 3
+    assert np.allclose(features.fingerprint(a)[:3], [c.std(), np.abs(c).mean(), k])
+    assert features.metadata("PNG", 4, 2, 0) == [4, 2, 2, 4, 2.0, 0.0, 0.0, 1.0, 0.0]
+
+
+def test_wrappers():
+    a = picture(200, 300)
+    assert models.load("brightness")(a) == a.mean() / 255
+    assert 0 <= models.load("random")(a) < 1 and models.load("random")(a) == models.load("random")(a)
+    assert models.load("noise+brightness")(a) == im.brightness(im.noise(0.1)(a))
+    crops = models.boxes(200, 300, grid=2, n_sizes=1)
+    scores = [im.brightness(a[y : y + c, x : x + c]) for y, x, c in crops]
+    assert np.isclose(models.load("vote(k=2,g=2,n=1)+brightness")(a), np.mean(sorted(scores)[-2:]))
+    assert np.isclose(models.load("vote(g=2,n=1,a=0.5)+brightness")(a), np.mean(scores) + 0.5 * np.std(scores))
+    assert models.canvas(a, long=150).shape[:2] == (112, 168)
+    with pytest.raises(ValueError):
+        models.load("nothing")
+    models.register("half", lambda weights: lambda image: 0.5)
+    assert models.load("std+vote(f=1)+half")(picture(20, 20)) == pytest.approx(0.5)
+    assert models.patch_top(np.arange(100.0)) == np.mean([99, 98, 97, 96, 95])
+
+
+def test_boxes_agree_with_columns(spark):
+    from pyspark.sql import functions as F
+
+    for w, h in ((300, 200), (112, 400), (150, 150)):
+        row = spark.range(1).select(F.lit(w).alias("w"), F.lit(h).alias("h"))
+        for size in (112, 144):
+            got = row.select(geometry.grid_boxes(F.col("w"), F.col("h"), F.lit(size)).alias("g"), geometry.tile_boxes(F.col("w"), F.col("h"), F.lit(size), 2).alias("t")).first()
+            c = min(size, w, h)
+            assert {(b["y0"], b["x0"]) for b in got["g"]} == {(y, x) for y in models._starts(h, c, 3) for x in models._starts(w, c, 3)}
+            assert {(b["y0"], b["x0"]) for b in got["t"]} == {(y, x) for y in models._tiled(h, c, 2) for x in models._tiled(w, c, 2)}
+    drawn = models.boxes(200, 300, rand=5, seed=3)
+    assert drawn == models.boxes(200, 300, rand=5, seed=3) and all(y + c <= 200 and x + c <= 300 for y, x, c in drawn)
