@@ -112,6 +112,64 @@ def wide_scores(scores: DataFrame, ids: list[str], conditions: list[str]) -> Dat
     return out.select(*ids, *(F.col(f"`{c}`").alias(f"score_{c}") for c in conditions))
 
 
+def read_archive(spark: SparkSession, paths: str | list[str], prefix: str = "score_") -> DataFrame:
+    """Score archives (npz with labels, score_<condition> and, if there, paths and generators) to rows
+    (archive, row, path, label, generator, cond, score), an archive's arrays cut into batches."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for files in batches:
+            for archive, data in zip(files["path"], files["content"]):
+                held = np.load(io.BytesIO(data), allow_pickle=False)
+                n = len(held["labels"])
+                text = lambda name, k: held[name][k].astype(str) if name in held.files else np.full(len(k), "")
+                for name in held.files:
+                    for at in range(0, n if name.startswith(prefix) else 0, 65536):
+                        k = np.arange(at, min(n, at + 65536))
+                        yield pd.DataFrame({"archive": archive, "row": k, "path": text("paths", k), "label": held["labels"][k].astype("int32"), "generator": text("generators", k), "cond": name[len(prefix) :], "score": held[name][k].astype(float)})
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInPandas(run, "archive string, row long, path string, label int, generator string, cond string, score double")
+
+
+def read_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A CSV of scores (label, score, and path, generator, cond and model if there)."""
+    kinds = [("path", S), ("label", I), ("generator", S), ("cond", S), ("model", S), ("score", T.DoubleType())]
+    return with_optional(spark.read.option("header", True).csv(path), T.StructType([T.StructField(n, t) for n, t in kinds]))
+
+
+def folder_sample(rows: DataFrame, root: str, real: list[str], most: int, seed: int | str) -> DataFrame:
+    """``folder_label`` with at most ``most`` files of each folder, chosen in seeded order."""
+    from curata.operators.curate import stratified_sample
+
+    return stratified_sample(folder_label(rows, root, real), ["folder"], most, seed)
+
+
+def group_label(rows: DataFrame, labels: dict[str, int]) -> DataFrame:
+    """``rows`` of files with group, their folder's name, and the label that ``labels`` gives it; other folders go."""
+    known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    group = F.element_at(F.split("path", "/"), -2)
+    return rows.withColumn("group", group).withColumn("label", known[F.col("group")]).where("label IS NOT NULL")
+
+
+def original_names(rows: DataFrame) -> DataFrame:
+    """``rows`` (stem, content) with name: the stem with the extension that the bytes tell. Bytes stay as they are."""
+    head = F.hex(F.substring("content", 1, 12))
+    kind = F.when(head.startswith("FFD8FF"), "jpg").when(head.startswith("52494646") & F.substring(head, 17, 8).eqNullSafe("57454250"), "webp").otherwise("png")
+    return rows.withColumn("name", F.concat_ws(".", "stem", kind))
+
+
+def console(df: DataFrame, digits: int = 4) -> str:
+    """A report's table in columns of fixed width; for results, which are small."""
+    cell = lambda v: "n/a" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+    lines = [df.columns, *([cell(v) for v in r] for r in df.collect())]
+    widths = [max(len(line[k]) for line in lines) for k in range(len(df.columns))]
+    return "\n".join("  ".join(c.ljust(w) for c, w in zip(line, widths)).rstrip() for line in lines)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A results document to rows (model, cond, metric, value)."""
     kind = "model string, conditions map<string, map<string, double>>"

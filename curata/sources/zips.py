@@ -6,26 +6,49 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 32 << 20
 
-def read_zip(spark: SparkSession, paths: str | list[str], suffixes: tuple[str, ...] = (), contains: tuple[str, ...] = (), content: bool = True) -> DataFrame:
-    """archive, member, length and content of the files in archives whose names end and read as asked."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for archive, data in zip(rows["path"], rows["content"]):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for info in z.infolist():
-                        name = info.filename
-                        if not info.is_dir() and (not suffixes or name.lower().endswith(suffixes)) and (not contains or any(c in name for c in contains)):
-                            yield pd.DataFrame({"archive": [archive], "member": [name], "length": [info.file_size], "content": [z.read(info) if content else None]})
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "archive string, member string, length long, content binary")
+def read_zip(spark: SparkSession, paths: str | list[str], suffixes: tuple[str, ...] = (), contains: tuple[str, ...] = (), content: bool = True) -> DataFrame:
+    """archive, member, length and content of the files in archives whose names end and read as asked.
+
+    Members leave a task in batches of 32 MB. An archive is one row of Spark's binary files, so of 2 GB at most.
+    """
+    names = ["archive", "member", "length", "content"]
+    schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+
+    def members(archive: str, data: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for info in z.infolist():
+                name = info.filename
+                if not info.is_dir() and (not suffixes or name.lower().endswith(suffixes)) and (not contains or any(c in name for c in contains)):
+                    yield archive, name, info.file_size, z.read(info) if content else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, data in zip(batch["path"], batch["content"]):
+                held, size = [], 0
+                for row in members(archive.as_py(), data.as_py()):
+                    held.append(row)
+                    size += len(row[3] or b"") + 64
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in held], schema)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in held], schema)
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "archive string, member string, length long, content binary")
 
 
 def wanted(members: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members that a manifest (path) names, and the paths that no archive has."""
     names = members.withColumnRenamed("member", "path")
     return names.join(manifest.select("path").distinct(), "path", "left_semi"), manifest.select("path").distinct().join(names, "path", "left_anti")
+
+
+def not_yet(members: DataFrame, done: DataFrame) -> DataFrame:
+    """Members that a table of extracted ones (archive, member) does not have: a rerun skips the others."""
+    return members.join(done.select("archive", "member").distinct(), ["archive", "member"], "left_anti")

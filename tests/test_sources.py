@@ -69,3 +69,66 @@ def test_pictures_and_models(spark):
     assert learn.shortcut_audit(rows, "id").first()["verdict"] == "FAIL"
     png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (7).to_bytes(4, "big") + (9).to_bytes(4, "big")
     assert images._header(png) == ("PNG", 7, 9) and images._header(None) == (None, None, None)
+
+
+def test_score_archives_and_tables(spark, tmp_path):
+    import numpy as np
+
+    np.savez(tmp_path / "a.npz", labels=np.array([0, 1]), paths=np.array(["p", "q"]), score_clean=np.array([0.25, 0.5]), score_blur=np.array([0.0, 1.0]))
+    rows = src.read_archive(spark, str(tmp_path / "a.npz")).collect()
+    assert sorted((r["path"], r["label"], r["generator"], r["cond"], r["score"]) for r in rows) == [("p", 0, "", "blur", 0.0), ("p", 0, "", "clean", 0.25), ("q", 1, "", "blur", 1.0), ("q", 1, "", "clean", 0.5)]
+    (tmp_path / "s.csv").write_text("label,score\n1,0.5\n0,\n")
+    assert [tuple(r) for r in src.read_scores(spark, str(tmp_path / "s.csv")).select("label", "score", "model").collect()] == [(1, 0.5, ""), (0, None, "")]
+
+
+def test_folders_of_files(spark, tmp_path):
+    for name in ("real/x/1.png", "real/2.jpg", "real/3.png", "gan/4.png", "gan/.hidden.png", "gan/5.txt"):
+        (tmp_path / "set" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "set" / name).write_bytes(b"\xff\xd8\xff" + name.encode())
+    files = src.read_files(spark, str(tmp_path / "set"))
+    got = src.folder_sample(files, str(tmp_path / "set"), ["real"], 2, 0)
+    assert sorted((r["folder"], r["label"]) for r in got.collect()) == [("gan", 1), ("real", 0), ("real", 0)]
+    grouped = src.group_label(files, {"gan": 1, "x": 0}).select("group", "label").collect()
+    assert sorted(map(tuple, grouped)) == [("gan", 1), ("x", 0)]
+    rows = spark.createDataFrame([("a", bytearray(b"\xff\xd8\xff1234567890")), ("b", bytearray(b"RIFF1234WEBPxx")), ("c", bytearray(b"\x89PNG"))], "stem string, content binary")
+    assert [r["name"] for r in src.original_names(rows).orderBy("stem").collect()] == ["a.jpg", "b.webp", "c.png"]
+    (tmp_path / "m" / "A").mkdir(parents=True)
+    (tmp_path / "m" / "A" / "metadata.csv").write_text("image_path,target\nx.png,0\n")
+    meta = src.read_metadata(spark, str(tmp_path / "m" / "*" / "metadata.csv")).first()
+    assert meta["image_path"].endswith("/m/A/x.png") and (meta["target"], meta["category"]) == ("0", "")
+
+
+def test_manifests_in_order_and_sinks(spark, tmp_path):
+    for name, text in (("a", "path,orig,label,long\np,o,1,9\n"), ("b", "path,orig,label,long\nq,o,0,8\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    rows = src.read_manifests(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted((r["path"], r["src_ord"]) for r in rows.collect()) == [("p", 0), ("q", 1)]
+    src.write_splits(rows.withColumn("split", F.lit("train")), str(tmp_path / "splits"))
+    assert spark.read.parquet(str(tmp_path / "splits")).where("split = 'train'").count() == 2
+    src.write_scores(spark.createDataFrame([("p", "clean", 0.5)], "path string, cond string, score double"), str(tmp_path / "scores"))
+    assert spark.read.parquet(str(tmp_path / "scores")).first()["cond"] == "clean"
+    src.write_json(rows.select("path"), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    src.write_lines(rows.union(rows), "orig", str(tmp_path / "lines"))
+    assert [r["path"] for r in src.read_lines(spark, str(tmp_path / "lines")).collect()] == ["o"]
+    many = spark.range(400).select(F.concat(F.lit("p"), "id").alias("path"), F.col("id").alias("orig"), (F.col("id") >= 200).cast("int").alias("label"))
+    src.write_manifest(many, str(tmp_path / "many"))
+    labels = [r["label"] for r in src.read_manifest(spark, str(tmp_path / "many")).collect()]
+    assert labels != sorted(labels) and sum(labels) == 200
+    assert src.console(spark.createDataFrame([("a", 0.5), ("bcd", None)], "k string, v double"), 1) == "k    v\na    0.5\nbcd  n/a"
+
+
+def test_columns_of_images(spark):
+    rows = spark.createDataFrame([((bytearray(b"1"), "n"),)], "Image struct<bytes: binary, path: string>")
+    assert rows.select(src.image_bytes(rows).alias("c")).first()["c"] == b"1"
+    rows = spark.createDataFrame([([bytearray(b"2")],)], "images array<binary>")
+    assert rows.select(src.image_bytes(rows).alias("c")).first()["c"] == b"2"
+
+
+def test_extracted_members_are_skipped(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        for k in range(3):
+            z.writestr(f"{k}.png", b"x" * k)
+    members = zips.read_zip(spark, str(tmp_path / "z.zip"), (".png",))
+    done = members.where("member = '1.png'")
+    assert sorted(r["member"] for r in zips.not_yet(members, done).collect()) == ["0.png", "2.png"]
