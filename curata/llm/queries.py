@@ -1,4 +1,4 @@
-"""The queries op1 to op10 with production parameters, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 with production parameters, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import bpe, chat, embedding_dedup, exact_dedup, langid, lm_scoring, minhash_dedup, mixing, quality, suffix_dedup
+from curata.llm import bpe, chat, embedding_dedup, exact_dedup, langid, lm_scoring, minhash_dedup, mixing, packing, quality, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.digests(packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op12_packing": op12_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
