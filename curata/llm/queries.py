@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import bpe, chat, embedding_dedup, exact_dedup, langid, lm_scoring, minhash_dedup, mixing, packing, quality, spelling, suffix_dedup
+from curata.llm import bpe, chat, embedding_dedup, exact_dedup, langid, lm_scoring, minhash_dedup, mixing, packing, quality, resampling, spelling, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_resampling": op11_resampling,
     "op12_packing": op12_packing,
     "op13_spelling": op13_spelling,
 }
