@@ -29,6 +29,13 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def values(column: pa.Array) -> list[bytes]:
+    """The values of a string or binary column; slices are much faster than Arrow's conversion, scalar by scalar."""
+    raw, offsets = column_bytes(column)
+    data, edges = raw.tobytes(), offsets.tolist()
+    return [data[a:b] for a, b in zip(edges, edges[1:])]
+
+
 def blocks(batches, target: int = 4 << 20):
     """Slices of record batches with about ``target`` bytes of their column ``text``; one longer text makes its own."""
     for batch in batches:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from curata.llm.common import drop_staged, mix64, ship, staged, tidied_table, tidy
 from curata.llm.kernels import blocks as slices_of
-from curata.llm.kernels import column_bytes
+from curata.llm.kernels import column_bytes, values
 
 ORDER, BUCKETS, LEAST_WORDS, PERCENT, SEED = 3, 10_000, 20, 5, 42
 #: Bytes of text in a block; strings in a shard, about; slices of the dictionary; bits of a packed feature.
@@ -78,7 +78,7 @@ def _lines(data: bytes) -> pa.LargeStringArray:
 
 
 def _as_lines(strings: pa.Array) -> bytes:
-    return b"\n".join([*strings.cast(pa.large_binary()).to_pylist(), b""])
+    return b"\n".join([*values(strings), b""])
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
@@ -158,7 +158,7 @@ class Features:
         self.bits = max(1, len(words).bit_length())
         self.row = np.repeat(np.arange(len(sizes)), sizes)
         self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # words to the text's end
-        self.hash = np.fromiter(map(xxh3_64_intdigest, words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+        self.hash = np.fromiter(map(xxh3_64_intdigest, values(words)), np.uint64, len(words))
 
     def of(self, order: int, slice_: int) -> tuple[np.ndarray, np.ndarray]:
         """Where features of a slice begin, and their packed numbers."""
@@ -201,21 +201,24 @@ def _features(row, shards: int, slices: int) -> Features:
 
 
 def _explode(slice_: int, shards: int, slices: int):
-    space = pa.scalar(" ", pa.large_string())
+    space, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    line = pa.scalar("\n", pa.large_string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 own = _features(row, shards, slices)
                 parts, shard, order = own.slice(slice_)
-                strings = pa.concat_arrays([pc.binary_join_element_wise(*(own.words.take(pa.array(c)) for c in p[4]), space) for p in parts]).take(pa.array(order))
+                ended = pc.binary_join_element_wise(own.words, line, none)  # a feature's last word ends its line
+                strings = [pc.binary_join_element_wise(*(own.words.take(pa.array(c)) for c in p[4][:-1]), ended.take(pa.array(p[4][-1])), space) for p in parts]
+                raw, offsets = column_bytes(pa.concat_arrays(strings).take(pa.array(order)))
                 n = np.concatenate([p[3] for p in parts])[order]
                 full, begins = np.unique(shard[order], return_index=True)
                 edges = [*begins.tolist(), len(order)]
                 out: list[tuple] = []
                 size = 0
                 for s, a, b in zip(full.tolist(), edges, edges[1:]):
-                    lines = _as_lines(strings[a:b])
+                    lines = raw[offsets[a] : offsets[b]].tobytes()
                     out.append((row["block"], s, _shrink(lines), len(lines), _planes(n[a:b], 4), b - a))
                     size += len(lines)
                     if size > 8 << 20:
@@ -243,7 +246,7 @@ def _dictionary(rows: pa.Table) -> pa.Table:
     del strings
     index = coded.indices.to_numpy()
     total = np.bincount(index, n, minlength=len(coded.dictionary))  # exact below 2^53
-    bucket = np.fromiter(map(zlib.crc32, coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint32, len(coded.dictionary)) % np.uint32(BUCKETS)
+    bucket = np.fromiter(map(zlib.crc32, values(coded.dictionary)), np.uint32, len(coded.dictionary)) % np.uint32(BUCKETS)
     sums = np.bincount(bucket, total, minlength=BUCKETS).astype(np.int64)
     out = [(None, given[0]["shard"], _planes(sums, 8), BUCKETS)]
     at = 0

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.common import drop_staged, ship, staged, tidied_table, tidy
-from curata.llm.kernels import blocks, column_bytes
+from curata.llm.kernels import blocks, column_bytes, values
 
 DAMAGE, LEAST_LENGTH, LEAST_COUNT, RATIO = 199, 6, 5, 5
 #: Bytes of text in a block; words that share halves, and words of a shard, about.
@@ -87,9 +87,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offsets = column_bytes(batch.column(1))
         runs, row = _runs(raw, offsets)
         coded = runs.dictionary_encode()
-        run, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        run, data = coded.indices.to_numpy(), values(coded.dictionary)
+        words = [w.decode() for w in data]
         ids = [b":" if i is None else f"{i}:".encode() for i in batch.column(0).to_pylist()]
-        data = [w.encode() for w in words]
         size = np.fromiter(map(len, data), np.int64, len(data))
         start = np.fromiter(map(zlib.crc32, ids), np.uint32, len(ids))
         own = np.fromiter(map(zlib.crc32, data), np.uint32, len(data))
