@@ -95,6 +95,28 @@ def _words(raw: np.ndarray, edges: np.ndarray, at: int) -> tuple[np.ndarray, np.
     return mix64(h + lengths.astype(np.uint64)), starts + at
 
 
+def crc_sql(strings: str) -> str:
+    """Common table expressions of DuckDB, after WITH RECURSIVE, for the table crc (k, crc) of a table's column k.
+
+    A checksum is the exclusive or of what each byte adds, which depends on the byte and on how many follow it, and of
+    what the length adds.
+    """
+    return f"""b0 AS (
+        SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM (SELECT unnest(range(256)) AS b) x
+    ), hexed AS MATERIALIZED (SELECT k, hex(encode(k)) AS h FROM (SELECT DISTINCT k FROM {strings}) x),
+    adds AS (
+        SELECT 0 AS d, b, c FROM b0
+        UNION ALL SELECT d + 1, adds.b, xor(adds.c >> 8, b0.c) FROM adds JOIN b0 ON b0.b = adds.c & 255 WHERE d < (SELECT max(length(h)) // 2 FROM hexed)
+    ), empty AS (
+        SELECT 0 AS n, 4294967295 AS c
+        UNION ALL SELECT n + 1, xor(empty.c >> 8, b0.c) FROM empty JOIN b0 ON b0.b = empty.c & 255 WHERE n < (SELECT max(length(h)) // 2 FROM hexed)
+    ), spelt AS (SELECT k, length(h) // 2 AS n, unnest(range(length(h) // 2)) AS i, h FROM hexed),
+    crc AS (
+        SELECT spelt.k, xor(xor(bit_xor(adds.c), any_value(empty.c)), 4294967295) AS crc FROM spelt JOIN empty ON empty.n = spelt.n
+        JOIN adds ON adds.d = spelt.n - 1 - spelt.i AND adds.b = ('0x' || substr(spelt.h, 2 * spelt.i + 1, 2))::INT GROUP BY spelt.k
+    )"""
+
+
 def row_starts(rows: np.ndarray, n: int) -> np.ndarray:
     """Where each of ``n`` rows begins in a sorted list of row numbers; n + 1 positions."""
     return np.searchsorted(rows, np.arange(n + 1))

@@ -41,7 +41,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.digests(chat.format_conversations(chat.text_messages(chat.probe(table(spark, sf_dir, "conversations")))))
+    return chat.digests(chat.format_conversations(chat.probe(chat.text_messages(table(spark, sf_dir, "conversations")))))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,8 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op6_lm_scoring": lm_scoring.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_resampling": resampling.SQL,
+    "op13_spelling": spelling.SQL,
     "op7_chat": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from curata.llm.common import drop_staged, mix64, ship, staged, tidied_table, tidy
 from curata.llm.kernels import blocks as slices_of
-from curata.llm.kernels import column_bytes, values
+from curata.llm.kernels import column_bytes, crc_sql, values
 
 ORDER, BUCKETS, LEAST_WORDS, PERCENT, SEED = 3, 10_000, 20, 5, 42
 #: Bytes of text in a block; strings in a shard, about; slices of the dictionary; bits of a packed feature.
@@ -344,3 +344,29 @@ def resample(documents: DataFrame, target: DataFrame, percent: int = PERCENT, se
     ranked = ranges.join(F.broadcast(offsets), "part").withColumn("place", place)
     rest = scored.where(F.col("n_words") < LEAST_WORDS).select(*columns, F.lit(None).cast("long").alias("rank"))
     return ranked.select(*columns, F.when(F.col("place") <= drawn, F.col("place")).alias("rank")).unionByName(rest)
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: DuckDB SQL of resample() over ``documents``, towards ``benchmark``.
+SQL = f"""
+    WITH RECURSIVE w AS MATERIALIZED (
+        SELECT 'd' AS side, doc_id AS id, {_SQL_WORDS} AS ws FROM documents
+        UNION ALL SELECT 't', item_id, {_SQL_WORDS} FROM benchmark
+    ), f AS MATERIALIZED (
+        SELECT side, id, f, count(*) AS n FROM (
+            SELECT side, id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS f FROM w
+        ) x GROUP BY ALL
+    ), keyed AS (SELECT f AS k FROM f), {crc_sql('keyed')},
+    c AS (SELECT k AS f, crc % 10000 AS bucket FROM crc),
+    k AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM f JOIN c USING (f) GROUP BY bucket),
+    g AS (
+        SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM k) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM k) + 10000)::DOUBLE)))::BIGINT AS gain FROM k
+    ), e AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN c USING (f) JOIN g USING (bucket) WHERE side = 'd' GROUP BY id),
+    s AS (
+        SELECT w.id AS doc_id, len(w.ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+        FROM w LEFT JOIN e ON e.id = w.id WHERE w.side = 'd'
+    ), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER () // 100 AS drawn FROM s WHERE n_words >= 20)
+    SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM s LEFT JOIN r ON r.doc_id = s.doc_id
+"""

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.common import drop_staged, ship, staged, tidied_table, tidy
-from curata.llm.kernels import blocks, column_bytes, values
+from curata.llm.kernels import blocks, column_bytes, crc_sql, values
 
 DAMAGE, LEAST_LENGTH, LEAST_COUNT, RATIO = 199, 6, 5, 5
 #: Bytes of text in a block; words that share halves, and words of a shard, about.
@@ -289,3 +289,27 @@ def variants(documents: DataFrame, group: int = GROUP) -> DataFrame:
     table = joined.select("word", F.when(is_form, F.col("form")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, F.col("form_n")).alias("form_n"))
     found = roots(table.where("form is not null"))
     return table.join(found, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: DuckDB SQL of variants() over ``documents``.
+SQL = rf"""
+    WITH RECURSIVE v AS MATERIALIZED (
+        SELECT doc_id || ':' || w AS k, w, count(*) AS n FROM (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents
+        ) x GROUP BY ALL
+    ), {crc_sql('v')}, o AS (
+        SELECT CASE WHEN crc % 199 = 0 THEN substr(w, 1, (crc % length(w))::INT) || substr(w, (crc % length(w))::INT + 2) ELSE w END AS word, n FROM v JOIN crc USING (k)
+    ), d AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    x AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM d) y),
+    m AS (
+        SELECT a.word, b.word AS near FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+        UNION SELECT x.word, x.rest FROM x JOIN d ON d.word = x.rest
+        UNION SELECT x.rest, x.word FROM x JOIN d ON d.word = x.rest
+    ), q AS (
+        SELECT m.word, count(*) AS n_near, max(d.n) AS most, arg_min(m.near, (-d.n, m.near)) AS best FROM m JOIN d ON d.word = m.near GROUP BY m.word
+    ), e AS (
+        SELECT d.word, CASE WHEN most >= 5 * d.n THEN best END AS form, d.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * d.n THEN most END AS form_n FROM d LEFT JOIN q ON q.word = d.word
+    ), s AS (SELECT word, form AS root FROM e WHERE form IS NOT NULL UNION ALL SELECT s.word, e.form FROM s JOIN e ON e.word = s.root WHERE e.form IS NOT NULL),
+    r AS (SELECT s.word, s.root FROM s JOIN e ON e.word = s.root WHERE e.form IS NULL)
+    SELECT e.word, e.form, coalesce(r.root, e.word) AS root, e.n, e.n_near, e.form_n FROM e LEFT JOIN r ON r.word = e.word
+"""
