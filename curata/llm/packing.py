@@ -19,8 +19,8 @@ the tokenizer once while a table of fixed size has it. Special tokens in a text
 
 Token ids are binary: little-endian unsigned 32-bit numbers, as training files hold them. Null texts count as empty: their
 ids are the closing id alone. Null ids have no pieces. Rows with null or repeated ids, and repeated texts, are packed each
-on its own; there are no ties but of equal dot products, where the earlier example goes first. Very long texts are read
-in parts of PART characters. An empty table gives an empty result. Only doc_id and text (or ids and loss) are read, so
+on its own; there are no ties but of equal dot products, where the earlier example goes first. A very long text makes a
+block of its own. An empty table gives an empty result. Only doc_id and text (or ids and loss) are read, so
 other columns cannot clash.
 """
 
@@ -36,17 +36,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.common import ship, tidy
+from curata.llm.kernels import blocks, column_bytes, values
 
 TOKENS, SEGMENTS = 1024, 256
-#: Examples in a pool; characters of a text read at a time; parts whose ids are kept; bytes of ids in a batch.
-POOL, PART, KEPT_PARTS, BATCH_BYTES = 512, 1 << 20, 700_000, 4 << 20
-_BOUNDARY = re.compile(r" (?=\S)")
-#: Parts that can be encoded alone: a run of letters (Latin ones: of these no library doubts that they are letters) with a
-#: space before it and no letter behind it; a line feed between other characters than white space; what lies between.
+#: Examples in a pool; bytes of texts read at a time; parts whose ids are kept; bytes of ids in a batch.
+POOL, BLOCK_BYTES, KEPT_PARTS, BATCH_BYTES = 512, 4 << 20, 1_000_000, 4 << 20
+
+#: Latin letters and other ASCII marks, of which no library doubts what they are.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*range(0x21, 0x7F)]] = True
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7f])|\n(?=\S)|(?s:.+?)(?= \S|(?<=\S)\n\S|\Z)")
 
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[str, Tokens] = {}
+
+
+def _cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where parts of the texts begin that can be encoded alone."""
+    n = len(raw)
+    trail = np.zeros(n, bool)  # second bytes of U+00C0 to U+00FF but the signs of multiplication and division
+    trail[1:] = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    lead = np.zeros(n, bool)
+    lead[:-1] = trail[1:]
+    ascii_letter = _LETTER[raw]
+    letter = ascii_letter | trail
+    ink = _MARK[raw] | trail | lead  # certainly not white space
+    cut = np.zeros(n + 1, bool)
+    cut[1:n] = letter[:-1] & (raw[1:] < 0x80) & ~ascii_letter[1:]
+    cut[: n - 1] |= (raw[:-1] == 32) & ink[1:]
+    line = np.flatnonzero(raw == 10)
+    line = line[(line > 0) & (line < n - 1)]
+    line = line[ink[line - 1] & ink[line + 1]]
+    cut[line] = cut[line + 1] = True
+    cut[offsets] = True
+    return np.flatnonzero(cut[:n])
 
 
 class Tokens:
@@ -56,8 +80,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
+        self.special = [str(t).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kept: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Tokens:
@@ -65,14 +89,15 @@ class Tokens:
             _tokenizers[path] = cls(path)
         return _tokenizers[path]
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, parts: list[bytes]) -> None:
         """Encode new parts: words with a space as one text, other words as lines of one, the rest one by one."""
-        letters = [p for p in parts if p[-1].isalpha() and _WORD.fullmatch(p)]
-        others = list(parts.difference(letters))
-        for p, got in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.kept[p] = np.array(got.ids, "<u4").tobytes()
-        spaced = [p for p in letters if p[0] == " "]
-        for words, line in ((spaced, 0), ([p for p in letters if p[0] != " "], 1)):
+        texts = [p.decode() for p in parts]
+        spaced, lines, others = [], [], []
+        for t in texts:
+            (others if not _WORD.fullmatch(t) else spaced if t[0] == " " else lines).append(t)
+        for t, got in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self.kept[t.encode()] = np.array(got.ids, "<u4").tobytes()
+        for words, line in ((spaced, 0), (lines, 1)):
             for s in range(0, len(words), 5000):
                 some = words[s : s + 5000]
                 got = self.tokenizer.encode(("\n" * line).join(some), add_special_tokens=False)
@@ -81,44 +106,35 @@ class Tokens:
                 starts = np.cumsum(lengths + line) - lengths - line
                 data = np.array(got.ids, "<u4").tobytes()
                 firsts, lasts = (4 * np.searchsorted(begins, x) for x in (starts, starts + lengths))
-                self.kept.update(zip(some, [data[a:b] for a, b in zip(firsts.tolist(), lasts.tolist())]))
-
-    def _pieces(self, text: str) -> Iterator[str]:
-        """A long text in pieces that begin with the space of a boundary."""
-        at = 0
-        while at < len(text):
-            stop = _BOUNDARY.search(text, at + PART)
-            yield text[at : stop.start() if stop else len(text)]
-            at = stop.start() if stop else len(text)
-
-    def _joined(self, texts: list[list[str]]) -> list[bytes]:
-        got = [list(map(self.kept.get, parts)) for parts in texts]
-        lacking = [k for k, ids in enumerate(got) if None in ids]
-        if new := {p for k in lacking for p, ids in zip(texts[k], got[k]) if ids is None}:
+                self.kept.update((t.encode(), data[a:b]) for t, a, b in zip(some, firsts.tolist(), lasts.tolist()))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a column."""
+        raw, offsets = column_bytes(texts)
+        data = raw.tobytes()
+        if any(s in data for s in self.special):  # special tokens are found before the pattern is applied
+            whole = [data[a:b].decode() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        if not len(raw):
+            return [b""] * len(texts)
+        starts = _cuts(raw, offsets)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(data)]).dictionary_encode()
+        parts = values(coded.dictionary)
+        got = list(map(self.kept.get, parts))
+        if new := [p for p, ids in zip(parts, got) if ids is None]:
             if len(self.kept) > KEPT_PARTS:  # those met first are the frequent ones
                 self.kept = dict(islice(self.kept.items(), KEPT_PARTS // 2))
-                new = set().union(*(texts[k] for k in lacking)).difference(self.kept)
+                self.kept.update((p, ids) for p, ids in zip(parts, got) if ids is not None)
             self._learn(new)
-            for k in lacking:
-                got[k] = map(self.kept.__getitem__, texts[k])
-        return [b"".join(ids) for ids in got]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        waiting: list[list[str]] = []
-        size = 0
-        for text in texts:
-            if len(text) > PART or any(s in text for s in self.special):  # special tokens are found before the pattern is applied
-                yield from self._joined(waiting)
-                waiting, size = [], 0
-                whole = [text] if any(s in text for s in self.special) else None
-                yield b"".join(np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if whole else self._joined([_PARTS.findall(x)])[0] for x in whole or self._pieces(text))
-                continue
-            waiting.append(_PARTS.findall(text))
-            size += len(text)
-            if size > PART:
-                yield from self._joined(waiting)
-                waiting, size = [], 0
-        yield from self._joined(waiting)
+            got = list(map(self.kept.__getitem__, parts))
+        pool = np.frombuffer(b"".join(got), "<u4")
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        which = coded.indices.to_numpy()
+        length = sizes[which]
+        ends = np.cumsum(length)
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - length), length) + np.arange(ends[-1])].tobytes()
+        edges = np.append(0, ends)[np.searchsorted(starts, offsets)].tolist()
+        return [ids[4 * a : 4 * b] for a, b in zip(edges, edges[1:])]
 
 
 class Packer:
@@ -272,9 +288,9 @@ def pack_texts(documents: DataFrame, path: str, closing: int = 0, tokens: int =
     end = closing.to_bytes(4, "little")
 
     def read(batch: pa.RecordBatch):
-        texts = [text or "" for text in batch.column(1).to_pylist()]
-        for key, ids in zip(batch.column(0), Tokens.of(path).encode(texts)):
-            yield key.as_py(), ids + end, None
+        for block in blocks([batch], BLOCK_BYTES):
+            for key, ids in zip(block.column(0), Tokens.of(path).encode(block.column(1))):
+                yield key.as_py(), ids + end, None
 
     return _run(documents.select("doc_id", "text"), read, (tokens, segments, tokens if loss is None else loss, cut))
 
