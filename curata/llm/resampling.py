@@ -37,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from curata.llm.common import drop_staged, mix64, ship, staged, tidied_table, tidy
 from curata.llm.kernels import blocks as slices_of
@@ -44,7 +45,7 @@ from curata.llm.kernels import column_bytes, crc_sql, values
 
 ORDER, BUCKETS, LEAST_WORDS, PERCENT, SEED = 3, 10_000, 20, 5, 42
 #: Bytes of text in a block; strings in a shard, about; slices of the dictionary; bits of a packed feature.
-BLOCK_BYTES, SHARD_STRINGS, SLICES, PACKED_BITS = 24 << 20, 1 << 20, 4, 63
+BLOCK_BYTES, SHARD_STRINGS, SLICES, PACKED_BITS = 12 << 20, 1 << 20, 4, 63
 
 _INK = np.zeros(256, bool)
 _INK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -153,21 +154,18 @@ class Features:
     def __init__(self, codes: np.ndarray, sizes: np.ndarray, words: pa.LargeStringArray, shards: int, slices: int):
         from xxhash import xxh3_64_intdigest
 
-        self.codes, self.words = codes.astype(np.int64), words
-        self.shards, self.slices = np.uint64(shards), np.uint64(slices)
+        self.codes, self.words, self.shards = codes, words, np.uint64(shards)
         self.bits = max(1, len(words).bit_length())
-        self.row = np.repeat(np.arange(len(sizes)), sizes)
-        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # words to the text's end
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.left = (np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))).astype(np.int32)  # words to the text's end
         self.hash = np.fromiter(map(xxh3_64_intdigest, values(words)), np.uint64, len(words))
+        self.slice_of = (mix64(self.hash) % np.uint64(slices)).astype(np.uint16)
 
     def of(self, order: int, slice_: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where features of a slice begin, and their packed numbers."""
-        at = np.flatnonzero(self.left >= order)
-        h = self.hash[self.codes[at]]
-        for k in range(1, order):
-            h = mix64(h + np.uint64(k)) + self.hash[self.codes[at + k]]
-        at = at[mix64(h) % self.slices == slice_]
-        packed = self.codes[at]
+        """Where features of a slice begin, and their packed numbers. The first word chooses the slice."""
+        at = np.flatnonzero(self.slice_of[self.codes] == slice_)
+        at = at[self.left[at] >= order]
+        packed = self.codes[at].astype(np.int64)
         for k in range(1, order):
             if self.bits * (k + 1) > PACKED_BITS:  # too many words for their bits: number what is there so far
                 packed = np.unique(packed, return_inverse=True)[1]
@@ -284,7 +282,7 @@ def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.floor(1000 * np.log((t + 1) * (s.sum() + BUCKETS) / ((s + 1) * (t.sum() + BUCKETS)))).astype(np.int64)
 
 
-def _weigh(gain: np.ndarray, shards: int, slices: int):
+def _weigh(gain: np.ndarray, shards: int, slices: int, some: range):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = block.select(["sizes", "codes", "n", "words", "bytes"]).to_pylist()[0]
         own = _features(row, shards, slices)
@@ -292,7 +290,7 @@ def _weigh(gain: np.ndarray, shards: int, slices: int):
         weight = np.zeros(len(sizes))
         said = answers.sort_by([("slice", "ascending"), ("shard", "ascending")])
         data, lengths, of = said.column("buckets").to_pylist(), said.column("n").to_pylist(), said.column("slice").to_numpy()
-        for k in range(slices):
+        for k in some:
             bucket = np.concatenate([_unplanes(data[i], lengths[i], 2) for i in np.flatnonzero(of == k)] or [np.zeros(0, np.uint16)])
             parts, _, order = own.slice(k)
             value = np.empty(len(order))
@@ -304,7 +302,8 @@ def _weigh(gain: np.ndarray, shards: int, slices: int):
                 begin += len(found)
         features = sum(np.maximum(sizes - k, 0) for k in range(ORDER))
         ids = block.column("ids").combine_chunks().flatten()
-        return pa.table([ids, pa.array(sizes), pa.array(features), pa.array(weight.astype(np.int64))], ["doc_id", "n_words", "n_features", "weight"])
+        names = ["block", "row", "doc_id", "n_words", "n_features", "weight"]
+        return pa.table([pa.array(np.full(len(sizes), block.column("block")[0].as_py())), pa.array(np.arange(len(sizes))), ids, pa.array(sizes), pa.array(features), pa.array(weight.astype(np.int64))], names)
 
     return tidied_table(run)
 
@@ -317,13 +316,26 @@ def weights(documents: DataFrame, target: DataFrame, slices: int = SLICES) -> Da
     drop_staged(like, *asked)
     given = blocks(documents)
     answers, shards, sums = dictionary(given, slices)
-    said = None
-    for k, a in enumerate(answers):
-        a = a.where("block is not null").withColumn("slice", F.lit(k))
-        said = a if said is None else said.unionByName(a)
-    schema = documents.select("doc_id").schema.add("n_words", "long").add("n_features", "long").add("weight", "long")
-    out = staged(given.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_weigh(gains(sums, wanted), shards, slices), schema), "weights")
-    drop_staged(given, *answers)
+    gain = gains(sums, wanted)
+    schema = documents.select("doc_id").schema
+    fields = [StructField("block", LongType()), StructField("row", LongType()), *schema.fields, *(StructField(c, LongType()) for c in ("n_words", "n_features", "weight"))]
+    parts = []
+    for some in (range(0, slices // 2), range(slices // 2, slices)):  # one after the other: half of the answers move at a time
+        if not some:
+            continue
+        said = None
+        for k in some:
+            a = answers[k].where("block is not null").withColumn("slice", F.lit(k))
+            said = a if said is None else said.unionByName(a)
+        met = given.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_weigh(gain, shards, slices, some), StructType(fields))
+        parts.append(staged(met, "weights"))
+        drop_staged(*(answers[k] for k in some))
+    drop_staged(given)
+    if len(parts) == 1:
+        return parts[0].drop("block", "row")
+    both = parts[0].unionByName(parts[1]).groupBy("block", "row")
+    out = staged(both.agg(F.min("doc_id").alias("doc_id"), F.min("n_words").alias("n_words"), F.min("n_features").alias("n_features"), F.sum("weight").alias("weight")).drop("block", "row"), "weights")
+    drop_staged(*parts)
     return out
 
 
