@@ -25,17 +25,15 @@ def bucket_balance(rows: DataFrame, max_ratio: float = 1.5, min_rows: int = 200)
 
 def native_size(rows: DataFrame, low: float = 0.8, high: float = 1.25, eval_set: bool = False) -> DataFrame:
     """bucket, counts, upper median of ``long`` and verdict; one-class and skewed buckets fail, whatever their size."""
-    counts = rows.groupBy("bucket").agg(F.count_if(F.col("label") == 0).alias("reals"), F.count_if(F.col("label") == 1).alias("fakes"), upper_median("long").alias("median_long"))
+    from curata.operators.order_statistics import upper_median
+
+    middle = upper_median(rows, ["bucket"], "long").select(F.col("bucket").alias("__bucket"), F.col("value").alias("median_long"))
+    counts = class_counts(rows, ["bucket"]).join(middle, F.col("bucket").eqNullSafe(F.col("__bucket")), "left").drop("__bucket")
     ratio = F.try_divide(F.col("reals").cast("double"), F.col("fakes").cast("double"))
     fine = (F.col("reals") > 0) & (F.col("fakes") > 0) & ratio.between(low, high)
     return counts.select("*", F.when(fine, "PASS").otherwise("CAVEAT" if eval_set else "FAIL").alias("verdict"))
 
 
-def upper_median(column: str) -> Column:
-    """The middle value, the upper one of two, by counts of distinct values."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
-
-
 def subject_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     return class_counts(rows, [*by, "subject"])
 

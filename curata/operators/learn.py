@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from curata.functions import dims
 from curata.functions.seeded import unit
-from curata.operators.features import CANARIES
-from curata.operators.images import udf
 from curata.operators.metrics import auroc, quantile_cutoff
 from curata.session import written
 
@@ -57,16 +55,6 @@ def shortcut_audit(rows: DataFrame, key: str, by: list[str] | None = None) -> Da
     return auroc(scores, by or []).withColumn("verdict", dims.verdict(F.col("auroc")))
 
 
-def canary_audit(pictures: DataFrame, key: str) -> DataFrame:
-    """canary, auroc and verdict: how well each family of plain features tells the classes of ``pictures`` apart."""
-    def one(name: str) -> DataFrame:
-        rows = pictures.select(key, "label", udf(CANARIES[name], "array<double>")(F.col("image")).alias("features"))
-        return shortcut_audit(rows, key).select(F.lit(name).alias("canary"), "auroc", "verdict")
-
-    with ThreadPoolExecutor(len(CANARIES)) as pool:
-        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(pictures.sparkSession)(one), CANARIES))
-
-
 def ledoit_wolf(n: int, cross: np.ndarray, fourth: float) -> np.ndarray:
     """Covariance of n centred rows, shrunk to a multiple of the identity by the Ledoit-Wolf coefficient.
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import dims, geometry, hashes
 from curata.functions.seeded import order_key
-from curata.operators import audit, curate, dedup, images, learn, metrics, models, transforms, votes
-from curata.operators import features as px
+from curata.operators import audit, curate, dedup, groups, learn, metrics, votes
 from curata.plans import adapters as a
 from curata.sources import manifests as src
 
@@ -229,28 +228,31 @@ def generator_disjoint(spark, d):
 
 @query("benchmark_contamination", "SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, b.text) AND length(b.text) > 0")
 def benchmark_contamination(spark, d):
-    """Benchmark texts in documents, by equi-joins on hashes of word windows, then verified.
+    """Benchmark texts in documents, by equi-joins on hashes of word windows and on letters, then verified.
 
     A passage may begin or end within a word, so its first and last words do not count: an item of k words meets documents
-    by the first of its windows of min(k - 2, 8) words. Items of one or two words have none; they are a stated query set
-    that is broadcast and searched in every text.
+    by the first of its windows of min(k - 2, 8) words; all widths that items have are cut from a text at once. Items of
+    one or two words have no such window: they meet documents by their first letters, three or as many as they have.
     """
     spaced = lambda c: F.array_remove(F.split(c, r"\s+"), "")
-    width = F.least(F.size("w") - 2, F.lit(8))
-    items = a.table(spark, d, "benchmark").where("length(text) > 0").select("item_id", F.col("text").alias("item"), spaced(F.col("text")).alias("w")).withColumn("width", width)
+    item = a.table(spark, d, "benchmark").where("length(text) > 0").select("item_id", F.col("text").alias("item"), spaced(F.col("text")).alias("w"))
+    items = item.withColumn("width", F.least(F.size("w") - 2, F.lit(8))).withColumn("letters", F.least(F.length("item"), F.lit(3)))
+    of_words, of_letters = items.where("width > 0"), items.where("width <= 0")
+    widths = [r[0] for r in of_words.select("width").distinct().collect()]  # 8 at most
+    counts = [r[0] for r in of_letters.select("letters").distinct().collect()]  # 3 at most
     text = a.table(spark, d, "documents").select("doc_id", "text")
-    docs = text.select("doc_id", spaced(F.col("text")).alias("w"))
-    hits = None
-    for (k,) in items.where("width > 0").select("width").distinct().orderBy("width").collect():  # 8 at most
-        keyed = items.where(F.col("width") == k).select("item_id", F.xxhash64(F.array_join(F.slice("w", 2, k), " ")).alias("key"))
-        windows = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))  # noqa: B023
-        one = docs.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(windows)).alias("key")).join(keyed, "key").select("doc_id", "item_id")
-        hits = one if hits is None else hits.unionByName(one)
-    short = text.join(F.broadcast(items.where("width <= 0").select("item_id", "item")), F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
-    if hits is None:
-        return short
-    found = hits.distinct().join(items.select("item_id", "item"), "item_id").join(text, "doc_id").where("contains(text, item)").select("doc_id", "item_id")
-    return found.unionByName(short)
+    key = lambda kind, k, x: F.xxhash64(F.lit(kind), F.lit(k), x)
+    none = F.array().cast("array<bigint>")
+    windows = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: key("w", k, F.array_join(F.slice("w", i, k), " ")))).otherwise(none)
+    grams = lambda k: F.when(F.length("text") >= k, F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i: key("l", k, F.substring("text", i, F.lit(k))))).otherwise(none)
+    made = [windows(k) for k in widths] + [grams(k) for k in counts]
+    if not made:
+        return text.limit(0).select("doc_id", F.lit(None).cast(item.schema["item_id"].dataType).alias("item_id"))
+    asked = of_words.select("item_id", F.xxhash64(F.lit("w"), "width", F.expr("array_join(slice(w, 2, width), ' ')")).alias("key"))
+    asked = asked.unionByName(of_letters.select("item_id", F.xxhash64(F.lit("l"), "letters", F.expr("substring(item, 1, letters)")).alias("key")))
+    cut = text.withColumn("w", spaced(F.col("text"))).select("doc_id", F.explode(F.array_distinct(F.concat(*made))).alias("key"))
+    hits = cut.join(asked, "key").select("doc_id", "item_id").distinct()
+    return hits.join(items.select("item_id", "item"), "item_id").join(text, "doc_id").where("contains(text, item)").select("doc_id", "item_id")
 
 
 @query("holdout_check", m("SELECT DISTINCT generator FROM m WHERE split = 'train' AND label = 1 AND generator IN ('de', 'fr')"))
@@ -289,9 +291,12 @@ def foreign_key_join(spark, d):
 PAIRS = f"WITH {a.H}, pairs AS (SELECT p.id AS probe_id, t.id AS train_id, bit_count(xor(p.dhash, t.dhash)) AS distance FROM pr p, h t WHERE bit_count(xor(p.dhash, t.dhash)) <= 4)"
 
 
-@query("hamming_pigeonhole", PAIRS + " SELECT probe_id, train_id, distance::INT AS distance FROM pairs")
+@query("hamming_pigeonhole", f"""WITH {a.H}, p AS (SELECT dhash, min(id) AS id, count(*) AS n FROM pr GROUP BY dhash), t AS (SELECT dhash, min(id) AS id, count(*) AS n FROM h GROUP BY dhash)
+    SELECT p.id AS probe_id, t.id AS train_id, bit_count(xor(p.dhash, t.dhash))::INT AS distance, p.n AS probe_rows, t.n AS train_rows FROM p, t WHERE bit_count(xor(p.dhash, t.dhash)) <= 4""")
 def hamming_pigeonhole(spark, d):
-    return dedup.near_pairs(*a.hashes(spark, d), 4)
+    probe, known = a.hashes(spark, d)
+    one, two = (x.select(F.col("dhash").alias("id"), "dhash").distinct() for x in (probe, known))
+    return groups.near_classes(probe, known, dedup.near_pairs(one, two, 4))
 
 
 @query("nearest_hash", PAIRS + " SELECT probe_id, train_id, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY distance, train_id) AS k FROM pairs) WHERE k = 1")
@@ -576,12 +581,15 @@ def pooled_ladder(spark, d):
     return ladder(spark, d, "pooled")
 
 
-@query("depth_ladder_pivot", sc(f", {DEPTH} SELECT depth, " + ", ".join(f"round(avg(score) FILTER (bucket = '{b}'), 6) AS \"{n}\"" for b, n in (("<=341", "b0"), ("342-512", "b1"), ("513-768", "b2"))) + " FROM dp GROUP BY depth"))
+#: Every bucket is a column, rows without one, too.
+LADDER = {"<=341": "b0", "342-512": "b1", "513-768": "b2", "769-1024": "b3", ">1024": "b4", "none": "b5"}
+
+
+@query("depth_ladder_pivot", sc(f", {DEPTH} SELECT depth, " + ", ".join(f"round(avg(score) FILTER (coalesce(bucket, 'none') = '{b}'), 6) AS \"{n}\"" for b, n in LADDER.items()) + " FROM dp GROUP BY depth"))
 def depth_ladder_pivot(spark, d):
-    s = a.scores(spark, d).withColumn("depth", metrics.depth(F.col("cond"))).where("depth IS NOT NULL")
-    names = {"<=341": "b0", "342-512": "b1", "513-768": "b2"}
-    p = s.groupBy("depth").pivot("bucket", list(names)).agg(F.round(F.avg("score"), 6))
-    return p.select("depth", *(F.col(f"`{k}`").alias(v) for k, v in names.items()))
+    s = a.scores(spark, d).withColumn("depth", metrics.depth(F.col("cond"))).where("depth IS NOT NULL").withColumn("bucket", F.coalesce("bucket", F.lit("none")))
+    p = s.groupBy("depth").pivot("bucket", list(LADDER)).agg(F.round(F.avg("score"), 6))
+    return p.select("depth", *(F.col(f"`{k}`").alias(v) for k, v in LADDER.items()))
 
 
 @query("family_table", sc(f"{CURVE}, fam AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{f}')" for c, f in metrics.families()) + ") t(cond, family)) SELECT family, count(*) AS conds, round(avg(auroc), 6) AS mean_auroc, round(min(auroc), 6) AS worst_auroc FROM ar JOIN fam USING (cond) GROUP BY family"))
@@ -634,10 +642,9 @@ def topk_false_negatives(spark, d):
     return a.scores(spark, d).where("label = 1 AND score < 0.5").orderBy("score", "path", "cond").limit(20).select("path", "cond", "score")
 
 
-@query("unpivot_scores", sc("SELECT path, cond, score FROM sc WHERE cond IN ('clean', 'crop_80', 'blur_s0.5')"))
+@query("unpivot_scores", sc("SELECT path, cond, score FROM sc"))
 def unpivot_scores(spark, d):
-    s = a.scores(spark, d)
-    return src.long_scores(src.wide_scores(s, ["path"], ["clean", "crop_80", "blur_s0.5"]), ["path"])
+    return src.long_scores(src.wide_scores(a.scores(spark, d), ["path"], a.CONDITIONS), ["path"])
 
 
 @query("style_delta", sc(f"{CURVE} SELECT cond, round(auroc - (SELECT auroc FROM ar WHERE cond = 'clean'), 6) AS delta FROM ar"))
@@ -683,9 +690,10 @@ def ladder_numbers(cmin: int, cmax: int, n: int, step: int) -> list[int]:
     return sorted({max(step, round(cmin + i * (cmax - cmin) / (n - 1)) // step * step) for i in range(n)})
 
 
-@query("size_ladder", "SELECT unnest([112, 140, 168]) AS size")
+@query("size_ladder", f"WITH {a.P} SELECT id, size FROM p, (SELECT unnest([112, 140, 168]) AS size) WHERE size <= least(w, h)")
 def size_ladder(spark, d):
-    return spark.range(1).select(F.explode(geometry.size_ladder(112, 168, 3, 14)).alias("size"))
+    sizes = F.explode(geometry.size_ladder(112, 168, 3, 14)).alias("size")
+    return a.pictures(spark, d).select("id", F.least("w", "h").alias("side"), sizes).where("size <= side").select("id", "size")
 
 
 BOX = "x AS x0, y AS y0, x + c AS x1, y + c AS y1"
@@ -773,11 +781,6 @@ def generator_norm(spark, d):
     return a.table(spark, d, "part").select(dims.norm_generator(F.col("p_type")).alias("g")).distinct()
 
 
-@query("upper_median", "SELECT source, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper FROM documents GROUP BY source")
-def upper_median(spark, d):
-    return a.table(spark, d, "documents").groupBy("source").agg(audit.upper_median("n_chars").alias("upper"))
-
-
 @query("mode_size", f"WITH {a.P} SELECT w, h FROM (SELECT w, h, count(*) AS n FROM p GROUP BY w, h ORDER BY n DESC, w, h LIMIT 1)")
 def mode_size(spark, d):
     return a.pictures(spark, d).groupBy("w", "h").count().orderBy(F.desc("count"), "w", "h").limit(1).select("w", "h")
@@ -851,14 +854,12 @@ def mahalanobis_oneclass(spark, d):
 
 @query("stacker")
 def stacker(spark, d):
-    s = a.scores(spark, d).where("cond IN ('clean', 'crop_80', 'jitter_20')").withColumnRenamed("cond", "model")
-    return learn.stack(s, "path", ["clean", "crop_80", "jitter_20"])
+    return learn.stack(a.scores(spark, d).withColumnRenamed("cond", "model"), "path", a.CONDITIONS)
 
 
 @query("stacker_choice")
 def stacker_choice(spark, d):
-    s = a.scores(spark, d).where("cond IN ('clean', 'crop_80', 'jitter_20')").withColumnRenamed("cond", "model")
-    return learn.stack_choice(s, "path", ["clean", "crop_80", "jitter_20"])
+    return learn.stack_choice(a.scores(spark, d).withColumnRenamed("cond", "model"), "path", a.CONDITIONS)
 
 
 @query("linear_head")
@@ -866,80 +867,19 @@ def linear_head(spark, d):
     return learn.out_of_fold(features(spark, d), "vec_id")
 
 
-def pixel_features(spark, d, function) -> DataFrame:
-    return a.rasters(spark, d).select("id", "label", images.udf(function, "array<double>")(F.col("image")).alias("features"))
-
-
-@query("canary_audit")
-def canary_audit(spark, d):
-    """canary, auroc and verdict for each family of features."""
-    return learn.canary_audit(a.rasters(spark, d), "id")
-
-
-@query("spectral_audit")
-def spectral_audit(spark, d):
-    return learn.shortcut_audit(pixel_features(spark, d, px.spectral), "id")
-
-
-@query("fingerprint_oneclass")
-def fingerprint_oneclass(spark, d):
-    return learn.one_class(pixel_features(spark, d, px.fingerprint), "id")
-
-
-@query("dhash_udf")
-def dhash_udf(spark, d):
-    c = F.col("image")
-    return a.rasters(spark, d).select("id", images.udf(images.dhash, "long")(c).alias("dhash"), images.udf(images.flat, "boolean")(c).alias("flat"))
-
-
-@query("brightness_model")
-def brightness_model(spark, d):
-    """AUROC under the grid, the chains and the stacks."""
-    conditions = {**transforms.grid(), **transforms.extra()}
-    return rounded(metrics.auroc(images.score_grid(a.rasters(spark, d), models.load("brightness"), conditions), ["cond"]), "auroc")
-
-
-@query("wrapped_models")
-def wrapped_models(spark, d):
-    """The scores of specifications with wrappers."""
-    out = None
-    for text in ("random", "noise+brightness", "vote(k=3,g=2,n=1,L=160)+brightness"):
-        one = images.score_grid(a.rasters(spark, d), models.load(text), {"clean": lambda x: x}).withColumn("model", F.lit(text))
-        out = one if out is None else out.unionByName(one)
-    return out.select("id", "label", "model", "score")
-
-
-@query("style_reliance")
-def style_reliance(spark, d):
-    return rounded(metrics.auroc(images.score_grid(a.rasters(spark, d), images.brightness, transforms.STYLES), ["cond"]), "auroc")
-
-
-@query("noise_udf")
-def noise_udf(spark, d):
-    c = F.col("image")
-    return a.rasters(spark, d).select("id", images.udf(images.brightness, "double")(images.udf(images.noise(0.1), "", image=True)(c)).alias("b"))
-
-
-@query("canonicalise")
-def canonicalise(spark, d):
-    """A drawn square crop of each picture, with the dHash of it; null where the picture is too small."""
-    return transforms.canonicalised(a.rasters(spark, d), "id", crop=20, long=28, seed=0).select("id", F.col("image.height").alias("height"), images.udf(images.dhash, "long")(F.col("image")).alias("dhash"))
-
-
 @query("stream_dedup", "SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
 def stream_dedup(spark, d):
     """The stream's rows at its end are the batch's: the query runs over the same folder to its end and reads the result."""
     import uuid
 
-    from curata.session import delete_at_exit, shared_dir
+    from curata.session import shared_dir
     from curata.streaming.dedup import new_rows, read_stream
 
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    delete_at_exit(spark, path)
     stream = read_stream(spark, f"{d}/events.parquet", a.table(spark, d, "events").schema).select(F.concat_ws("|", "user_id", "event_type").alias("key"), "user_id", "event_type")
     done = new_rows(stream, "key").writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.parquet(f"{path}/rows").select("user_id", "event_type")
 
 
-from curata.plans import corpus_queries, report_queries  # noqa: E402,F401  register theirs
+from curata.plans import corpus_queries, report_queries, structure_queries  # noqa: E402,F401  register theirs

@@ -27,6 +27,10 @@ def build(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_temporary: dict[str, str] = {}
+_there: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary
     one; on a cluster that would not be shared, so it is an error there."""
@@ -35,7 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="shared-")
+    app = spark.sparkContext.applicationId
+    if app not in _temporary:
+        _temporary[app] = tempfile.mkdtemp(prefix="shared-")
+    return _temporary[app]
 
 
 def written(rows: DataFrame) -> DataFrame:
@@ -43,16 +50,31 @@ def written(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    delete_at_exit(spark, path)
-    return spark.read.schema(rows.schema).parquet(path)
+    if not _there:
+        atexit.register(_delete_all)
+    _there.append((spark, path))
+    out = spark.read.schema(rows.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that written() made and nothing will read any more."""
+    for table in tables:
+        entry = (table.sparkSession, table.written_path)
+        if entry in _there:
+            _there.remove(entry)
+            delete(*entry)
 
 
-def delete_at_exit(spark: SparkSession, path: str) -> None:
-    def delete() -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _delete_all() -> None:
+    for spark, path in _there:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, path)
         except Exception:  # the session is gone: its owner cleans the shared folder
             return
-
-    atexit.register(delete)

@@ -14,7 +14,6 @@ MANIFEST = T.StructType([T.StructField(n, t) for n, t in (("path", S), ("label",
 CANONICAL = T.StructType([T.StructField(n, t) for n, t in (("path", S), ("orig", S), ("label", I), ("generator", S), ("source", S), ("long", I))])
 RAW = T.StructType([*MANIFEST.fields, T.StructField("w", I), T.StructField("h", I)])
 SEGMENTS = T.StructType([T.StructField(n, t) for n, t in (("path", S), ("mask", S), ("label", I), ("source", S))])
-HASHES = T.StructType([T.StructField(n, t) for n, t in (("path", S), ("group", S), ("label", I), ("src", S), ("sha256", S), ("dhash", T.LongType()))])
 
 # File name extensions of images.
 EXTENSIONS = ("jpg", "jpeg", "png", "webp", "bmp")
@@ -112,29 +111,6 @@ def wide_scores(scores: DataFrame, ids: list[str], conditions: list[str]) -> Dat
     return out.select(*ids, *(F.col(f"`{c}`").alias(f"score_{c}") for c in conditions))
 
 
-def read_archive(spark: SparkSession, paths: str | list[str], prefix: str = "score_") -> DataFrame:
-    """Score archives (npz with labels, score_<condition> and, if there, paths and generators) to rows
-    (archive, row, path, label, generator, cond, score), an archive's arrays cut into batches."""
-    import io
-
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        for files in batches:
-            for archive, data in zip(files["path"], files["content"]):
-                held = np.load(io.BytesIO(data), allow_pickle=False)
-                n = len(held["labels"])
-                text = lambda name, k: held[name][k].astype(str) if name in held.files else np.full(len(k), "")
-                for name in held.files:
-                    for at in range(0, n if name.startswith(prefix) else 0, 65536):
-                        k = np.arange(at, min(n, at + 65536))
-                        yield pd.DataFrame({"archive": archive, "row": k, "path": text("paths", k), "label": held["labels"][k].astype("int32"), "generator": text("generators", k), "cond": name[len(prefix) :], "score": held[name][k].astype(float)})
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(run, "archive string, row long, path string, label int, generator string, cond string, score double")
-
-
 def read_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A CSV of scores (label, score, and path, generator, cond and model if there)."""
     kinds = [("path", S), ("label", I), ("generator", S), ("cond", S), ("model", S), ("score", T.DoubleType())]
@@ -170,13 +146,6 @@ def console(df: DataFrame, digits: int = 4) -> str:
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(line, widths)).rstrip() for line in lines)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """A results document to rows (model, cond, metric, value)."""
-    kind = "model string, conditions map<string, map<string, double>>"
-    rows = spark.read.option("multiLine", True).schema(kind).json(path)
-    return rows.select("model", F.explode("conditions").alias("cond", "m")).select("model", "cond", F.explode("m").alias("metric", "value"))
-
-
 def write_manifest(df: DataFrame, path: str, schema: T.StructType = CANONICAL, seed: int = 0) -> None:
     """One CSV with a header, its fields only, in seeded order and so never sorted by class. For manifests, which are small."""
     with_optional(df, schema).orderBy(order_key(seed, F.col("path")), "path").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -200,14 +169,6 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct().orderBy(column).write.mode("overwrite").text(path)
 
 
-def append_new(df: DataFrame, path: str, key: list[str]) -> None:
-    """Append the rows whose key is not there yet: a rerun adds nothing."""
-    spark = df.sparkSession
-    if exists(spark, path):
-        df = df.join(spark.read.parquet(path).select(*key).distinct(), key, "left_anti")
-    df.dropDuplicates(key).write.mode("append").parquet(path)
-
-
 def markdown(df: DataFrame, digits: int = 4) -> str:
     """A report's table as text; for results, which are small."""
     cell = lambda v: "n/a" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)

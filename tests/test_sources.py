@@ -3,9 +3,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from curata.operators import images, learn, metrics, transforms
+from curata.sources import archives, documents, headers
 from curata.sources import manifests as src
-from curata.sources import zips
 from curata.streaming import dedup as stream
 
 
@@ -30,14 +29,11 @@ def test_splits_files_and_lines(spark, tmp_path):
     assert [(r["folder"], r["label"], r["length"]) for r in found] == [("real", 0, 1)]
 
 
-def test_results_scores_and_append(spark, tmp_path):
+def test_results_and_scores(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"model": "m", "conditions": {"clean": {"auroc": 0.9}}}))
-    assert src.read_results(spark, str(tmp_path / "r.json")).collect()[0]["value"] == 0.9
+    assert documents.read_results(spark, str(tmp_path / "r.json")).collect()[0]["value"] == 0.9
     wide = spark.createDataFrame([("p", 0.5, 0.25)], "path string, score_clean double, `score_blur_s0.5` double")
     assert {(r["cond"], r["score"]) for r in src.long_scores(wide, ["path"]).collect()} == {("clean", 0.5), ("blur_s0.5", 0.25)}
-    for _ in range(2):
-        src.append_new(spark.range(3), str(tmp_path / "t"), ["id"])
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
     assert "| n/a |" in src.markdown(spark.createDataFrame([(None,)], "x double"))
 
 
@@ -45,9 +41,9 @@ def test_zip(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("x/1.png", b"one")
         z.writestr("x/2.txt", b"two")
-    rows = zips.read_zip(spark, str(tmp_path / "a.zip"), suffixes=(".png",))
+    rows = archives.read_zip(spark, str(tmp_path / "a.zip"), suffixes=(".png",))
     assert [(r["member"], bytes(r["content"])) for r in rows.collect()] == [("x/1.png", b"one")]
-    hit, missing = zips.wanted(rows, spark.createDataFrame([("x/1.png",), ("y",)], "path string"))
+    hit, missing = archives.wanted(rows, spark.createDataFrame([("x/1.png",), ("y",)], "path string"))
     assert hit.count() == 1 and missing.collect()[0]["path"] == "y"
 
 
@@ -61,22 +57,13 @@ def test_stream_continues(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
 
 
-def test_pictures_and_models(spark):
-    cube = images.score_grid(images.synthetic(spark), images.brightness, transforms.grid())
-    assert metrics.auroc(cube.where("cond = 'clean'"), ["cond"]).first()["auroc"] == 1.0
-    assert cube.select("cond").distinct().count() == 15
-    rows = images.synthetic(spark).select("id", "label", F.array(images.udf(images.brightness, "double")(F.col("image"))).alias("features"))
-    assert learn.shortcut_audit(rows, "id").first()["verdict"] == "FAIL"
+def test_headers():
     png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (7).to_bytes(4, "big") + (9).to_bytes(4, "big")
-    assert images._header(png) == ("PNG", 7, 9) and images._header(None) == (None, None, None)
+    assert headers._header(png) == ("PNG", 7, 9) and headers._header(None) == (None, None, None)
+    assert headers._header(b"GIF89a\x05\0\x06\0") == ("GIF", 5, 6) and headers._header(b"\xff\xd8\xff") == ("JPEG", None, None)
 
 
-def test_score_archives_and_tables(spark, tmp_path):
-    import numpy as np
-
-    np.savez(tmp_path / "a.npz", labels=np.array([0, 1]), paths=np.array(["p", "q"]), score_clean=np.array([0.25, 0.5]), score_blur=np.array([0.0, 1.0]))
-    rows = src.read_archive(spark, str(tmp_path / "a.npz")).collect()
-    assert sorted((r["path"], r["label"], r["generator"], r["cond"], r["score"]) for r in rows) == [("p", 0, "", "blur", 0.0), ("p", 0, "", "clean", 0.25), ("q", 1, "", "blur", 1.0), ("q", 1, "", "clean", 0.5)]
+def test_score_tables(spark, tmp_path):
     (tmp_path / "s.csv").write_text("label,score\n1,0.5\n0,\n")
     assert [tuple(r) for r in src.read_scores(spark, str(tmp_path / "s.csv")).select("label", "score", "model").collect()] == [(1, 0.5, ""), (0, None, "")]
 
@@ -129,6 +116,6 @@ def test_extracted_members_are_skipped(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         for k in range(3):
             z.writestr(f"{k}.png", b"x" * k)
-    members = zips.read_zip(spark, str(tmp_path / "z.zip"), (".png",))
+    members = archives.read_zip(spark, str(tmp_path / "z.zip"), (".png",))
     done = members.where("member = '1.png'")
-    assert sorted(r["member"] for r in zips.not_yet(members, done).collect()) == ["0.png", "2.png"]
+    assert sorted(r["member"] for r in archives.not_yet(members, done).collect()) == ["0.png", "2.png"]
