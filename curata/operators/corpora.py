@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import dims
+from curata.functions.seeded import order_key
 from curata.operators import audit, curate
 from curata.session import written
 
@@ -120,33 +121,35 @@ def merge_sources(base: DataFrame, extra: DataFrame, seed: int, test_only: set[s
         extra = extra.where(F.col("source").isin(*sorted(only)))
     held = F.coalesce(F.col("source").isin(*sorted(test_only)), F.lit(False)) if test_only else F.lit(False)
     parts = written(curate.split(extra.drop("split").where(~held), ["source"], seed))
-    even = [curate.balanced(parts.where(F.col("split") == n), seed + s).withColumn("split", F.when(F.col("kept"), F.lit(n)).otherwise("test")).drop("kept") for n, s in (("train", 100), ("val", 101))]
-    whole = [*even, parts.where("split = 'test'"), extra.drop("split").where(held).withColumn("split", F.lit("test"))]
+    rules = {name: (seed + s, 0, 0, 50) for name, s in (("train", 100), ("val", 101))}
+    even = curate.balanced_parts(parts, rules).withColumn("split", F.when(F.col("kept"), F.col("split")).otherwise("test")).drop("kept")
+    whole = [even, extra.drop("split").where(held).withColumn("split", F.lit("test"))]
     return base.unionByName(reduce(DataFrame.unionByName, (t.select(*base.columns) for t in whole)))
 
 
 def rebuild(old: DataFrame, reals: DataFrame, cap: int, seed: int | str) -> DataFrame:
     """The fakes of ``old`` with at most ``cap`` of other ``reals``, chosen in seeded order."""
-    fresh = curate.ranked(reals, [], seed, most=F.lit(cap)).where(F.col("rn") <= cap).drop("rn")
+    fresh = curate.first_of(reals, [], F.lit(cap), seed)
     return old.where("label = 1").unionByName(fresh.select(*old.columns))
 
 
 def fill(rows: DataFrame, cap: int, seed: int | str) -> DataFrame:
     """``cap`` rows of each label, spread evenly over its groups in seeded order; small groups give all they have."""
-    counts = rows.groupBy("label", "group").agg(F.count("*").alias("available"))
-    quota = curate.levelled(counts, ["label"], cap).select(F.col("label").alias("__label"), F.col("group").alias("__group"), F.col("picks").alias("__picks"))
-    same = F.col("label").eqNullSafe(F.col("__label")) & F.col("group").eqNullSafe(F.col("__group"))
-    placed = curate.ranked(rows, ["label", "group"], seed)
-    return placed.join(quota, same).where(F.col("rn") <= F.col("__picks")).drop("rn", "__label", "__group", "__picks")
+    def limits(strata: DataFrame) -> DataFrame:
+        quota = curate.levelled(strata.withColumnRenamed("n", "available"), ["label"], cap)
+        return quota.withColumnsRenamed({"available": "n", "picks": "__picked"})
+
+    picked = curate.cut(rows, ["label", "group"], order_key(seed, F.col("path")), limits)
+    return picked.where("__picked").drop("__picked")
 
 
 def edit_route(rows: DataFrame, seed: int | str, share: float, generators: set[str] = dims.PARTIAL_EDITS) -> DataFrame:
     """``rows`` with route: of each (source, generator) of partial edits a ``share`` may train (``split``), in seeded
     order and rounded down, and the rest is ``test``; other rows are ``split``."""
     edit = F.coalesce(F.col("generator").isin(*sorted(generators)), F.lit(False))
-    placed = curate._placed(rows.where(edit), ["source", "generator"], seed)
-    free = F.col("rn") <= F.floor(F.col("__n") * min(1.0, share))
-    routed = placed.withColumn("route", F.when(free, "split").otherwise("test")).drop("rn", "__n")
+    n = F.floor(F.col("n") * min(1.0, share))
+    placed = curate.cut(rows.where(edit), ["source", "generator"], order_key(seed, F.col("path")), lambda strata: strata.withColumn("__free", n))
+    routed = placed.withColumn("route", F.when(F.col("__free"), "split").otherwise("test")).drop("__free")
     return routed.unionByName(rows.where(~edit).withColumn("route", F.lit("split")).select(*routed.columns))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.functions import dims
 from curata.functions.seeded import order_key
-from curata.session import written
+from curata.session import dropped, written
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -42,8 +46,56 @@ def ranked(rows: DataFrame, stratum: list[str], seed: int | str, key: str = "pat
     return _placed(rows, stratum, seed, key, most).drop("__n")
 
 
+def cut(rows: DataFrame, stratum: list[str], order: Column, limits: Callable[[DataFrame], DataFrame], key: str = "path") -> DataFrame:
+    """``rows`` with columns that say whether a row is among the first of its stratum in the order of (order, key).
+
+    ``order`` is a hexadecimal text, as order_key() gives; ``limits`` gets the strata with their numbers of rows n, and
+    adds a column for each question: how many rows are the first ones (null: none). Rows are counted in 4096 bins of the order; only
+    those of the bin that holds a limit are ranked, and the last of the first ones, a row for each stratum, decides for
+    all others by comparison. So no row moves but those bins', and no stratum is a window of its own.
+    """
+    names = [f"__s{k}" for k in range(len(stratum))]
+    marked = rows.select(*(F.col(c).alias(n) for c, n in zip(stratum, names)), F.conv(F.substring(order, 1, 3), 16, 10).cast("int").alias("__bin"), order.alias("__o"), F.col(key).alias("__k"))
+    bins = written(marked.groupBy(*names, "__bin").agg(F.count("*").alias("__c")))
+    same = lambda left, right: reduce(and_, (F.col(f"{left}{n}").eqNullSafe(F.col(f"{right}{n}")) for n in names), F.lit(True))
+    strata = bins.groupBy(*names).agg(F.sum("__c").alias("n"))
+    limited = limits(strata.toDF(*stratum, "n"))
+    asked = [c for c in limited.columns if c not in (*stratum, "n")]
+    limited = limited.select(*(F.col(c).alias(f"l{n}") for c, n in zip(stratum, names)), *(F.when(F.col(c).isNotNull(), F.least(F.col(c), F.col("n"))).cast("long").alias(c) for c in asked))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy(*names).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = bins.withColumn("__before", before).join(limited, same("", "l"))
+    needs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), (F.col(c) - F.col("__before")).alias("need")) for c in asked)))
+    held = told.select(*(F.col(n).alias(f"h{n}") for n in names), F.col("__bin").alias("h__bin"), "__c", needs.alias("q")).where("q.need BETWEEN 1 AND __c").select("*", "q.name", "q.need")
+    whole = Window.partitionBy(*names, "name")
+    ranks = {"__rn": F.row_number().over(whole.orderBy("__o", "__k")), "__rank": F.rank().over(whole.orderBy("__o", "__k")), "__ties": F.count("*").over(Window.partitionBy(*names, "name", "__o", "__k"))}
+    last = marked.join(held, same("", "h") & (F.col("__bin") == F.col("h__bin"))).withColumns(ranks).where(F.col("__rn") == F.col("need"))
+    edge = F.struct(F.col("__o").alias("o"), F.col("__k").alias("k"), (F.col("need") - F.col("__rank") + 1).alias("room"), F.col("__ties").alias("ties"))
+    edges = written(last.groupBy(*(F.col(n).alias(f"e{n}") for n in names)).agg(*(F.max(F.when(F.col("name") == c, edge)).alias(f"__edge{i}") for i, c in enumerate(asked))))
+    dropped(bins)
+    match = reduce(and_, (F.col(c).eqNullSafe(F.col(f"e{n}")) for c, n in zip(stratum, names)), F.lit(True))
+    met = rows.join(edges, match, "left")
+    place, ends = F.struct(order.alias("o"), F.col(key).alias("k")), [F.col(f"__edge{i}") for i in range(len(asked))]
+    end = lambda e: F.struct(e["o"].alias("o"), e["k"].alias("k"))
+    aside = [f"e{n}" for n in names] + [f"__edge{i}" for i in range(len(asked))]
+    within = {c: F.coalesce(place <= end(e), F.lit(False)) for c, e in zip(asked, ends)}
+    tied = reduce(or_, (F.coalesce(e["ties"] > e["room"], F.lit(False)) for e in ends))
+    if edges.where(tied).isEmpty():
+        return met.withColumns(within).drop(*aside)
+    # rows that repeat the order and key of a last one, of which only some have room: they are told apart by all they hold
+    at_end = reduce(or_, (F.coalesce((place == end(e)) & (e["ties"] > e["room"]), F.lit(False)) for e in ends))
+    alike = Window.partitionBy(*(F.col(c) for c in stratum), order, F.col(key)).orderBy(F.xxhash64(*rows.columns))
+    ranked_ = met.where(at_end).withColumn("__nth", F.row_number().over(alike))
+    some = ranked_.withColumns({c: F.coalesce((place < end(e)) | ((place == end(e)) & (F.col("__nth") <= e["room"])), F.lit(False)) for c, e in zip(asked, ends)})
+    return met.where(~at_end).withColumns(within).drop(*aside).unionByName(some.drop(*aside, "__nth"))
+
+
+def first_of(rows: DataFrame, stratum: list[str], n: Column, seed: int | str, key: str = "path") -> DataFrame:
+    """The first ``n`` rows of each stratum in seeded order; n may depend on the stratum and its size n."""
+    return cut(rows, stratum, order_key(seed, F.col(key)), lambda strata: strata.withColumn("__in", n), key).where("__in").drop("__in")
+
+
 def stratified_sample(rows: DataFrame, stratum: list[str], n: int, seed: int | str, key: str = "path") -> DataFrame:
-    return ranked(rows, stratum, seed, key, F.lit(n)).where(F.col("rn") <= n).drop("rn")
+    return first_of(rows, stratum, F.lit(n), seed, key)
 
 
 def source_cap(rows: DataFrame, caps: dict[str, int], seed: int | str, key: str = "path") -> DataFrame:
@@ -51,9 +103,7 @@ def source_cap(rows: DataFrame, caps: dict[str, int], seed: int | str, key: str
     if not caps:
         return rows
     cap = F.create_map(*(F.lit(x) for pair in caps.items() for x in pair))
-    capped = rows.where(F.col("source").isin(*caps))
-    kept = ranked(capped, ["source"], seed, key, cap[F.col("source")]).where(F.col("rn") <= cap[F.col("source")]).drop("rn")
-    return kept.unionByName(rows.where(F.col("source").isNull() | ~F.col("source").isin(*caps)))
+    return first_of(rows, ["source"], F.coalesce(cap[F.col("source")].cast("long"), F.col("n")), seed, key)
 
 
 def first_n(rows: DataFrame, group: list[str], n: int, order: list[str]) -> DataFrame:
@@ -71,10 +121,10 @@ def split(rows: DataFrame, group: list[str], seed: int | str, key: str = "path",
 
     Sizes are whole tenths of the group's size, rounded down, in whole numbers.
     """
-    n = F.col("__n")
-    train, val = F.floor(n * tenths[0] / 10), F.floor(n * tenths[1] / 10)
-    name = F.when(F.col("rn") <= train, "train").when(F.col("rn") <= train + val, "val").otherwise("test")
-    return _placed(rows, group, seed, key).withColumn("split", name).drop("rn", "__n")
+    n = F.col("n")
+    train = F.floor(n * tenths[0] / 10)
+    told = cut(rows, group, order_key(seed, F.col(key)), lambda strata: strata.withColumns({"__train": train, "__seen": train + F.floor(n * tenths[1] / 10)}), key)
+    return told.withColumn("split", F.when(F.col("__train"), "train").when(F.col("__seen"), "val").otherwise("test")).drop("__train", "__seen")
 
 
 def balance_sizes(rows: DataFrame, cap: int = 0, equal: int = 0, min_bucket: int = 50) -> DataFrame:
@@ -83,7 +133,13 @@ def balance_sizes(rows: DataFrame, cap: int = 0, equal: int = 0, min_bucket: int
     That is the smaller class; with ``equal`` all buckets of ``min_bucket`` rows or more keep the least of these numbers
     (at most ``equal`` if positive, -1 is no limit) and smaller buckets none; ``cap`` bounds each.
     """
-    sizes = rows.groupBy("bucket").agg(F.least(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).alias("n"))
+    return _keep(rows.groupBy("bucket", "label").agg(F.count("*").alias("n")), cap, equal, min_bucket).select(F.col("bucket").alias("__bucket"), "keep")
+
+
+def _keep(counts: DataFrame, cap: int, equal: int, min_bucket: int) -> DataFrame:
+    """As balance_sizes(), from rows (bucket, label, n)."""
+    of = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0))
+    sizes = counts.groupBy("bucket").agg(F.least(of(0), of(1)).alias("n"))
     n = F.col("n")
     if equal:
         common = sizes.where(n >= min_bucket).agg(F.min("n").alias("common"))  # one row
@@ -92,13 +148,33 @@ def balance_sizes(rows: DataFrame, cap: int = 0, equal: int = 0, min_bucket: int
         n = F.when(n < min_bucket, 0).otherwise(F.least(n, limit))
     if cap > 0:
         n = F.least(n, F.lit(cap))
-    return sizes.select(F.col("bucket").alias("__bucket"), n.cast("long").alias("keep"))
+    return sizes.select("bucket", n.cast("long").alias("keep"))
 
 
 def balanced(rows: DataFrame, seed: int | str, key: str = "path", cap: int = 0, equal: int = 0, min_bucket: int = 50) -> DataFrame:
     """``rows`` with kept: in each bucket both classes keep as many rows, chosen in seeded order."""
-    sized = ranked(rows, ["bucket", "label"], seed, key).join(balance_sizes(rows, cap, equal, min_bucket), F.col("bucket").eqNullSafe(F.col("__bucket")))
-    return sized.withColumn("kept", F.col("rn") <= F.col("keep")).drop("rn", "keep", "__bucket")
+    def limits(strata: DataFrame) -> DataFrame:
+        keep = _keep(strata, cap, equal, min_bucket).select(F.col("bucket").alias("__bucket"), F.col("keep").alias("kept"))
+        return strata.join(keep, F.col("bucket").eqNullSafe(F.col("__bucket"))).drop("__bucket")
+
+    return cut(rows, ["bucket", "label"], order_key(seed, F.col(key)), limits, key)
+
+
+def balanced_parts(rows: DataFrame, parts: dict[str, tuple[int | str, int, int, int]], key: str = "path") -> DataFrame:
+    """As balanced(), for several values of split at once, each with its own (seed, cap, equal, min_bucket); rows of other
+    splits are not kept."""
+    order = F.lit(None).cast("string")
+    for name, (seed, *_) in parts.items():
+        order = F.when(F.col("split") == name, order_key(seed, F.col(key))).otherwise(order)
+
+    def limits(strata: DataFrame) -> DataFrame:
+        keep = None
+        for name, (_, cap, equal, min_bucket) in parts.items():
+            one = _keep(strata.where(F.col("split") == name), cap, equal, min_bucket).select(F.lit(name).alias("__split"), F.col("bucket").alias("__bucket"), F.col("keep").alias("kept"))
+            keep = one if keep is None else keep.unionByName(one)
+        return strata.join(keep, (F.col("split") == F.col("__split")) & F.col("bucket").eqNullSafe(F.col("__bucket")), "left").drop("__split", "__bucket")
+
+    return cut(rows, ["split", "bucket", "label"], order, limits, key)
 
 
 def levelled(available: DataFrame, by: list[str], cap: int) -> DataFrame:
@@ -157,21 +233,15 @@ def build_corpus(manifests: list[DataFrame], excluded: DataFrame | None = None,
         rows = rows.join(excluded.select("path").distinct(), "path", "left_anti")
     rows = rows.withColumn("__key", dims.source_key(F.col("orig"), F.col("path")))
     rows = first_wins(rows, ["__key"], ["__source_order", "path"]).drop("__key", "__source_order")
-    # ranks read their rows twice, so each step's rows are written once
+    # each step reads its rows several times, so they are written once
     rows = written(rows.withColumn("bucket", dims.bucket(F.col("long"))))
     rows = source_cap(rows, caps, seed + 7)
     routed = rows.withColumn("__route", route(rows, test_sources, test_generators))
     parts = split(routed.where("__route = 'split'"), ["source", "generator"], seed)
-    parts = written(parts)
+    rules = {"train": (seed + 100, cap, equal, min_bucket), "val": (seed + 101, max(1, cap // 8) if cap else 0, max(1, equal // 8) if equal > 0 else equal, max(1, min_bucket // 8))}
+    told = balanced_parts(parts, rules).withColumn("split", F.when(F.col("kept"), F.col("split")).otherwise("test")).drop("kept")
     held = routed.where("__route = 'test'").withColumn("split", F.lit("test"))
-    out = [parts.where("split = 'test'"), held]
-    for name, s, bound, least in (("train", seed + 100, cap, min_bucket), ("val", seed + 101, max(1, cap // 8) if cap else 0, max(1, min_bucket // 8))):
-        even = max(1, equal // 8) if equal > 0 and name == "val" else equal
-        out.append(balanced(parts.where(F.col("split") == name), s, cap=bound, equal=even, min_bucket=least).withColumn("split", F.when(F.col("kept"), name).otherwise("test")).drop("kept"))
-    whole = out[0]
-    for o in out[1:]:
-        whole = whole.unionByName(o)
-    return whole.drop("__route")
+    return told.unionByName(held).drop("__route")
 
 
 def disjoint_benchmark(candidates: DataFrame, training: DataFrame, per_generator: int, order: list[str]) -> DataFrame:
@@ -219,14 +289,10 @@ def edit_eval(rows: DataFrame, trained: list[DataFrame], test: DataFrame, seed:
 def mix_half(clean: DataFrame, augmented: DataFrame, seed: int | str, key: str = "path") -> DataFrame:
     """Clean rows and as many augmented ones, first in seeded order (fewer if there are not as many)."""
     want = clean.agg(F.count("*").alias("__want"))  # one row
-    picked = ranked(augmented, [], seed, key).join(want, how="cross").where(F.col("rn") <= F.col("__want"))
-    return clean.unionByName(picked.drop("rn", "__want"))
+    picked = cut(augmented, [], order_key(seed, F.col(key)), lambda strata: strata.join(want), key)
+    return clean.unionByName(picked.where("__want").drop("__want"))
 
 
 def require(rows: DataFrame, condition: Column, message: str) -> DataFrame:
     """``rows``, failing on the first one without the condition."""
     return rows.where(F.coalesce(F.assert_true(condition, message).isNull(), F.lit(True)))
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

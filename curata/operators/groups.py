@@ -98,6 +98,7 @@ def near_groups(rows: DataFrame, max_distance: int = 4) -> DataFrame:
     many copies there are. Hashes of flat images (no bit set, or all) and null ones link with nothing: such a row is a
     group of its own.
     """
+    rows = written(rows.select("id", "dhash"))  # read three times, and a hash may be costly
     hashed = F.col("dhash").isNotNull() & ~trivial(F.col("dhash"))
     classes = written(rows.where(hashed).groupBy("dhash").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
     links = written(near_links(classes.select("dhash"), max_distance))

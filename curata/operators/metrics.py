@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curata.session import written
+
 BINS = 4096
 
 # The conditions of the grid in order, the stacks by depth, and families of conditions.
@@ -31,20 +33,33 @@ def _bin(score: Column) -> Column:
     return F.when(score > 1, above).when(score < 0, below).otherwise(F.floor(score * BINS))
 
 
+def counted(scores: DataFrame, by: list[str]) -> DataFrame:
+    """by, score, pos and neg: the numbers of both labels at each distinct score."""
+    flat = scores.where("score IS NOT NULL AND label IN (0, 1)").select(*by, "label", F.col("score").cast("double").alias("score"))
+    return flat.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+
+
+def _met(by: list[str], prefix: str = "__") -> Column:
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return match
+
+
 def curve(scores: DataFrame, by: list[str]) -> DataFrame:
     """by, score, pos, neg, below_pos, below_neg (at smaller scores), p and n (of the group), for each distinct score."""
-    flat = scores.where("score IS NOT NULL AND label IN (0, 1)").select(*by, "label", F.col("score").cast("double").alias("score"))
-    at = flat.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).withColumn("bin", _bin(F.col("score")))
+    return curve_of(counted(scores, by), by)
+
+
+def curve_of(counts: DataFrame, by: list[str]) -> DataFrame:
+    at = counts.withColumn("bin", _bin(F.col("score")))
     bins = at.groupBy(*by, "bin").agg(F.sum("pos").alias("bin_pos"), F.sum("neg").alias("bin_neg"))
     whole = Window.partitionBy(*by)
     before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("bin").alias("__bin"), *(F.coalesce(F.sum(f"bin_{k}").over(before), F.lit(0)).alias(f"before_{k}") for k in ("pos", "neg")), F.sum("bin_pos").over(whole).alias("p"), F.sum("bin_neg").over(whole).alias("n"))
-    match = F.col("bin") == F.col("__bin")
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
     inside = Window.partitionBy(*by, "bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     run = at.select(*by, "score", "pos", "neg", "bin", *(F.coalesce(F.sum(k).over(inside), F.lit(0)).alias(f"in_{k}") for k in ("pos", "neg")))
-    return run.join(bins, match).select(*by, "score", "pos", "neg", (F.col("in_pos") + F.col("before_pos")).alias("below_pos"), (F.col("in_neg") + F.col("before_neg")).alias("below_neg"), "p", "n")
+    return run.join(bins, (F.col("bin") == F.col("__bin")) & _met(by)).select(*by, "score", "pos", "neg", (F.col("in_pos") + F.col("before_pos")).alias("below_pos"), (F.col("in_neg") + F.col("before_neg")).alias("below_neg"), "p", "n")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -71,8 +86,13 @@ def roc(scores: DataFrame, by: list[str]) -> DataFrame:
 
 def youden(scores: DataFrame, by: list[str]) -> DataFrame:
     """by and cutoff, the threshold with the largest tpr - fpr, the highest of equals; null for one class."""
-    best = F.max_by("threshold", F.struct(F.col("tpr") - F.col("fpr"), F.col("threshold")))
-    return roc(scores, by).where("threshold IS NOT NULL AND tpr IS NOT NULL AND fpr IS NOT NULL").groupBy(*by).agg(best.alias("cutoff"))
+    return _youden(curve(scores, by), by)
+
+
+def _youden(t: DataFrame, by: list[str]) -> DataFrame:
+    tpr, fpr = _ratio(F.col("p") - F.col("below_pos"), F.col("p")), _ratio(F.col("n") - F.col("below_neg"), F.col("n"))
+    best = F.max_by("score", F.struct(tpr - fpr, F.col("score")))
+    return t.where("p > 0 AND n > 0").groupBy(*by).agg(best.alias("cutoff"))
 
 
 def fpr_at_tpr(scores: DataFrame, by: list[str], tpr: float = 0.95) -> DataFrame:
@@ -81,12 +101,24 @@ def fpr_at_tpr(scores: DataFrame, by: list[str], tpr: float = 0.95) -> DataFrame
 
 def quantile_cutoff(scores: DataFrame, by: list[str], fa: float = 0.01) -> DataFrame:
     """by and cutoff: the score of reals above which the share ``fa`` of them lies, linearly interpolated."""
+    return quantile_of(counted(scores.where("label = 0"), by), by, fa)
+
+
+def quantile_of(counts: DataFrame, by: list[str], fa: float) -> DataFrame:
+    """As quantile_cutoff(), from distinct scores with their numbers: only the bins that hold the two places are ranked."""
+    at = counts.where("neg > 0").select(*by, "score", "neg", _bin(F.col("score")).alias("bin"))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("k").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = at.groupBy(*by, "bin").agg(F.sum("neg").alias("k")).select("*", before.alias("before"), F.sum("k").over(whole).alias("n"))
     place = (F.col("n") - 1) * F.lit(1 - fa)
     low, high = F.floor(place), F.ceil(place)
-    t = curve(scores.where("label = 0"), by).withColumn("part", place - low)
-    least = F.max(F.when(F.col("below_neg") <= low, F.col("score")))
-    most = F.min(F.when(F.col("below_neg") + F.col("neg") > high, F.col("score")))
-    return t.groupBy(*by).agg((least * (1 - F.first("part")) + most * F.first("part")).alias("cutoff"))
+    holds = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col("k"))
+    held = bins.withColumns({"low": low, "high": high, "part": place - low}).where(holds(F.col("low")) | holds(F.col("high")))
+    held = held.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("bin").alias("__bin"), "before", "low", "high", "part")
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy(*by, "bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = at.join(held, (F.col("bin") == F.col("__bin")) & _met(by)).withColumn("below", F.col("before") + inside)
+    of = lambda p: F.max(F.when((F.col("below") <= p) & (p < F.col("below") + F.col("neg")), F.col("score")))
+    return t.groupBy(*by).agg((of(F.col("low")) * (1 - F.first("part")) + of(F.col("high")) * F.first("part")).alias("cutoff"))
 
 
 def confusion(scores: DataFrame, by: list[str], cutoff: Column) -> DataFrame:
@@ -127,16 +159,23 @@ def summary(report: DataFrame, by: list[str], clean: str = "clean") -> DataFrame
 
 
 def cutoffs(scores: DataFrame, fa: float = 0.01, fixed: float = 0.5) -> DataFrame:
-    """policy, cond and cutoff for the policies fixed, clean, pooled, per_condition and youden_clean."""
-    conds = scores.select("cond").distinct()
+    """policy, cond and cutoff for the policies fixed, clean, pooled, per_condition and youden_clean.
+
+    All come from one count of distinct scores by condition: the pooled group is its sum, and the quantiles of all
+    groups are found together.
+    """
+    counts = written(counted(scores, ["cond"]))
+    pooled = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(F.lit(True).alias("pooled"), F.lit(None).cast("string").alias("cond"), "score", "pos", "neg")
+    found = written(quantile_of(counts.select(F.lit(False).alias("pooled"), "cond", "score", "pos", "neg").unionByName(pooled), ["pooled", "cond"], fa))
+    best = _youden(curve_of(counts.where("cond = 'clean'").drop("cond"), []), [])
+    conds = counts.select("cond").distinct()
     one = lambda name, table: conds.join(table).select(F.lit(name).alias("policy"), "cond", "cutoff")  # noqa: E731  one row joins
-    clean = scores.where("cond = 'clean'")
     return (
         conds.select(F.lit("fixed").alias("policy"), "cond", F.lit(fixed).alias("cutoff"))
-        .unionByName(one("clean", quantile_cutoff(clean, [], fa)))
-        .unionByName(one("pooled", quantile_cutoff(scores, [], fa)))
-        .unionByName(quantile_cutoff(scores, ["cond"], fa).select(F.lit("per_condition").alias("policy"), "cond", "cutoff"))
-        .unionByName(one("youden_clean", youden(clean, [])))
+        .unionByName(one("clean", found.where("NOT pooled AND cond = 'clean'").select("cutoff")))
+        .unionByName(one("pooled", found.where("pooled").select("cutoff")))
+        .unionByName(found.where("NOT pooled").select(F.lit("per_condition").alias("policy"), "cond", "cutoff"))
+        .unionByName(one("youden_clean", best))
     )
 
 

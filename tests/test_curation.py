@@ -66,9 +66,11 @@ def test_every_document_is_a_probe(spark, sf):
     ids = {r[0] for r in adapters.table(spark, sf, "documents").select("doc_id").collect()}
     probe, known = adapters.hashes(spark, sf)
     assert {r[0] for r in probe.select("id").collect()} == ids
-    got = sorted(map(tuple, queries.QUERIES["hamming_pigeonhole"](spark, sf).collect()))
+    got = sorted(map(tuple, dedup.near_pairs(probe, known, 4).collect()))
     assert got == sorted(map(tuple, dedup.near_pairs_brute(probe, known, 4).collect()))
     assert {p for p, *_ in got} >= {i for i in ids if i % 7 <= 4} and any(p % 3 for p, *_ in got)
+    classes = queries.QUERIES["hamming_pigeonhole"](spark, sf).collect()  # stand for all pairs of rows
+    assert sum(r["probe_rows"] * r["train_rows"] for r in classes) == len(got) and {(r["probe_id"], r["train_id"], r["distance"]) for r in classes} <= set(got)
     assert {r["id"] for r in queries.QUERIES["unseen_reasons"](spark, sf).collect()} == ids
 
 
@@ -114,3 +116,28 @@ def test_coverage(spark):
     rows = spark.createDataFrame([(1, 0, 0, 4, 4, 0.2), (1, 2, 0, 6, 4, 0.8)], "img int, x0 int, y0 int, x1 int, y1 int, score double")
     got = votes.coverage(rows, ["img"]).first()
     assert got["pixel"] == pytest.approx((8 * 0.2 + 8 * 0.5 + 8 * 0.8) / 24) and (got["least"], got["most"]) == (1, 2)
+
+
+def test_cuts_are_ranks(spark):
+    """The first rows of strata by comparison with the last one, as by ranks: limits of all kinds, null strata, repeated keys."""
+    from pyspark.sql import functions as F
+
+    from curata.functions.seeded import order_key
+
+    r = random.Random(4)
+    rows = [(r.choice([None, "a", "b", "c"]), r.choice([0, 1, None]), f"p{r.randrange(150)}", k) for k in range(400)]
+    df = spark.createDataFrame(rows, "s string, t int, path string, k long")
+    limits = lambda strata: strata.withColumns({"few": F.lit(3), "half": F.floor(F.col("n") / 2), "none": F.lit(0), "all": F.col("n") + 5, "less": F.lit(-1), "null": F.lit(None).cast("long")})
+    got = curate.cut(df, ["s", "t"], order_key(1, F.col("path")), limits).collect()
+    ranks = {x["k"]: x["rn"] for x in curate.ranked(df, ["s", "t"], 1).collect()}
+    assert sorted(x["k"] for x in got) == list(range(400))
+    for stratum in {(x["s"], x["t"]) for x in got}:
+        own = [x for x in got if (x["s"], x["t"]) == stratum]
+        want = {"few": min(3, len(own)), "half": len(own) // 2, "none": 0, "all": len(own), "less": 0, "null": 0}
+        for name, n in want.items():
+            assert sum(x[name] for x in own) == n, (stratum, name)
+            order = lambda x: sorted(p["path"] for p in own if p[name]) == sorted(p["path"] for p in own if ranks[p["k"]] <= n)
+            assert order(None)
+        assert all(x["half"] for x in own if x["few"]) or len(own) < 6
+    assert curate.cut(df.limit(0), ["s"], order_key(1, F.col("path")), lambda x: x.withColumn("i", F.lit(1))).count() == 0
+    assert sum(x["i"] for x in curate.cut(df, [], order_key(1, F.col("path")), lambda x: x.withColumn("i", F.lit(7))).collect()) == 7
