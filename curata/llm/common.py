@@ -113,6 +113,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def settled(make, label: str) -> DataFrame:
+    """What ``make()`` returns, as a staged table; what it staged on the way is deleted."""
+    before = {path for _, path in _staged}
+    out = staged(make(), label)
+    for entry in [e for e in _staged if e[1] not in before and e[1] != out._staged_path]:
+        _staged.remove(entry)
+        _delete(*entry)
+    return out
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Delete staged tables that nothing will read any more."""
     for table in tables:
@@ -232,5 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = edges.groupBy("hi").agg(F.min("lo").alias("p"))
         small = edges.join(least, "hi").select(F.explode(F.array(F.struct("hi", F.col("p").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("p").alias("lo")))).alias("e")).select("e.*").where("hi > lo").distinct()
         small = staged(small, "edges")
+        drop_staged(edges)
         parent = small.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("p"))
         edges = staged(small.join(parent, "lo", "left").select("hi", F.coalesce("p", "lo").alias("lo")).distinct(), "edges")
+        drop_staged(small)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curata.llm.common import components, drop_staged, ship, staged, tidied_table, tidy
+from curata.llm.common import components, drop_staged, settled, ship, staged, tidied_table, tidy
 
 BLOCKS, LIST, BUCKET, CELL, SPLIT = 2, 12, 8.0, 512, 1024
 #: Caps are not made higher, however many vectors there are: a pair would share too few of them.
@@ -185,6 +185,10 @@ def _verify(threshold: float):
 
 def dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
+    return settled(lambda: _dedup(vectors, threshold), "embeddings")
+
+
+def _dedup(vectors: DataFrame, threshold: float) -> DataFrame:
     spark = vectors.sparkSession
     ship(spark)
     doubles = F.transform("embedding", lambda x: x.cast("double"))

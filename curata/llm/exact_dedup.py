@@ -7,12 +7,15 @@ index maps a digest to the smallest doc_id that has it:
   hit, and is verified byte by byte against the text; another text under the same digest gets an entry (a variant) of
   its own. A full memtable is flushed, so its memory is bounded by MEMTABLE_BYTES whatever the table's size.
 * *runs*: a flush is a run of level 0, sorted by digest, with a number of its own. Runs are written to the shared folder.
-* *compaction*: runs are merged into one of the next level: their entries meet by digest range, in order of digest and
-  id, and are merged as they stream by; the smallest id stays. A group of copies that holds a third of all rows sends one
-  entry from each memtable. The merged run keeps the digests that several entries had.
-* *filters*: a run has a Bloom filter, a table of 64-bit words that grows with its entries (16 bits each). A lookup asks
-  the filter first, and only digests that pass it are joined to the run; Spark broadcasts the words where they are few.
-  So entries without a copy in another run, in most corpora nearly all, skip the merged run and stand for themselves.
+* *compaction*: runs of any level are merged into one of the next level: their entries meet by digest range, in order of
+  digest and id, and are merged as they stream by; the smallest id stays, sizes add up, and every digest has an entry. A
+  group of copies that holds a third of all rows sends one entry from each memtable.
+* *filters*: a run has two Bloom filters of a fixed number of bits, which are broadcast: of its digests, and of those that
+  several entries had. A lookup asks the filter first, and only digests that pass it are joined to the run. So entries
+  without a copy in another run, in most corpora nearly all, move nowhere and stand for themselves. A full filter lets
+  everything pass, which costs work and no results.
+* *batches*: Index holds the runs of several batches of documents, two of one level being compacted into one of the next;
+  a batch that comes later is looked up in all of them, and added.
 * *verification*: where runs share a digest, the text of each run's smallest id is compared, byte by byte, with that of
   the id that stays. Only these texts move. Texts that differ from it (a digest collision) are grouped by the texts
   themselves.
@@ -33,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import SPACE, IdFilter, drop_staged, shards, ship, staged, text_or_empty, tidy
+from curata.llm.common import SPACE, IdFilter, drop_staged, settled, shards, ship, staged, text_or_empty, tidy
 
 #: A memtable is flushed when its texts have so many bytes, or it has so many rows.
 MEMTABLE_BYTES, MEMTABLE_ROWS = 24 << 20, 200_000
 #: Ids in one entry of a run: a hot group's entries are cut into pieces of this size.
 ENTRY_IDS = 10_000
-#: Entries of a run for each 64-bit word of its filter, and bits that each sets.
-PER_WORD, BITS = 4, 3
+#: Bits of a run's filters, as a power of two.
+FILTER_BITS = 24
 
 
 def normalised(text: str = "text") -> Column:
@@ -49,15 +52,16 @@ def normalised(text: str = "text") -> Column:
 
 @dataclass
 class Run:
-    """A sorted run of some level, and its filter of ``words`` words."""
+    """A merged run of some level: entries (digest, keep_id, keep_run, keep_variant, group_size, parts), filters of all its
+    digests and of those with several parts."""
 
     level: int
     entries: DataFrame
-    filter: DataFrame
-    words: int
+    known: IdFilter
+    repeated: IdFilter
 
 
-def _flushed(digest_bits: int):
+def _flushed(digest_bits: int, nth: int):
     """Rows (doc_id, text, sha) to the entries of sorted runs."""
     size = digest_bits // 8
     kinds = {"run": pa.int64(), "digest": pa.binary(), "variant": pa.int32(), "sha": pa.binary(), "least": pa.int64(), "n": pa.int64(), "ids": pa.list_(pa.int64())}
@@ -73,7 +77,7 @@ def _flushed(digest_bits: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries[k : k + 4096]), kinds.values())], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = nth << 52 | TaskContext.get().partitionId() << 28
         table: dict[bytes, list] = {}
         held = rows = 0
         for batch in batches:
@@ -97,84 +101,140 @@ def _flushed(digest_bits: int):
     return run
 
 
-def build_runs(documents: DataFrame, digest_bits: int = 256) -> DataFrame:
+def build_runs(documents: DataFrame, digest_bits: int = 256, batch: int = 0) -> DataFrame:
     """Flush the runs of level 0 into the shared folder and return their entries."""
     ship(documents.sparkSession)
     text = normalised().cast("binary")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
-    return staged(rows.mapInArrow(tidy(_flushed(digest_bits)), "run long, digest binary, variant int, sha binary, least long, n long, ids array<long>"), "runs")
+    return staged(rows.mapInArrow(tidy(_flushed(digest_bits, batch)), "run long, digest binary, variant int, sha binary, least long, n long, ids array<long>"), "runs")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Heads (digest, least, run, variant, n) in the order of digest and id, to the digests that several have: the first
-    one's id, run and variant, and the sum."""
-    names, kinds = ["digest", "keep_id", "keep_run", "keep_variant", "group_size"], [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    out, now, several = [], None, False
+    """Heads (digest, least, run, variant, n, parts) in the order of digest and id, to one for each digest: the first one's
+    id, run and variant, and the sums."""
+    names, kinds = MERGED, [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    out, now = [], None
     for batch in batches:
-        for digest, least, run, variant, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if now is not None and now[0] == digest:
-                now[4] += n
-                several = True
+        for head in zip(*(c.to_pylist() for c in batch.columns)):
+            if now is not None and now[0] == head[0]:
+                now[4] += head[4]
+                now[5] += head[5]
                 continue
-            if several:
+            if now is not None:
                 out.append(now)
-            now, several = [digest, least, run, variant, n], False
+            now = list(head)
         if len(out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
             out = []
-    if several:
+    if now is not None:
         out.append(now)
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
 
-def _word(words: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("word"), "digest"), F.lit(words).cast("long"))
+MERGED = ["digest", "keep_id", "keep_run", "keep_variant", "group_size", "parts"]
 
 
-def _mask() -> Column:
-    bits = [F.expr(f"shiftleft(1L, cast(pmod(xxhash64({k}, digest), 64) as int))") for k in range(BITS)]
-    mask = bits[0]
-    for bit in bits[1:]:
-        mask = mask.bitwiseOR(bit)
-    return mask
+def _merge(heads: DataFrame, level: int) -> Run:
+    """Merge heads (digest, least, run, variant, n, parts) into a run."""
+    ordered = heads.repartition(shards(heads.sparkSession), "digest").sortWithinPartitions("digest", F.asc_nulls_last("least"), "run", "variant")
+    merged = staged(ordered.mapInArrow(tidy(_merged), "digest binary, keep_id long, keep_run long, keep_variant int, group_size long, parts long"), "merged")
+    marked = merged.select(_mark().alias("mark"), "parts")
+    return Run(level, merged, IdFilter.build(marked, "mark", FILTER_BITS), IdFilter.build(marked.where("parts > 1"), "mark", FILTER_BITS))
 
 
-def with_filter(entries: DataFrame, level: int) -> Run:
-    """A run of these entries (with a column digest), and its filter."""
-    words = max(1, entries.count() // PER_WORD)
-    table = entries.select(_word(words).alias("word"), _mask().alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("set"))
-    return Run(level, entries, staged(table, "filter"), words)
+def _mark() -> Column:
+    return F.xxhash64(F.lit("digest"), "digest")
 
 
 def compact(runs: DataFrame) -> Run:
-    """Merge runs of level 0 into one of level 1, of the digests that several of their entries have."""
-    heads = runs.where("n > 0").select("digest", "least", "run", "variant", "n")
-    ordered = heads.repartition(shards(runs.sparkSession), "digest").sortWithinPartitions("digest", F.asc_nulls_last("least"), "run", "variant")
-    merged = ordered.mapInArrow(tidy(_merged), "digest binary, keep_id long, keep_run long, keep_variant int, group_size long")
-    return with_filter(staged(merged, "merged"), 1)
-
-
-def passing(probes: DataFrame, run: Run) -> DataFrame:
-    """``probes`` with a column ``__may``: whether the run's filter lets their digest pass."""
-    keyed = probes.withColumn("__word", _word(run.words))
-    joined = keyed.join(run.filter, F.col("__word") == F.col("word"), "left")
-    return joined.withColumn("__may", F.coalesce(F.col("set").bitwiseAND(_mask()) == _mask(), F.lit(False))).drop("__word", "word", "set")
-
-
-def lookup(probes: DataFrame, run: Run) -> DataFrame:
-    """``probes`` (with a column digest) and the run's entries for them, null where it has none. Only probes that pass the
-    filter are joined to the run."""
-    asked = passing(probes, run)
-    found = asked.where("__may").join(run.entries, "digest", "left")
-    missing = asked.where("NOT __may")
-    for field in run.entries.schema.fields:
+    """Merge the runs of level 0 of a batch into one of level 1."""
+    return _merge(runs.where("n > 0").select("digest", "least", "run", "variant", "n", F.lit(1).cast("long").alias("parts")), 1)
+
+
+def merge(runs: list[Run]) -> Run:
+    """Merge runs of any level into one above them; their tables are deleted."""
+    heads = None
+    for run in runs:
+        own = run.entries.toDF("digest", "least", "run", "variant", "n", "parts")
+        heads = own if heads is None else heads.unionByName(own)
+    out = _merge(heads, 1 + max(run.level for run in runs))
+    drop_staged(*(run.entries for run in runs))
+    return out
+
+
+def passing(probes: DataFrame, run: Run, repeated: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``probes`` whose digest the run's filter lets pass, and the others."""
+    some, none = (run.repeated if repeated else run.known).split(probes.withColumn("__mark", _mark()), "__mark")
+    return some.drop("__mark"), none.drop("__mark")
+
+
+def lookup(probes: DataFrame, run: Run, repeated: bool = True) -> DataFrame:
+    """``probes`` (with a column digest) and the run's entries for them, null where it has none; with ``repeated`` only
+    entries of several parts count. Only probes that pass the filter are joined to the run."""
+    asked, missing = passing(probes, run, repeated)
+    entries = run.entries.where("parts > 1") if repeated else run.entries
+    found = asked.join(entries.drop("parts"), "digest", "left")
+    for field in entries.drop("parts").schema.fields:
         if field.name != "digest":
             missing = missing.withColumn(field.name, F.lit(None).cast(field.dataType))
-    return found.drop("__may").unionByName(missing.drop("__may"))
+    return found.unionByName(missing)
+
+
+class Index:
+    """Exact copies over batches of documents that come one after the other.
+
+    add() gives the decisions on a batch, against all that came before, and takes its documents in. Its rows are those of
+    index(), with keep_id and group_size over all batches so far: kept tells that no copy with a smaller id is known, in
+    the batch or before. A kept row of an earlier batch is superseded if a smaller id comes later. Texts of one batch that
+    share a SHA-256 are told apart as in index(); with those of other batches such texts are not linked.
+    """
+
+    def __init__(self) -> None:
+        self.runs: list[Run] = []
+        self.documents: list[DataFrame] = []
+        self.batches = 0
+
+    def add(self, documents: DataFrame) -> DataFrame:
+        rows = settled(lambda: self._decided(documents), "batch")
+        flushed = build_runs(documents, batch=self.batches)
+        self.runs.append(compact(flushed))
+        drop_staged(flushed)
+        self.documents.append(documents)
+        self.batches += 1
+        while len(self.runs) > 1 and self.runs[-1].level >= self.runs[-2].level:
+            self.runs[-2:] = [merge(self.runs[-2:])]
+        return rows
+
+    def _decided(self, documents: DataFrame) -> DataFrame:
+        own = index(documents).withColumn("digest", F.col("sha"))
+        if not self.runs:
+            return own.drop("digest")
+        heads = own.groupBy("digest", "sha").agg(F.min("keep_id").alias("mine"))
+        hits = None
+        for run in self.runs:
+            one = lookup(heads, run, repeated=False).where("keep_run IS NOT NULL").select("digest", "sha", "mine", F.col("keep_id").alias("theirs"), F.col("group_size").alias("more"))
+            hits = one if hits is None else hits.unionByName(one)
+        hits = staged(hits, "hits")
+        texts = lambda docs, name, key: IdFilter.build(hits, key).thin(docs.select(F.col("doc_id").cast("long").alias(key), normalised().alias(name)), key).distinct()
+        earlier = None
+        for d in self.documents:
+            earlier = d.select("doc_id", "text") if earlier is None else earlier.unionByName(d.select("doc_id", "text"))
+        # the texts themselves decide, so a digest that two texts share links nothing
+        met = hits.join(texts(documents, "text", "mine").withColumn("own", F.unhex(F.sha2(F.col("text").cast("binary"), 256))), "mine").where("own = sha").drop("own")
+        same = met.join(texts(earlier, "other", "theirs"), "theirs").where("text = other")
+        known = same.groupBy("sha").agg(F.min("theirs").alias("theirs"), F.sum("more").alias("more"))
+        joined = own.join(known, "sha", "left")
+        keep = F.least("keep_id", "theirs")
+        kept = F.col("kept") & (F.col("theirs").isNull() | (F.col("keep_id") < F.col("theirs")))
+        return joined.select("doc_id", keep.alias("keep_id"), (F.col("group_size") + F.coalesce("more", F.lit(0))).alias("group_size"), kept.alias("kept"), "sha")
 
 
 def index(documents: DataFrame, digest_bits: int = 256) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept and sha, the SHA-256 of its normalised text."""
+    return settled(lambda: _index(documents, digest_bits), "index")
+
+
+def _index(documents: DataFrame, digest_bits: int) -> DataFrame:
     runs = build_runs(documents, digest_bits)
     merged = compact(runs)
     collided = _collisions(documents, runs, merged)
@@ -225,7 +285,7 @@ def dedup(documents: DataFrame) -> DataFrame:
 
 def survivors(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each group of equal texts, all columns as they were."""
-    rows = staged(index(documents), "index")
+    rows = index(documents)
     dropped = rows.where("NOT doc_id <=> keep_id").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct()
     # copies that share the id of the one that stays cannot be told from it by id
     again = rows.where("doc_id <=> keep_id AND NOT kept").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct()

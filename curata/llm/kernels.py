@@ -95,6 +95,23 @@ def _words(raw: np.ndarray, edges: np.ndarray, at: int) -> tuple[np.ndarray, np.
     return mix64(h + lengths.astype(np.uint64)), starts + at
 
 
+def shrink(data: bytes) -> bytes:
+    return pa.Codec("zstd", 1).compress(data, asbytes=True) if data else b""
+
+
+def grow(data: bytes, size: int) -> bytes:
+    return pa.Codec("zstd", 1).decompress(data, size, asbytes=True) if size else b""
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers as bytes, all low ones first: high bytes, which are often alike, become small."""
+    return shrink(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def unplanes(data: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(grow(data, n * width), np.uint8).reshape(width, n).T.copy().view(f"<u{width}").reshape(-1)
+
+
 def crc_sql(strings: str) -> str:
     """Common table expressions of DuckDB, after WITH RECURSIVE, for the table crc (k, crc) of a table's column k.
 

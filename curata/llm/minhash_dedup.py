@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import IdFilter, components, mix64, shards, ship, staged, tidy
+from curata.llm.common import IdFilter, components, mix64, settled, shards, ship, staged, tidy
 from curata.llm.kernels import blocks, column_bytes, row_starts, words
 
 #: Collections, and minhashes in each; tables are the pairs of collections.
@@ -212,6 +212,10 @@ def _to_all_salts(rows: DataFrame) -> DataFrame:
 
 def near_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
+    return settled(lambda: _near_components(documents, size, percent), "components")
+
+
+def _near_components(documents: DataFrame, size: int, percent: int) -> DataFrame:
     found = staged(sketches(documents, size), "sketches")
     some = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("most")), "sets_of")

@@ -41,7 +41,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from curata.llm.common import drop_staged, mix64, ship, staged, tidied_table, tidy
 from curata.llm.kernels import blocks as slices_of
-from curata.llm.kernels import column_bytes, crc_sql, values
+from curata.llm.kernels import column_bytes, crc_sql, grow, planes, shrink, unplanes, values
 
 ORDER, BUCKETS, LEAST_WORDS, PERCENT, SEED = 3, 10_000, 20, 5, 42
 #: Bytes of text in a block; strings in a shard, about; slices of the dictionary; bits of a packed feature.
@@ -53,23 +53,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _shrink(data: bytes) -> bytes:
-    return pa.Codec("zstd", 1).compress(data, asbytes=True) if data else b""
-
-
-def _grow(data: bytes, size: int) -> bytes:
-    return pa.Codec("zstd", 1).decompress(data, size, asbytes=True) if size else b""
-
-
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """Numbers as bytes, all low ones first: high bytes, which are often alike, become small."""
-    return _shrink(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
-
-
-def _unplanes(data: bytes, n: int, width: int) -> np.ndarray:
-    return np.frombuffer(_grow(data, n * width), np.uint8).reshape(width, n).T.copy().view(f"<u{width}").reshape(-1)
-
-
 def _lines(data: bytes) -> pa.LargeStringArray:
     """Strings that each end with a line feed."""
     raw = np.frombuffer(data, np.uint8)
@@ -104,7 +87,7 @@ def _to_block(ids: pa.Array, texts: pa.Array) -> dict:
     rank = np.empty(len(coded.dictionary), np.uint32)  # frequent words get low numbers, whose high bytes are alike
     rank[np.argsort(-np.bincount(codes, minlength=len(rank)), kind="stable")] = np.arange(len(rank), dtype=np.uint32)
     lines = _as_lines(coded.dictionary.take(pa.array(np.argsort(rank))))
-    return {"ids": ids, "sizes": sizes, "codes": _planes(rank[codes], 4), "n": len(codes), "words": _shrink(lines), "bytes": len(lines)}
+    return {"ids": ids, "sizes": sizes, "codes": planes(rank[codes], 4), "n": len(codes), "words": shrink(lines), "bytes": len(lines)}
 
 
 BLOCK = "block long, sizes array<long>, codes binary, n long, words binary, bytes long"
@@ -195,7 +178,7 @@ class Features:
 
 def _features(row, shards: int, slices: int) -> Features:
     n, size = row["n"], row["bytes"]
-    return Features(_unplanes(row["codes"], n, 4), np.array(row["sizes"], np.int64), _lines(_grow(row["words"], size)), shards, slices)
+    return Features(unplanes(row["codes"], n, 4), np.array(row["sizes"], np.int64), _lines(grow(row["words"], size)), shards, slices)
 
 
 def _explode(slice_: int, shards: int, slices: int):
@@ -217,7 +200,7 @@ def _explode(slice_: int, shards: int, slices: int):
                 size = 0
                 for s, a, b in zip(full.tolist(), edges, edges[1:]):
                     lines = raw[offsets[a] : offsets[b]].tobytes()
-                    out.append((row["block"], s, _shrink(lines), len(lines), _planes(n[a:b], 4), b - a))
+                    out.append((row["block"], s, shrink(lines), len(lines), planes(n[a:b], 4), b - a))
                     size += len(lines)
                     if size > 8 << 20:
                         yield _batch(out, SENT)
@@ -238,18 +221,18 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def _dictionary(rows: pa.Table) -> pa.Table:
     """A shard: the buckets of each block's strings, and as a row without a block the sums of the buckets."""
     given = rows.to_pylist()
-    strings = pa.concat_arrays([_lines(_grow(r["strings"], r["bytes"])) for r in given])
-    n = np.concatenate([_unplanes(r["ns"], r["n"], 4) for r in given])
+    strings = pa.concat_arrays([_lines(grow(r["strings"], r["bytes"])) for r in given])
+    n = np.concatenate([unplanes(r["ns"], r["n"], 4) for r in given])
     coded = strings.dictionary_encode()
     del strings
     index = coded.indices.to_numpy()
     total = np.bincount(index, n, minlength=len(coded.dictionary))  # exact below 2^53
     bucket = np.fromiter(map(zlib.crc32, values(coded.dictionary)), np.uint32, len(coded.dictionary)) % np.uint32(BUCKETS)
     sums = np.bincount(bucket, total, minlength=BUCKETS).astype(np.int64)
-    out = [(None, given[0]["shard"], _planes(sums, 8), BUCKETS)]
+    out = [(None, given[0]["shard"], planes(sums, 8), BUCKETS)]
     at = 0
     for r in given:
-        out.append((r["block"], r["shard"], _planes(bucket[index[at : at + r["n"]]], 2), r["n"]))
+        out.append((r["block"], r["shard"], planes(bucket[index[at : at + r["n"]]], 2), r["n"]))
         at += r["n"]
     return pa.Table.from_batches([_batch(out, ANSWER)])
 
@@ -258,7 +241,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for data in batch.column(0).to_pylist():
-            total += _unplanes(data, BUCKETS, 8).astype(np.int64)
+            total += unplanes(data, BUCKETS, 8).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total)], ["bucket", "n"])
 
 
@@ -291,7 +274,7 @@ def _weigh(gain: np.ndarray, shards: int, slices: int, some: range):
         said = answers.sort_by([("slice", "ascending"), ("shard", "ascending")])
         data, lengths, of = said.column("buckets").to_pylist(), said.column("n").to_pylist(), said.column("slice").to_numpy()
         for k in some:
-            bucket = np.concatenate([_unplanes(data[i], lengths[i], 2) for i in np.flatnonzero(of == k)] or [np.zeros(0, np.uint16)])
+            bucket = np.concatenate([unplanes(data[i], lengths[i], 2) for i in np.flatnonzero(of == k)] or [np.zeros(0, np.uint16)])
             parts, _, order = own.slice(k)
             value = np.empty(len(order))
             value[order] = gain[bucket]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import drop_staged, ship, staged, tidied_table, tidy
+from curata.llm.common import drop_staged, settled, ship, staged, tidied_table, tidy
 from curata.llm.kernels import blocks, column_bytes, crc_sql, values
 
 DAMAGE, LEAST_LENGTH, LEAST_COUNT, RATIO = 199, 6, 5, 5
@@ -282,6 +282,10 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def variants(documents: DataFrame, group: int = GROUP) -> DataFrame:
     """word, form, root, n, n_near and form_n of every word of ``documents`` (doc_id, text)."""
+    return settled(lambda: _variants(documents, group), "variants")
+
+
+def _variants(documents: DataFrame, group: int) -> DataFrame:
     words = staged(counts(documents), "words")
     near = near_words(words, group)
     joined = words.join(near, "word", "left")

@@ -95,12 +95,35 @@ def test_runs_are_sorted_and_lookups_skip_them(spark, monkeypatch):
         by_run[r["run"]].append(bytes(r["digest"]))
     assert len(by_run) >= 10 and all(d == sorted(d) and len(d) <= 20 for d in by_run.values())
     merged = exact_dedup.compact(runs)
-    assert merged.level == 1 and {r["keep_id"] for r in merged.entries.collect()} <= set(range(10))
+    assert merged.level == 1 and {r["keep_id"] for r in merged.entries.where("parts > 1").collect()} <= set(range(10)) and merged.entries.count() == 200
     probes = runs.where("n > 0").select("digest", "least")
-    asked = exact_dedup.passing(probes, merged).where("__may").count()
+    some, others = exact_dedup.passing(probes, merged)
+    asked = some.count()
+    assert asked + others.count() == probes.count()
     found = [r["least"] for r in exact_dedup.lookup(probes, merged).where("keep_id IS NOT NULL").collect()]
     assert len(found) <= asked < 60  # most digests never reach the run
-    assert set(found) == {i for r in merged.entries.collect() for i in (r["keep_id"], r["keep_id"] + 500)}
+    assert set(found) == {i for r in merged.entries.where("parts > 1").collect() for i in (r["keep_id"], r["keep_id"] + 500)}
+
+
+def test_batches_are_looked_up_and_merged(spark, monkeypatch):
+    """Three batches one after the other: each row's copies over all batches so far, runs merged level by level."""
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 15)
+    r = random.Random(8)
+    rows = [(i, r.choice(["", " ", "a  b", "a b", None, *(f"text {k}" for k in range(40))])) for i in r.sample(range(1000), 240)]
+    index, seen = exact_dedup.Index(), []
+    plain = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    for k in range(0, 240, 60):
+        batch = rows[k : k + 60]
+        got = {x["doc_id"]: x for x in index.add(small_docs(spark, batch).repartition(3)).collect()}
+        seen += batch
+        assert sorted(got) == sorted(i for i, _ in batch)
+        for i, t in batch:
+            copies = [j for j, u in seen if plain(u) == plain(t)]
+            assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (min(copies), len(copies), i == min(copies))
+    assert [run.level for run in index.runs] == [3]
+    (run,) = index.runs
+    held = {bytes(e["digest"]): (e["keep_id"], e["group_size"]) for e in run.entries.collect()}
+    assert len(held) == len({plain(t) for _, t in rows}) and sum(n for _, n in held.values()) == 240
 
 
 def test_suffix_array():

@@ -395,3 +395,28 @@ def test_chat_probe_is_cut_over_parts(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     assert [r["conv_id"] for r in out] == [-1] and chat.parse_formatted(out[0]["formatted"]) == [("user", said), ("assistant", said)]
     assert out[0]["formatted"].count(chat.END) == 2
+
+
+def test_lm_blocks_do_not_cost_more_with_more_shards(monkeypatch):
+    """What a block of text sends does not rise from the settings for 30 GB to those for 10 TB, nor does its time follow shards."""
+    rng = np.random.default_rng(0)
+    stock = np.array(["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(60_000)])
+
+    def sent(text_bytes):
+        block_bytes, shards = lm_scoring.sized(text_bytes)
+        known = np.unique(kernels.mix64(np.arange(1, len(stock) + 1, dtype=np.uint64)))
+        n = block_bytes // 8
+        codes = (len(known) * rng.random(n) ** 3).astype(np.uint32)
+        block = {"block": 1, "sizes": [n], "codes": kernels.planes(codes, 4), "n": n, "words": known.tobytes(), "n_words": len(known)}
+        rows = lm_scoring.exploded(block, range(1, 3), shards)
+        return len(rows) / n, sum(len(r[2]) + len(r[3]) + 60 for r in rows) / n
+
+    (few, small), (many, large) = sent(54 << 30), sent(18 << 40)
+    assert many < 0.2 and large < 2.5 * small, (few, small, many, large)
+    assert lm_scoring.sized(1)[1] == 1
+
+
+def test_lm_rows_alike_do_not_meet(spark):
+    rows = spark.createDataFrame([(None, None)] * 3000 + [(1, "a b")], "doc_id long, text string").repartition(6)
+    held = lm_scoring.blocks(rows, 1 << 20).selectExpr("size(ids) AS n").collect()
+    assert len(held) == 6 and max(r["n"] for r in held) < 700
