@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.llm import bpe, exact_dedup, minhash_dedup, mixing, quality
-from curata.llm.common import staged
+from curata.llm.common import drop_staged, settled
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        given, docs = docs, settled(lambda f=stage, given=docs: f(spark, given, sf_dir), f"stage{k}")
+        if k:
+            drop_staged(given)
+    return STAGES[-1][1](spark, docs, sf_dir)
