@@ -654,14 +654,6 @@ def style_delta(spark, d):
     return t.join(F.broadcast(base)).select("cond", r(F.col("auroc") - F.col("base")).alias("delta"))
 
 
-@query("general_score", sc(f"{CURVE} SELECT round(((SELECT avg(auroc) FROM ar WHERE cond LIKE 'stack%') + (SELECT avg(auroc) FROM ar WHERE cond NOT LIKE 'stack%')) / 2, 6) AS general"))
-def general_score(spark, d):
-    t = metrics.auroc(a.scores(spark, d), ["cond"])
-    stack = F.avg(F.when(F.col("cond").startswith("stack"), F.col("auroc")))
-    rest = F.avg(F.when(~F.col("cond").startswith("stack"), F.col("auroc")))
-    return t.agg(r((stack + rest) / 2).alias("general"))
-
-
 @query("score_stats", sc("SELECT cond, round(avg(score), 6) AS mean, round(median(score), 6) AS median, min(score) AS low, max(score) AS high, round(stddev_pop(score), 6) AS sd FROM sc GROUP BY cond"))
 def score_stats(spark, d):
     return rounded(a.scores(spark, d).groupBy("cond").agg(F.avg("score").alias("mean"), F.median("score").alias("median"), F.min("score").alias("low"), F.max("score").alias("high"), F.stddev_pop("score").alias("sd")), "mean", "median", "sd")
@@ -882,4 +874,4 @@ def stream_dedup(spark, d):
     return spark.read.parquet(f"{path}/rows").select("user_id", "event_type")
 
 
-from curata.plans import corpus_queries, report_queries, structure_queries  # noqa: E402,F401  register theirs
+from curata.plans import corpus_queries, harness_queries, report_queries, structure_queries  # noqa: E402,F401  register theirs
