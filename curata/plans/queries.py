@@ -218,10 +218,20 @@ def byte_antijoin(spark, d):
     return rows.where("split = 'test'").join(rows.where("split = 'train'").select("sha256").distinct(), "sha256", "left_anti").select("path", "label")
 
 
-@query("generator_disjoint", m("SELECT path, generator FROM m WHERE label = 1 AND split = 'test' AND lower(replace(replace(generator, '_', ''), '-', '')) NOT IN (SELECT lower(generator) FROM m WHERE split = 'train' AND label = 1 AND source IN ('src1', 'src2') AND generator <> 'en')"))
+#: Generators as fine as data allow: many are in training, some are not.
+FINE = "lang || '_' || source || '_' || coalesce(bucket, 'none')"
+
+
+def fine(rows: DataFrame) -> DataFrame:
+    """The manifest with generators told apart by language, source and bucket."""
+    name = F.concat_ws("_", "lang", "source", F.coalesce("bucket", F.lit("none")))
+    return rows.withColumn("generator", F.when(F.col("label") == 1, name).otherwise(""))
+
+
+@query("generator_disjoint", m(f"""SELECT path, {FINE} AS generator FROM m WHERE label = 1 AND split = 'test' AND lower(regexp_replace({FINE}, '[_-]', '', 'g')) NOT IN (SELECT lower(regexp_replace({FINE}, '[_-]', '', 'g')) FROM m WHERE split = 'train' AND label = 1)"""))
 def generator_disjoint(spark, d):
-    rows = a.manifest(spark, d)
-    seen = rows.where("split = 'train' AND label = 1 AND source IN ('src1', 'src2') AND generator != 'en'").select(dims.norm_generator(F.col("generator")).alias("g")).distinct()
+    rows = fine(a.manifest(spark, d))
+    seen = rows.where("split = 'train' AND label = 1").select(dims.norm_generator(F.col("generator")).alias("g")).distinct()
     fakes = rows.where("label = 1 AND split = 'test'")
     return fakes.join(seen, dims.norm_generator(F.col("generator")) == F.col("g"), "left_anti").select("path", "generator")
 
@@ -428,12 +438,12 @@ def edit_eval_set(spark, d):
     return curate.edit_eval(rows, [rows.where("split = 'train'")], rows.where("split = 'test'"), 11).select("path", "bucket", "label")
 
 
-@query("disjoint_benchmark", m("""SELECT path, generator FROM (SELECT *, row_number() OVER (PARTITION BY generator ORDER BY doc_id) AS k FROM m t WHERE split = 'test' AND NOT (label = 1 AND generator IN (SELECT generator FROM m WHERE split = 'train' AND label = 1 AND generator = 'fr'))
-    AND sha256 NOT IN (SELECT sha256 FROM m WHERE split = 'train' AND (label = 0 OR generator = 'fr'))) WHERE k <= 8"""))
+@query("disjoint_benchmark", m(f""", f AS (SELECT *, CASE WHEN label = 1 THEN {FINE} ELSE '' END AS fine FROM m)
+    SELECT path, fine AS generator FROM (SELECT *, row_number() OVER (PARTITION BY fine ORDER BY doc_id) AS k FROM f WHERE split = 'test' AND NOT (label = 1 AND lower(regexp_replace(fine, '[_-]', '', 'g')) IN (SELECT lower(regexp_replace(fine, '[_-]', '', 'g')) FROM f WHERE split = 'train' AND label = 1))
+    AND sha256 NOT IN (SELECT sha256 FROM m WHERE split = 'train')) WHERE k <= 8"""))
 def disjoint_benchmark(spark, d):
-    rows = a.manifest(spark, d)
-    seen = rows.where("split = 'train' AND (label = 0 OR generator = 'fr')")
-    return curate.disjoint_benchmark(rows.where("split = 'test'"), seen, 8, ["doc_id"]).select("path", "generator")
+    rows = fine(a.manifest(spark, d))
+    return curate.disjoint_benchmark(rows.where("split = 'test'"), rows.where("split = 'train'"), 8, ["doc_id"]).select("path", "generator")
 
 
 @query("corpus_build")
@@ -447,10 +457,10 @@ def union_splits(spark, d):
     return rows.where("split = 'train'").select("orig").union(rows.where("split = 'val'").select("orig")).distinct()
 
 
-@query("except_generators", m("SELECT DISTINCT generator FROM m WHERE split = 'test' EXCEPT SELECT generator FROM m WHERE split = 'train' AND source = 'src4'"))
+@query("except_generators", m(f"SELECT DISTINCT {FINE} AS generator FROM m WHERE split = 'test' AND label = 1 EXCEPT SELECT {FINE} FROM m WHERE split = 'train' AND label = 1"))
 def except_generators(spark, d):
-    rows = a.manifest(spark, d)
-    return rows.where("split = 'test'").select("generator").subtract(rows.where("split = 'train' AND source = 'src4'").select("generator"))
+    rows = fine(a.manifest(spark, d)).where("label = 1")
+    return rows.where("split = 'test'").select("generator").subtract(rows.where("split = 'train'").select("generator"))
 
 
 @query("intersect_check", m("SELECT orig FROM m WHERE split = 'val' INTERSECT SELECT orig FROM m WHERE split = 'test'"))
@@ -755,7 +765,9 @@ def crop_rules(spark, d):
     return rounded(votes.rules(a.crops(spark, d), ["img"]), "mean", "area", "median", "top3", "trim10", "size_mean")
 
 
-@query("pixel_coverage")
+@query("pixel_coverage", f"""WITH {a.C}, xs AS (SELECT img, x AS xl, lead(x) OVER (PARTITION BY img ORDER BY x) AS xh FROM (SELECT DISTINCT img, unnest([x0, x1]) AS x FROM c)), ys AS (SELECT img, y AS yl, lead(y) OVER (PARTITION BY img ORDER BY y) AS yh FROM (SELECT DISTINCT img, unnest([y0, y1]) AS y FROM c)),
+    o AS (SELECT xs.img, xl, yl, any_value((xh - xl) * (yh - yl))::DOUBLE AS area, count(*) AS n, avg(score) AS m FROM xs JOIN ys ON ys.img = xs.img JOIN c ON c.img = xs.img AND x0 <= xl AND x1 >= xh AND y0 <= yl AND y1 >= yh GROUP BY xs.img, xl, yl)
+    SELECT img, round(sum(m * area) / sum(area), 6) AS pixel, min(n)::INT AS least, max(n)::INT AS most, round(sum(n * area) / sum(area), 6) AS mean_cover FROM o GROUP BY img""")
 def pixel_coverage(spark, d):
     return rounded(votes.coverage(a.crops(spark, d), ["img"]), "pixel", "mean_cover")
 

@@ -110,14 +110,16 @@ def size_matched_auroc(spark, d):
     return rounded(reports.size_matched(a.scores(spark, d).where("cond = 'clean'"), 100), "auroc", "caught", "unmatched")
 
 
-@query("external_eval", sc(f""", c AS (SELECT * FROM sc WHERE cond = 'clean'), g AS (SELECT {Q99} AS cut FROM c), tr AS (SELECT DISTINCT generator FROM m WHERE split = 'train' AND source = 'src1' AND generator <> ''),
+@query("external_eval", sc(f""", c AS (SELECT path, label, score, CASE WHEN label = 1 THEN generator || '_' || coalesce(bucket, 'none') ELSE '' END AS generator FROM sc WHERE cond = 'clean'), g AS (SELECT {Q99} AS cut FROM c), tr AS (SELECT DISTINCT generator || '_' || coalesce(bucket, 'none') AS generator FROM m WHERE split = 'val' AND label = 1),
     u AS (SELECT g0.generator, label, score FROM (SELECT DISTINCT generator FROM c WHERE label = 1 AND generator <> '') g0 JOIN c ON c.label = 0 OR c.generator = g0.generator),
     e AS (SELECT CASE WHEN k.generator IN (SELECT generator FROM tr) THEN 'TRAINED' ELSE 'unseen' END AS kind, k.generator AS name, n, auroc, caught FROM (SELECT generator, count(*) AS n, avg((score >= (SELECT cut FROM g))::INT) AS caught FROM c WHERE label = 1 AND generator <> '' GROUP BY 1) k JOIN {auroc_sql('u', 'generator')} r ON r.generator = k.generator),
     f AS (SELECT * FROM e UNION ALL SELECT kind, 'mean', count(*), avg(auroc), avg(caught) FROM e GROUP BY kind UNION ALL SELECT 'all', 'POOLED', (SELECT count(*) FROM c WHERE label = 1), auroc, (SELECT avg((score >= (SELECT cut FROM g))::INT) FROM c WHERE label = 1) FROM {auroc_sql("(SELECT *, 1 AS one FROM c)", 'one')})
     SELECT kind, name, n, {six('auroc', 'caught')} FROM f"""))
 def external_eval(spark, d):
-    trained = a.manifest(spark, d).where("split = 'train' AND source = 'src1'")
-    return rounded(reports.external(a.scores(spark, d).where("cond = 'clean'"), trained), "auroc", "caught")
+    """Generators told apart by bucket; the small split plays the training that saw some of them."""
+    fine = F.when(F.col("label") == 1, F.concat_ws("_", "generator", F.coalesce("bucket", F.lit("none")))).otherwise("")
+    trained = a.manifest(spark, d).where("split = 'val'").withColumn("generator", fine)
+    return rounded(reports.external(a.scores(spark, d).where("cond = 'clean'").withColumn("generator", fine), trained), "auroc", "caught")
 
 
 @query("error_sheet", sc(""", e AS ((SELECT 'false_positive' AS kind, path, score FROM sc WHERE cond = 'clean' AND label = 0 AND score >= 0.5 ORDER BY score DESC, path LIMIT 20) UNION ALL (SELECT 'false_negative', path, score FROM sc WHERE cond = 'clean' AND label = 1 AND score < 0.5 ORDER BY score, path LIMIT 20))

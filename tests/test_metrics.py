@@ -129,3 +129,55 @@ def test_ranks_over_bins(spark, rows, most):
             want[path] = k + 1
     assert {r["path"]: r["rn"] for r in curate.ranked(df, ["s"], 5).collect()} == want
     assert {r["path"] for r in curate.stratified_sample(df, ["s"], most, 5).collect()} == {p for p, k in want.items() if k <= most}
+
+
+def fitted(x, y, w, reg):
+    """Weighted logistic regression with an L2 penalty on coefficients of standardised features, by Newton's method."""
+    mean = np.average(x, axis=0, weights=w)
+    sd = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=w))
+    z = np.c_[(x - mean) / np.where(sd > 0, sd, 1), np.ones(len(x))]
+    beta, penalty = np.zeros(z.shape[1]), np.r_[np.full(x.shape[1], reg), 0.0]
+    w = w / w.sum()
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ beta))
+        grad = z.T @ (w * (p - y)) + penalty * beta
+        beta = beta - np.linalg.solve(z.T @ (z * (w * p * (1 - p))[:, None]) + np.diag(penalty + 1e-12), grad)
+    return lambda v: 1 / (1 + np.exp(-np.c_[(v - mean) / np.where(sd > 0, sd, 1), np.ones(len(v))] @ beta))
+
+
+def test_out_of_fold_values(spark):
+    """Each score is that of a regression without its fold, classes weighing alike."""
+    from curata.functions.seeded import unit
+
+    rng = np.random.default_rng(5)
+    y = (np.arange(200) % 4 == 0).astype(float)
+    x = rng.normal(size=(200, 3)) + 0.7 * y[:, None]
+    df = spark.createDataFrame([(k, float(a), [float(v) for v in row]) for k, (a, row) in enumerate(zip(y, x))], "id long, label double, features array<double>")
+    got = {r["id"]: r["score"] for r in learn.out_of_fold(df, "id").collect()}
+    fold = {r["id"]: r["f"] for r in df.select("id", F.floor(unit(0, F.col("id")) * 5).alias("f")).collect()}
+    folds = np.array([fold[k] for k in range(200)])
+    z = (x - x.mean(0)) / (x.std(0) + 1e-8)
+    weight = np.where(y == 1, 200 / (2 * y.sum()), 200 / (2 * (200 - y.sum())))
+    for k in range(5):
+        out = folds != k
+        want = fitted(z[out], y[out], weight[out], 1 / 200)(z[~out])
+        assert np.allclose([got[i] for i in np.flatnonzero(~out)], want, atol=5e-3)
+    area = metrics.auroc(spark.createDataFrame([(int(a), got[k]) for k, a in enumerate(y)], "label int, score double"), []).first()["auroc"]
+    assert learn.shortcut_audit(df, "id").first()["auroc"] == pytest.approx(area)
+
+
+def test_stack_choice_tells_the_best(spark):
+    """The learners' and members' AUROC on held-out keys: members' are those of their scores, the chosen one is the largest."""
+    from curata.functions.seeded import unit
+
+    rng = np.random.default_rng(6)
+    rows = [(f"p{k}", k % 2, m, float(np.clip(rng.normal(0.4 + s * (k % 2), 0.2), 0, 1))) for k in range(300) for m, s in (("good", 0.4), ("poor", 0.05))]
+    df = spark.createDataFrame(rows, "path string, label int, model string, score double")
+    got = {r["learner"]: r for r in learn.stack_choice(df, "path", ["good", "poor"]).collect()}
+    held = {r["path"] for r in df.select("path").distinct().where(unit(0, F.col("path")) < 0.3).collect()}
+    for m in ("good", "poor"):
+        reals, fakes = ([s for p, y, n, s in rows if n == m and p in held and y == label] for label in (0, 1))
+        want = sum((f > r) + 0.5 * (f == r) for f in fakes for r in reals) / (len(fakes) * len(reals))
+        assert got[f"member {m}"]["auroc"] == pytest.approx(want)
+    assert got["logistic"]["auroc"] >= got["member poor"]["auroc"] and sum(r["chosen"] for r in got.values()) == 1
+    assert max(got.values(), key=lambda r: r["auroc"])["auroc"] == next(r["auroc"] for r in got.values() if r["chosen"])
