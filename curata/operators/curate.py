@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from curata.functions import dims
 from curata.functions.seeded import order_key
-from curata.session import dropped, written
+from curata.operators.skips import excluding
+from curata.session import written
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -46,7 +48,29 @@ def ranked(rows: DataFrame, stratum: list[str], seed: int | str, key: str = "pat
     return _placed(rows, stratum, seed, key, most).drop("__n")
 
 
-def cut(rows: DataFrame, stratum: list[str], order: Column, limits: Callable[[DataFrame], DataFrame], key: str = "path") -> DataFrame:
+#: Input files of so many bytes together are few rows: ranking them all is quicker than to look for the last ones.
+FEW_BYTES = 64 << 20
+
+
+def _few(rows: DataFrame) -> bool:
+    """Whether the files that a plan reads are small, by their sizes; other inputs have no known size."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())) < FEW_BYTES
+
+
+def _by_rank(rows: DataFrame, stratum: list[str], order: Column, limits: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """What cut() gives, by ranking all rows: for few rows. Strata are counted once, so that steps that follow each other
+    do not read their rows twice as often each."""
+    limited = limits(written(rows.groupBy(*stratum).agg(F.count("*").alias("n"))))
+    asked = [c for c in limited.columns if c not in (*stratum, "n")]
+    named = limited.select(*(F.col(c).alias(f"__l{k}") for k, c in enumerate(stratum)), *asked)
+    match = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__l{k}")) for k, c in enumerate(stratum)), F.lit(True))
+    ranked_ = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*stratum).orderBy(order, F.col(key))))
+    met = ranked_.join(named, match, "left").withColumns({c: F.coalesce(F.col("__rn") <= F.col(c), F.lit(False)) for c in asked})
+    return met.drop("__rn", *(f"__l{k}" for k in range(len(stratum))))
+
+
+def cut(rows: DataFrame, stratum: list[str], order: Column, limits: Callable[[DataFrame], DataFrame], key: str = "path", few: bool | None = None) -> DataFrame:
     """``rows`` with columns that say whether a row is among the first of its stratum in the order of (order, key).
 
     ``order`` is a hexadecimal text, as order_key() gives; ``limits`` gets the strata with their numbers of rows n, and
@@ -56,7 +80,7 @@ def cut(rows: DataFrame, stratum: list[str], order: Column, limits: Callable[[Da
     """
     names = [f"__s{k}" for k in range(len(stratum))]
     marked = rows.select(*(F.col(c).alias(n) for c, n in zip(stratum, names)), F.conv(F.substring(order, 1, 3), 16, 10).cast("int").alias("__bin"), order.alias("__o"), F.col(key).alias("__k"))
-    bins = written(marked.groupBy(*names, "__bin").agg(F.count("*").alias("__c")))
+    bins = marked.groupBy(*names, "__bin").agg(F.count("*").alias("__c"))
     same = lambda left, right: reduce(and_, (F.col(f"{left}{n}").eqNullSafe(F.col(f"{right}{n}")) for n in names), F.lit(True))
     strata = bins.groupBy(*names).agg(F.sum("__c").alias("n"))
     limited = limits(strata.toDF(*stratum, "n"))
@@ -70,16 +94,18 @@ def cut(rows: DataFrame, stratum: list[str], order: Column, limits: Callable[[Da
     ranks = {"__rn": F.row_number().over(whole.orderBy("__o", "__k")), "__rank": F.rank().over(whole.orderBy("__o", "__k")), "__ties": F.count("*").over(Window.partitionBy(*names, "name", "__o", "__k"))}
     last = marked.join(held, same("", "h") & (F.col("__bin") == F.col("h__bin"))).withColumns(ranks).where(F.col("__rn") == F.col("need"))
     edge = F.struct(F.col("__o").alias("o"), F.col("__k").alias("k"), (F.col("need") - F.col("__rank") + 1).alias("room"), F.col("__ties").alias("ties"))
-    edges = written(last.groupBy(*(F.col(n).alias(f"e{n}") for n in names)).agg(*(F.max(F.when(F.col("name") == c, edge)).alias(f"__edge{i}") for i, c in enumerate(asked))))
-    dropped(bins)
+    found = last.groupBy(*(F.col(n).alias(f"e{n}") for n in names)).agg(*(F.max(F.when(F.col("name") == c, edge)).alias(f"__edge{i}") for i, c in enumerate(asked)))
+    ends = [F.col(f"__edge{i}") for i in range(len(asked))]
+    tied = reduce(or_, (F.coalesce(e["ties"] > e["room"], F.lit(False)) for e in ends))
+    seen = Observation(f"cut-{uuid.uuid4().hex}")
+    edges = written(found.observe(seen, F.count_if(tied).alias("tied")))  # a row for each stratum; Spark joins it by its size
     match = reduce(and_, (F.col(c).eqNullSafe(F.col(f"e{n}")) for c, n in zip(stratum, names)), F.lit(True))
     met = rows.join(edges, match, "left")
-    place, ends = F.struct(order.alias("o"), F.col(key).alias("k")), [F.col(f"__edge{i}") for i in range(len(asked))]
+    place = F.struct(order.alias("o"), F.col(key).alias("k"))
     end = lambda e: F.struct(e["o"].alias("o"), e["k"].alias("k"))
     aside = [f"e{n}" for n in names] + [f"__edge{i}" for i in range(len(asked))]
     within = {c: F.coalesce(place <= end(e), F.lit(False)) for c, e in zip(asked, ends)}
-    tied = reduce(or_, (F.coalesce(e["ties"] > e["room"], F.lit(False)) for e in ends))
-    if edges.where(tied).isEmpty():
+    if not seen.get["tied"]:
         return met.withColumns(within).drop(*aside)
     # rows that repeat the order and key of a last one, of which only some have room: they are told apart by all they hold
     at_end = reduce(or_, (F.coalesce((place == end(e)) & (e["ties"] > e["room"]), F.lit(False)) for e in ends))
@@ -230,7 +256,7 @@ def build_corpus(manifests: list[DataFrame], excluded: DataFrame | None = None,
         rows = one if rows is None else rows.unionByName(one)
     rows = rows.where("long > 0")
     if excluded is not None:
-        rows = rows.join(excluded.select("path").distinct(), "path", "left_anti")
+        rows = excluding(rows, excluded).where("NOT __excluded").drop("__excluded")
     rows = rows.withColumn("__key", dims.source_key(F.col("orig"), F.col("path")))
     rows = first_wins(rows, ["__key"], ["__source_order", "path"]).drop("__key", "__source_order")
     # each step reads its rows several times, so they are written once

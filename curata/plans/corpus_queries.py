@@ -169,7 +169,7 @@ def generation_plan(spark, d):
     return a.table(spark, d, "documents").select("doc_id", F.when(draws.unit("mode", n) < 0.25, "i2i").otherwise("t2i").alias("mode"), draws.phrase([["a", "b", "c"], ["x", "y"]], "p", n).alias("prompt"), draws.integer("seed", 0, 2147483647, n).alias("draw"), F.array_join(ops, "").alias("ops"))
 
 
-ORACLE_SQL["corpus_build"] = m(f""", f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY orig ORDER BY path) AS first FROM m WHERE long > 0) WHERE first = 1),
+ORACLE_SQL["corpus_build"] = m(f""", f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY orig ORDER BY path) AS first FROM m WHERE long > 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) WHERE first = 1),
     c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {seeded(10)}) AS nth FROM f) WHERE source <> 'src1' OR nth <= 5), s AS (SELECT *, {tenths_sql('source, generator', 3)} AS sp FROM c WHERE source <> 'src3' AND generator <> 'es'),
     tr AS (SELECT * FROM s WHERE sp = 'train'), va AS (SELECT * FROM s WHERE sp = 'val'), z AS (SELECT * REPLACE (part AS split) FROM (SELECT path, orig, label, generator, source, long, bucket, split, part FROM ({even_sql('train', 'tr', 103)}) UNION ALL SELECT path, orig, label, generator, source, long, bucket, split, part FROM ({even_sql('val', 'va', 104)})))
     SELECT path, orig, label, generator, source, long, bucket, split FROM z UNION ALL SELECT path, orig, label, generator, source, long, bucket, 'test' FROM s WHERE sp = 'test' UNION ALL SELECT path, orig, label, generator, source, long, bucket, 'test' FROM c WHERE source = 'src3' OR generator = 'es'""")

@@ -448,7 +448,8 @@ def disjoint_benchmark(spark, d):
 
 @query("corpus_build")
 def corpus_build(spark, d):
-    return curate.build_corpus([a.manifest(spark, d).drop("split", "bucket")], seed=3, caps={"src1": 5}, test_sources={"src3"}, test_generators={"es"}, min_bucket=5).select("path", "orig", "label", "generator", "source", "long", "bucket", "split")
+    listed = a.table(spark, d, "labels").where("toxic = 1").select(F.concat(F.lit("./doc//"), "doc_id").alias("path"))
+    return curate.build_corpus([a.manifest(spark, d).drop("split", "bucket")], excluded=listed, seed=3, caps={"src1": 5}, test_sources={"src3"}, test_generators={"es"}, min_bucket=5).select("path", "orig", "label", "generator", "source", "long", "bucket", "split")
 
 
 @query("union_splits", m("SELECT DISTINCT orig FROM m WHERE split = 'train' UNION SELECT orig FROM m WHERE split = 'val'"))

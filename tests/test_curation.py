@@ -118,7 +118,8 @@ def test_coverage(spark):
     assert got["pixel"] == pytest.approx((8 * 0.2 + 8 * 0.5 + 8 * 0.8) / 24) and (got["least"], got["most"]) == (1, 2)
 
 
-def test_cuts_are_ranks(spark):
+@pytest.mark.parametrize("few", [False, True])
+def test_cuts_are_ranks(spark, few):
     """The first rows of strata by comparison with the last one, as by ranks: limits of all kinds, null strata, repeated keys."""
     from pyspark.sql import functions as F
 
@@ -128,7 +129,7 @@ def test_cuts_are_ranks(spark):
     rows = [(r.choice([None, "a", "b", "c"]), r.choice([0, 1, None]), f"p{r.randrange(150)}", k) for k in range(400)]
     df = spark.createDataFrame(rows, "s string, t int, path string, k long")
     limits = lambda strata: strata.withColumns({"few": F.lit(3), "half": F.floor(F.col("n") / 2), "none": F.lit(0), "all": F.col("n") + 5, "less": F.lit(-1), "null": F.lit(None).cast("long")})
-    got = curate.cut(df, ["s", "t"], order_key(1, F.col("path")), limits).collect()
+    got = curate.cut(df, ["s", "t"], order_key(1, F.col("path")), limits, few=few).collect()
     ranks = {x["k"]: x["rn"] for x in curate.ranked(df, ["s", "t"], 1).collect()}
     assert sorted(x["k"] for x in got) == list(range(400))
     for stratum in {(x["s"], x["t"]) for x in got}:
@@ -139,5 +140,5 @@ def test_cuts_are_ranks(spark):
             order = lambda x: sorted(p["path"] for p in own if p[name]) == sorted(p["path"] for p in own if ranks[p["k"]] <= n)
             assert order(None)
         assert all(x["half"] for x in own if x["few"]) or len(own) < 6
-    assert curate.cut(df.limit(0), ["s"], order_key(1, F.col("path")), lambda x: x.withColumn("i", F.lit(1))).count() == 0
-    assert sum(x["i"] for x in curate.cut(df, [], order_key(1, F.col("path")), lambda x: x.withColumn("i", F.lit(7))).collect()) == 7
+    assert curate.cut(df.limit(0), ["s"], order_key(1, F.col("path")), lambda x: x.withColumn("i", F.lit(1)), few=few).count() == 0
+    assert sum(x["i"] for x in curate.cut(df, [], order_key(1, F.col("path")), lambda x: x.withColumn("i", F.lit(7)), few=few).collect()) == 7
