@@ -74,10 +74,14 @@ def cut(rows: DataFrame, stratum: list[str], order: Column, limits: Callable[[Da
     """``rows`` with columns that say whether a row is among the first of its stratum in the order of (order, key).
 
     ``order`` is a hexadecimal text, as order_key() gives; ``limits`` gets the strata with their numbers of rows n, and
-    adds a column for each question: how many rows are the first ones (null: none). Rows are counted in 4096 bins of the order; only
-    those of the bin that holds a limit are ranked, and the last of the first ones, a row for each stratum, decides for
-    all others by comparison. So no row moves but those bins', and no stratum is a window of its own.
+    adds a column for each question: how many rows are the first ones (null: none). Rows are counted in 4096 bins of the
+    order; only those of the bin that holds a limit are ranked, and the last of the first ones, a row for each stratum,
+    decides for all others by comparison. So no row moves but those bins', and no stratum is a window of its own. Exactly
+    as many rows are first as asked for, rows with repeated keys among them. Where the inputs are known to be small files
+    (``few``), all rows are ranked instead, with the same result.
     """
+    if _few(rows) if few is None else few:
+        return _by_rank(rows, stratum, order, limits, key)
     names = [f"__s{k}" for k in range(len(stratum))]
     marked = rows.select(*(F.col(c).alias(n) for c, n in zip(stratum, names)), F.conv(F.substring(order, 1, 3), 16, 10).cast("int").alias("__bin"), order.alias("__o"), F.col(key).alias("__k"))
     bins = marked.groupBy(*names, "__bin").agg(F.count("*").alias("__c"))
