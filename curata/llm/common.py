@@ -39,19 +39,28 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def _lean():
+    """Let freed arrays go back to the system at once: the allocator keeps none of 4 MB or more; returns its trim function."""
+    import ctypes
+
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "malloc_trim"):
+        return lambda: None
+    libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD; once it is set, the allocator does not raise it
+    return lambda: libc.malloc_trim(0)
+
+
 def tidy(run):
-    """``run``, an Arrow function, giving freed memory back to the system at its end: Python workers live on, and what
-    one keeps another stage lacks."""
+    """``run``, an Arrow function, giving freed memory back to the system: Python workers live on, and what one keeps
+    another stage lacks."""
 
     def tidied(batches):
-        import ctypes
-
         import pyarrow as pa
 
+        trim = _lean()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        trim()
 
     return tidied
 
@@ -62,6 +71,7 @@ def tidied_table(run):
     def tidied(*tables):
         import pyarrow as pa
 
+        _lean()
         out = run(*tables)
         pa.default_memory_pool().release_unused()
         return out

@@ -187,7 +187,8 @@ def _explode(slice_: int, shards: int, slices: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for place in range(len(batch)):
+                (row,) = batch.slice(place, 1).to_pylist()
                 own = _features(row, shards, slices)
                 parts, shard, order = own.slice(slice_)
                 ended = pc.binary_join_element_wise(own.words, line, none)  # a feature's last word ends its line
