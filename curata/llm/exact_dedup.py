@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -43,7 +44,7 @@ MEMTABLE_BYTES, MEMTABLE_ROWS = 24 << 20, 200_000
 #: Ids in one entry of a run: a hot group's entries are cut into pieces of this size.
 ENTRY_IDS = 10_000
 #: Bits of a run's filters, as a power of two.
-FILTER_BITS = 24
+FILTER_BITS = 23
 
 
 def normalised(text: str = "text") -> Column:
@@ -52,14 +53,17 @@ def normalised(text: str = "text") -> Column:
 
 @dataclass
 class Run:
-    """A merged run of some level: entries (digest, keep_id, keep_run, keep_variant, group_size, parts), filters of all its
-    digests and of those with several parts."""
+    """A merged run of some level: entries (digest, keep_id, keep_run, keep_variant, group_size, parts), and a filter of the
+    digests with several parts. That of all digests is made when a later batch asks."""
 
     level: int
     entries: DataFrame
-    known: IdFilter
     repeated: IdFilter
 
+    @cached_property
+    def known(self) -> IdFilter:
+        return IdFilter.build(self.entries.select(_mark().alias("mark")), "mark", FILTER_BITS)
+
 
 def _flushed(digest_bits: int, nth: int):
     """Rows (doc_id, text, sha) to the entries of sorted runs."""
@@ -138,8 +142,7 @@ def _merge(heads: DataFrame, level: int) -> Run:
     """Merge heads (digest, least, run, variant, n, parts) into a run."""
     ordered = heads.repartition(shards(heads.sparkSession), "digest").sortWithinPartitions("digest", F.asc_nulls_last("least"), "run", "variant")
     merged = staged(ordered.mapInArrow(tidy(_merged), "digest binary, keep_id long, keep_run long, keep_variant int, group_size long, parts long"), "merged")
-    marked = merged.select(_mark().alias("mark"), "parts")
-    return Run(level, merged, IdFilter.build(marked, "mark", FILTER_BITS), IdFilter.build(marked.where("parts > 1"), "mark", FILTER_BITS))
+    return Run(level, merged, IdFilter.build(merged.where("parts > 1").select(_mark().alias("mark")), "mark", FILTER_BITS))
 
 
 def _mark() -> Column:
