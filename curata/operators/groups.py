@@ -113,8 +113,19 @@ def near_groups(rows: DataFrame, max_distance: int = 4) -> DataFrame:
 
 
 def near_classes(probe: DataFrame, train: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` of distinct hashes (probe_id, train_id: the hashes; distance) as pairs of their rows' representatives:
-    the smallest id of each side, and how many rows stand behind it."""
-    one = probe.groupBy(F.col("dhash").alias("probe_id")).agg(F.min("id").alias("probe"), F.count("*").alias("probe_rows"))
-    two = train.groupBy(F.col("dhash").alias("train_id")).agg(F.min("id").alias("train"), F.count("*").alias("train_rows"))
-    return pairs.join(one, "probe_id").join(two, "train_id").select(F.col("probe").alias("probe_id"), F.col("train").alias("train_id"), "distance", "probe_rows", "train_rows")
+    """``pairs`` of distinct hashes (probe_id, train_id: the hashes; distance) as pairs of classes, and the classes' rows.
+
+    A class is what rows of a side share a hash; its id is their smallest id. Rows of kind ``pair`` give two classes
+    within the distance and how many rows stand behind each; rows of kind ``probe`` and ``train``, one for each row of
+    that side, give the row's id and its class. Joined, they are all pairs of rows, but copies are never multiplied by
+    each other. A null hash has no class.
+    """
+    long, text = F.lit(None).cast("long"), lambda kind: F.lit(kind).alias("kind")
+    one = probe.groupBy("dhash").agg(F.min("id").alias("probe_id"), F.count("*").alias("probe_rows"))
+    two = train.groupBy("dhash").agg(F.min("id").alias("train_id"), F.count("*").alias("train_rows"))
+    named = pairs.withColumnsRenamed({"probe_id": "a", "train_id": "b"}).join(one.withColumnRenamed("dhash", "a"), "a").join(two.withColumnRenamed("dhash", "b"), "b")
+    columns = ["id", "probe_id", "train_id", "distance", "probe_rows", "train_rows"]
+    linked = named.withColumn("id", long).select(text("pair"), *columns)
+    asked = probe.join(one, "dhash", "left").withColumns({"train_id": long, "distance": long.cast("int"), "train_rows": long}).select(text("probe"), *columns)
+    known = train.join(two, "dhash", "left").withColumns({"probe_id": long, "distance": long.cast("int"), "probe_rows": long}).select(text("train"), *columns)
+    return linked.unionByName(asked).unionByName(known)

@@ -11,6 +11,7 @@ from curata.functions import dims, geometry, hashes
 from curata.functions.seeded import order_key
 from curata.operators import audit, curate, dedup, groups, learn, metrics, votes
 from curata.plans import adapters as a
+from curata.session import written
 from curata.sources import manifests as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,9 +303,11 @@ PAIRS = f"WITH {a.H}, pairs AS (SELECT p.id AS probe_id, t.id AS train_id, bit_c
 
 
 @query("hamming_pigeonhole", f"""WITH {a.H}, p AS (SELECT dhash, min(id) AS id, count(*) AS n FROM pr GROUP BY dhash), t AS (SELECT dhash, min(id) AS id, count(*) AS n FROM h GROUP BY dhash)
-    SELECT p.id AS probe_id, t.id AS train_id, bit_count(xor(p.dhash, t.dhash))::INT AS distance, p.n AS probe_rows, t.n AS train_rows FROM p, t WHERE bit_count(xor(p.dhash, t.dhash)) <= 4""")
+    SELECT 'pair' AS kind, NULL::BIGINT AS id, p.id AS probe_id, t.id AS train_id, bit_count(xor(p.dhash, t.dhash))::INT AS distance, p.n AS probe_rows, t.n AS train_rows FROM p, t WHERE bit_count(xor(p.dhash, t.dhash)) <= 4
+    UNION ALL SELECT 'probe', pr.id, p.id, NULL, NULL, p.n, NULL FROM pr LEFT JOIN p ON p.dhash = pr.dhash
+    UNION ALL SELECT 'train', h.id, NULL, t.id, NULL, NULL, t.n FROM h LEFT JOIN t ON t.dhash = h.dhash""")
 def hamming_pigeonhole(spark, d):
-    probe, known = a.hashes(spark, d)
+    probe, known = (written(x) for x in a.hashes(spark, d))  # each is read three times, and a hash reads a whole text
     one, two = (x.select(F.col("dhash").alias("id"), "dhash").distinct() for x in (probe, known))
     return groups.near_classes(probe, known, dedup.near_pairs(one, two, 4))
 

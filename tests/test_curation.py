@@ -62,6 +62,27 @@ def test_hamming_joins_agree(spark):
     assert got == sorted(map(tuple, dedup.near_pairs_brute(a, b, 4).collect())) and got
 
 
+def whole_pairs(rows):
+    """All pairs of rows, from pairs of classes and the classes' rows."""
+    members = {side: {} for side in ("probe", "train")}
+    for r in rows:
+        if r["kind"] != "pair":
+            members[r["kind"]].setdefault(r[f"{r['kind']}_id"], []).append(r["id"])
+    return sorted((i, j, r["distance"]) for r in rows if r["kind"] == "pair" for i in members["probe"][r["probe_id"]] for j in members["train"][r["train_id"]])
+
+
+def test_classes_keep_every_copy(spark, tmp_path):
+    """hamming_pigeonhole: which rows are copies is in its result, so no link of a copy is lost; null texts have no class."""
+    texts = {i: f"text {i % 5}" for i in range(35)} | {3: None, 36: "alone"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    probe, known = adapters.hashes(spark, str(tmp_path))
+    want = sorted(map(tuple, dedup.near_pairs_brute(probe, known, 4).collect()))
+    rows = queries.QUERIES["hamming_pigeonhole"](spark, str(tmp_path)).collect()
+    assert whole_pairs(rows) == want and len(want) > 35 and len(rows) < len(want) + 72
+    assert {(r["kind"], r["id"]) for r in rows if r["kind"] != "pair"} == {(side, i) for i in texts for side in ("probe", "train")}
+    assert [(r["probe_id"], r["train_id"]) for r in rows if r["id"] == 3] == [(None, None)] * 2
+
+
 def test_every_document_is_a_probe(spark, sf):
     ids = {r[0] for r in adapters.table(spark, sf, "documents").select("doc_id").collect()}
     probe, known = adapters.hashes(spark, sf)
@@ -69,8 +90,10 @@ def test_every_document_is_a_probe(spark, sf):
     got = sorted(map(tuple, dedup.near_pairs(probe, known, 4).collect()))
     assert got == sorted(map(tuple, dedup.near_pairs_brute(probe, known, 4).collect()))
     assert {p for p, *_ in got} >= {i for i in ids if i % 7 <= 4} and any(p % 3 for p, *_ in got)
-    classes = queries.QUERIES["hamming_pigeonhole"](spark, sf).collect()  # stand for all pairs of rows
+    rows = queries.QUERIES["hamming_pigeonhole"](spark, sf).collect()
+    classes = [r for r in rows if r["kind"] == "pair"]  # stand for all pairs of rows
     assert sum(r["probe_rows"] * r["train_rows"] for r in classes) == len(got) and {(r["probe_id"], r["train_id"], r["distance"]) for r in classes} <= set(got)
+    assert whole_pairs(rows) == got and all({r["id"] for r in rows if r["kind"] == side} == ids for side in ("probe", "train"))
     assert {r["id"] for r in queries.QUERIES["unseen_reasons"](spark, sf).collect()} == ids
 
 
