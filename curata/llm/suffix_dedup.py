@@ -13,9 +13,12 @@ with the least hash (the leftmost of equals), which equal strings share:
    copies share. What a larger document's unit holds is not a source either, as the smaller one's copy is. The stretches
    between these units are written once, and all that follows reads them only.
 1. *anchors*: each task lists the anchors of its stretches. Partitioned by hash, those that occur in two documents or
-   more are set in a filter of a fixed number of bits, which is broadcast. It may let others pass, which costs work only.
-2. *segments*: strings that follow each other and share a listed anchor make one segment (about 65 bytes). Equal segments
-   are collapsed to the smallest and largest document id before the shuffle.
+   more are set in a filter, which is broadcast. Its bits follow the number of strings up to a bound, so that few others
+   pass; what passes costs work only.
+2. *segments*: strings that follow each other and share a listed anchor make one segment (about 65 bytes). They are
+   written in slices by anchor. The steps behind take one slice after the other, so what they move and write at a time is
+   a part of all, and a slice is deleted when its results are there. Equal segments are collapsed to the smallest and
+   largest document id before the shuffle.
 3. *suffix arrays*: distinct segments are partitioned and sorted by anchor. Those that agree with another one of their
    anchor in 15 bytes beside it, on either side, may share a string (30 bytes of it lie beside the anchor); about
    SORT_BYTES of these are concatenated and sorted by difference cover modulo 3: triples at sampled positions are sorted
@@ -42,14 +45,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import drop_staged, mix64, shards, ship, staged, text_or_empty, tidy
+from curata.llm.common import drop_part, drop_staged, mix64, packed, shards, ship, staged, staged_parts, text_or_empty, tidy
 from curata.llm.kernels import _BYTE, _PLACE, blocks, column_bytes, pack48, unpack48
 
 WIDTH, ANCHOR = 50, 20
 #: One of so many anchors begins a unit.
 UNIT = np.uint64(24)
-#: Bits of the filter of anchors, which is the only thing broadcast but for a filter of ids.
-FILTER_BITS = 26
+#: Bits of the filter of anchors at most, as a power of two: 64 MB, the only thing broadcast.
+FILTER_BITS = 29
+#: Slices of the anchors at most, and strings for which another one is worth its jobs.
+SLICES, SLICE_STRINGS = 4, 1 << 26
 #: Suffix arrays are built over about so many bytes at a time, or over one anchor's segments.
 SORT_BYTES = 1 << 20
 #: An anchor with more segments than this is not sorted in one task: its strings are rows of their own.
@@ -264,11 +269,12 @@ def _list_anchors(parts: int):
         held, size = [], 0
         for block in blocks(batches, 2 << 20):
             row, _, _, h, _ = segments(*column_bytes(block.column(1)))
-            doc = block.column(0).to_numpy()[row]
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            # a batch has few documents: their numbers fit beside the 48 bits of an anchor
+            _, number = np.unique(block.column(0).to_numpy(), return_inverse=True)
+            own = np.sort(number.astype(np.uint64)[row] << np.uint64(48) | h)
+            new = np.ones(len(own), bool)
+            new[1:] = own[1:] != own[:-1]
+            h = own & _MASK
             held.append(h[new])
             size += len(held[-1])
             if size > 2_000_000:
@@ -280,55 +286,71 @@ def _list_anchors(parts: int):
     return run
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return mix64(h) >> np.uint64(64 - FILTER_BITS)
+def filter_bits(strings: int) -> int:
+    """For so many strings: about four bits for each of their anchors, of which a part is listed."""
+    return min(FILTER_BITS, max(12, (strings >> 2).bit_length()))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bit(h: np.ndarray, bits: int) -> np.ndarray:
+    return mix64(h) >> np.uint64(64 - bits)
+
+
+def _shared(bits: int):
     """Anchors by shard to the filter's words (word, mask) of those that two documents have."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for shard, anchors, many in zip(*(c.to_pylist() for c in batch.columns)):
-            h = unpack48(anchors)
-            held.setdefault(shard, []).append((h, np.unpackbits(np.frombuffer(many, np.uint8), count=len(h))))
-    while held:
-        parts = held.popitem()[1]
-        h, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n = np.bincount(inverse, 1 + np.concatenate([p[1] for p in parts]), len(h))
-        bit = np.unique(_bit(h[n > 1]))
-        word, first = np.unique(bit >> np.uint64(6), return_index=True)
-        mask = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first) if len(bit) else bit
-        yield pa.RecordBatch.from_arrays([pa.array([word.astype("<u4").tobytes()]), pa.array([mask.astype("<u8").tobytes()])], ["word", "mask"])
-
-
-def shared_anchors(texts: DataFrame, parts: int) -> np.ndarray:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for shard, anchors, many in zip(*(c.to_pylist() for c in batch.columns)):
+                h = unpack48(anchors)
+                held.setdefault(shard, []).append(h << np.uint64(1) | np.unpackbits(np.frombuffer(many, np.uint8), count=len(h)))
+        while held:
+            h = np.concatenate(held.popitem()[1])
+            h.sort()
+            often = (h & np.uint64(1)).astype(bool)
+            h >>= np.uint64(1)
+            same = h[1:] == h[:-1]
+            often[1:] |= same
+            bit = np.unique(_bit(h[often], bits))
+            word, first = np.unique(bit >> np.uint64(6), return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first) if len(bit) else bit
+            for k in range(0, len(word), 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array([word[k : k + (1 << 20)].astype("<u4").tobytes()]), pa.array([mask[k : k + (1 << 20)].astype("<u8").tobytes()])], ["word", "mask"])
+
+    return run
+
+
+def shared_anchors(texts: DataFrame, parts: int, bits: int) -> np.ndarray:
     """The filter: a word for each 64 bits."""
     listed = texts.mapInArrow(tidy(_list_anchors(parts)), "shard int, anchors binary, many binary").repartition(parts, "shard")
-    found = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for word, mask in listed.mapInArrow(tidy(_shared), "word binary, mask binary").toLocalIterator():  # the filter's size in all
+    words = staged(listed.mapInArrow(tidy(_shared(bits)), "word binary, mask binary"), "filter")  # so the anchors' shuffle is removed
+    found = np.zeros(1 << (bits - 6), np.uint64)
+    for word, mask in words.toLocalIterator():  # the filter's size in all
         found[np.frombuffer(word, "<u4")] |= np.frombuffer(mask, "<u8")
+    drop_staged(words)
     return found
 
 
-def _cut(filter_):
-    """Texts to their segments with a listed anchor: (anchor, content_hash, content, doc_id, text_hash, start)."""
+def _cut(filter_, slices: int):
+    """Texts to their segments with a listed anchor: (anchor, content_hash, content, doc_id, text_hash, start, place, slice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         words = filter_.value
+        bits = len(words).bit_length() + 5
         for block in blocks(batches, 2 << 20):
             raw, offsets = column_bytes(block.column(1))
             row, first, n, h, place = segments(raw, offsets)
-            bit = _bit(h)
+            bit = _bit(h, bits)
             at = np.flatnonzero((words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
             begin = offsets[row[at]] + first[at]
             data, edges = _pick(raw, begin, begin + n[at] + WIDTH - 1)
             view, cuts = memoryview(data), edges.tolist()
             hashes = np.array([xxh3_64_intdigest(view[i:j]) for i, j in zip(cuts, cuts[1:])], np.uint64)
             content = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
-            columns = [pa.array(h[at].astype(np.int64)), pa.array(hashes.view(np.int64)), content, block.column(0).take(pa.array(row[at])), block.column(2).take(pa.array(row[at])), pa.array((block.column(3).to_numpy()[row[at]] + first[at]).astype(np.int32)), pa.array(place[at].astype(np.int8))]
-            batch = pa.RecordBatch.from_arrays(columns, ["anchor", "content_hash", "content", "doc_id", "text_hash", "start", "place"])
+            columns = [pa.array(h[at].astype(np.int64)), pa.array(hashes.view(np.int64)), content, block.column(0).take(pa.array(row[at])), block.column(2).take(pa.array(row[at])), pa.array((block.column(3).to_numpy()[row[at]] + first[at]).astype(np.int32)), pa.array(place[at].astype(np.int8)), pa.array((h[at] % np.uint64(slices)).astype(np.int32))]
+            batch = pa.RecordBatch.from_arrays(columns, ["anchor", "content_hash", "content", "doc_id", "text_hash", "start", "place", "slice"])
             for k in range(0, len(batch), 20_000):
                 yield batch.slice(k, 20_000)
 
@@ -421,36 +443,50 @@ def _smallest_of_hot(rows: DataFrame) -> DataFrame:
     return each.where("exists(found, x -> x.low < most)").select("anchor", "content_hash", F.lit(None).cast("long").alias("least"), F.col("found.low").alias("leasts"))
 
 
-def repeated_strings(documents: DataFrame) -> DataFrame:
+def _found(cut: DataFrame, parts: int) -> DataFrame:
+    """Of a slice's segments: doc_id, text_hash and runs (start, n) of the strings that a smaller document has too."""
+    distinct = cut.groupBy("anchor", "content_hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("content").alias("content"), F.first("place").alias("place"))
+    distinct = staged(distinct.select("anchor", "content_hash", "content", "least", "most", "place"), "distinct", packed)
+    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor")
+    cold = distinct.repartition(parts, "anchor").join(hot, "anchor", "left_anti").select(distinct.columns)
+    results = cold.sortWithinPartitions("anchor").mapInArrow(tidy(_smallest), "anchor long, content_hash long, least long, leasts array<long>")
+    results = staged(results.unionByName(_smallest_of_hot(distinct.join(hot, "anchor", "left_semi").select(distinct.columns))), "results")
+    drop_staged(distinct)
+    found = cut.select("anchor", "content_hash", "doc_id", "text_hash", "start", (F.octet_length("content") - WIDTH + 1).alias("n")).join(results, ["anchor", "content_hash"]).where("leasts IS NOT NULL OR least < doc_id")
+    pieces = F.expr("filter(transform(leasts, (x, i) -> struct(start + i AS start, if(x < doc_id, 1, 0) AS n)), x -> x.n = 1)")
+    runs = F.when(F.col("leasts").isNull(), F.array(F.struct("start", "n"))).otherwise(pieces)
+    out = staged(found.select("doc_id", "text_hash", runs.alias("runs")), "found")
+    drop_staged(results)
+    return out
+
+
+def repeated_strings(documents: DataFrame, slices: int | None = None) -> DataFrame:
     """doc_id, text_hash and runs (start, n): n strings from byte start on are to be removed."""
     spark = documents.sparkSession
     ship(spark)
     parts = shards(spark)
     texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), F.xxhash64(text_or_empty()).alias("text_hash"))
     units = staged(texts.mapInArrow(tidy(_units), "unit binary, doc_id long, text_hash long, start int, n int"), "units")
+    strings = units.agg(F.sum("n").alias("n")).first()["n"] or 0
+    slices = slices or int(min(SLICES, 1 + strings // SLICE_STRINGS))
     several = units.groupBy("unit").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("unit", "least")
     gone = staged(units.join(several, "unit").where("doc_id > least").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "gone")
     drop_staged(units)
     gone_of = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("gone"))
     keyed = texts.join(gone_of, (F.col("doc_id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").select("doc_id", "text", "text_hash", "gone")
-    left = staged(keyed.mapInArrow(tidy(_left), "doc_id long, text binary, text_hash long, first int"), "left")
-    listed = spark.sparkContext.broadcast(shared_anchors(left, parts))
-    cut = staged(left.mapInArrow(tidy(_cut(listed)), "anchor long, content_hash long, content binary, doc_id long, text_hash long, start int, place byte"), "segments")
+    left = staged(keyed.mapInArrow(tidy(_left), "doc_id long, text binary, text_hash long, first int"), "left", packed)
+    listed = spark.sparkContext.broadcast(shared_anchors(left, parts, filter_bits(strings)))
+    cut = staged_parts(left.mapInArrow(tidy(_cut(listed, slices)), "anchor long, content_hash long, content binary, doc_id long, text_hash long, start int, place byte, slice int"), "segments", "slice", slices)
     drop_staged(left)
     listed.unpersist()
-    distinct = cut.groupBy("anchor", "content_hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("content").alias("content"), F.first("place").alias("place"))
-    distinct = staged(distinct.select("anchor", "content_hash", "content", "least", "most", "place"), "distinct")
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor")
-    cold = distinct.repartition(parts, "anchor").join(hot, "anchor", "left_anti").select(distinct.columns)
-    results = cold.sortWithinPartitions("anchor").mapInArrow(tidy(_smallest), "anchor long, content_hash long, least long, leasts array<long>")
-    results = staged(results.unionByName(_smallest_of_hot(distinct.join(hot, "anchor", "left_semi").select(distinct.columns))), "results")
-    drop_staged(distinct)
-    found = cut.select("anchor", "content_hash", "doc_id", "text_hash", "start", (F.octet_length("content") - WIDTH + 1).alias("n")).join(results, ["anchor", "content_hash"]).where("leasts IS NOT NULL OR least < doc_id")
-    pieces = F.expr("filter(transform(leasts, (x, i) -> struct(start + i AS start, if(x < doc_id, 1, 0) AS n)), x -> x.n = 1)")
-    runs = F.when(F.col("leasts").isNull(), F.array(F.struct("start", "n"))).otherwise(pieces)
-    each = found.select("doc_id", "text_hash", runs.alias("runs")).unionByName(gone.select("doc_id", "text_hash", F.col("runs").cast("array<struct<start: int, n: int>>")))
+    each = gone.select("doc_id", "text_hash", F.col("runs").cast("array<struct<start: int, n: int>>"))
+    found = []
+    for k in range(slices):
+        found.append(_found(cut.where(F.col("slice") == k).drop("slice"), -(-parts // slices)))
+        drop_part(cut, "slice", k)
+        each = each.unionByName(found[-1])
     runs = staged(each.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
-    drop_staged(cut, results, gone)
+    drop_staged(cut, gone, *found)
     return runs
 
 

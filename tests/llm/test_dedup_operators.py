@@ -192,6 +192,29 @@ def test_passages(spark, monkeypatch):
         assert got == want
 
 
+def test_passages_in_slices(spark, monkeypatch):
+    """What is moved and written behind the segments is a slice of them at a time, and the filter's bits follow the strings."""
+    r = random.Random(11)
+    shared = ["".join(r.choice("abcdefgh ") for _ in range(150)) for _ in range(12)]
+    docs = [(i, " ".join(r.choice(shared) if r.random() < 0.5 else "".join(r.choice("ijklmnop ") for _ in range(60)) for _ in range(8))) for i in range(40)]
+    rows, counted = spark.createDataFrame(docs, "doc_id long, text string"), []
+
+    def counting(df, label, *more):
+        out = common.staged(df, label, *more)
+        counted.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "staged", counting)
+    marks = suffix_dedup.repeated_strings
+    monkeypatch.setattr(suffix_dedup, "repeated_strings", lambda d: marks(d, slices=3))
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.digests(rows).collect()}
+    assert got == brute_removal({i: t.encode() for i, t in docs}) and any(x[1] for x in got.values())
+    parts = [n for label, n in counted if label == "distinct"]
+    assert len(parts) == 3 and all(0 < n < 0.7 * sum(parts) for n in parts)
+    # at 6 GB of input (10 GB of text) some 24 million anchors are listed: they set a small share of the bits
+    assert 24e6 / 2 ** suffix_dedup.filter_bits(10 << 30) < 0.05 and suffix_dedup.filter_bits(1 << 20) < 20
+
+
 def test_passage_cases(spark):
     rows = small_docs(spark, [(None, "y" * 60), (1, "y" * 60), (1, "y" * 60), (2, "y" * 60)])
     got = sorted((str(x["doc_id"]), x["n_removed"]) for x in suffix_dedup.digests(rows).collect())
