@@ -41,7 +41,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from curata.llm.common import drop_staged, mix64, ship, staged, tidied_table, tidy
 from curata.llm.kernels import blocks as slices_of
-from curata.llm.kernels import column_bytes, crc_sql, grow, planes, shrink, unplanes, values
+from curata.llm.kernels import _BYTE, _PLACE, column_bytes, crc_sql, grow, planes, shrink, unplanes, values
 
 ORDER, BUCKETS, LEAST_WORDS, PERCENT, SEED = 3, 10_000, 20, 5, 42
 #: Bytes of text in a block; strings in a shard, about; slices of the dictionary; bits of a packed feature.
@@ -80,6 +80,16 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeStringArray, n
     return words, np.diff(np.searchsorted(starts, offsets))
 
 
+def _word_hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """A hash of each word, a sum over its bytes: it only chooses slices and shards."""
+    raw, offsets = column_bytes(words)
+    if not len(words):
+        return np.empty(0, np.uint64)
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
+    np.minimum(place, len(_PLACE) - 1, out=place)
+    return mix64(np.add.reduceat(np.take(_BYTE, raw) * np.take(_PLACE, place), offsets[:-1]))
+
+
 def _to_block(ids: pa.Array, texts: pa.Array) -> dict:
     words, sizes = _words(*column_bytes(texts))
     coded = words.dictionary_encode()
@@ -135,29 +145,24 @@ class Features:
     """The features of a block: packed numbers of words, by order, and the shard of each."""
 
     def __init__(self, codes: np.ndarray, sizes: np.ndarray, words: pa.LargeStringArray, shards: int, slices: int):
-        from xxhash import xxh3_64_intdigest
-
         self.codes, self.words, self.shards = codes, words, np.uint64(shards)
         self.bits = max(1, len(words).bit_length())
         self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.left = (np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))).astype(np.int32)  # words to the text's end
-        self.hash = np.fromiter(map(xxh3_64_intdigest, values(words)), np.uint64, len(words))
+        self.hash = _word_hashes(words)
         self.slice_of = (mix64(self.hash) % np.uint64(slices)).astype(np.uint16)
 
-    def of(self, order: int, slice_: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where features of a slice begin, and their packed numbers. The first word chooses the slice."""
-        at = np.flatnonzero(self.slice_of[self.codes] == slice_)
-        at = at[self.left[at] >= order]
+    def of(self, order: int, at: np.ndarray) -> np.ndarray:
+        """The packed numbers of the features that begin at ``at``."""
         packed = self.codes[at].astype(np.int64)
         for k in range(1, order):
             if self.bits * (k + 1) > PACKED_BITS:  # too many words for their bits: number what is there so far
                 packed = np.unique(packed, return_inverse=True)[1]
             packed = packed * (1 << self.bits) + self.codes[at + k]
-        return at, packed
+        return packed
 
-    def distinct(self, order: int, slice_: int):
-        """Distinct packed numbers in order, how often each is there, where it first is, and its shard."""
-        at, packed = self.of(order, slice_)
+    def distinct(self, order: int, at: np.ndarray, packed: np.ndarray):
+        """Distinct packed numbers' words and shards in order, and how often each is there."""
         if self.bits * order <= PACKED_BITS:
             found, n = np.unique(packed, return_counts=True)
             codes = [found >> self.bits * (order - 1 - k) & (1 << self.bits) - 1 for k in range(order)]
@@ -167,13 +172,19 @@ class Features:
         h = np.zeros(len(found), np.uint64)
         for c in codes:
             h = mix64(h * np.uint64(3) + self.hash[c])
-        return at, packed, found, n, codes, h % self.shards
+        shard = h % self.shards
+        return codes, n, shard.astype(np.uint16 if self.shards < 65536 else np.int64)
+
+    def slice(self, slice_: int) -> Iterator[tuple]:
+        """By order: where the slice's features begin, their packed numbers, and distinct() of them.
 
-    def slice(self, slice_: int):
-        """The distinct features of a slice, in the order of their shards; also by order, as distinct() has them."""
-        parts = [self.distinct(order, slice_) for order in range(1, ORDER + 1)]
-        shard = np.concatenate([p[5] for p in parts]).astype(np.int64)
-        return parts, shard, np.argsort(shard.astype(np.uint16) if self.shards < 65536 else shard, kind="stable")
+        The first word chooses the slice.
+        """
+        at = np.flatnonzero((self.slice_of == slice_)[self.codes])
+        for order in range(1, ORDER + 1):
+            at = at[self.left[at] >= order]
+            packed = self.of(order, at)
+            yield at, packed, *self.distinct(order, at, packed)
 
 
 def _features(row, shards: int, slices: int) -> Features:
@@ -190,18 +201,22 @@ def _explode(slice_: int, shards: int, slices: int):
             for place in range(len(batch)):
                 (row,) = batch.slice(place, 1).to_pylist()
                 own = _features(row, shards, slices)
-                parts, shard, order = own.slice(slice_)
                 ended = pc.binary_join_element_wise(own.words, line, none)  # a feature's last word ends its line
-                strings = [pc.binary_join_element_wise(*(own.words.take(pa.array(c)) for c in p[4][:-1]), ended.take(pa.array(p[4][-1])), space) for p in parts]
-                raw, offsets = column_bytes(pa.concat_arrays(strings).take(pa.array(order)))
-                n = np.concatenate([p[3] for p in parts])[order]
-                full, begins = np.unique(shard[order], return_index=True)
-                edges = [*begins.tolist(), len(order)]
+                parts = []  # of each order, its strings and counts by shard
+                for _, _, codes, n, shard in own.slice(slice_):
+                    order = np.argsort(shard, kind="stable")
+                    codes = [pa.array(c[order]) for c in codes]
+                    last = ended.take(codes[-1])
+                    raw, offsets = column_bytes(pc.binary_join_element_wise(*(own.words.take(c) for c in codes[:-1]), last, space) if len(codes) > 1 else last)
+                    parts.append((raw, offsets, n[order], np.searchsorted(shard[order], np.arange(shards + 1))))
                 out: list[tuple] = []
                 size = 0
-                for s, a, b in zip(full.tolist(), edges, edges[1:]):
-                    lines = raw[offsets[a] : offsets[b]].tobytes()
-                    out.append((row["block"], s, shrink(lines), len(lines), planes(n[a:b], 4), b - a))
+                for s in range(shards):
+                    lines = b"".join(raw[offsets[edges[s]] : offsets[edges[s + 1]]].tobytes() for raw, offsets, _, edges in parts)
+                    if not lines:
+                        continue
+                    own_n = np.concatenate([n[edges[s] : edges[s + 1]] for _, _, n, edges in parts])
+                    out.append((row["block"], s, shrink(lines), len(lines), planes(own_n, 4), len(own_n)))
                     size += len(lines)
                     if size > 8 << 20:
                         yield _batch(out, SENT)
@@ -276,14 +291,16 @@ def _weigh(gain: np.ndarray, shards: int, slices: int, some: range):
         data, lengths, of = said.column("buckets").to_pylist(), said.column("n").to_pylist(), said.column("slice").to_numpy()
         for k in some:
             bucket = np.concatenate([unplanes(data[i], lengths[i], 2) for i in np.flatnonzero(of == k)] or [np.zeros(0, np.uint16)])
-            parts, _, order = own.slice(k)
+            parts = list(own.slice(k))
+            order = np.argsort(np.concatenate([p[4] for p in parts]), kind="stable")
             value = np.empty(len(order))
             value[order] = gain[bucket]
             begin = 0
-            for at, packed, found, *_ in parts:
-                place = pc.index_in(pa.array(packed), pa.array(found)).to_numpy()
-                weight += np.bincount(own.row[at], value[begin + place], minlength=len(sizes))  # exact below 2^53
-                begin += len(found)
+            for at, packed, _, n, _ in parts:
+                each = np.empty(len(packed))
+                each[np.argsort(packed)] = np.repeat(value[begin : begin + len(n)], n)  # equal ones lie together, in any order
+                weight += np.bincount(own.row[at], each, minlength=len(sizes))  # exact below 2^53
+                begin += len(n)
         features = sum(np.maximum(sizes - k, 0) for k in range(ORDER))
         ids = block.column("ids").combine_chunks().flatten()
         names = ["block", "row", "doc_id", "n_words", "n_features", "weight"]

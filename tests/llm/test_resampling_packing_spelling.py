@@ -313,3 +313,29 @@ def test_joined_checksums(a, b):
 def test_values():
     for column in (pa.array(["a", None, "é", ""]), pa.array([b"x", b"", None]), pa.array(["p", "q", "r"])[1:]):
         assert kernels.values(column) == [(x.encode() if isinstance(x, str) else x) or b"" for x in column.fill_null("" if pa.types.is_string(column.type) else b"").to_pylist()]
+
+
+def test_slices_hold_each_feature_once():
+    """Words' hashes follow their bytes alone; the slices' distinct features, with their counts, are those of the texts."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.choice([1, 2, 2, 70])))
+    texts = [" ".join(word() for _ in range(r.randrange(40))) for _ in range(30)] + ["", None]
+    block = resampling._to_block(pa.array(range(len(texts))), pa.array(texts))
+    own = resampling._features(block, 5, 3)
+    words = own.words.to_pylist()
+    alone = [resampling._word_hashes(pa.array([w], pa.large_string()))[0] for w in words]
+    assert own.hash.tolist() == alone and len(set(alone)) == len(words)
+    assert len(resampling._word_hashes(pa.array([], pa.large_string()))) == 0
+    found = collections.Counter()
+    for k in range(3):
+        for order, (at, packed, codes, n, shard) in enumerate(own.slice(k), 1):
+            assert len(codes) == order and len(packed) == n.sum() and len(n) == len(shard) and (shard < 5).all()
+            for i, m in enumerate(n.tolist()):
+                gram = " ".join(words[c[i]] for c in codes)
+                assert gram not in found
+                found[gram] = m
+    want = collections.Counter()
+    for t in texts:
+        ws = (t or "").split()
+        want.update(" ".join(ws[i : i + k]) for k in (1, 2, 3) for i in range(len(ws) - k + 1))
+    assert found == want and np.all(own.hash[1:] != own.hash[:-1])
