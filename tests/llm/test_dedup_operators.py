@@ -211,7 +211,7 @@ def test_passages_in_slices(spark, monkeypatch):
     assert got == brute_removal({i: t.encode() for i, t in docs}) and any(x[1] for x in got.values())
     parts = [n for label, n in counted if label == "distinct"]
     assert len(parts) == 3 and all(0 < n < 0.7 * sum(parts) for n in parts)
-    # at 6 GB of input (10 GB of text) some 24 million anchors are listed: they set a small share of the bits
+    # at 6 GB of input (10 GB of text), 24 million listed anchors (extrapolated in proportion from 0.5 GB) set few of the bits
     assert 24e6 / 2 ** suffix_dedup.filter_bits(10 << 30) < 0.05 and suffix_dedup.filter_bits(1 << 20) < 20
 
 
